@@ -138,3 +138,16 @@ def digest(data) -> str:
 
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def word_spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the words of a buffer: maximal runs of `inside` that stay in one
+    document; first[i] is the index of document i's first word."""
+    begin, stop = inside.copy(), inside.copy()
+    if len(inside):
+        begin[1:] &= ~inside[:-1]
+        firsts = off[:-1][np.diff(off) > 0]
+        begin[firsts] = inside[firsts]
+        stop[:-1] &= ~inside[1:] | begin[1:]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    return start, end, np.searchsorted(start, off)

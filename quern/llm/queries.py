@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, sql, tokenfile, toxicity, urlfilter
+from quern.llm import minhash, quality, sql, tokenfile, toxicity, urlfilter
 from quern.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.5)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.3)
 
@@ -35,6 +39,7 @@ def queries() -> dict:
         "op2_url_filter": op2_url_filter,
         "op3_token_files": op3_token_files,
         "op6_toxicity": op6_toxicity,
+        "op7_minhash": op7_minhash,
         "op8_quality": op8_quality,
     }
 
