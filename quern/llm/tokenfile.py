@@ -32,10 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_path
+from quern.llm.common import materialise, new_path
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
+#: A space at most, Latin letters, then marks that no contraction begins with.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|()\"]*)")
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 on.
+_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTES = {b: 256 + n for n, b in enumerate(_OTHER)}
 _RUN = re.compile(r" (?=\s|$)")
 
 
@@ -46,7 +51,7 @@ class Encoder:
     texts may be cut there and each distinct piece is encoded by the library just once.  The memo
     is bounded: two generations of `keep` pieces, the older one is dropped when the newer is full."""
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +65,11 @@ class Encoder:
         return b"".join(t.id.to_bytes(4, "little") for t in self.model(word))
 
     def _piece(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        if plain:  # a word of Latin letters, then marks: two pre-tokens, whatever stands around
+            word, marks = plain.groups()
+            word = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            return self.words[word] + self.words[marks] if marks else self.words[word]
         return b"".join([self.words[w] for w, _ in self.pre(piece)])
 
     def encode(self, text: str) -> bytes:
@@ -197,57 +207,50 @@ def _open(uri: str, mode: str):
     return system, path, system.open_output_stream(path, compression=None)
 
 
-def encode_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): packed ids of each whole text with the end id; deflated for the shuffle."""
-    tail = int(end_id).to_bytes(4, "little")
-
-    def run(batches):
-        enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = [pack.compress(enc.encode(t or "") + tail) for t in texts[at : at + 256]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | None = None, files: int | None = None) -> DataFrame:
     """Write all documents, ascending by doc_id, as token files; returns the manifest.
 
-    Texts are encoded where they are read; only packed ids are shuffled, by ranges of doc_id.
-    Each task writes one file under a name of its own attempt and renames it when complete, so a
+    Texts are encoded once, where they are read; only packed ids are shuffled, to ranges of doc_id
+    cut at quantiles that a pass over doc_id alone gives (they balance the files, no more).
+    A task writes each file under a name of its own attempt and renames it when complete, so a
     task that runs twice leaves one whole file.  The manifest has a row for each file:
     (file, uri, n_docs, n_ids, start), start being the ids in all earlier files."""
     spark = docs.sparkSession
     uri = uri or new_path(spark, "tokens")
-    ids = encode_table(docs, path, end_id)
-    ids = ids.repartitionByRange(files, "doc_id") if files else ids.repartitionByRange("doc_id")
-    ids = ids.sortWithinPartitions("doc_id", F.crc32("ids"))
-
-    def run(batches):
-        from pyspark import TaskContext
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = np.unique(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else np.zeros(0))
+    tail = int(end_id).to_bytes(4, "little")
 
-        part, attempt, unpack = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
+    def encode(batches):
+        enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for at in range(0, len(texts), 256):
+                doc_id = b.column(0).slice(at, 256)
+                low = np.searchsorted(cuts, np.array([-np.inf if d is None else d for d in doc_id.to_pylist()]), "right")
+                packed = [pack.compress(enc.encode(t or "") + tail) for t in texts[at : at + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), doc_id, pa.array(packed, pa.binary())], names=["file", "doc_id", "ids"])
 
-        def rows():
-            for b in (first, *batches):
-                yield from ((d, unpack.decompress(x)) for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    ids = ids.mapInArrow(encode, "file int, doc_id long, ids binary")
+    ids = ids.repartition(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
 
-        name = f"{uri}/part-{part:06d}.tok"
-        system, temp, out = _open(f"{name}.{attempt}.tmp", "w")
-        with out:
-            n, total = write_file(out, rows())
-        system.move(temp, temp.rsplit(".", 2)[0])
-        yield pa.RecordBatch.from_pydict({"file": [part], "uri": [name], "n_docs": [n], "n_ids": [total]})
+    def run(batches):
+        from itertools import groupby
 
-    manifest = ids.mapInArrow(run, "file long, uri string, n_docs long, n_ids long")
-    from quern.llm.common import materialise
+        from pyspark import TaskContext
 
-    manifest = materialise(manifest, "tokens-manifest")
+        attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for part, own in groupby(rows, lambda r: r[0]):
+            name = f"{uri}/part-{part:06d}.tok"
+            system, temp, out = _open(f"{name}.{attempt}.tmp", "w")
+            with out:
+                count, total = write_file(out, ((d, unpack.decompress(x)) for _, d, x in own))
+            system.move(temp, temp.rsplit(".", 2)[0])
+            yield pa.RecordBatch.from_pydict({"file": [part], "uri": [name], "n_docs": [count], "n_ids": [total]})
+
+    manifest = materialise(ids.mapInArrow(run, "file long, uri string, n_docs long, n_ids long"), "tokens-manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
