@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import minhash, quality, sql, tokenfile, toxicity, urlfilter
+from quern.llm import bwt, minhash, quality, sql, tokenfile, toxicity, urlfilter
 from quern.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.3)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_url_filter": op2_url_filter,
@@ -41,6 +45,7 @@ def queries() -> dict:
         "op6_toxicity": op6_toxicity,
         "op7_minhash": op7_minhash,
         "op8_quality": op8_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
