@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bwt, minhash, quality, sql, tokenfile, toxicity, urlfilter
+from quern.llm import bwt, mih, minhash, packing, piece, quality, sql, tokenfile, toxicity, urlfilter, vptree
 from quern.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
@@ -22,6 +26,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest by Hamming distance of the signs, for vec_ids divisible by 100."""
+    return mih.top_k(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of bytes for a byte-level model; the pipeline packs tokens."""
+    return packing.pack(packing.byte_lengths(read_table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.5)
 
@@ -34,20 +48,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.3)
 
 
+def op9_piece_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.round_trips(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {
-        "op2_url_filter": op2_url_filter,
-        "op3_token_files": op3_token_files,
-        "op6_toxicity": op6_toxicity,
-        "op7_minhash": op7_minhash,
-        "op8_quality": op8_quality,
-        "op10_suffix_dedup": op10_suffix_dedup,
-    }
+    named = (op1_vp_tree, op2_url_filter, op3_token_files, op4_multi_index, op5_best_fit, op6_toxicity, op7_minhash, op8_quality, op9_piece_stream, op10_suffix_dedup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": sql.URL_FILTER}
+    return {"op2_url_filter": sql.URL_FILTER, "op4_multi_index": sql.MULTI_INDEX}
