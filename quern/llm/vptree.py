@@ -39,6 +39,7 @@ class Tree:
     vantage: np.ndarray
     median: np.ndarray
     paths: list[list[tuple[int, int]]]  # for each leaf: (node, side) with side 1 inside, -1 outside
+    visits: int = 0  # leaves visited so far, over all queries
 
 
 def build(ids: np.ndarray, matrix: np.ndarray, leaf: int = LEAF) -> Tree:
@@ -92,6 +93,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20,
         if not len(live):
             break
         goes = visit[live, step]
+        tree.visits += len(live)
         for j in np.unique(goes):
             who = live[goes == j]
             a, z = tree.leaf_at[j], tree.leaf_at[j + 1]
