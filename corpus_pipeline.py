@@ -1,11 +1,21 @@
-"""The corpus pipeline: toxicity, quality, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs; all but the last return the columns of documents.  The
+classifiers learn from sf_dir's documents and labels (rows that are not held out), so a stage's
+verdict on a document does not depend on what an earlier stage dropped.
+
+Nulls, by stage: a null text scores as an empty one, has no near-duplicates, loses no passages and
+packs as its end token alone."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import quality, toxicity
+from quern.llm import bwt, minhash, packing, quality, toxicity
 from quern.llm.common import materialise, read_table
+from quern.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +30,50 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score(docs, model).where("score >= 0.3").drop("score")
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents whose sets of five-word shingles are 0.8 alike, the one with
+    the smallest doc_id stays; of repeated rows, one.  Rows without a doc_id stay as they are."""
+    judged = materialise(minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80), "pipeline-near")
+    kept = judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    once = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():
+        once = once.dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in 50-byte strings that a document with a smaller doc_id has too are cut out; of a
+    character that is cut in two the rest goes as well.  Every document stays, n_chars is new."""
+    left = bwt.cut_repeats(docs, keep=[c for c in docs.columns if c != "text"])
+    out = left.withColumn("text", _whole_characters("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _whole_characters(column: str):
+    @F.pandas_udf("string")
+    def decode(raw):
+        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return decode(column)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: its bin, the bin's sequence length, its place there."""
+    return packing.pack(materialise(packing.token_lengths(docs, tokenizer_path("byte_bpe_50k.json")), "pipeline-lengths"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
 
-#: Trained classifiers, exact set similarity and packing are beyond SQL.
+#: Trained classifiers, exact set similarity and packing are beyond SQL; tests/llm holds every stage
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
