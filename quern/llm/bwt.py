@@ -347,7 +347,8 @@ def covered(key, length, text, snip, doc_id, at, size: int = SIZE):
     key, length, text: snippets (equal ones may come from several blocks); snip, doc_id, at: the
     places of each.  Works on parts of about PART bytes, cut between keys."""
     start = np.cumsum(length) - length
-    content = span_hash(prefix_hash(text), start, start + length)
+    parts = np.searchsorted(start, np.arange(0, len(text) + PART // 4, PART // 4))
+    content = np.concatenate([span_hash(prefix_hash(text[start[a] : start[b - 1] + length[b - 1]]), start[a:b] - start[a], start[a:b] - start[a] + length[a:b]) for a, b in zip(parts[:-1], parts[1:]) if b > a])
     order = np.lexsort((content, key))
     k, c, n = key[order], content[order], length[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
@@ -455,7 +456,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = blocks = 4 * parts
+    buckets = blocks = 2 * parts
     text = F.coalesce("text", F.lit(""))
     rest = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     base = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), rest.alias("rest"))
