@@ -58,11 +58,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.pieces = _Memo(self._piece, keep)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces = _Memo(self._piece, keep // 10)
+        self.spaced = _Memo(lambda piece: self._piece(" " + piece), keep)
         self.words = _Memo(self._word, keep)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model(word))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model(word)])
 
     def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
@@ -86,10 +89,9 @@ class Encoder:
                     out[-1] += " " + p
                 else:
                     out.append(" " + p)
-            cut = out
-        else:
-            cut = [cut[0], *map(" ".__add__, cut[1:])]
-        return b"".join(map(self.pieces.__getitem__, cut))
+            return b"".join(map(self.pieces.__getitem__, out))
+        first = cut[0]
+        return b"".join([self.pieces[first], *map(self.spaced.__getitem__, cut[1:])])
 
 
 class _Memo(dict):
@@ -223,15 +225,21 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
     tail = int(end_id).to_bytes(4, "little")
 
     def encode(batches):
-        enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
+        enc = encoder(path)
+        narrow = enc.tokenizer.get_vocab_size() <= 65536  # two bytes an id on the way
         for b in batches:
             texts = b.column(1).to_pylist()
             for at in range(0, len(texts), 256):
                 doc_id = b.column(0).slice(at, 256)
                 low = np.searchsorted(cuts, np.array([-np.inf if d is None else d for d in doc_id.to_pylist()]), "right")
-                packed = [pack.compress(enc.encode(t or "") + tail) for t in texts[at : at + 256]]
+                packed = [enc.encode(t or "") + tail for t in texts[at : at + 256]]
+                if narrow:
+                    packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), doc_id, pa.array(packed, pa.binary())], names=["file", "doc_id", "ids"])
 
+    from tokenizers import Tokenizer
+
+    kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4"
     ids = ids.mapInArrow(encode, "file int, doc_id long, ids binary")
     ids = ids.repartition(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
 
@@ -240,13 +248,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
 
         from pyspark import TaskContext
 
-        attempt, unpack = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
+        attempt = TaskContext.get().taskAttemptId()
         rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
         for part, own in groupby(rows, lambda r: r[0]):
             name = f"{uri}/part-{part:06d}.tok"
             system, temp, out = _open(f"{name}.{attempt}.tmp", "w")
             with out:
-                count, total = write_file(out, ((d, unpack.decompress(x)) for _, d, x in own))
+                count, total = write_file(out, ((d, np.frombuffer(x, kind).astype("<u4").tobytes()) for _, d, x in own))
             system.move(temp, temp.rsplit(".", 2)[0])
             yield pa.RecordBatch.from_pydict({"file": [part], "uri": [name], "n_docs": [count], "n_ids": [total]})
 
