@@ -9,12 +9,15 @@ their Jaccard similarity, with less variance than 2K independent minima.
 2. Bands of `rows` minima, and bands of `rows` maxima, give bucket keys (a permutation's minimum
    and maximum never meet in one band).  With 2K = 128 values in 32 bands of 4, two sets at 0.85
    miss every band with probability 6e-11, at 0.8 with 5e-8.
-3. In each bucket every class is paired with the bucket's smallest class: pairs grow linearly.
-   Pairs whose signatures agree far too seldom (over six standard deviations below the
-   threshold) are set aside; the others are confirmed on full sets.  Links form components.
+3. In each bucket every class is paired with the bucket's hub, the class whose buckets hold the
+   most others (near copies of one text have that text as hub): pairs grow linearly.  Pairs whose
+   signatures agree far too seldom (over six standard deviations below the threshold) are set
+   aside; the others are confirmed on full sets.  Links form components.
 4. Buckets that still hold several components, in which a link between two others may hide, are
    gone through in blocks: pairs of classes of different components, less those already tried,
-   that pass the signature test are confirmed on full sets too, and the components are joined.
+   that pass the signature test here and in no earlier bucket they share are held against finer
+   signatures (16 times as many permutations, made for these classes only), which leave few pairs
+   to be confirmed on full sets; then the components are joined.
 
 So every pair that shares a bucket is either in one component already, or confirmed on full sets,
 or excluded by its signature; no bucket is capped.  Nothing of this reaches the driver.
@@ -38,10 +41,14 @@ from quern.llm.components import components
 
 #: Permutations x -> a*x + b modulo 2^64 (a odd); each gives a minimum and a maximum.
 PERMUTATIONS, ROWS = 64, 4
+#: Permutations of the finer signatures, which settle what the others leave open.
+FINE = 512
 BLOCK = 512
 _draw = np.random.Generator(np.random.PCG64(20))
 _A = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * U64(2) + U64(1)
 _B = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+_FINE_A = _draw.integers(0, 1 << 63, FINE, np.uint64) * U64(2) + U64(1)
+_FINE_B = _draw.integers(0, 1 << 63, FINE, np.uint64)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -75,11 +82,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarr
     return sets
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, a_of: np.ndarray = _A, b_of: np.ndarray = _B) -> np.ndarray:
     """The minima, then the maxima, of a non-empty set under every permutation."""
     low, high = None, None
     for at in range(0, len(s), 2048):
-        h = s[at : at + 2048, None] * _A + _B
+        h = s[at : at + 2048, None] * a_of + b_of
         a, b = h.min(0), h.max(0)
         low, high = (a, b) if low is None else (np.minimum(low, a), np.maximum(high, b))
     return np.concatenate([low, high])
@@ -97,9 +104,9 @@ def set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def least_agreement(percent: int) -> int:
+def least_agreement(percent: int, permutations: int = PERMUTATIONS) -> int:
     """Signature values that must agree before a pair is worth its full sets."""
-    n, p = 2 * PERMUTATIONS, percent / 100
+    n, p = 2 * permutations, percent / 100
     return int(n * p - 6.5 * (n * p * (1 - p)) ** 0.5)
 
 
@@ -137,11 +144,26 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a document for each class of wanted (set_id)."""
+    ids = classes.select("set_id", "first_id").join(wanted, "set_id", "left_semi").select(F.col("first_id").alias("doc_id"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+
+
+def fine_signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    def run(batches):
+        for b in slices(batches, "text"):
+            found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
+            fine = [(mix(signature(s, _FINE_A, _FINE_B)) & U64(255)).astype(np.uint8).tobytes() for s in found]
+            yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "fine": pa.array(fine, pa.binary())})
+
+    return texts_of(wanted, classes, docs).mapInArrow(run, "set_id binary, fine binary").dropDuplicates(["set_id"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets."""
     nodes = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = classes.select("set_id", "first_id").join(nodes, "set_id", "left_semi").select(F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    texts = texts_of(nodes, classes, docs)
 
     def sets(batches):
         for b in slices(batches, "text"):
@@ -165,15 +187,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return wide.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def hidden_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs that share a bucket, are in different components and were not tried with the
-    bucket's smallest class; gone through in blocks of about BLOCK classes."""
+def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs that share a bucket, are in different components, were not tried with the bucket's hub,
+    and pass both signature tests; gone through in blocks of about BLOCK classes."""
+    least, least_fine = least_agreement(percent), least_agreement(percent, FINE)
     at = members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("set_id").alias("rep")).where("n > 2 and r0 != r1").select("key", "n", "rep")
-    at = at.join(mixed, "key").where("set_id != rep").join(classes.select("set_id", "sig"), "set_id")
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 != r1").select("key", "n")
+    at = materialise(at.join(mixed, "key").join(heads, "key").where("set_id != a").select("key", "band", "n", "set_id", "root"), "minhash-mixed")
+    wanted = at.select("set_id").distinct()
+    fine = fine_signatures(wanted, classes, docs, width)
+    at = at.join(materialise(classes.select("set_id", "sig", "bands").join(fine, "set_id"), "minhash-fine"), "set_id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     at = at.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "root", "sig")
+    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "root", "sig", "fine", "bands", "band")
     at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(group: list[tuple]) -> list[tuple[bytes, bytes]]:
@@ -182,18 +208,22 @@ def hidden_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, leas
         if not left or not right:
             return []
         sig = np.frombuffer(b"".join(g[6] for g in right), np.uint8).reshape(len(right), -1)
+        fine = np.frombuffer(b"".join(g[7] for g in right), np.uint8).reshape(len(right), -1)
         code = {r: k for k, r in enumerate({g[5] for g in group})}
         root = np.array([code[g[5]] for g in right])
+        band = group[0][9]
+        earlier = np.array([g[8][:band] for g in right], np.int64).reshape(len(right), band)
         out = []
         for k, g in enumerate(left):
-            rest = slice(k + 1, None) if left is right else slice(None)
-            apart = root[rest] != code[g[5]]
-            if apart.any():
-                mine = np.frombuffer(g[6], np.uint8)
-                base = k + 1 if left is right else 0
-                idx = np.flatnonzero(apart)
-                idx = idx[(sig[rest][idx] == mine).sum(1) >= least]
-                out += [(min(g[4], right[base + m][4]), max(g[4], right[base + m][4])) for m in idx.tolist()]
+            base = k + 1 if left is right else 0
+            idx = np.flatnonzero(root[base:] != code[g[5]]) + base
+            if len(idx):
+                idx = idx[(sig[idx] == np.frombuffer(g[6], np.uint8)).sum(1) >= least]
+            if len(idx) and band:
+                idx = idx[~(earlier[idx] == np.array(g[8][:band], np.int64)).any(1)]
+            if len(idx):
+                idx = idx[(fine[idx] == np.frombuffer(g[7], np.uint8)).sum(1) >= least_fine]
+            out += [(min(g[4], right[m][4]), max(g[4], right[m][4])) for m in idx.tolist()]
         return out
 
     def run(batches):
@@ -219,15 +249,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = least_agreement(percent)
     sig = materialise(signatures(docs, width), "minhash-signatures")
     classes = materialise(sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
-    spread = classes.select("set_id", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = materialise(spread.join(shared, "key", "left_semi").select("key", "set_id"), "minhash-members")
-    heads = members.groupBy("key").agg(F.min("set_id").alias("a"))
-    star = members.join(heads, "key").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
+    spread = classes.select("set_id", F.posexplode("bands").alias("band", "key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialise(spread.join(shared, "key").select("key", "band", "n", "set_id"), "minhash-members")
+    reach = members.groupBy("set_id").agg(F.sum("n").alias("reach"))
+    heads = materialise(members.join(reach, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("reach", "set_id")).alias("a")), "minhash-hubs")
+    members = members.drop("n")
+    star = members.join(heads, "key").where("set_id != a").select(F.least("set_id", "a").alias("a"), F.greatest("set_id", "a").alias("b")).distinct()
     star = materialise(agreeing(star, classes, least), "minhash-star")
     links = materialise(confirmed(star, classes, docs, width, percent), "minhash-links")
     labels = components(links)
-    hidden = materialise(hidden_pairs(members, labels, classes, least), "minhash-hidden")
+    hidden = materialise(hidden_pairs(members, heads, labels, classes, docs, width, percent), "minhash-hidden")
     if not hidden.isEmpty():
         more = confirmed(hidden, classes, docs, width, percent)
         labels = components(links.unionByName(materialise(more, "minhash-more")))
