@@ -1,9 +1,274 @@
-"""The registered queries of the engine proper, and their SQL."""
+"""The registered queries of the engine proper, each over whole tables, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quern.functions import markup, text
+from quern.operators import chunking, derive, links, nodes, retrieval
+from quern.providers import RuleText
+from quern.sources import wiki
+
+#: What embeddings.label stands for.
+LABEL_TYPES = ("chunk", "entities", "summary", "key_takeaways", "table_analysis", "page", "image_description", "plot_insights", "image_entities", "image")
+#: The first five vectors are the question and its four rewrites.
+QUERIES = 5
+K = 10
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _label_type(c):
+    return F.element_at(F.array(*[F.lit(x) for x in LABEL_TYPES]), c + 1)
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(vectors, queries) from embeddings."""
+    t = _read(spark, sf_dir, "embeddings")
+    v = t.where(F.col("vec_id") >= QUERIES).select(F.col("vec_id").alias("node_id"), F.when(F.col("label") < 6, "text").otherwise("image").alias("modality"), "embedding")
+    q = t.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.with_norm(v), q
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return retrieval.text_first(*_vectors(spark, sf_dir), K)
+
+
+def knn_filtered_topk(spark, sf_dir) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return retrieval.vector_search(v, q, K, "text").select("query_id", F.col("node_id").alias("vec_id"), F.round("score", 9).alias("score"))
+
+
+def text_first_hits(spark, sf_dir) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
+
+
+def rrf_fusion(spark, sf_dir) -> DataFrame:
+    return retrieval.fuse(_hits(spark, sf_dir), K).select(F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
+
+
+def _turn_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Conversations as a graph: turn 0 is the parent of all turns of its conversation."""
+    t = _read(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn")
+    kind = F.element_at(F.array(F.lit("section"), F.lit("image"), F.lit("page")), (F.col("conv_id") % 3 + 1).cast("int"))
+    n = t.select(key.alias("node_id"), F.when(F.col("turn") == 0, kind).otherwise("chunk").alias("type"), F.when((F.col("turn") == 0) & (kind == "image"), "image").otherwise("text").alias("kind"), "text", F.concat(F.lit("http://images/"), key, F.lit(".png")).alias("image_url"))
+    e = t.select(F.concat(F.col("conv_id").cast("string"), F.lit("-0")).alias("src_id"), key.alias("dst_id"), F.lit("PARENT").alias("rel"))
+    return n, e
+
+
+def _parents(spark, sf_dir) -> DataFrame:
+    """Parents of fused hits.  A hit's vec_id is the number of a turn in order of (conv_id, turn); only
+    the fused few are looked up, so a count up to each is all that is needed of the order."""
+    fused = retrieval.fuse(_hits(spark, sf_dir), K)
+    order = Window.orderBy(F.desc(F.round("score", 12)), "_seen", "node_id")  # K rows
+    fused = fused.select("node_id", (F.row_number().over(order) - 1).alias("rank"))
+    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    # number of turns before each conversation: sums by range, then within a range
+    spans = turns.withColumn("g", (F.col("conv_id") / 1000).cast("long"))
+    before = spans.groupBy("g").agg(F.sum("n").alias("s"))
+    before = before.select("g", (F.sum("s").over(Window.orderBy("g")) - F.col("s")).alias("b"))
+    first = spans.join(before, "g").withColumn("first", F.col("b") + F.sum("n").over(Window.partitionBy("g").orderBy("conv_id")) - F.col("n"))
+    found = first.join(F.broadcast(fused), (F.col("node_id") >= F.col("first")) & (F.col("node_id") < F.col("first") + F.col("n")))
+    within = _read(spark, sf_dir, "conversations").join(F.broadcast(found.select("conv_id", "first", "rank", F.col("node_id").alias("vec_id"))), "conv_id")
+    numbered = within.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "vec_id").orderBy("turn")) - 1 + F.col("first")).where("r = vec_id")
+    hits = numbered.select(F.concat_ws("-", "conv_id", "turn").alias("node_id"), "rank")
+    n, e = _turn_graph(spark, sf_dir)
+    return retrieval.parents(hits, e, n)
+
+
+def parent_lookup(spark, sf_dir) -> DataFrame:
+    return _parents(spark, sf_dir).select("rank", "node_id", "type", "kind")
+
+
+def context_concat(spark, sf_dir) -> DataFrame:
+    return retrieval.context(_parents(spark, sf_dir))
+
+
+def clean_text(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, "citation").otherwise("section").alias("type"))
+    return nodes.cleaned(d.withColumn("text_raw", F.col("text"))).select("doc_id", "type", "text")
+
+
+def sanitise_title(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", text.sanitise_title(F.substring("text", 1, 200)).alias("title"))
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    """documents with headings put in: a section, a subsection or a deeper one before each line."""
+    d = _read(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    content = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i == 0, x).when(i % 4 == 1, F.concat(F.lit("== Part "), i, F.lit(" ==\n"), x)).when(i % 4 == 2, F.concat(F.lit("=== Detail "), i, F.lit(" ===\n"), x)).when(i % 4 == 3, F.concat(F.lit("==== Deep "), i, F.lit(" ====\n"), x)).otherwise(x))), "\n")
+    return d.select(F.col("doc_id").alias("page_id"), content.alias("content"))
+
+
+def intro_split(spark, sf_dir) -> DataFrame:
+    return _marked(spark, sf_dir).select(F.col("page_id").alias("doc_id"), text.intro(F.col("content")).alias("intro"))
+
+
+def section_titles(spark, sf_dir) -> DataFrame:
+    s = nodes.section_titles(_marked(spark, sf_dir))
+    return s.select(F.col("page_id").alias("doc_id"), F.posexplode("sections").alias("section_no", "s")).select("doc_id", "section_no", "s.title", F.array_join("s.subsections", "|").alias("subsections"))
+
+
+def semantic_chunks(spark, sf_dir) -> DataFrame:
+    return chunking.chunk_rows(_read(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def prev_next_links(spark, sf_dir) -> DataFrame:
+    t = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.lit("turns").alias("chain"), F.col("turn").alias("pos"), F.lit(0).alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("node_id"))
+    return nodes.linked(t).select("node_id", "prev_id", "next_id")
+
+
+def edges_from_nodes(spark, sf_dir) -> DataFrame:
+    t = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.lit("turns").alias("chain"), F.col("turn").alias("pos"), F.lit(0).alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("node_id"))
+    top = F.concat(F.col("page_id").cast("string"), F.lit("-0"))
+    n = nodes.linked(t).withColumn("parent_id", F.when(F.col("pos") > 0, top)).withColumn("source_id", F.concat(F.lit("missing-"), F.col("page_id").cast("string")))
+    return nodes.edges(n)
+
+
+def page_links(spark, sf_dir) -> DataFrame:
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id"), F.transform(markup.anchors(F.col("html")), lambda a: F.struct(F.lit("Body").alias("section"), a["text"].alias("text"), a["url"].alias("url"))).alias("section_links"))
+    w = links.wiki_links(links.page_links(p))
+    return w.select("page_id", "section", "text", "url", F.col("pos").cast("long").alias("pos"))
+
+
+def _reference_rows(spark, sf_dir) -> DataFrame:
+    """Turns as the links of a reference list: turn 0 begins a reference in each conversation, five
+    conversations make a page; an odd conversation's note number is cited."""
+    t = _read(spark, sf_dir, "conversations")
+    pos = F.col("conv_id") * 10_000 + F.col("turn")
+    start = F.col("turn") == 0
+    return t.select((F.col("conv_id") / 5).cast("long").alias("page_id"), F.lit("References").alias("section"), F.lit(0).cast("long").alias("section_pos"), pos.alias("pos"), F.when(start, "^").otherwise(F.substring("text", 1, 40)).alias("text"), F.when(start, F.concat(F.lit("#cite_ref-"), F.col("conv_id"))).otherwise(F.concat(F.lit("http://ref/"), F.col("conv_id"), F.lit("/"), F.col("turn"))).alias("url"))
+
+
+def citation_groups(spark, sf_dir) -> DataFrame:
+    r = links.reference_tuples(links.reference_links(_reference_rows(spark, sf_dir)))
+    return r.select("page_id", "ref_pos", "cite_ref", "ref_no", "title", "link", F.array_join("archived", "|").alias("archived"))
+
+
+def citation_resolve(spark, sf_dir) -> DataFrame:
+    rows = _reference_rows(spark, sf_dir)
+    notes = rows.where("text = '^'").select("page_id", F.concat(F.lit("Part "), F.col("pos") / 10_000 % 2).alias("section"), F.lit(1).cast("long").alias("section_pos"), "pos", F.regexp_extract("url", r"(\d+)$", 1).alias("ref_no")).where(F.col("ref_no").cast("long") % 2 == 1)
+    c = links.section_citations(notes, links.reference_tuples(links.reference_links(rows)))
+    return c.select("page_id", "section", "ref_no", "title", "link", F.array_join("archived", "|").alias("archived"))
+
+
+def vector_routing(spark, sf_dir) -> DataFrame:
+    t = _read(spark, sf_dir, "embeddings").withColumn("type", _label_type(F.col("label")))
+    kind = F.when(F.col("type") == "page", "document").when(F.col("type") == "image", "image").otherwise("text")
+    e = F.when(F.col("label") != 9, F.col("embedding"))
+    from quern.sources.store import vectors_of
+
+    v = vectors_of(t.select(F.col("vec_id").alias("node_id"), kind.alias("kind"), "type", e.alias("embedding")))
+    return v.select(F.col("node_id").alias("vec_id"), "collection", "modality", F.round("norm", 6).alias("norm"))
+
+
+def embedding_flags(spark, sf_dir) -> DataFrame:
+    t = _read(spark, sf_dir, "embeddings").select("vec_id", _label_type(F.col("label")).alias("type"), F.when(F.col("vec_id") % 3 != 0, True).alias("needs_embedding"))
+    return nodes.with_flags(t)
+
+
+def type_normalise(spark, sf_dir) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    answer = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 5 == 0, F.concat(F.lit("Sensitive_Image "), "event_type")).otherwise(F.col("event_type"))
+    return e.select("event_id", text.image_type(answer).alias("type"), text.capitalise(F.col("event_type")).alias("label"))
+
+
+def token_cost(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("tokens"))
+    return d.select("source", "docs", "tokens", F.round(text.token_cost(F.col("tokens").cast("double")), 6).alias("cost"))
+
+
+def union_nodes(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("node_id"), F.lit("section").alias("type"), F.col("doc_id").alias("ord"), F.length("text").cast("long").alias("size"))
+    p = _read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("node_id"), F.lit("page").alias("type"), (F.lit(1_000_000_000_000) + F.col("page_id")).alias("ord"), F.length("html").cast("long").alias("size"))
+    return d.unionByName(p)
+
+
+def search_topn(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents")
+    return wiki.search(d, "The of licensed", 20, "doc_id", "text")
+
+
+def node_to_graph(spark, sf_dir) -> DataFrame:
+    """Conversation turns as nodes, to the graph's form and back."""
+    t = _read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("node_id"), F.when(F.col("turn") == 0, "document").when(F.col("turn") % 2 == 1, "text").otherwise("image").alias("kind"), F.when(F.col("turn") == 0, "page").when(F.col("turn") % 2 == 1, "section").otherwise("image").alias("type"), F.col("role").alias("title"), F.col("text"), F.concat(F.lit("u"), "turn").alias("image_url"), F.concat(F.col("conv_id").cast("string"), F.lit("-0")).alias("parent_id"))
+    from quern import schema
+
+    back = nodes.from_graph(nodes.graph_view(schema.as_nodes(t)))
+    return back.select("node_id", "kind", "type", "title", "text", "image_url", "parent_id")
+
+
+def generated_queries(spark, sf_dir) -> DataFrame:
+    """Each conversation's turns as lines of generated queries: trimmed, blank ones dropped, equal ones
+    once, in order."""
+    t = _read(spark, sf_dir, "conversations").select("conv_id", F.posexplode(text.query_lines(F.col("text"))).alias("line", "query"), "turn")
+    return t.groupBy("conv_id", "query").agg(F.min(F.col("turn") * 10_000 + F.col("line")).alias("pos"))
+
+
+def payload_ids(spark, sf_dir) -> DataFrame:
+    """Node ids out of vector payloads: JSON in JSON."""
+    t = _read(spark, sf_dir, "embeddings")
+    payload = F.to_json(F.struct(F.to_json(F.struct(F.concat(F.lit("n"), "vec_id").alias("id_"))).alias("_node_content")))
+    return t.select("vec_id", text.payload_node_id(payload).alias("node_id"))
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    """The pages table as wiki pages, with one table put in."""
+    from quern import schema
+
+    table = F.concat(F.lit('<table class="wikitable sortable"><tr><th>k</th><th>v, w</th></tr><tr><td>'), "page_id", F.lit("</td></tr></table>"))
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("title"), F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style).*?</\\1>", " "), "<[^>]*>", " ").alias("content"), F.lit("").alias("summary"), F.concat("html", table).alias("html"))
+    full = p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PAGE_SCHEMA])
+    return full
+
+
+def wiki_tables(spark, sf_dir) -> DataFrame:
+    t = nodes.tables(_pages(spark, sf_dir))
+    return t.select("page_id", "pos", "title", F.col("text").alias("csv"))
+
+
+def page_nodes(spark, sf_dir) -> DataFrame:
+    n = nodes.page_nodes(_pages(spark, sf_dir), lambda rows: rows.withColumn("answer", F.lit("image")))
+    return n.select("node_id", "page_id", "type", "title", "parent_id", "prev_id", "next_id")
+
+
+def _section_nodes(spark, sf_dir) -> DataFrame:
+    from quern import schema
+
+    return schema.as_nodes(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").cast("string").alias("page_id"), F.lit("text").alias("kind"), F.lit("section").alias("type"), F.col("source").alias("title"), "text", F.col("doc_id").alias("ord")))
+
+
+class _Rules:
+    text = RuleText()
+
+
+def extractive_summary(spark, sf_dir) -> DataFrame:
+    out = derive.summaries(_section_nodes(spark, sf_dir), _Rules())
+    return out.where("type = 'summary'").select("parent_id", "title", "text")
+
+
+def entities_rule(spark, sf_dir) -> DataFrame:
+    out = derive.entities(_section_nodes(spark, sf_dir), _Rules())
+    return out.where("type = 'entities'").select("parent_id", "title", "text")
+
+
+_QUERIES = (
+    knn_filtered_topk, text_first_hits, rrf_fusion, parent_lookup, context_concat, clean_text, sanitise_title, intro_split, section_titles, semantic_chunks, prev_next_links, edges_from_nodes,
+    page_links, citation_groups, citation_resolve, vector_routing, embedding_flags, type_normalise, token_cost, union_nodes, search_topn, node_to_graph, generated_queries, payload_ids,
+    wiki_tables, page_nodes, extractive_summary, entities_rule,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quern import oracles
+
+    return dict(oracles.SQL)
