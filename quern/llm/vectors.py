@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1024
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
