@@ -12,6 +12,7 @@ from quern import schema
 from quern.functions import images as image_functions
 from quern.functions import text
 from quern.operators import chunking
+from quern.operators.nodes import with_flags
 from quern.providers import Providers, Text, Vision, retrying
 
 #: Title endings of derived nodes.
@@ -42,42 +43,44 @@ def _derived(parents: DataFrame, kind: str, answer: Column, image_stage: bool =
     ))
 
 
-def _text_stage(nodes: DataFrame, provider: Text, kind: str, types: tuple[str, ...]) -> DataFrame:
+def _text_stage(nodes: DataFrame, provider: Text, kind: str, types: tuple[str, ...], only_new: bool) -> DataFrame:
     source = nodes.where(F.col("type").isin(*types))
-    return nodes.unionByName(_derived(source, kind, _ask_text(provider, kind)(F.col("text"))))
+    new = _derived(source, kind, _ask_text(provider, kind)(F.col("text")))
+    return new if only_new else nodes.unionByName(new)
 
 
-def entities(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _text_stage(nodes, p.text, "entities", ("section", "subsection"))
+def entities(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _text_stage(nodes, p.text, "entities", ("section", "subsection"), only_new)
 
 
-def summaries(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _text_stage(nodes, p.text, "summary", ("section", "subsection"))
+def summaries(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _text_stage(nodes, p.text, "summary", ("section", "subsection"), only_new)
 
 
-def key_takeaways(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _text_stage(nodes, p.text, "key_takeaways", ("section", "subsection"))
+def key_takeaways(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _text_stage(nodes, p.text, "key_takeaways", ("section", "subsection"), only_new)
 
 
-def table_analysis(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _text_stage(nodes, p.text, "table_analysis", ("table",))
+def table_analysis(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _text_stage(nodes, p.text, "table_analysis", ("table",), only_new)
 
 
-def _image_stage(nodes: DataFrame, provider: Vision, kind: str, types: tuple[str, ...]) -> DataFrame:
+def _image_stage(nodes: DataFrame, provider: Vision, kind: str, types: tuple[str, ...], only_new: bool) -> DataFrame:
     source = nodes.where((F.col("kind") == "image") & F.col("type").isin(*types))
-    return nodes.unionByName(_derived(source, kind, _ask_vision(provider, kind)(F.col("image_data"), F.col("title")), True))
+    new = _derived(source, kind, _ask_vision(provider, kind)(F.col("image_data"), F.col("title")), True)
+    return new if only_new else nodes.unionByName(new)
 
 
-def image_descriptions(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _image_stage(nodes, p.vision, "image_description", ("image", "plot"))
+def image_descriptions(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _image_stage(nodes, p.vision, "image_description", ("image", "plot"), only_new)
 
 
-def image_entities(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _image_stage(nodes, p.vision, "image_entities", ("image",))
+def image_entities(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _image_stage(nodes, p.vision, "image_entities", ("image",), only_new)
 
 
-def plot_insights(nodes: DataFrame, p: Providers) -> DataFrame:
-    return _image_stage(nodes, p.vision, "plot_insights", ("plot",))
+def plot_insights(nodes: DataFrame, p: Providers, only_new: bool = False) -> DataFrame:
+    return _image_stage(nodes, p.vision, "plot_insights", ("plot",), only_new)
 
 
 def classified(images: DataFrame, provider: Vision) -> DataFrame:
@@ -91,7 +94,7 @@ def classified(images: DataFrame, provider: Vision) -> DataFrame:
     return kept.withColumn("answer", ask("image_data", "image_name"))
 
 
-def chunks(nodes: DataFrame, p: Providers, buffer: int = 1, percentile: float = 0.7) -> DataFrame:
+def chunks(nodes: DataFrame, p: Providers, buffer: int = 1, percentile: float = 0.7, only_new: bool = False) -> DataFrame:
     """Chunk nodes of sections and subsections, and the embedding flag of all others."""
     source = nodes.where(F.col("type").isin("section", "subsection"))
 
@@ -105,9 +108,7 @@ def chunks(nodes: DataFrame, p: Providers, buffer: int = 1, percentile: float =
         schema.node_id(F.col("page_id"), F.lit("chunk"), F.concat_ws("#", "node_id", "pos")).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.lit("chunk").alias("type"),
         F.concat("title", F.lit("_chunk_"), "pos").alias("title"), F.col("chunk").alias("text"), F.col("node_id").alias("parent_id"), "source_id", F.lit(True).alias("needs_embedding"), "pos", "ord",
     ))
-    from quern.operators.nodes import with_flags
-
-    return with_flags(nodes).unionByName(new)
+    return new if only_new else with_flags(nodes).unionByName(new)
 
 
 def embedded(nodes: DataFrame, p: Providers) -> DataFrame:

@@ -15,7 +15,7 @@ def section_rows(pages: DataFrame) -> DataFrame:
     itself.  body is the text up to the next heading.  Subsections before any section go."""
     split = F.split(F.coalesce("content", F.lit("")), text.HEADING_LINE)
     rows = pages.select("page_id", F.posexplode(F.arrays_zip(text.headings(F.col("content")).alias("h"), F.slice(split, 2, 1 << 30).alias("b"))).alias("pos", "x"))
-    rows = rows.select("page_id", "pos", text.is_section(F.col("x.h")).alias("top"), text.heading_title(F.col("x.h")).alias("title"), text.strip(F.coalesce("x.b", F.lit(""))).alias("body"))
+    rows = rows.select("page_id", "pos", text.is_section(F.col("x.h")).alias("top"), text.heading_title(F.col("x.h")).alias("title"), text.strip(F.regexp_replace(F.coalesce("x.b", F.lit("")), "^=+(?=\n|$)", "")).alias("body"))
     rows = rows.where("title != ''")
     order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section_no", F.sum(F.col("top").cast("int")).over(order).cast("int")).where("section_no > 0")

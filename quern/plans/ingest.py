@@ -12,30 +12,25 @@ from quern.operators import derive, nodes
 from quern.providers import Providers
 from quern.sources import store, wiki
 
-#: The order matters: models see raw text; chunks and derived text are cleaned; vectors see clean text.
-STAGES: tuple[tuple[str, Callable[[DataFrame, Providers], DataFrame]], ...] = (
-    ("entities", derive.entities),
-    ("summary", derive.summaries),
-    ("key_takeaways", derive.key_takeaways),
-    ("image_description", derive.image_descriptions),
-    ("image_entities", derive.image_entities),
-    ("plot_insights", derive.plot_insights),
-    ("table_analysis", derive.table_analysis),
-    ("chunking", derive.chunks),
-    ("cleaning", lambda n, p: nodes.cleaned(n)),
-    ("embedding", derive.embedded),
-)
+#: Stages that derive nodes by a model, in order; each looks at types that none of them makes.
+DERIVATIONS: tuple[Callable[..., DataFrame], ...] = (derive.entities, derive.summaries, derive.key_takeaways, derive.image_descriptions, derive.image_entities, derive.plot_insights, derive.table_analysis)
 
 
 def initial_nodes(pages: DataFrame, providers: Providers, with_links: bool = False) -> DataFrame:
     return nodes.page_nodes(pages, lambda rows: derive.classified(rows, providers.vision), with_links)
 
 
-def transformed(rows: DataFrame, providers: Providers, stages: Sequence = STAGES) -> DataFrame:
-    """Nodes after all stages, with the time of the last for an audit."""
-    for _, stage in stages:
-        rows = stage(rows, providers)
-    return rows.withColumn("last_transformed", F.current_timestamp())
+def transformed(rows: DataFrame, providers: Providers, derivations: Sequence[Callable[..., DataFrame]] = DERIVATIONS) -> DataFrame:
+    """Nodes after all ten stages, with the time for an audit: derivations, chunking, cleaning,
+    embedding.  Models see raw text; chunks and derived text are cleaned; vectors see clean text.
+
+    As no derivation looks at another's nodes, each starts from the rows given, so the plan grows
+    with the number of stages and not as a power of two."""
+    everything = rows
+    for stage in derivations:
+        everything = everything.unionByName(stage(rows, providers, only_new=True))
+    everything = nodes.with_flags(everything).unionByName(derive.chunks(rows, providers, only_new=True))
+    return derive.embedded(nodes.cleaned(everything), providers).withColumn("last_transformed", F.current_timestamp())
 
 
 @timed
