@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, materialise, mix, prefix_hash, slices, span_hash, text_buffer
+from quern.llm.common import U64, discard, materialise, mix, prefix_hash, slices, span_hash, text_buffer
 
 SIZE, GRAM = 50, 24
 HOT = 50_000
@@ -464,6 +464,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[
     shared = materialise(_shared(_keys(base, buckets, size, gram), buckets, blocks, hot), "bwt-shared")
     snippets = _snippets(base.select("block", "rid", "doc_id", "text"), shared, buckets, blocks, size, gram)
     spans = materialise(_spans(snippets, buckets, blocks, size), "bwt-spans")
+    discard(shared)
     kind_of = base.schema["rest"].dataType
     left = spans.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(kind_of).alias("rest"), "rids", "doc_ids", "firsts", "ends")
     right = base.select("block", F.lit(1).alias("kind"), "rid", "doc_id", F.col("text").cast("binary").alias("text"), "rest", *[F.lit(None).cast("binary").alias(c) for c in ("rids", "doc_ids", "firsts", "ends")])

@@ -62,6 +62,24 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
+class Scratch:
+    """Intermediate tables of one operator, deleted together once its result is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        done = materialise(df, name)
+        for t in self.tables:
+            discard(t)
+        self.tables.clear()
+        return done
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, materialise, mix, prefix_hash, slices, span_hash, text_buffer, word_spans
+from quern.llm.common import U64, Scratch, mix, prefix_hash, slices, span_hash, text_buffer, word_spans
 from quern.llm.components import components
 
 #: Permutations x -> a*x + b modulo 2^64 (a odd); each gives a minimum and a maximum.
@@ -160,7 +160,7 @@ def fine_signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame, widt
     return texts_of(wanted, classes, docs).mapInArrow(run, "set_id binary, fine binary").dropDuplicates(["set_id"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets."""
     nodes = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     texts = texts_of(nodes, classes, docs)
@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    full = materialise(texts.mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"]), "minhash-sets")
+    full = keep(texts.mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"]), "minhash-sets")
 
     def check(batches):
         for b in batches:
@@ -187,16 +187,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return wide.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
     """Pairs that share a bucket, are in different components, were not tried with the bucket's hub,
     and pass both signature tests; gone through in blocks of about BLOCK classes."""
     least, least_fine = least_agreement(percent), least_agreement(percent, FINE)
     at = members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 != r1").select("key", "n")
-    at = materialise(at.join(mixed, "key").join(heads, "key").where("set_id != a").select("key", "band", "n", "set_id", "root"), "minhash-mixed")
+    at = keep(at.join(mixed, "key").join(heads, "key").where("set_id != a").select("key", "band", "n", "set_id", "root"), "minhash-mixed")
     wanted = at.select("set_id").distinct()
     fine = fine_signatures(wanted, classes, docs, width)
-    at = at.join(materialise(classes.select("set_id", "sig", "bands").join(fine, "set_id"), "minhash-fine"), "set_id")
+    at = at.join(keep(classes.select("set_id", "sig", "bands").join(fine, "set_id"), "minhash-fine"), "set_id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     at = at.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "root", "sig", "fine", "bands", "band")
@@ -246,26 +246,28 @@ def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classe
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    keep = Scratch()
     least = least_agreement(percent)
-    sig = materialise(signatures(docs, width), "minhash-signatures")
-    classes = materialise(sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
+    sig = keep(signatures(docs, width), "minhash-signatures")
+    classes = keep(sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
     spread = classes.select("set_id", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(spread.join(shared, "key").select("key", "band", "n", "set_id"), "minhash-members")
+    members = keep(spread.join(shared, "key").select("key", "band", "n", "set_id"), "minhash-members")
     reach = members.groupBy("set_id").agg(F.sum("n").alias("reach"))
-    heads = materialise(members.join(reach, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("reach", "set_id")).alias("a")), "minhash-hubs")
+    heads = keep(members.join(reach, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("reach", "set_id")).alias("a")), "minhash-hubs")
     members = members.drop("n")
     star = members.join(heads, "key").where("set_id != a").select(F.least("set_id", "a").alias("a"), F.greatest("set_id", "a").alias("b")).distinct()
-    star = materialise(agreeing(star, classes, least), "minhash-star")
-    links = materialise(confirmed(star, classes, docs, width, percent), "minhash-links")
-    labels = components(links)
-    hidden = materialise(hidden_pairs(members, heads, labels, classes, docs, width, percent), "minhash-hidden")
+    star = keep(agreeing(star, classes, least), "minhash-star")
+    links = keep(confirmed(star, classes, docs, width, percent, keep), "minhash-links")
+    labels = keep(components(links), "minhash-labels")
+    hidden = keep(hidden_pairs(members, heads, labels, classes, docs, width, percent, keep), "minhash-hidden")
     if not hidden.isEmpty():
-        more = confirmed(hidden, classes, docs, width, percent)
-        labels = components(links.unionByName(materialise(more, "minhash-more")))
+        more = confirmed(hidden, classes, docs, width, percent, keep)
+        labels = keep(components(links.unionByName(keep(more, "minhash-more"))), "minhash-labels")
     named = classes.select("set_id", "first_id").join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.select("set_id", "root").join(least_id, "root").select("set_id", "component_id")
     out = sig.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return keep.result(out, "minhash-result")
