@@ -132,10 +132,10 @@ def pack(docs: DataFrame, length: str = "n_tokens", capacities=CAPACITIES, group
 
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens): ids of each whole text, with an end id."""
-    from quern.llm.tokenfile import encoder
+    from quern.llm.tokenfile import Encoder
 
     def run(batches):
-        enc = encoder(path)
+        enc = Encoder(path, keep=100_000)  # of this task: nothing stays in a worker that is used again
         for b in batches:
             n = [len(enc.encode(t or "")) // 4 + 1 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
