@@ -2,10 +2,10 @@
 
 Features are lower-cased words and word beginnings, chosen on labelled rows by how much more
 often documents of one class hold them; each counts as log(1 + occurrences).  The logistic loss has
-a second penalty: labelled sentences that mention a group are written again with each other term of
-the same kind, and any change of the score's log-odds costs `counterfactual` times its square.
-Sentences without a mention get one at their end, twice, with two terms; so the terms are tied
-together, and to zero effect in neutral text, even where the labelled rows scarcely hold them.
+a second penalty: every sentence of the rows learned from that mentions a group is written again with
+each other term of the same kind, and any change of the score's log-odds costs `counterfactual` times
+its square.  Sentences without a mention get one at their end, twice, with two terms; so the terms are
+tied together, and to zero effect in neutral text, even where the labelled rows scarcely hold them.
 
 Scoring reads whole texts, batch by batch, in numpy.  Defined cases: null and empty texts score
 the intercept; no labelled rows: the score is 0 everywhere; repeated rows are scored alike.
@@ -89,25 +89,65 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
 
 
-def swaps(texts: list[str], terms=IDENTITY_TERMS, most: int = 2000) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in an identity term only; at most `most` sentences are used."""
-    kind_of = {t: k for k, v in terms.items() for t in v}
+def sentences(texts: list[str], step: int, chars: int = 1 << 21):
+    """Every sentence of every text (lines, cut after full stops), `step` at a time or fewer long ones."""
+    held, size = [], 0
+    for text in texts:
+        for line in text.split("\n"):
+            for s in line.split(". "):
+                if s.strip():
+                    held.append(s)
+                    size += len(s)
+                if len(held) >= step or size >= chars:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def swap_gram(texts: list[str], terms=IDENTITY_TERMS, step: int = 2000) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted features of all terms, sum of d d' over all pairs, number of pairs), where d is how the
+    two sentences of a pair differ in these features; they differ in no others.
+
+    A pair is made by a mention and another term of its kind, for every mention of every sentence.
+    A sentence without a mention makes two: with one term and another at its end, and without and
+    with the one.  These terms are drawn in turn, so each of them comes up.  As only counts matter,
+    pairs are not written out: a swap takes the features of one term from a sentence's counts and
+    adds those of the other; memory is that of a batch."""
     kinds = sorted(terms)
-    pairs, step = [], 0
-    for text in texts[:most]:
-        for sentence in text.split("\n")[0].split(". ")[:3]:
-            words = sentence.lower().split()
-            held = [i for i, w in enumerate(words) if w.strip(".,;:!?") in kind_of]
-            if held:
-                for i in held:
-                    own = words[i].strip(".,;:!?")
-                    pairs += [(sentence.lower(), " ".join([*words[:i], other, *words[i + 1 :]])) for other in terms[kind_of[own]] if other != own]
-            elif step % 3 == 0:
-                group = terms[kinds[step // 3 % len(kinds)]]
-                a, b = group[step % len(group)], group[(step + 1) % len(group)]
-                pairs += [(f"{sentence} {a}", f"{sentence} {b}"), (sentence, f"{sentence} {a}")]
-            step += 1
-    return pairs
+    flat = [t for k in kinds for t in terms[k]]
+    size = np.array([len(terms[k]) for k in kinds])
+    start = np.cumsum(size) - size
+    tied = np.unique(features([" ".join(flat)])[1])
+    own = np.zeros((len(flat), len(tied)))
+    r, c, n = counts(flat, tied)
+    own[r, c] = n
+    word = np.searchsorted(tied, [features([t])[1][0] for t in flat])
+    gram, pairs, drawn = np.zeros((len(tied), len(tied))), 0, 0
+    for batch in sentences(texts, step):
+        held = np.zeros((len(batch), len(tied)))
+        r, c, n = counts(batch, tied)
+        held[r, c] = n
+        mentions = held[:, word]
+        for first, most in zip(start, size):
+            for i in range(first, first + most):
+                rows = np.flatnonzero(mentions[:, i])
+                if not len(rows):
+                    continue
+                times = mentions[rows, i]
+                for j in range(first, first + most):
+                    if j != i:
+                        d = np.log1p(held[rows]) - np.log1p(held[rows] - own[i] + own[j])
+                        gram += d.T @ (d * times[:, None])
+                        pairs += int(times.sum())
+        plain = held[~mentions.any(1)]
+        turn = drawn + np.arange(len(plain))
+        kind, at = turn % len(kinds), turn // len(kinds)
+        a, b = (own[start[kind] + (at + more) % size[kind]] for more in (0, 1))
+        for d in (np.log1p(plain + a) - np.log1p(plain + b), np.log1p(plain) - np.log1p(plain + a)):
+            gram += d.T @ d
+        pairs, drawn = pairs + 2 * len(plain), drawn + len(plain)
+    return tied, gram, pairs
 
 
 def _distinct(texts: list[str], step: int = 200):
@@ -150,21 +190,19 @@ def fit(rows: list[tuple[int, str, int]], counterfactual: float = 1.0, l2: float
     vocabulary, at = np.unique(h, return_inverse=True)
     df, pos = np.bincount(at, minlength=len(vocabulary)), np.bincount(at, one.astype(float), len(vocabulary))
     gain = _gain(df, pos, n1, n0)
-    forced = np.unique(features([" ".join(t for v in terms.values() for t in v)])[1])
+    forced, gram, pairs = swap_gram(texts, terms)
     top = np.argsort(-gain, kind="stable")[:FEATURES]
     vocabulary = np.union1d(vocabulary[top[gain[top] > 2.5]], forced)
     x = matrix(texts, vocabulary)
-    pairs = swaps(texts, terms)
-    tied = np.searchsorted(vocabulary, forced)  # sentences of a pair differ in these columns only
-    d = np.concatenate([matrix([p[0] for p in pairs[i : i + 200]], vocabulary)[:, tied] - matrix([p[1] for p in pairs[i : i + 200]], vocabulary)[:, tied] for i in range(0, len(pairs), 200)] or [np.zeros((0, len(tied)), np.float32)])
+    tied = np.searchsorted(vocabulary, forced)
     w, b = np.zeros(len(vocabulary)), float(np.log(n1 / n0))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):  # Adam on the whole batch
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -40, 40)))
         e = (p - y) / len(y)
         g = x.T @ e.astype(np.float32) + l2 / len(y) * w
-        if len(d):
-            g[tied] += counterfactual * 2 / len(d) * (d.T @ (d @ w[tied].astype(np.float32)))
+        if pairs:
+            g[tied] += counterfactual * 2 / pairs * (gram @ w[tied])
         grad = np.concatenate([g, [e.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

@@ -34,6 +34,34 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert (tied.score(toxic) >= 0.5).mean() > 0.9
 
 
+def test_swaps_cover_every_sentence():
+    rng = random.Random(7)
+    terms = {"a": ["muslim", "christian", "jewish"], "b": ["deaf", "blind"]}
+    words = ["muslim", "jewish", "deaf", "musliming", "blindly", *(f"w{chr(97 + i)}" for i in range(20))]
+    texts = ["", "\n \n", *("\n".join(". ".join(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(6)) for _ in range(4)) for _ in range(30))]
+    flat, pairs, drawn = [t for v in terms.values() for t in v], [], 0
+    for s in [s for t in texts for line in t.split("\n") for s in line.split(". ") if s.strip()]:
+        w = s.split()
+        held = [(i, o) for i, x in enumerate(w) for v in terms.values() if x in v for o in v if o != x]
+        pairs += [(s, " ".join([*w[:i], o, *w[i + 1 :]])) for i, o in held]
+        if not held:
+            group = [terms["a"], terms["b"]][drawn % 2]
+            a, b = group[drawn // 2 % len(group)], group[(drawn // 2 + 1) % len(group)]
+            pairs += [(f"{s} {a}", f"{s} {b}"), (s, f"{s} {a}")]
+            drawn += 1
+    tied, gram, n = toxicity.swap_gram(texts, terms, step=17)
+    d = toxicity.matrix([p[0] for p in pairs], tied).astype(float) - toxicity.matrix([p[1] for p in pairs], tied)
+    assert n == len(pairs) > 1000 and np.allclose(gram, d.T @ d, atol=1e-3)
+    assert all(gram[np.searchsorted(tied, toxicity.features([t])[1][0])].any() for t in flat)
+
+
+def test_late_mentions_are_swapped():
+    rows = [(i, f"waa wbb. wcc. wdd. wee\n{t.replace('muslim', 'jewish')}", y) for i, t, y in sentences(1, 0.9)]
+    plain, tied = toxicity.fit(rows, counterfactual=0.0), toxicity.fit(rows, counterfactual=5.0)
+    effect = [m.weight[np.searchsorted(m.vocabulary, toxicity.features(["jewish"])[1])].sum() for m in (plain, tied)]
+    assert effect[0] > 1 and abs(effect[1]) < 0.2 * effect[0]
+
+
 def test_toxicity_defined_cases():
     none = toxicity.fit([])
     assert none.score(["", "x"]).max() < 1e-9 and toxicity.fit([(1, "a", 1)]).score(["z"])[0] > 0.99
