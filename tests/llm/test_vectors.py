@@ -55,6 +55,31 @@ def test_a_larger_factor_visits_fewer_leaves():
     assert visits[0] > visits[1] > visits[2]
 
 
+def pruning_vectors(kind, n=16384, dim=64):
+    rng = np.random.default_rng(5)
+    if kind == "clustered":
+        x = rng.normal(size=(n // 64, 1, dim)) + 0.3 * rng.normal(size=(n // 64, 64, dim))
+        x = x.reshape(-1, dim)
+    else:
+        x = rng.normal(size=(n, 8 if "8" in kind else 4)) @ rng.normal(size=(8 if "8" in kind else 4, dim))
+    if "uneven" in kind:
+        return x
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+@pytest.mark.parametrize("kind", ["clustered", "rank 4", "rank 8", "rank 8, uneven norms"])
+def test_production_factor_keeps_recall_where_leaves_are_pruned(kind):
+    x = pruning_vectors(kind)
+    ids = np.arange(len(x))
+    tree = vptree.build(ids, x)
+    row, found, _ = vptree.search(tree, ids[:200], x[:200])
+    truth = x[:200] @ x.T
+    truth[ids[:200], ids[:200]] = -np.inf
+    best = np.argsort(-truth, 1, kind="stable")[:, :20]
+    assert tree.visits < 200 * len(tree.paths)
+    assert np.mean([len(np.intersect1d(found[row == i], best[i])) / 20 for i in range(200)]) >= 0.98
+
+
 def test_hamming_top_k_is_exact(spark):
     rows, df = table(spark, n=500)
     got = sorted((r[0], r[1], r[2]) for r in mih.top_k(df, every=50, k=10, shard_rows=150).collect())
