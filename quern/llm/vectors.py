@@ -14,13 +14,14 @@ QUERY_BLOCK = 1024
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec): vectors that are not null, not zero, of the most frequent length, and hold finite
-    components only; rows without an id go too, and repeated rows count once."""
+    components only; rows without an id go too, and repeated rows count once.  Each id has one vector:
+    where usable ones differ, the smallest in order of components."""
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     df = df.where(F.col(id_col).isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
     df = df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec"))
-    size = df.agg(F.mode(F.size("vec"), True).alias("n")).first()["n"]
-    return df.where(F.size("vec") == F.lit(size or 0))
+    size = df.select("id", F.size("vec").alias("n")).distinct().agg(F.mode("n", True).alias("n")).first()["n"]
+    return df.where(F.size("vec") == F.lit(size or 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def shard_search(data: DataFrame, is_query: Column, build: Callable, search: Callable, k: int, ascending: bool, shard_rows: int) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quern.llm import mih, vptree
+from quern.llm import mih, vectors, vptree
 
 
 def table(spark, n=700, dim=64, seed=0, hot=120):
@@ -106,3 +106,14 @@ def test_few_or_no_vectors(spark):
     assert vptree.nearest(df.where("vec_id in (0, 1)")).count() == 1
     assert vptree.nearest(df.where("false")).count() == 0 and mih.top_k(df.where("false")).count() == 0
     assert mih.top_k(df.where("vec_id in (0, 5, 7)")).count() == 2
+
+
+def test_repeated_rows_count_once(spark):
+    rows, df = table(spark, n=300, hot=5)
+    larger = [(i, [v[0] + 1.0, *v[1:]], 1) for i, v, _ in rows if i in (0, 7)]
+    again = df.unionByName(df.where("vec_id in (0, 3, 100)")).unionByName(df.where("vec_id in (0, 3)")).unionByName(spark.createDataFrame(larger, df.schema))
+    for search in (lambda t: vptree.nearest(t, every=50, k=20, factor=1.0, shard_rows=100), lambda t: mih.top_k(t, every=50, k=10, shard_rows=100)):
+        want, got = (sorted(tuple(r)[:3] for r in search(t).collect()) for t in (df, again))
+        assert got == want
+    wide = spark.createDataFrame([(i, [1.0] * 65, 1) for i in range(200)] * 2, df.schema)  # more rows, fewer ids
+    assert vectors.usable(again.unionByName(wide), "vec_id", "embedding").count() == 300
