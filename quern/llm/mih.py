@@ -1,13 +1,14 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (Norouzi et al., 2012).
 
-A code of 64 bits is cut into segments with an index each.  If two codes are within r*m + a bits of
+A code is cut into segments with an index each.  If two codes are within r*m + a bits of
 each other (m segments), some segment s <= a differs in at most r bits or some later one in at
 most r - 1.  So segments are probed in turn at radius 0, then 1, ...; after segment a at radius r
 everything within r*m + a is known, and a query is done when its k-th verified distance is no more
 than that.  The result is exact, ties included (smaller id first).
 
-Codes are the signs of a vector's components (positive: 1), the first 64 of them.  Equal codes of
-a shard are indexed once, with their ids in order.  Defined cases as in vptree.
+Codes are the signs of all of a vector's components (positive: 1), held as words of 64 bits; a segment
+lies in one word.  Equal codes of a shard are indexed once, with their ids in order.  Defined cases as
+in vptree.
 """
 
 from __future__ import annotations
@@ -26,18 +27,26 @@ SHARD_ROWS = 16384
 
 
 def codes(matrix: np.ndarray) -> np.ndarray:
-    """Unsigned 64-bit codes; the first component is the highest bit."""
+    """Unsigned 64-bit codes of at most 64 components; the first is the highest bit."""
+    n = matrix.shape[1]
+    if n > BITS:
+        raise ValueError(f"{n} components do not fit a code of {BITS} bits")
     bits = np.zeros((len(matrix), BITS), np.uint8)
-    n = min(BITS, matrix.shape[1])
-    bits[:, :n] = matrix[:, :n] > 0
+    bits[:, :n] = matrix > 0
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def words(matrix: np.ndarray) -> np.ndarray:
+    """A row of codes for each vector, one for every 64 components."""
+    return np.stack([codes(matrix[:, a : a + BITS]) for a in range(0, matrix.shape[1], BITS)], 1)
+
+
 @dataclass
 class Index:
-    code: np.ndarray  # distinct codes
+    code: np.ndarray  # distinct codes, by word
     ids: np.ndarray
     ends: np.ndarray
+    at_word: list[int]
     shifts: list[int]
     widths: list[int]
     order: list[np.ndarray]  # rows by segment value
@@ -45,19 +54,19 @@ class Index:
 
 
 def build(ids: np.ndarray, matrix: np.ndarray, segments: int | None = None) -> Index:
-    every = codes(matrix)
-    code, inverse = np.unique(every, return_inverse=True)
+    code, inverse = np.unique(words(matrix), axis=0, return_inverse=True)
+    inverse = inverse.ravel()
     by = np.lexsort((ids, inverse))
     ends = np.searchsorted(inverse[by], np.arange(len(code) + 1))
     m = segments or max(4, round(BITS / max(4.0, np.log2(max(2, len(code))))))
     edges = [BITS * j // m for j in range(m + 1)]
-    shifts, widths, order, start = [], [], [], []
-    for a, b in zip(edges[:-1], edges[1:]):
-        part = (code >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+    at_word, shifts, widths, order, start = [], [], [], [], []
+    for w, a, b in [(w, a, b) for w in range(code.shape[1]) for a, b in zip(edges[:-1], edges[1:])]:
+        part = (code[:, w] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
         o = np.argsort(part, kind="stable")
-        shifts.append(a), widths.append(b - a), order.append(o)
+        at_word.append(w), shifts.append(a), widths.append(b - a), order.append(o)
         start.append(np.searchsorted(part[o], np.arange((1 << (b - a)) + 1)))
-    return Index(code, ids[by], ends, shifts, widths, order, start)
+    return Index(code, ids[by], ends, at_word, shifts, widths, order, start)
 
 
 def masks(width: int, radius: int) -> np.ndarray:
@@ -66,11 +75,11 @@ def masks(width: int, radius: int) -> np.ndarray:
 
 def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10):
     """(query row, id, distance) of the k nearest ids for each query."""
-    own = codes(queries)
-    n, m, want = len(own), len(index.shifts), k + 1
+    own = words(queries)
+    n, m, want, far = len(own), len(index.shifts), k + 1, 1 << 30
     total_ids = int(index.ends[-1])
     # (distance, first id, row) of the nearest distinct codes so far, best first
-    dist = np.full((n, want), 255, np.int64)
+    dist = np.full((n, want), far, np.int64)
     rows = np.full((n, want), -1, np.int64)
     live = np.arange(n)
     head = index.ids[index.ends[:-1]]
@@ -80,7 +89,7 @@ def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10
             if not len(live):
                 break
             if radius <= index.widths[j]:
-                part = ((own[live] >> np.uint64(index.shifts[j])) & np.uint64((1 << index.widths[j]) - 1)).astype(np.int64)
+                part = ((own[live, index.at_word[j]] >> np.uint64(index.shifts[j])) & np.uint64((1 << index.widths[j]) - 1)).astype(np.int64)
                 for at in range(0, len(live), max(1, 200_000 // max(1, len(masks(index.widths[j], radius))))):
                     step = max(1, 200_000 // max(1, len(masks(index.widths[j], radius))))
                     who = live[at : at + step]
@@ -92,7 +101,7 @@ def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10
                         continue
                     found = index.order[j][np.repeat(a - (total - count), count) + np.arange(int(total[-1]))]
                     q = np.repeat(np.repeat(who, len(probe) // len(who)), count)
-                    d = np.bitwise_count(own[q] ^ index.code[found]).astype(np.int64)
+                    d = np.bitwise_count(own[q] ^ index.code[found]).sum(1, dtype=np.int64)
                     on = d <= dist[q, -1]
                     q, found, d = q[on], found[on], d[on]
                     touched = np.unique(q)
@@ -110,7 +119,7 @@ def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10
             # the k-th verified distance, counting every id of a code (own id perhaps among them)
             ids_so_far = np.where(rows[live] >= 0, size[rows[live]], 0).cumsum(1)
             enough = ids_so_far >= min(want, total_ids)
-            kth = np.where(enough.any(1), dist[live, np.argmax(enough, 1)], 255)
+            kth = np.where(enough.any(1), dist[live, np.argmax(enough, 1)], far)
             live = live[kth > radius * m + j]
     q, at = np.nonzero(rows >= 0)
     code_row = rows[q, at]

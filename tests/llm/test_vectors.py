@@ -117,3 +117,16 @@ def test_repeated_rows_count_once(spark):
         assert got == want
     wide = spark.createDataFrame([(i, [1.0] * 65, 1) for i in range(200)] * 2, df.schema)  # more rows, fewer ids
     assert vectors.usable(again.unionByName(wide), "vec_id", "embedding").count() == 300
+
+
+@pytest.mark.parametrize("dim", [65, 100, 200])
+def test_codes_hold_every_component(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(300, dim))
+    x[:150, :64] = np.abs(x[:150, :64])  # alike but for what comes after 64 components
+    ids = rng.permutation(300) + 7
+    q, found, d = mih.search(mih.build(ids, x), ids[:40], x[:40], 10)
+    for i in range(40):
+        dist = ((x[i] > 0) != (x > 0)).sum(1)
+        order = [j for j in np.lexsort((ids, dist)) if j != i][:10]
+        assert list(zip(found[q == i], d[q == i])) == [(ids[j], dist[j]) for j in order]
