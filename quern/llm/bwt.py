@@ -5,29 +5,37 @@ smaller doc_id.  The work is cut by content, so that equal strings always meet:
 
 1. Every `size`-byte window takes as its key the least hash of the `gram`-byte strings in it; equal
    windows have equal keys, and neighbouring windows mostly share one, so windows form runs.  A
-   grouped pass over packed keys finds the keys that occur in more than one document.
-2. Runs with such keys become snippets, dealt by key to buckets.  Before that, equal snippets of
-   a block of documents become one with all their places, so copies cost places, not texts.
-   Keys with more than HOT places are dealt window by window instead, by the window's own hash.
+   grouped pass over packed keys finds those that occur in more than one document, and tells each
+   block of documents which of its keys these are.
+2. Runs with such keys become snippets, dealt by key to buckets.  Equal snippets of a block go there
+   once, with the block's smallest doc_id: a place in a larger document is covered by that one, so
+   its span is settled on the spot.  A passage that stands in every document thus costs a bucket one
+   place a block.  Keys with more than HOT entries are dealt window by window instead, by the
+   window's own hash; this spreads the work and changes no result.
 3. In a bucket the snippets, each once, lie in shards.  Each shard gets its Burrows-Wheeler
    transform (its suffixes in order of their first `size` bytes, and the two bytes before each).
    The transforms are merged by iterative interleave refinement (Holt and McMillan, 2014): the
    interleave in order of h bytes is dealt stably by the bytes before each suffix, which gives the
-   interleave of h + 2 bytes; no suffix is compared or sorted again.  Where a boundary between
-   blocks first appears gives the common prefix there; blocks that are left after `size` bytes are
-   the repeated intervals.  The smallest doc_id of each goes back to all places of its windows.
+   interleave of h + 2 bytes; no suffix is compared or sorted again.  The round in which a boundary
+   between neighbours first appears gives their common prefix; maximal runs whose common prefixes reach
+   `size` bytes are the repeated intervals.  The smallest doc_id of each goes back to all places of
+   its windows.  A snippet that is its key's only one has no other to be merged with.
 4. Spans go back to the documents, where they are united and cut out.
 
-Buckets and blocks grow in number with spark.sql.shuffle.partitions; a bucket is worked off in parts
-of PART bytes, cut between keys, so memory stays bounded.  All tables between the stages are
-written in the shared folder; nothing but counts reaches the driver.
+Snippets are equal if all their bytes are; hashes only bring them together.  Blocks and buckets hold
+some BLOCK bytes of text each, counted first, whatever the size of the input; a bucket is worked off in
+parts of PART bytes, cut between keys, so memory stays bounded.  Texts travel to their block as
+compressed record batches.  All tables between the stages are written in the shared folder; nothing
+but counts reaches the driver.
 
 Defined cases: null and empty texts have no bytes and lose none; matches never cross documents;
-rows with equal doc_id take nothing from one another; a null doc_id counts as larger than any.
+rows with equal doc_id take nothing from one another; a null doc_id counts as larger than any;
+columns to keep may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +43,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, discard, materialise, mix, prefix_hash, slices, span_hash, text_buffer
+from quern.llm.common import U64, discard, lean, materialise, mix, slices, span_hash, text_buffer, words_at
 
 SIZE, GRAM = 50, 24
 HOT = 50_000
+BLOCK = 8 << 20
 PART, SHARD = 4 << 20, 1 << 17
-SLICE = 2 << 20
+SLICE = 1 << 19
+#: Bytes of text whose keys, or bytes of snippets, that are put together before they are handed on.
+FLUSH = 16 << 20
 END = 0xFF  # not a byte of UTF-8
 LAST = np.iinfo(np.int64).max
 
@@ -71,33 +82,37 @@ def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     return order, (two.astype(np.uint16) << 8) | one
 
 
-def interleave(before: list[np.ndarray], depth: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Merge shard transforms; returns (place, block): for each suffix, shard after shard in shard
-    order, its place in the merged order and the number of its block of equal `depth`-byte prefixes.
-
-    `common`, if given, gets at each place the bytes (an even number) shared with the place before."""
+def interleave(before: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge shard transforms; returns (place, common): for each suffix, shard after shard in shard
+    order, its place in the merged order, and at each place the bytes (an even number, `depth` or
+    more if no boundary was found) that its suffix shares with the one before."""
     bwt = np.concatenate(before)
     shard = np.repeat(np.arange(len(before), dtype=np.uint8), [len(b) for b in before])
     block = np.zeros(len(bwt), np.int32)
+    common = np.full(len(bwt), depth, np.uint8)
+    c = np.empty(len(bwt), np.uint16)
+    place = np.arange(len(bwt))
     blocks = 1
     for h in range(0, depth, 2):
-        c = np.empty(len(bwt), np.uint16)
-        c[np.argsort(shard, kind="stable")] = bwt  # the j-th suffix of a shard, in its own order
+        c[place] = bwt  # the j-th suffix of a shard, in its own order
         order = np.argsort(c, kind="stable")
-        shard, c, block = shard[order], c[order], block[order]
-        new = np.concatenate([[False], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
-        block = np.cumsum(new, dtype=np.int32)
-        if common is not None:
-            common[new & (common < 0)] = h
+        shard, now, block = shard[order], c[order], block[order]
+        place = np.argsort(shard, kind="stable")
+        new = (now[1:] != now[:-1]) | (block[1:] != block[:-1])
+        block[0] = 0
+        np.cumsum(new, out=block[1:])
+        np.minimum(common[1:], np.where(new, np.uint8(h), np.uint8(depth)), out=common[1:])
         if block[-1] + 1 == blocks:  # no block was split: none will be
             break
         blocks = int(block[-1]) + 1
-    place = np.argsort(shard, kind="stable")
-    return place, block
+    if len(common):
+        common[0] = 0
+    return place, common
 
 
 def repeats(text: np.ndarray, starts: np.ndarray, size: int = SIZE, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
-    """(position, block) of the windows of snippets: block is equal for equal windows.
+    """(position, interval) of the windows of snippets, in merged order: interval is equal for equal
+    windows.
 
     text: snippets, each followed by END; starts: where each snippet begins."""
     n = len(starts)
@@ -109,50 +124,63 @@ def repeats(text: np.ndarray, starts: np.ndarray, size: int = SIZE, shard: int =
         o, p = shard_transform(text[starts[a] : ends[b - 1]], size)
         order.append(o + starts[a])
         before.append(p)
-    place, block = interleave(before, size)
-    position = np.concatenate(order)
+    place, common = interleave(before, size)
+    position = np.empty(len(text), np.int64)
+    position[place] = np.concatenate(order)
+    interval = np.cumsum(common < size)
     room = np.zeros(len(text) + 1, np.int64)
     room[starts] += 1
     room[np.maximum(ends - size, starts)] -= 1  # a window needs `size` bytes before END
     valid = np.cumsum(room[:-1]) > 0
     keep = valid[position]
-    return position[keep], block[place[keep]]
+    return position[keep], interval[keep]
+
+
 
 
 # ---------------------------------------------------------------- runs of windows
 
 
+def gram_hash(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes from each place on."""
+    word, m = words_at(data), len(data) - gram + 1
+    out = np.zeros(m, U64)
+    for j in range(0, gram, 8):
+        part = word[j : j + m] if gram - j >= 8 else word[j : j + m] & U64((1 << 8 * (gram - j)) - 1)
+        out ^= out >> U64(29)
+        out += part
+        out *= U64(0x9E3779B97F4A7C15)
+    out ^= out >> U64(32)
+    return out
+
+
 def window_runs(data: np.ndarray, off: np.ndarray, size: int = SIZE, gram: int = GRAM):
-    """(key, document, first, last, prefix hash): maximal runs of window starts with one key."""
+    """(key, document, first, last): maximal runs of window starts with one key."""
     empty = np.zeros(0, np.int64)
-    h = prefix_hash(data)
     if len(data) < size:
-        return empty.astype(U64), empty, empty, empty, h
-    at = np.arange(len(data) - gram + 1)
-    low = span_hash(h, at, at + gram)
+        return empty.astype(U64), empty, empty, empty
+    low = gram_hash(data, gram)
     width, have = size - gram + 1, 1
     while have * 2 <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    doc = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-    fits = np.flatnonzero(doc[: len(low)] == doc[size - 1 :])
-    if not len(fits):
-        return empty.astype(U64), empty, empty, empty, h
-    low, doc = low[fits], doc[fits]
-    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.concatenate([first[1:], [len(fits)]]) - 1
-    return mix(low[first]), doc[first].astype(np.int64), fits[first], fits[last], h
-
+    fits = np.ones(len(low) + 1, bool)  # windows that end in the document they begin in
+    across = (off[1:, None] - np.arange(1, size)).ravel()
+    fits[across[(across >= 0) & (across < len(low))]] = False
+    fits[-1] = False
+    same = np.zeros(len(low) + 1, bool)  # as the window before
+    same[1:-1] = (low[1:] == low[:-1]) & fits[:-2]
+    first = np.flatnonzero(fits & ~same)
+    last = np.flatnonzero(fits[:-1] & ~(same[1:] & fits[1:]))
+    return mix(low[first]), np.searchsorted(off, first, "right") - 1, first, last
 
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Ascending with the key."""
-    return ((key >> U64(32)) * U64(buckets)) >> U64(32)
 
-
-def short_of(key: np.ndarray) -> np.ndarray:
-    return (key & U64(0xFFFFFFFF)).astype(np.uint32)
+def dealt(key: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket * 2^32 + a number below 2^32; ascends with the key."""
+    n = U64(buckets)
+    return (key >> U64(32)) * n + (((key & U64(0xFFFFFFFF)) * n) >> U64(32))
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -161,83 +189,143 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+def groups(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    if not len(values):
+        return []
+    cut = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cut[:-1], cut[1:]))
+
+
+def alike(key: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): snippets by key and content; new marks the first of each kind of equal ones.
+    Hashes bring equal snippets together; those that stand together are compared byte by byte."""
+    content = span_hash(text, start, start + length)
+    order = np.lexsort((content, key))
+    k, c, s, n = key[order], content[order], start[order], length[order]
+    same = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1])])
+    rows = np.flatnonzero(same)
+    step = max(1, (1 << 20) // max(1, int(length.max()))) if len(rows) else 1
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        differs = text[ranges(s[r], n[r])] != text[ranges(s[r - 1], n[r])]
+        if differs.any():
+            same[r[np.maximum.reduceat(differs, np.cumsum(n[r]) - n[r])]] = False
+    return order, ~same
+
 
+@functools.lru_cache(1)
+def _codec():
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-def _unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+def _pack(a: np.ndarray, climbs: bool = False) -> bytes:
+    """An array's bytes, all first ones, all second ones, ..., compressed; the steps of one that climbs."""
+    if climbs:
+        a = np.diff(a, prepend=a.dtype.type(0))
+    a = np.ascontiguousarray(a)
+    return _codec()[0].compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _unpack(raw: bytes, kind, climbs: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    a = np.frombuffer(_codec()[1].decompress(raw), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if climbs else a
 
 
 # ---------------------------------------------------------------- the stages
 
 
-def _keys(texts: DataFrame, buckets: int, size: int, gram: int) -> DataFrame:
-    """Packed (key, document) pairs of the texts, by bucket."""
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+def _packed(base: DataFrame, n: int) -> DataFrame:
+    """(block, pack): the rows of base (rid, doc_id, text, ...), those of a block together, as compressed
+    record batches; and the schema of these."""
+    schema = base.limit(0).toArrow().schema
 
     def run(batches):
-        held, rids, volume = [], [], 0
+        for b in slices(batches, "text", FLUSH // 2):
+            if b.schema != schema:
+                b = b.cast(schema)
+            block = np.mod(b.column(0).to_numpy(), n)
+            order = np.argsort(block, kind="stable")
+            for a, z in groups(block[order]):
+                some = b.take(pa.array(order[a:z]))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[order[a]])], pa.int32()), "pack": [_codec()[0].compress(some.serialize())]})
+
+    return base.mapInArrow(lean(run), "block int, pack binary"), schema
+
+
+def _opened(pack: bytes, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(_codec()[1].decompress(pack)), schema)
+
+
+def _keys(base: DataFrame, n: int, size: int, gram: int) -> DataFrame:
+    """Packed (key, block) pairs of the texts, by bucket: one for each document that has the key, two at
+    most for a block."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("blocks", pa.binary())])
+
+    def run(batches):
+        held, blocks, rows, volume = [], [], 0, 0
 
         def flush():
             key, doc = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key, kind="stable")  # documents of a key ascend
             key, doc = key[order], doc[order]
-            own = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
-            key, doc = key[own], doc[own]
-            bucket = bucket_of(key, buckets)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, int)
-            rid = np.concatenate(rids)
-            out: dict[str, list] = {"bucket": [], "keys": [], "docs": [], "rids": []}
-            for a, b in zip(cut, [*cut[1:], len(key)]):
-                some, idx = np.unique(doc[a:b], return_inverse=True)
-                out["bucket"].append(int(bucket[a]))
-                out["keys"].append(short_of(key[a:b]).tobytes())
-                out["docs"].append(idx.astype(np.uint16 if len(some) < 65536 else np.uint32).tobytes())
-                out["rids"].append(rid[some].tobytes())
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("rids", pa.binary())]))
+            own = np.ones(len(key), bool)
+            own[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, block = key[own], np.concatenate(blocks)[doc[own]]
+            crowd = np.zeros(len(key), bool)  # keys with more than two documents
+            for d in (0, 1, 2):
+                crowd[d : len(key) - 2 + d] |= key[2:] == key[:-2]
+            idx = np.flatnonzero(crowd)
+            idx = idx[np.lexsort((block[idx], key[idx]))]
+            k, b = key[idx], block[idx]
+            keep = np.ones(len(key), bool)
+            keep[idx[2:][(k[2:] == k[:-2]) & (b[2:] == b[:-2])]] = False
+            key, block = key[keep], block[keep]
+            return _batch(schema, [(int(key[a] >> U64(32)), _pack((key[a:z]).astype(np.uint32), True), _pack(block[a:z])) for a, z in groups(key >> U64(32))])
 
         for b in slices(batches, "text", SLICE):
             data, off = text_buffer(b.column(1))
-            key, doc, _, _, _ = window_runs(data, off, size, gram)
-            held.append((key, doc + sum(map(len, rids))))
-            rids.append(b.column(0).to_numpy())
+            key, doc, _, _ = window_runs(data, off, size, gram)
+            held.append((dealt(key, n), doc + rows))
+            blocks.append(np.mod(b.column(0).to_numpy(), n).astype(np.uint8 if n <= 256 else np.uint32))
+            rows += b.num_rows
             volume += len(data)
-            if volume >= 16 * SLICE:
+            if volume >= FLUSH:
                 yield flush()
-                held, rids, volume = [], [], 0
+                held, blocks, rows, volume = [], [], 0, 0
         if held:
             yield flush()
 
-    return texts.select("rid", "text").mapInArrow(run, "bucket int, keys binary, docs binary, rids binary")
+    return base.select("rid", "text").mapInArrow(lean(run), "bucket int, keys binary, blocks binary")
 
 
-def _shared(keys: DataFrame, buckets: int, blocks: int, hot: int) -> DataFrame:
-    """For each block of documents: the keys of its documents that other documents have too."""
+def _shared(keys: DataFrame, n: int, hot: int) -> DataFrame:
+    """For each block: which of its keys more than one document has."""
+    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 
     def run(batches):
         held: list = []
 
         def flush(bucket):
-            key = np.concatenate([np.frombuffer(x[0], np.uint32) for x in held])
-            rid = np.concatenate([np.frombuffer(x[2], np.int64)[np.frombuffer(x[1], np.uint16 if len(x[2]) // 8 < 65536 else np.uint32)] for x in held])
+            key = np.concatenate([_unpack(x[0], np.uint32, True) for x in held])
+            block = np.concatenate([_unpack(x[1], np.uint8 if n <= 256 else np.uint32) for x in held])
             order = np.argsort(key, kind="stable")
-            key, rid = key[order], rid[order]
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.concatenate([new, [len(key)]]))
-            count[np.minimum.reduceat(rid, new) == np.maximum.reduceat(rid, new)] = 1
-            each = np.repeat(count, np.diff(np.concatenate([new, [len(key)]])))
+            key, block = key[order], block[order]
+            count = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+            each = np.repeat(count, count)
             on = each > 1
-            key, rid, is_hot = key[on], rid[on], (each[on] > hot).astype(np.uint8)
-            block = np.mod(rid, blocks)
-            order = np.lexsort((rid, block))
-            key, rid, is_hot, block = key[order], rid[order], is_hot[order], block[order]
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(key) else np.zeros(0, int)
-            out: dict[str, list] = {"block": [], "bucket": [], "rids": [], "counts": [], "keys": [], "hot": []}
-            for a, b in zip(cut, [*cut[1:], len(key)]):
-                some, n = np.unique(rid[a:b], return_counts=True)
-                for name, v in (("block", int(block[a])), ("bucket", bucket), ("rids", some.tobytes()), ("counts", n.astype(np.int32).tobytes()), ("keys", key[a:b].tobytes()), ("hot", is_hot[a:b].tobytes() if is_hot[a:b].any() else b"")):
-                    out[name].append(v)
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("hot", pa.binary())]))
+            key, block, each = key[on], block[on], each[on]
+            order = np.lexsort((key, block))
+            key, block, each = key[order], block[order], each[order]
+            own = np.ones(len(key), bool)
+            own[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+            key, block, very = key[own], block[own], each[own] > hot
+            return _batch(schema, [(int(block[a]), bucket, _pack(key[a:z], True), np.packbits(very[a:z]).tobytes() if very[a:z].any() else None) for a, z in groups(block)])
 
         now = None
         for b in batches:
@@ -250,95 +338,113 @@ def _shared(keys: DataFrame, buckets: int, blocks: int, hot: int) -> DataFrame:
         if held:
             yield flush(now)
 
-    return keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block int, bucket int, rids binary, counts binary, keys binary, hot binary")
+    return keys.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "block int, bucket int, keys binary, hot binary")
+
+
+def _met(replies: DataFrame, packs: DataFrame, n: int) -> DataFrame:
+    """Each block's replies (kind 0), then its packs of documents (kind 1)."""
+    types = {f.name: f.dataType for f in replies.schema if f.name != "block"}
+    left = replies.select("block", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("pack"), *types)
+    right = packs.select("block", F.lit(1).alias("kind"), "pack", *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
+    return left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "kind")
 
 
-def _snippets(texts: DataFrame, shared: DataFrame, buckets: int, blocks: int, size: int, gram: int) -> DataFrame:
-    """Snippets with shared keys by bucket: their texts once a block, and all their places."""
-    none = {"rid": "long", "doc_id": "long", "text": "binary", "bucket": "int", "rids": "binary", "counts": "binary", "keys": "binary", "hot": "binary"}
-    left = shared.select("block", F.lit(0).alias("kind"), *[F.col(c) if c in shared.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    right = texts.select("block", F.lit(1).alias("kind"), *[F.col("text").cast("binary") if c == "text" else F.col(c) if c in texts.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("snip", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("rids", pa.binary()), ("doc_ids", pa.binary())])
+PLACES = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("keys", "sizes", "text", "snip", "doc", "doc_ids", "rids", "at")]])
+SPANS = pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in ("doc_ids", "rids", "firsts", "ends")]])
+SPANS_TYPE = "block int, doc_ids binary, rids binary, firsts binary, ends binary"
 
-    def flush(held, rids, doc_ids):
-        key, doc, at, length, content, text = (np.concatenate([x[i] for x in held]) for i in range(6))
+
+def _span_rows(block, doc_id, rid, first, end) -> list[tuple]:
+    """Rows of SPANS, after uniting what overlaps in a document so far as is known here."""
+    order = np.lexsort((first, rid, doc_id, block))
+    block, doc_id, rid, first, end = (x[order] for x in (block, doc_id, rid, first, end))
+    if len(rid):
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (doc_id[1:] != doc_id[:-1]) | (rid[1:] != rid[:-1]) | (first[1:] > end[:-1])])
+        lead = np.flatnonzero(new)
+        block, doc_id, rid, first, end = block[lead], doc_id[lead], rid[lead], first[lead], np.maximum.reduceat(end, lead)
+    return [(int(block[a]), _pack(doc_id[a:z], True), _pack(rid[a:z]), _pack(first[a:z].astype(np.int32)), _pack(end[a:z].astype(np.int32))) for a, z in groups(block)]
+
+
+def _snippets(met: DataFrame, schema: pa.Schema, n: int, size: int, gram: int) -> DataFrame:
+    """Snippets with shared keys, by bucket: each kind once for a flush of a block, with its places of
+    the smallest doc_id; and, without keys, the spans that are covered by these."""
+
+    def flush(block, held, doc_ids, rids):
+        key, doc, at, length, text = (np.concatenate([x[i] for x in held]) for i in range(5))
         start = np.cumsum(length) - length
-        order = np.lexsort((content, key))
-        key, doc, at, length, content, start = (x[order] for x in (key, doc, at, length, content, start))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (length[1:] != length[:-1])])
+        order, new = alike(key, start, length, text)
+        key, doc, at, length, start = (x[order] for x in (key, doc, at, length, start))
+        lead = np.flatnonzero(new)
         snip = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        bucket = bucket_of(key, buckets)
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rid, did = np.array(rids, np.int64), np.array(doc_ids, np.int64)
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for a, b in zip(cut, [*cut[1:], len(key)]):
-            f = first[np.searchsorted(first, a) : np.searchsorted(first, b)]
-            some, idx = np.unique(doc[a:b], return_inverse=True)
-            for name, v in (
-                ("bucket", int(bucket[a])), ("keys", key[f].tobytes()), ("sizes", length[f].astype(np.int32).tobytes()), ("text", _pack(text[ranges(start[f], length[f])])),
-                ("snip", _pack((snip[a:b] - snip[a]).astype(np.int32))), ("doc", _pack(idx.astype(np.int32))), ("at", _pack(at[a:b].astype(np.int32))), ("rids", rid[some].tobytes()), ("doc_ids", did[some].tobytes()),
-            ):
-                out[name].append(v)
-        return pa.RecordBatch.from_pydict(out, schema=schema)
+        doc_id, rid = np.concatenate(doc_ids), np.concatenate(rids)
+        least = np.minimum.reduceat(doc_id[doc], lead)
+        later = doc_id[doc] > least[snip]
+        out = []
+        for row in _span_rows(np.full(np.count_nonzero(later), block), doc_id[doc[later]], rid[doc[later]], at[later], (at + length)[later]):
+            out.append((block % n, block, None, row[4], None, None, None, row[1], row[2], row[3]))
+        key, doc, at, snip = key[~later], doc[~later], at[~later], snip[~later]
+        for a, z in groups(key >> U64(32)):
+            kinds, own = np.unique(snip[a:z], return_inverse=True)
+            lie, size_of = start[lead[kinds]], length[lead[kinds]]
+            some, idx = np.unique(doc[a:z], return_inverse=True)
+            by = np.argsort(doc_id[some], kind="stable")
+            idx = np.argsort(by)[idx]
+            some = some[by]
+            out.append((
+                int(key[a] >> U64(32)), block, _pack(key[a:z][np.flatnonzero(np.diff(own, prepend=-1))], True), _pack(size_of.astype(np.int32)), _codec()[0].compress(text[ranges(lie, size_of)].tobytes()),
+                _pack(own.astype(np.int32), True), _pack(idx.astype(np.int32)), _pack(doc_id[some], True), _pack(rid[some]), _pack(at[a:z].astype(np.int32)),
+            ))
+        return _batch(PLACES, out)
 
     def run(batches):
         now, replies, table = None, [], None
-        held, rids, doc_ids, volume = [], [], [], 0
-        for b in slices(batches, "text", SLICE):
-            block, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), [True]]))
-            for x, y in zip(cut[:-1], cut[1:]):
-                part = b.slice(x, y - x)
-                if block[x] != now:
+        held, doc_ids, rids, rows, volume, seen = [], [], [], 0, 0, set()
+        for b in batches:
+            for block, kind, pack, bucket, keys, hot in zip(*[c.to_pylist() for c in b.columns]):
+                if block != now:
                     if held:
-                        yield flush(held, rids, doc_ids)
-                    now, replies, table = int(block[x]), [], None
-                    held, rids, doc_ids, volume = [], [], [], 0
-                if kind[x] == 0:
-                    replies += zip(*[part.column(i).to_pylist() for i in range(5, 10)])
+                        yield flush(now, held, doc_ids, rids)
+                    now, replies, table = block, [], None
+                    held, doc_ids, rids, rows, volume, seen = [], [], [], 0, 0, set()
+                if kind == 0:
+                    replies.append((bucket, keys, hot))
                     continue
                 if table is None:
-                    rid = [np.repeat(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int32)) for r in replies]
-                    key = [(np.frombuffer(r[3], np.uint32).astype(U64)) | U64(r[0] << 32) for r in replies]
-                    hot = [np.frombuffer(r[4], np.uint8) if r[4] else np.zeros(len(k), np.uint8) for r, k in zip(replies, key)]
-                    rid, key, hot = (np.concatenate(v) if v else np.zeros(0, d) for v, d in ((rid, np.int64), (key, U64), (hot, np.uint8)))
-                    order = np.lexsort((key, rid))
-                    table, replies = (rid[order], key[order], hot[order]), []
-                if not len(table[0]):
+                    replies.sort(key=lambda r: r[0])
+                    own = [_unpack(r[1], np.uint32, True) for r in replies]
+                    table = np.concatenate([k.astype(U64) | U64(r[0] << 32) for r, k in zip(replies, own)] or [np.zeros(0, U64)])
+                    very = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8))[: len(k)] if r[2] else np.zeros(len(k), np.uint8) for r, k in zip(replies, own)] or [np.zeros(0, np.uint8)])
+                    replies = []
+                if not len(table):
                     continue
-                own = part.column(2).to_numpy()
-                data, off = text_buffer(part.column(4))
-                key, doc, lo, hi, h = window_runs(data, off, size, gram)
-                short = (bucket_of(key, buckets) << U64(32)) | short_of(key).astype(U64)
-                a, z = np.searchsorted(table[0], own, "left"), np.searchsorted(table[0], own, "right")
-                edge = np.searchsorted(doc, np.arange(len(own) + 1))
-                hit = np.full(len(key), -1)
-                for i in np.flatnonzero(z > a).tolist():
-                    t = table[1][a[i] : z[i]]
-                    q = short[edge[i] : edge[i + 1]]
-                    p = np.minimum(np.searchsorted(t, q), len(t) - 1)
-                    hit[edge[i] : edge[i + 1]] = np.where(t[p] == q, p + a[i], -1)
-                on = hit >= 0
-                key, doc, lo, hi, very = key[on], doc[on], lo[on], hi[on], table[2][hit[on]] > 0
-                if very.any():  # window by window, under a key of its own
-                    n = (hi - lo + 1)[very]
-                    w, wd = ranges(lo[very], n), np.repeat(doc[very], n)
-                    key = np.concatenate([key[~very], mix(span_hash(h, w, w + size) ^ U64(0x5851F42D4C957F2D))])
-                    doc, lo, hi = np.concatenate([doc[~very], wd]), np.concatenate([lo[~very], w]), np.concatenate([hi[~very], w])
-                if len(key):
-                    length = hi - lo + size
-                    held.append((key, doc + len(rids), lo - off[doc], length, span_hash(h, lo, lo + length), data[ranges(lo, length)]))
-                    rids += own.tolist()
-                    doc_ids += [LAST if d is None else d for d in part.column(3).to_pylist()]
-                    volume += int(length.sum())
-                if volume >= 16 * SLICE:
-                    yield flush(held, rids, doc_ids)
-                    held, rids, doc_ids, volume = [], [], [], 0
+                whole = _opened(pack, schema)
+                once = [i for i, r in enumerate(whole.column(0).to_pylist()) if r not in seen and not seen.add(r)]  # a repeated row has the spans of the first
+                for part in slices([whole.take(pa.array(once, pa.int64()))], "text", SLICE):
+                    data, off = text_buffer(part.column(2))
+                    key, doc, lo, hi = window_runs(data, off, size, gram)
+                    key = dealt(key, n)
+                    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                    on = table[at] == key
+                    key, doc, lo, hi, many = key[on], doc[on], lo[on], hi[on], very[at[on]] > 0
+                    if many.any():  # window by window, under a key of its own
+                        count = (hi - lo + 1)[many]
+                        w, wd = ranges(lo[many], count), np.repeat(doc[many], count)
+                        key = np.concatenate([key[~many], dealt(mix(span_hash(data, w, w + size) ^ U64(0x5851F42D4C957F2D)), n)])
+                        doc, lo, hi = np.concatenate([doc[~many], wd]), np.concatenate([lo[~many], w]), np.concatenate([hi[~many], w])
+                    if len(key):
+                        length = hi - lo + size
+                        held.append((key, doc + rows, lo - off[doc], length, data[ranges(lo, length)]))
+                        doc_ids.append(np.array([LAST if d is None else d for d in part.column(1).to_pylist()], np.int64))
+                        rids.append(part.column(0).to_numpy().astype(np.uint32))
+                        rows += part.num_rows
+                        volume += int(length.sum())
+                    if volume >= FLUSH:
+                        yield flush(now, held, doc_ids, rids)
+                        held, doc_ids, rids, rows, volume = [], [], [], 0, 0
         if held:
-            yield flush(held, rids, doc_ids)
+            yield flush(now, held, doc_ids, rids)
 
-    return left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(run, "bucket int, keys binary, sizes binary, text binary, snip binary, doc binary, at binary, rids binary, doc_ids binary")
+    return met.mapInArrow(lean(run), "bucket int, block int, keys binary, sizes binary, text binary, snip binary, doc binary, doc_ids binary, rids binary, at binary")
 
 
 def covered(key, length, text, snip, doc_id, at, size: int = SIZE):
@@ -347,97 +453,94 @@ def covered(key, length, text, snip, doc_id, at, size: int = SIZE):
     key, length, text: snippets (equal ones may come from several blocks); snip, doc_id, at: the
     places of each.  Works on parts of about PART bytes, cut between keys."""
     start = np.cumsum(length) - length
-    parts = np.searchsorted(start, np.arange(0, len(text) + PART // 4, PART // 4))
-    content = np.concatenate([span_hash(prefix_hash(text[start[a] : start[b - 1] + length[b - 1]]), start[a:b] - start[a], start[a:b] - start[a] + length[a:b]) for a, b in zip(parts[:-1], parts[1:]) if b > a])
-    order = np.lexsort((content, key))
-    k, c, n = key[order], content[order], length[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
+    order, new = alike(key, start, length, text)
     one = np.empty(len(key), np.int64)
     one[order] = np.cumsum(new) - 1
     kinds = order[new]  # a snippet for each distinct one, by key
     mine = one[snip]
     least = np.full(len(kinds), LAST)
-    np.minimum.at(least, mine, doc_id)
+    by = np.argsort(mine, kind="stable")
+    some = np.flatnonzero(np.diff(mine[by], prepend=-1))
+    if len(by):
+        least[mine[by][some]] = np.minimum.reduceat(doc_id[by], some)
     later = doc_id > least[mine]  # places of a snippet that a smaller document has whole
     spans = [(np.flatnonzero(later), at[later], at[later] + length[kinds][mine[later]])]
     firsts = np.flatnonzero(~later)
     firsts = firsts[np.argsort(mine[firsts], kind="stable")]
     head = np.searchsorted(mine[firsts], np.arange(len(kinds) + 1))
-    size_of = length[kinds] + 1
+    k = key[kinds]
+    apart = np.concatenate([[True], k[1:] != k[:-1], [True]])
+    several = np.flatnonzero(~(apart[1:] & apart[:-1]))  # kinds that share their key with another
+    size_of = length[kinds[several]] + 1
     total = np.cumsum(size_of)
-    key_new = np.concatenate([[True], key[kinds][1:] != key[kinds][:-1]])
-    group = np.cumsum(key_new) - 1
+    group = np.cumsum(np.concatenate([[True], k[several][1:] != k[several][:-1]])) - 1 if len(several) else several
     cut = [0]
-    while cut[-1] < len(kinds):
+    while cut[-1] < len(several):
         goal = (total[cut[-1] - 1] if cut[-1] else 0) + PART
         end = max(int(np.searchsorted(total, goal, "right")), cut[-1] + 1)
         end = int(np.searchsorted(group, group[end - 1], "right"))  # the whole of the last key
         cut.append(end)
     for a, b in zip(cut[:-1], cut[1:]):
-        own = kinds[a:b]
+        members = several[a:b]
+        own = kinds[members]
         begin = np.cumsum(size_of[a:b]) - size_of[a:b]
         body = np.full(int(size_of[a:b].sum()), END, np.uint8)
         body[ranges(begin, length[own])] = text[ranges(start[own], length[own])]
-        position, block = repeats(body, begin, size)
-        of = np.searchsorted(begin, position, "right") - 1
-        smallest = np.full(int(block.max()) + 1 if len(block) else 0, LAST)
-        np.minimum.at(smallest, block, least[a + of])
-        hit = smallest[block] < least[a + of]
-        p = np.sort(position[hit])
+        position, interval = repeats(body, begin, size)
+        if not len(position):
+            continue
+        low = least[members[np.searchsorted(begin, position, "right") - 1]]
+        edge = np.flatnonzero(np.diff(interval, prepend=-1))
+        smallest = np.repeat(np.minimum.reduceat(low, edge), np.diff(np.concatenate([edge, [len(interval)]])))
+        p = np.sort(position[smallest < low])
         if not len(p):
             continue
         new_run = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1] + 1]))
         lo, hi = p[new_run], p[np.concatenate([new_run[1:], [len(p)]]) - 1]
-        kind = np.searchsorted(begin, lo, "right") - 1
-        n = head[a + kind + 1] - head[a + kind]
-        place = firsts[ranges(head[a + kind], n)]
-        shift = np.repeat(lo - begin[kind], n)
+        which = np.searchsorted(begin, lo, "right") - 1
+        kind = members[which]
+        n = head[kind + 1] - head[kind]
+        place = firsts[ranges(head[kind], n)]
+        shift = np.repeat(lo - begin[which], n)
         spans.append((place, at[place] + shift, at[place] + shift + np.repeat(hi - lo + size, n)))
     return tuple(np.concatenate([s[i] for s in spans]) for i in range(3))
 
 
-def _spans(snippets: DataFrame, buckets: int, blocks: int, size: int) -> DataFrame:
+def _spans(snippets: DataFrame, n: int, size: int) -> DataFrame:
     def run(batches):
         held, now = [], None
 
         def flush():
-            key = np.concatenate([np.frombuffer(r[0], U64) for r in held])
-            length = np.concatenate([np.frombuffer(r[1], np.int32) for r in held]).astype(np.int64)
-            text = np.concatenate([_unpack(r[2], np.uint8) for r in held])
-            base = np.cumsum([0, *[len(r[0]) // 8 for r in held]])
-            snip = np.concatenate([_unpack(r[3], np.int32).astype(np.int64) + b for r, b in zip(held, base)])
+            key = np.concatenate([_unpack(r[0], U64, True) for r in held])
+            sizes = [_unpack(r[1], np.int32) for r in held]
+            base = np.cumsum([0, *map(len, sizes)])
+            length = np.concatenate(sizes).astype(np.int64)
+            text = np.concatenate([np.frombuffer(_codec()[1].decompress(r[2]), np.uint8) for r in held])
+            snip = np.concatenate([_unpack(r[3], np.int32, True).astype(np.int64) + b for r, b in zip(held, base)])
             docs = [_unpack(r[4], np.int32) for r in held]
-            rid = np.concatenate([np.frombuffer(r[6], np.int64)[d] for r, d in zip(held, docs)])
-            doc_id = np.concatenate([np.frombuffer(r[7], np.int64)[d] for r, d in zip(held, docs)])
-            at = np.concatenate([_unpack(r[5], np.int32) for r in held]).astype(np.int64)
+            doc_id = np.concatenate([_unpack(r[5], np.int64, True)[d] for r, d in zip(held, docs)])
+            rid = np.concatenate([_unpack(r[6], np.uint32)[d] for r, d in zip(held, docs)])
+            at = np.concatenate([_unpack(r[7], np.int32) for r in held]).astype(np.int64)
+            block = np.repeat([r[8] for r in held], [len(d) for d in docs])
             place, first, end = covered(key, length, text, snip, doc_id, at, size)
-            rid, doc_id = rid[place], doc_id[place]
-            block = np.mod(rid, blocks)
-            order = np.lexsort((first, rid, block))
-            rid, doc_id, first, end, block = (x[order] for x in (rid, doc_id, first, end, block))
-            if len(rid):  # unite what overlaps in a document, so far as this bucket knows
-                new = np.concatenate([[True], (rid[1:] != rid[:-1]) | (doc_id[1:] != doc_id[:-1]) | (first[1:] > end[:-1])])
-                lead = np.flatnonzero(new)
-                rid, doc_id, first, block = rid[lead], doc_id[lead], first[lead], block[lead]
-                end = np.maximum.reduceat(end, lead)
-            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, int)
-            out: dict[str, list] = {"block": [], "rids": [], "doc_ids": [], "firsts": [], "ends": []}
-            for a, b in zip(cut, [*cut[1:], len(block)]):
-                for name, v in (("block", int(block[a])), ("rids", _pack(rid[a:b])), ("doc_ids", _pack(doc_id[a:b])), ("firsts", _pack(first[a:b].astype(np.int32))), ("ends", _pack(end[a:b].astype(np.int32)))):
-                    out[name].append(v)
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32()), ("rids", pa.binary()), ("doc_ids", pa.binary()), ("firsts", pa.binary()), ("ends", pa.binary())]))
+            return _span_rows(block[place], doc_id[place], rid[place], first, end)
 
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if row[0] != now:
+            out = []
+            for bucket, block, keys, *rest in zip(*[c.to_pylist() for c in b.columns]):
+                if keys is None:  # settled in its block
+                    out.append((block, rest[4], rest[5], rest[6], rest[0]))
+                    continue
+                if bucket != now:
                     if held:
-                        yield flush()
-                    held, now = [], row[0]
-                held.append(row[1:])
+                        out += flush()
+                    held, now = [], bucket
+                held.append((keys, *rest, block))
+            yield _batch(SPANS, out)
         if held:
-            yield flush()
+            yield _batch(SPANS, flush())
 
-    return snippets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block int, rids binary, doc_ids binary, firsts binary, ends binary")
+    return snippets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SPANS_TYPE)
 
 
 def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -450,61 +553,62 @@ def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], np.concatenate([end[new[1:] - 1], end[-1:]])
 
 
-def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
-    """A row for each row of docs (doc_id, text): the columns `keep`, and
-    (n_bytes, n_removed, n_spans, kept binary): the bytes that are left, in order."""
-    spark = docs.sparkSession
+def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[str] | None = None, hot: int = HOT, block_bytes: int = BLOCK, characters: bool = False) -> DataFrame:
+    """A row for each row of docs (doc_id, text): the columns `keep`, in order, as k0, k1, ..., and
+    (n_bytes, n_removed, n_spans, kept binary): the bytes that are left, in order; with `characters`
+    kept is a string, and of a character that is cut in two the rest goes as well."""
     keep = ["doc_id"] if keep is None else keep
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = blocks = 2 * parts
     text = F.coalesce("text", F.lit(""))
-    rest = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    base = docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), rest.alias("rest"))
-    base = base.withColumn("block", F.pmod("rid", F.lit(blocks)).cast("int"))
-    shared = materialise(_shared(_keys(base, buckets, size, gram), buckets, blocks, hot), "bwt-shared")
-    snippets = _snippets(base.select("block", "rid", "doc_id", "text"), shared, buckets, blocks, size, gram)
-    spans = materialise(_spans(snippets, buckets, blocks, size), "bwt-spans")
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
+    own = [F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")]
+    slim, base = docs.select(*own), docs.select(*own, *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    shared = materialise(_shared(_keys(slim, n, size, gram), n, hot), "bwt-shared")
+    packs, schema = _packed(slim, n)
+    spans = materialise(_spans(_snippets(_met(shared, packs, n), schema, n, size, gram), n, size), "bwt-spans")
     discard(shared)
-    kind_of = base.schema["rest"].dataType
-    left = spans.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"), F.lit(None).cast(kind_of).alias("rest"), "rids", "doc_ids", "firsts", "ends")
-    right = base.select("block", F.lit(1).alias("kind"), "rid", "doc_id", F.col("text").cast("binary").alias("text"), "rest", *[F.lit(None).cast("binary").alias(c) for c in ("rids", "doc_ids", "firsts", "ends")])
-    both = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    packs, schema = _packed(base, n)
 
     def run(batches):
         now, replies, table = None, [], None
-        for b in slices(batches, "text", 4 * SLICE):
-            out_row, sizes, removed, spans_n, kept = [], [], [], [], []
-            block, kind = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts, rids, ids = b.column(4), b.column(2).to_pylist(), b.column(3).to_pylist()
-            for i in range(b.num_rows):
-                if block[i] != now:
-                    now, replies, table = block[i], [], None
-                if kind[i] == 0:
-                    replies.append([b.column(j)[i].as_py() for j in range(6, 10)])
+        for b in batches:
+            for block, kind, pack, *spans_of in zip(*[c.to_pylist() for c in b.columns]):
+                if block != now:
+                    now, replies, table = block, [], None
+                if kind == 0:
+                    replies.append(spans_of)
                     continue
                 if table is None:
-                    cols = [np.concatenate([_unpack(r[j], d) for r in replies]) if replies else np.zeros(0, d) for j, d in enumerate((np.int64, np.int64, np.int32, np.int32))]
+                    cols = [np.concatenate([_unpack(r[j], kind_of, j == 0) for r in replies]) if replies else np.zeros(0, kind_of) for j, kind_of in enumerate((np.int64, np.uint32, np.int32, np.int32))]
                     order = np.lexsort((cols[2], cols[1], cols[0]))
                     table, replies = [c[order] for c in cols], []
-                raw = texts[i].as_py()
-                a, z = np.searchsorted(table[0], rids[i], "left"), np.searchsorted(table[0], rids[i], "right")
-                same = table[1][a:z] == (LAST if ids[i] is None else ids[i])
-                first, end = united(table[2][a:z][same].astype(np.int64), table[3][a:z][same].astype(np.int64))
-                left_over, at = [], 0
-                for s, e in zip(first.tolist(), end.tolist()):
-                    left_over.append(raw[at:s])
-                    at = e
-                left_over.append(raw[at:])
-                out_row.append(i)
-                sizes.append(len(raw)), removed.append(int((end - first).sum())), spans_n.append(len(first)), kept.append(b"".join(left_over))
-            if out_row:
-                yield pa.RecordBatch.from_arrays([b.column(5).take(pa.array(out_row)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["rest", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    schema = f"rest {kind_of.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    done = both.mapInArrow(run, schema)
-    return done.select(*[F.col(f"rest.k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", "kept")
+                for part in slices([_opened(pack, schema)], "text", 4 * SLICE):
+                    yield cut(part, table)
+
+    def cut(part: pa.RecordBatch, table: list[np.ndarray]) -> pa.RecordBatch:
+        sizes, removed, runs, kept = [], [], [], []
+        rids = part.column(0).to_numpy().astype(np.uint32)
+        for rid, doc_id, text in zip(rids, part.column(1).to_pylist(), part.column(2)):
+            raw = text.as_buffer().to_pybytes()
+            doc_id = LAST if doc_id is None else doc_id
+            a, z = np.searchsorted(table[0], doc_id, "left"), np.searchsorted(table[0], doc_id, "right")
+            same = table[1][a:z] == rid
+            first, end = united(table[2][a:z][same].astype(np.int64), table[3][a:z][same].astype(np.int64))
+            left, at = [], 0
+            for s, e in zip(first.tolist(), end.tolist()):
+                left.append(raw[at:s])
+                at = e
+            left.append(raw[at:])
+            sizes.append(len(raw)), removed.append(int((end - first).sum())), runs.append(len(first)), kept.append(b"".join(left))
+        own = part.columns[3:]
+        names = [*[f"k{i}" for i in range(len(own))], "n_bytes", "n_removed", "n_spans", "kept"]
+        left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if characters else pa.array(kept, pa.binary())
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(v, pa.int64()) for v in (sizes, removed, runs)], left], names=names)
+
+    types = ", ".join([*[f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], "n_bytes long", "n_removed long", "n_spans long", f"kept {'string' if characters else 'binary'}"])
+    return _met(spans, packs, n).mapInArrow(lean(run), types)
 
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    return cut_repeats(docs, size).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs, size).select(F.col("k0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ M64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own set."""
+    Only where that setting is absent and all run on one machine (tests, a laptop) is a folder of our
+    own set; a cluster without it is an error, as each executor would write to its own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
@@ -84,6 +88,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without a copy per row; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,7 +111,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each is about `most` bytes; one long row stays whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -122,32 +134,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: The base of the rolling hash (odd), its inverse modulo 2^64 and a cache of their powers.
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, np.ndarray] = {}
+#: _LOW[n]: the first n bytes of a little-endian word.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_SEED, _TURN = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: depends on the bytes and their number only.
+
+    Eight bytes at a time are mixed in, for all spans at once; every step is nonlinear, so no two
+    texts of a simple make hash alike.  What is left of a long span goes through BLAKE2."""
+    word = words_at(data)
+    left = end - start
+    out = left.astype(U64) * _SEED
+    live, at = None, start
+    for step in range(0, LONG_SPAN, 8):
+        part = word[at] & _LOW[np.minimum(left, 8)]
+        if live is None:
+            out = mix(out ^ part)
+        else:
+            out[live] = mix(out[live] * _TURN ^ part)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i, a, n in zip(live.tolist(), at.tolist(), left.tolist()):
+        rest = hashlib.blake2b(data[a : a + n].tobytes(), digest_size=8).digest()
+        out[i] ^= U64(int.from_bytes(rest, "little"))
+    return out
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        have = np.full(size, base, U64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+def lean(run: Callable) -> Callable:
+    """run, a function of record batches, giving its memory back to the system when it ends: a worker
+    is used again, and would keep the most that any of its tasks had."""
 
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[e] - H[s] = sum((byte+1) * BASE^i) over s <= i < e, modulo 2^64."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=out[1:])
-    return out
+    return held
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: depends on the bytes and their number only."""
-    inverse = pow(BASE, -1, 1 << 64)
-    return mix((prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def digest(data) -> str:

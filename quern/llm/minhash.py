@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, Scratch, mix, prefix_hash, slices, span_hash, text_buffer, word_spans
+from quern.llm.common import U64, Scratch, lean, mix, slices, span_hash, text_buffer, word_spans
 from quern.llm.components import components
 
 #: Permutations x -> a*x + b modulo 2^64 (a odd); each gives a minimum and a maximum.
@@ -61,7 +61,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarr
     """The sorted distinct shingle hashes of each document of a text buffer."""
     data = _FOLD[data]
     start, end, first = word_spans(_INSIDE[data], off)
-    code = span_hash(prefix_hash(data), start, end)
+    code = span_hash(data, start, end)
     run = np.zeros(max(0, len(code) - width + 1), U64)
     for j in range(width):
         run = run * _STEP + code[j : j + len(run)]
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), bands], names=["doc_id", "n_shingles", "set_id", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -141,7 +141,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
                 yield b.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
 
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return wide.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a binary, b binary")
 
 
 def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def fine_signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame, widt
             fine = [(mix(signature(s, _FINE_A, _FINE_B)) & U64(255)).astype(np.uint8).tobytes() for s in found]
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "fine": pa.array(fine, pa.binary())})
 
-    return texts_of(wanted, classes, docs).mapInArrow(run, "set_id binary, fine binary").dropDuplicates(["set_id"])
+    return texts_of(wanted, classes, docs).mapInArrow(lean(run), "set_id binary, fine binary").dropDuplicates(["set_id"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
@@ -170,10 +170,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
             yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    full = keep(texts.mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"]), "minhash-sets")
+    full = keep(texts.mapInArrow(lean(sets), "set_id binary, shingles binary").dropDuplicates(["set_id"]), "minhash-sets")
 
     def check(batches):
-        for b in batches:
+        for b in slices(batches, "x", 4 << 20):
             ok = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
@@ -184,7 +184,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     wide = pairs.join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b").join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return wide.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return wide.select("a", "b", "x", "y").mapInArrow(lean(check), "a binary, b binary")
 
 
 def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
@@ -241,7 +241,7 @@ def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classe
         if len(held) > 1 and (found := pairs_of(held)):
             yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return at.mapInArrow(run, "a binary, b binary").distinct()
+    return at.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import prefix_hash, slices, span_hash, text_buffer
+from quern.llm.common import lean, slices, span_hash, text_buffer
 from quern.llm.learn import held_out, training_rows
 
 _SPACE, _UPPER, _LOWER, _DIGIT, _HIGH = range(1, 6)
@@ -37,7 +37,10 @@ _PUNCT[[ord(c) for c in ".,;:?-'\"()"]] = True
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of NAMES for each document of a text buffer."""
+    """A row of NAMES for each document of a text buffer.
+
+    Words are runs without white space, lines end at a line feed; kinds of words, pairs of words and
+    lines are counted by 64-bit hashes."""
     n = len(off) - 1
     out = np.zeros((n, len(NAMES)))
     size = np.diff(off)
@@ -57,8 +60,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     stop = word.copy()
     stop[:-1] &= ~word[1:] | begin[1:]
     end = np.flatnonzero(stop) + 1
-    h = prefix_hash(data)
-    code = span_hash(h, start, end)
+    code = span_hash(data, start, end)
     at = np.searchsorted(start, off)
     words = np.diff(at)
     some = np.maximum(words, 1)
@@ -76,7 +78,12 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     w = np.concatenate([[0], np.cumsum((up[end] - up[start] >= 2) & (up[end] - up[start] >= (end - start) // 2))])
     out[:, 16] = (w[at[1:]] - w[at[:-1]]) / some
     out[:, 18] = np.log1p(words / (total(_STOP[data]) + 1))
+    some_text = np.flatnonzero(size)
     cut = np.flatnonzero(line)
+    head = np.sort(np.concatenate([off[some_text], cut + 1]), kind="stable")
+    tail = np.sort(np.concatenate([off[some_text + 1], cut]), kind="stable")
+    line_at = np.concatenate([[0], np.cumsum(np.where(size > 0, lines, 0))])
+    line_code = span_hash(data, head, tail)
     pair = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] if len(code) > 1 else code[:0]
     for i in range(n):
         a, b = at[i], at[i + 1]
@@ -89,9 +96,8 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
                 p = np.sort(pair[a : b - 1])
                 out[i, 12] = (1 + np.count_nonzero(p[1:] != p[:-1])) / len(p)
         if size[i]:
-            own = cut[np.searchsorted(cut, off[i]) : np.searchsorted(cut, off[i + 1])]
-            s, e = np.concatenate([[off[i]], own + 1]), np.concatenate([own, [off[i + 1]]])
-            out[i, 14] = len(np.unique(h[e] - h[s] if len(s) == 1 else span_hash(h, s, e))) / len(s)
+            own = line_code[line_at[i] : line_at[i + 1]]
+            out[i, 14] = len(np.unique(own)) / len(own)
     # longest stretches without a space, on average by their square
     out[:, 17] = np.log1p(np.bincount(np.searchsorted(at, np.arange(len(start)), "right") - 1, (end - start).astype(float) ** 2, n)[:n] / some) if len(start) else 0
     return out
@@ -182,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Forest:
     return fit(x, np.array([r[2] for r in rows], float))
 
 
-def score(docs: DataFrame, model: Forest, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs with `score`, over every whole text."""
+def score(docs: DataFrame, model: Forest, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The kept columns of docs with their score, as `name`, over every whole text."""
     keep = docs.columns if keep is None else keep
     slim = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("_text"))
     schema = ", ".join([*[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], "_score double"])
@@ -193,8 +199,8 @@ def score(docs: DataFrame, model: Forest, keep: list[str] | None = None) -> Data
             s = model.score(statistics(*text_buffer(b.column(len(keep)))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], names=[*[f"_k{i}" for i in range(len(keep))], "_score"])
 
-    out = slim.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias("score"))
+    out = slim.mapInArrow(lean(run), schema)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias(name))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

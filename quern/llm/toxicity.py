@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, prefix_hash, slices, span_hash
+from quern.llm.common import U64, lean, slices, span_hash
 from quern.llm.learn import held_out, training_rows
 
 #: Group mentions that may be swapped for one another, by kind.
@@ -49,12 +49,11 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     row = np.searchsorted(off, start, "right") - 1
-    h = prefix_hash(data)
-    rows, found = [row], [span_hash(h, start, end)]
+    rows, found = [row], [span_hash(data, start, end)]
     for n in BEGINNINGS:
         long = end - start > n
         rows.append(row[long])
-        found.append(span_hash(h, start[long], start[long] + n) ^ U64(n))
+        found.append(span_hash(data, start[long], start[long] + n) ^ U64(n))
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -214,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, counterfactual: float = 1.0) -> Mo
     return fit(training_rows(docs, labels, "toxic"), counterfactual)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs with `score`, over every whole text."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The kept columns of docs with their score, as `name`, over every whole text."""
     keep = docs.columns if keep is None else keep
     slim = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("_text"))
     schema = ", ".join([*[f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], "_score double"])
@@ -225,8 +224,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             s = model.score(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64())], names=[*[f"_k{i}" for i in range(len(keep))], "_score"])
 
-    out = slim.mapInArrow(run, schema)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias("score"))
+    out = slim.mapInArrow(lean(run), schema)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias(name))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

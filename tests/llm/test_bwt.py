@@ -87,8 +87,8 @@ def test_parts_do_not_change_the_spans(part, monkeypatch):
 
 def test_columns_are_kept(spark):
     docs = spark.createDataFrame([(1, "q" * 80, "en"), (2, "z" + "q" * 80, None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in bwt.cut_repeats(docs, keep=["doc_id", "lang"]).collect()}
-    assert bytes(got[2].kept) == b"z" and got[1].lang == "en" and got[2].lang is None
+    got = {r.k0: r for r in bwt.cut_repeats(docs, keep=["doc_id", "lang"]).collect()}
+    assert bytes(got[2].kept) == b"z" and got[1].k1 == "en" and got[2].k1 is None
 
 
 @pytest.mark.parametrize("size,shard", [(4, 8), (6, 20), (50, 100)])
@@ -111,14 +111,47 @@ def test_merged_transforms_give_the_repeated_windows(size, shard):
 def test_common_prefixes_come_with_the_merge():
     a, b = b"banana$", b"bandana%"
     order, before = zip(*[bwt.shard_transform(np.frombuffer(t, np.uint8), 8) for t in (a, b)])
-    common = np.full(15, -1)
-    place, _ = bwt.interleave(list(before), 8, common)
+    place, common = bwt.interleave(list(before), 8)
     rotations = sorted([a[i:] + a[:i] for i in range(7)] + [b[i:] + b[:i] for i in range(8)], key=lambda r: (r * 2)[:8])
     merged = [None] * 15
     for g, p in enumerate(place.tolist()):
         t, o = (a, order[0][g]) if g < 7 else (b, order[1][g - 7])
         merged[p] = (t[o:] + t[:o]) * 2
-    assert [m[:8] for m in merged] == [(r * 2)[:8] for r in rotations]
+    assert [m[:8] for m in merged] == [(r * 2)[:8] for r in rotations] and common[0] == 0
     for x, y, c in zip(merged, merged[1:], common[1:]):
-        shared = next((i for i in range(8) if x[i] != y[i]), 8)
-        assert c == -1 and shared == 8 or c == shared // 2 * 2
+        assert c == next((i for i in range(8) if x[i] != y[i]), 8) // 2 * 2
+
+
+def test_snippets_are_equal_only_byte_by_byte(monkeypatch):
+    monkeypatch.setattr(bwt, "span_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    text = np.frombuffer(b"abcabdabcabe", np.uint8)
+    order, new = bwt.alike(np.zeros(4, np.uint64), np.array([0, 3, 6, 9]), np.full(4, 3), text)
+    assert order.tolist() == [0, 1, 2, 3] and new.tolist() == [True] * 4
+    order, new = bwt.alike(np.zeros(4, np.uint64), np.array([0, 6, 3, 9]), np.full(4, 3), text)
+    assert new.tolist() == [True, False, True, True]
+
+
+@pytest.mark.parametrize("gram", [5, 8, 13, 24])
+def test_runs_of_windows(gram):
+    """Every window of every text is in one run, all windows of a run share their least string."""
+    rng = random.Random(gram)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (0, 49, 50, 51, 200, 0, 7, 120)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    key, doc, lo, hi = bwt.window_runs(data, off, 50, gram)
+    windows = [w for a, b in zip(lo.tolist(), hi.tolist()) for w in range(a, b + 1)]
+    assert windows == [i for a, b in zip(off[:-1], off[1:]) for i in range(a, b - 49)]
+    assert all(off[d] <= a and b + 50 <= off[d + 1] for d, a, b in zip(doc, lo, hi))
+    hashes = bwt.gram_hash(data, gram)
+    assert len(set(hashes.tolist())) == len({data[i : i + gram].tobytes() for i in range(len(data) - gram + 1)})
+    assert all(bwt.mix(hashes[w : w + 51 - gram].min()[None])[0] == k for k, a, b in zip(key, lo, hi) for w in range(a, b + 1))
+
+
+def test_hot_rows(spark):
+    """One text in very many rows, under one doc_id, under many and under none."""
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(7, line)] * 200 + [(None, line + "!")] * 100 + [(1000 + i, f"{i} {line} {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (50_000, 20):
+        got = [(r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in bwt.cut_repeats(docs, hot=hot, block_bytes=2000).collect()]
+        assert sorted(got, key=str) == brute(rows)
