@@ -7,7 +7,7 @@ each other term of the same kind, and any change of the score's log-odds costs `
 its square.  Sentences without a mention get one at their end, twice, with two terms; so the terms are
 tied together, and to zero effect in neutral text, even where the labelled rows scarcely hold them.
 
-Scoring reads whole texts, batch by batch, in numpy.  Defined cases: null and empty texts score
+A feature's label counts are taken on documents.  Scoring reads whole texts, batch by batch, in numpy.  Defined cases: null and empty texts score
 the intercept; no labelled rows: the score is 0 everywhere; repeated rows are scored alike.
 """
 
@@ -178,6 +178,9 @@ def fit(rows: list[tuple[int, str, int]], counterfactual: float = 1.0, l2: float
     df, pos = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
     for row, h in _distinct(texts):
         cell = (h >> U64(44)).astype(np.int64)
+        own = np.ones(len(cell), bool)  # a cell counts once a document, however many of its features are in it
+        own[1:] = (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])
+        cell, row = cell[own], row[own]
         df += np.bincount(cell, minlength=CELLS).astype(np.int32)
         pos += np.bincount(cell[y[row] > 0], minlength=CELLS).astype(np.int32)
     telling = _gain(df, pos, n1, n0) > 2
