@@ -5,58 +5,59 @@ read again as the next stage's docs; all but the last return the columns of docu
 classifiers learn from sf_dir's documents and labels (rows that are not held out), so a stage's
 verdict on a document does not depend on what an earlier stage dropped.
 
-Nulls, by stage: a null text scores as an empty one, has no near-duplicates, loses no passages and
-packs as its end token alone."""
+Defined cases, by stage: a null text scores as an empty one, has no near-duplicates, loses no passages
+and packs as its end token alone; of rows that repeat a doc_id the near-duplicates stage keeps one, all
+other stages treat each row by itself; rows without a doc_id are scored, kept by the near-duplicates
+stage, give nothing to and take from all others in the passages stage and are packed; an empty table gives
+an empty one; columns besides doc_id and text are carried along whatever their names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bwt, minhash, packing, quality, toxicity
-from quern.llm.common import materialise, read_table
+from quern.llm.common import fresh, materialise, read_table
 from quern.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier (0.5) rejects go."""
     model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+    name = fresh(docs, "score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (0.3) rejects go."""
     model = quality.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("score >= 0.3").drop("score")
+    name = fresh(docs, "score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.3).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose sets of five-word shingles are 0.8 alike, the one with
-    the smallest doc_id stays; of repeated rows, one.  Rows without a doc_id stay as they are."""
+    the smallest doc_id stays; of rows that repeat its doc_id, one of the smallest text.  Rows without a
+    doc_id stay as they are."""
     judged = materialise(minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80), "pipeline-near")
     kept = judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     once = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("n > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id"])
+        place = fresh(docs, "place")
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        once = once.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return once.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in 50-byte strings that a document with a smaller doc_id has too are cut out; of a
     character that is cut in two the rest goes as well.  Every document stays, n_chars is new."""
-    left = bwt.cut_repeats(docs, keep=[c for c in docs.columns if c != "text"])
-    out = left.withColumn("text", _whole_characters("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
-def _whole_characters(column: str):
-    @F.pandas_udf("string")
-    def decode(raw):
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
-
-    return decode(column)
+    kept = [c for c in docs.columns if c != "text"]
+    left = bwt.cut_repeats(docs, keep=kept, characters=True)
+    now = {c: F.col(f"k{i}") for i, c in enumerate(kept)} | {"text": F.col("kept")}
+    if "n_chars" in now:
+        now["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[now[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
