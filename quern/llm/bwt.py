@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, discard, lean, materialise, mix, slices, span_hash, text_buffer, words_at
+from quern.llm.common import U64, discard, lean, materialise, mix, ranges, slices, span_hash, text_buffer, words_at
 
 SIZE, GRAM = 50, 24
 HOT = 50_000
@@ -183,12 +183,6 @@ def dealt(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key >> U64(32)) * n + (((key & U64(0xFFFFFFFF)) * n) >> U64(32))
 
 
-def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... count[0] of them, then from first[1] on, and so on."""
-    total = np.cumsum(count)
-    return np.repeat(first - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
-
-
 def groups(values: np.ndarray) -> list[tuple[int, int]]:
     """(begin, end) of the runs of equal values."""
     if not len(values):

@@ -134,8 +134,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: _LOW[n]: the first n bytes of a little-endian word.
-_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: LOW[n]: the first n bytes of a little-endian word.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _SEED, _TURN = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
 #: Spans of more bytes are hashed one by one.
 LONG_SPAN = 256
@@ -157,7 +157,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     out = left.astype(U64) * _SEED
     live, at = None, start
     for step in range(0, LONG_SPAN, 8):
-        part = word[at] & _LOW[np.minimum(left, 8)]
+        part = word[at] & LOW[np.minimum(left, 8)]
         if live is None:
             out = mix(out ^ part)
         else:
@@ -194,6 +194,12 @@ def trim() -> None:
         return
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... count[0] of them, then from first[1] on, and so on."""
+    total = np.cumsum(count)
+    return np.repeat(first - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
+
+
 def digest(data) -> str:
     return hashlib.sha256(data).hexdigest()
 

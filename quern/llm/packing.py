@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import lean, slices, text_buffer
+
 CAPACITIES = (1024, 2048, 4096, 8192)
 GROUP_ROWS = 20_000
 
@@ -127,7 +129,7 @@ def pack(docs: DataFrame, length: str = "n_tokens", capacities=CAPACITIES, group
         if held:
             yield from done()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def token_lengths(docs: DataFrame, path: str) -> DataFrame:
@@ -135,12 +137,12 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     from quern.llm.tokenfile import Encoder
 
     def run(batches):
-        enc = Encoder(path, keep=100_000)  # of this task: nothing stays in a worker that is used again
-        for b in batches:
-            n = [len(enc.encode(t or "")) // 4 + 1 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+        enc = Encoder(path, keep=500_000)  # of this task: nothing stays in a worker that is used again
+        for b in slices(batches, "text", 1 << 20):
+            _, n = enc.buffer(*text_buffer(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n + 1)], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long")
 
 
 def byte_lengths(docs: DataFrame) -> DataFrame:

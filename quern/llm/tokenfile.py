@@ -19,6 +19,7 @@ equal doc_ids stay apart, ordered by the crc32 of their ids; an empty table give
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -32,92 +33,138 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, new_path
+from quern.llm.common import lean, materialise, new_path, ranges, slices, text_buffer
+from quern.llm.memo import PieceMemo
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
-#: A space at most, Latin letters, then marks that no contraction begins with.
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|()\"]*)")
-#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for U+0100 on.
-_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-_BYTES = {b: 256 + n for n, b in enumerate(_OTHER)}
-_RUN = re.compile(r" (?=\s|$)")
+#: What stands for no doc_id in the files.
+NO_ID = int(np.iinfo(np.int64).min)
+#: What bytes are to the byte-level pattern: letters, digits, other marks, apostrophe, space, line ends and
+#: tabs; 0 for all that can't be told from one byte.
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BLANK = range(1, 7)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x80] = _KIND[0:9] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x27], _KIND[0x20] = _QUOTE, _SPACE
+_KIND[9:14] = _BLANK
+#: Whether a pre-token surely begins between two such bytes.
+_CUT = np.zeros((7, 7), bool)
+_CUT[1:5, 1:7] = _CUT[6, 1:5] = True
+_CUT[range(1, 7), range(1, 7)] = _CUT[_MARK, _QUOTE] = _CUT[_QUOTE, _MARK] = _CUT[_QUOTE, _LETTER] = False
+
+
+_LINE = re.compile(r" ?\S(?:[^\n]*\S)?")
+
+
+def boundaries(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places in the texts of a buffer before which a new pre-token surely begins."""
+    kind = _KIND[data]
+    two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # the letters from U+00C0 to U+00FF
+    kind[two] = kind[two + 1] = _LETTER
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _CUT.ravel()[kind[:-1] * np.uint8(7) + kind[1:]]
+    solid = (kind > 0) & (kind < _SPACE)
+    led = (kind[:-1] >= _SPACE) & solid[1:]  # of white space the last character stands apart: a space with what follows
+    end = off[1:] - 1
+    led[end[(end >= 0) & (end < len(led))]] = False  # in its own text, that is
+    cut[:-1] |= led
+    return cut
 
 
 class Encoder:
     """The tokenizers library behind a memo of pieces.
 
-    A new pre-token of the byte-level pattern begins at every space that a non-space follows, so
-    texts may be cut there and each distinct piece is encoded by the library just once.  The memo
-    is bounded: two generations of `keep` pieces, the older one is dropped when the newer is full."""
+    Texts are cut where a new pre-token of the byte-level pattern surely begins, so each piece may be
+    encoded by itself, and each distinct one is by the library just once while the memo holds it.  A
+    text that holds one of the library's special tokens is one piece."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pre, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.pieces = _Memo(self._piece, keep // 10)
-        self.spaced = _Memo(lambda piece: self._piece(" " + piece), keep)
-        self.words = _Memo(self._word, keep)
-
-    def _word(self, word: str) -> bytes:
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model(word)])
-
-    def _piece(self, piece: str) -> bytes:
-        plain = _PLAIN.fullmatch(piece)
-        if plain:  # a word of Latin letters, then marks: two pre-tokens, whatever stands around
-            word, marks = plain.groups()
-            word = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            return self.words[word] + self.words[marks] if marks else self.words[word]
-        return b"".join([self.words[w] for w, _ in self.pre(piece)])
+        self.kind = kind_of(self.tokenizer)
+        self.memo = PieceMemo(self._library, self.kind, keep)
+        self.line_end = self._encode("\n")
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each piece).  Pieces that begin (after a space at most) and end without white
+        space are put on lines of one text: a line end there is a token of its own, and tells where the
+        next piece begins."""
+        texts = [p.decode("utf-8") for p in pieces]
+        off, size, pool, base = np.zeros(len(texts), np.int64), np.full(len(texts), -1), [], 0
+        lines = [i for i, t in enumerate(texts) if _LINE.fullmatch(t)] if len(self.line_end) == 1 else []
+        for at in range(0, len(lines), 5000):
+            some = lines[at : at + 5000]
+            text = "\n".join([texts[i] for i in some])
+            if any(s in text for s in self.special):
+                continue
+            ids = np.array(self._encode(text), self.kind)
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+            if len(ends) == len(some):
+                begin = np.append(0, ends[:-1] + 1)
+                off[some], size[some] = base + begin, ends - begin
+                pool.append(ids)
+                base += len(ids)
+        for i in np.flatnonzero(size < 0).tolist():
+            pool.append(np.array(self._encode(texts[i]), self.kind))
+            off[i], size[i] = base, len(pool[-1])
+            base += len(pool[-1])
+        return np.concatenate(pool)[ranges(off, size)], size
+
+    def buffer(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a buffer one after another, how many each has)."""
+        cut = np.append(boundaries(data, off), False)
+        raw, special = data.tobytes(), [s.encode() for s in self.special]
+        if any(s in raw for s in special):
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
+                if any(s in raw[a:z] for s in special):
+                    cut[a:z] = False
+        cut[off] = True
+        cut[len(data)] = False
+        start = np.flatnonzero(cut)
+        ids, count = self.memo.ids(data, start, np.append(start[1:], len(data)) if len(start) else start)
+        before = np.concatenate([[0], np.cumsum(count)])
+        edge = before[np.searchsorted(start, off)]
+        return ids, np.diff(edge)
+
+    def ended(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """buffer(), with an id after each text."""
+        ids, count = self.buffer(data, off)
+        count = count + 1
+        last = np.zeros(len(ids) + len(count), bool)
+        last[np.cumsum(count) - 1] = True
+        out = np.full(len(last), end_id, self.kind if end_id <= np.iinfo(self.kind).max else np.uint32)
+        out[~last] = ids
+        return out, count
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        cut = text.split(" ")
-        if len(cut) == 1:
-            return self.pieces[text] if len(text) < 64 else self._piece(text)
-        if _RUN.search(text):  # a run of spaces stays with what precedes it
-            bad, out = {i for i, p in enumerate(cut) if i and (not p or p[0].isspace())}, [cut[0]]
-            for i, p in enumerate(cut[1:], 1):
-                if i in bad:
-                    out[-1] += " " + p
-                else:
-                    out.append(" " + p)
-            return b"".join(map(self.pieces.__getitem__, out))
-        first = cut[0]
-        return b"".join([self.pieces[first], *map(self.spaced.__getitem__, cut[1:])])
-
-
-class _Memo(dict):
-    def __init__(self, make, keep: int):
-        super().__init__()
-        self.make, self.keep, self.old = make, keep, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.keep:
-            self.old = dict(self)
-            self.clear()
-        if len(key) < 64:
-            self[key] = value
-        return value
-
-
-_encoders: dict[str, Encoder] = {}
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return self.buffer(data, np.array([0, len(data)]))[0].astype("<u4").tobytes()
 
 
+@functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder that the tasks of a worker share."""
+    return Encoder(path)
+
+
+def kind_of(tokenizer) -> type:
+    """Two bytes an id where these do."""
+    return np.uint16 if tokenizer.get_vocab_size() <= 65536 else np.uint32
+
+
+def packed_rows(ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    """A binary array with the ids of each text, without a copy."""
+    ends = np.concatenate([[0], np.cumsum(count)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 # ---------------------------------------------------------------- the file format
@@ -140,7 +187,7 @@ def write_file(out, docs: Iterator[tuple[int | None, bytes]], frame_bytes: int =
         if held and size + len(ids) > frame_bytes:
             frame(b"".join(held))
             held, size = [], 0
-        index.append((np.iinfo(np.int64).min if doc_id is None else doc_id, len(ids) // 4, len(table)))
+        index.append((NO_ID if doc_id is None else doc_id, len(ids) // 4, len(table)))
         held.append(ids)
         size += len(ids)
         total += len(ids) // 4
@@ -213,34 +260,35 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
     """Write all documents, ascending by doc_id, as token files; returns the manifest.
 
     Texts are encoded once, where they are read; only packed ids are shuffled, to ranges of doc_id
-    cut at quantiles that a pass over doc_id alone gives (they balance the files, no more).
+    cut at quantiles that a pass over doc_id alone gives (they balance the files, no more).  Where
+    several cuts fall on one doc_id, or on none, its rows are dealt over the files between by the
+    crc32 of their ids, which is their order.
     A task writes each file under a name of its own attempt and renames it when complete, so a
     task that runs twice leaves one whole file.  The manifest has a row for each file:
     (file, uri, n_docs, n_ids, start), start being the ids in all earlier files."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     uri = uri or new_path(spark, "tokens")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = np.unique(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else np.zeros(0))
-    tail = int(end_id).to_bytes(4, "little")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    low_id = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
+    cuts = np.array(low_id.approxQuantile("doc_id", [i / n for i in range(1, n)], max(0.1 / n, 1e-4)) if n > 1 else [])
+    kind = np.dtype(np.uint32 if end_id > 65535 else kind_of(Tokenizer.from_file(path)))
 
     def encode(batches):
         enc = encoder(path)
-        narrow = enc.tokenizer.get_vocab_size() <= 65536  # two bytes an id on the way
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                doc_id = b.column(0).slice(at, 256)
-                low = np.searchsorted(cuts, np.array([-np.inf if d is None else d for d in doc_id.to_pylist()]), "right")
-                packed = [enc.encode(t or "") + tail for t in texts[at : at + 256]]
-                if narrow:
-                    packed = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in packed]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int32()), doc_id, pa.array(packed, pa.binary())], names=["file", "doc_id", "ids"])
-
-    from tokenizers import Tokenizer
-
-    kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 65536 else "<u4"
-    ids = ids.mapInArrow(encode, "file int, doc_id long, ids binary")
+        for b in slices(batches, "text", 1 << 20):
+            made, count = enc.ended(*text_buffer(b.column(1)), end_id)
+            made = made.astype(kind, copy=False)
+            rows = packed_rows(made, count)
+            key = b.column(0).fill_null(NO_ID).to_numpy().astype(np.float64)
+            first, last = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+            for i in np.flatnonzero(last > first + 1).tolist():  # an id that fills files by itself: by the crc32 of its ids
+                last[i] = first[i] + (zlib.crc32(rows[i].as_buffer()) * int(last[i] - first[i] + 1) >> 32)
+            yield pa.RecordBatch.from_arrays([pa.array(last, pa.int32()), b.column(0), rows], names=["file", "doc_id", "ids"])
+
+    ids = ids.mapInArrow(lean(encode), "file int, doc_id long, ids binary")
     ids = ids.repartition(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
 
     def run(batches):
@@ -258,7 +306,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
             system.move(temp, temp.rsplit(".", 2)[0])
             yield pa.RecordBatch.from_pydict({"file": [part], "uri": [name], "n_docs": [count], "n_ids": [total]})
 
-    manifest = materialise(ids.mapInArrow(run, "file long, uri string, n_docs long, n_ids long"), "tokens-manifest")
+    manifest = materialise(ids.mapInArrow(lean(run), "file long, uri string, n_docs long, n_ids long"), "tokens-manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
@@ -276,10 +324,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     held = TokenFile(f)
                     crc = [zlib.crc32(ids) for _, ids in held.documents()]
                     n = held.n_tokens.astype(np.int64)
-                    doc_id = pa.array(held.doc_id.astype(np.int64), mask=held.doc_id == np.iinfo(np.int64).min)
+                    doc_id = pa.array(held.doc_id.astype(np.int64), mask=held.doc_id == NO_ID)
                     yield pa.RecordBatch.from_arrays([doc_id, pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:

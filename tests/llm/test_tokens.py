@@ -1,21 +1,52 @@
 import io
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
-from quern.llm import piece, tokenfile
+from quern.llm import memo, piece, tokenfile
+from quern.llm.common import text_buffer
 from quern.llm.queries import tokenizer_path
 
 ODD = ["", "  ", "a  b\n c \n  d<|endoftext|> x", "  x \x1c y  ", "don't we'll naïve — “q” x.’s it...#*, ĀĆ 12a3 a_b É.É", " a b", "\n\n a　 b", "日本語 текст 🙂 x", "a" * 300, "word " * 500, "        eight", "the\ttab", "\x00\x01", "====== -----____", "| a | b |", "!!Wow!! (x)\" ok"]
 
 
-def test_pieces_of_the_encoder_join_to_the_librarys_ids():
-    enc = tokenfile.Encoder(tokenizer_path("byte_bpe_50k.json"), keep=8)
+def test_pieces_of_the_encoder_join_to_the_librarys_ids(monkeypatch):
+    monkeypatch.setattr(memo, "RECENT", 20)
+    enc = tokenfile.Encoder(tokenizer_path("byte_bpe_50k.json"), keep=50)
+    rng = random.Random(3)
+    bits = ["a", " ", "  ", "the", "Straße", "\n", "\t", "é", "\u00a0", "\u3000", "\u1680x", "'s", "1", ".", "\x00", "日", "🙂", "ab\x00", "internationalisation of ", "'", "'re", "Ü", "×", "²", "œ", "\r", "\x0b", "\x1c", "\x7f", "a\u0301", "<|endoftext|>" * (rng.random() < 0.1), "-", "(", "\u2028", "Æs"]
+    texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        for t in ODD:
-            assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == want
+        ids, count = enc.buffer(*text_buffer(pa.array(texts)))
+        assert ids.tolist() == [i for w in want for i in w] and count.tolist() == [len(w) for w in want]
+        ids, count = enc.ended(*text_buffer(pa.array(texts)), 70_000)
+        assert ids.tolist() == [i for w in want for i in [*w, 70_000]]
+    assert len(enc.memo.old) + len(enc.memo.new) <= 80
+
+
+def test_memo_tells_pieces_apart(monkeypatch):
+    """Pieces that hash alike, or that differ in zero bytes only, keep their own ids."""
+    monkeypatch.setattr(memo, "mix", lambda x: x & np.uint64(1))
+    pieces = [b"a", b"a\0", b"a\0\0", b"b", b"c" * 8, b"c" * 9, b"c" * 23, b"c" * 24, b"c" * 90, b"\0", b"d" * 16]
+    data, ends = np.frombuffer(b"".join(pieces * 2), np.uint8), np.cumsum([len(p) for p in pieces * 2])
+    asked = []
+
+    def encode(some):
+        asked.extend(some)
+        n = np.array([1 + pieces.index(p) % 3 for p in some])
+        return np.repeat([pieces.index(p) for p in some], n).astype(np.uint16), n
+
+    m = memo.PieceMemo(encode)
+    for _ in range(2):
+        ids, count = m.ids(data, ends - np.diff(ends, prepend=0), ends)
+        assert ids.tolist() == [i for _ in range(2) for i in range(len(pieces)) for _ in range(1 + i % 3)]
+    assert len(asked) > len(pieces)
 
 
 def test_file_round_trip_random_access_and_checksums():
@@ -52,6 +83,29 @@ def test_table_round_trip(spark):
     assert tokenfile.token_output(spark, df.where("false"), path).count() == 0
 
 
+def test_one_id_over_several_files(spark):
+    """A third of the rows under one doc_id, a third under none: dealt over files, in order all the same."""
+    rows = [(7, f"seven {i}", None) for i in range(60)] + [(None, f"none {i}", None) for i in range(60)] + [(i, f"own {i}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string")
+    path = tokenizer_path("byte_bpe_50k.json")
+    manifest = tokenfile.write_token_files(df, path, files=8)
+    assert manifest.count() == 8 and manifest.agg({"n_docs": "max"}).first()[0] < 60
+    got = tokenfile.read_token_files(manifest).orderBy("start").collect()
+    key = [(r.doc_id if r.doc_id is not None else tokenfile.NO_ID) for r in got]
+    assert key == sorted(key) and len(got) == 180
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+
+
+def test_document_larger_than_a_frame(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FRAME_BYTES", 1000)
+    rows = [(i, "long words of a text " * n) for i, n in enumerate([1, 3000, 2, 1000, 0])]
+    got = {r.doc_id: r for r in tokenfile.token_output(spark, spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json")).collect()}
+    lib = tokenfile.Encoder(tokenizer_path("byte_bpe_50k.json")).tokenizer
+    for i, t in rows:
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_streaming_search_equals_the_library():
     m = piece.Pieces(tokenizer_path("piece_bpe_32k.model"))
     assert m.merged
