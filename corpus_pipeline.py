@@ -61,8 +61,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: its bin, the bin's sequence length, its place there."""
-    return packing.pack(materialise(packing.token_lengths(docs, tokenizer_path("byte_bpe_50k.json")), "pipeline-lengths"))
+    """A row for each packed token sequence, with the documents that it holds parts of."""
+    return packing.sequences(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [
