@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Endings of links that are images.
-IMAGE_ENDINGS = r"\.(jpg|jpeg|png|svg|gif)$"
+IMAGE_ENDINGS = r"\.(jpg|jpeg|png|svg|gif)\z"
 
 
 class _Tables(HTMLParser):
@@ -112,7 +112,7 @@ def anchors(html: Column) -> Column:
     return F.transform(
         found,
         lambda a: F.struct(
-            F.regexp_replace(F.regexp_extract(a, r"(?s)^<a\s[^>]*>(.*?)</a>$", 1), "<[^>]*>", "").alias("text"),
+            F.regexp_replace(F.regexp_extract(a, r"(?s)^<a\s[^>]*>(.*?)</a>\z", 1), "<[^>]*>", "").alias("text"),
             F.regexp_extract(a, r'href="([^"]*)"', 1).alias("url"),
         ),
     )

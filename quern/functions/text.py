@@ -1,4 +1,6 @@
-"""String, JSON and binary expressions; all run inside generated code."""
+"""String, JSON and binary expressions; all run inside generated code.
+
+Patterns say \\z for the end of a text: $ would match before a last line end as well."""
 
 from __future__ import annotations
 
@@ -12,7 +14,7 @@ HEADING_LINE = r"(?d)(?m)(^==[^=].*?==)|(^===.*?===)"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
 def intro(content: Column) -> Column:
@@ -26,7 +28,7 @@ def headings(content: Column) -> Column:
 
 
 def heading_title(heading: Column) -> Column:
-    return strip(F.regexp_replace(heading, "^[= ]+|[= ]+$", ""))
+    return strip(F.regexp_replace(heading, r"\A[= ]+|[= ]+\z", ""))
 
 
 def is_section(heading: Column) -> Column:
@@ -46,15 +48,15 @@ def clean(c: Column) -> Column:
 
 def url_name(url: Column) -> Column:
     """The last part of a url's path without its extension."""
-    return F.regexp_replace(F.element_at(F.split(url, "/"), -1), r"\.[^.]*$", "")
+    return F.regexp_replace(F.element_at(F.split(url, "/"), -1), r"\.[^.]*\z", "")
 
 
 def unquoted(c: Column) -> Column:
-    return F.regexp_replace(c, '^"+|"+$', "")
+    return F.regexp_replace(c, r'\A"+|"+\z', "")
 
 
 def unbracketed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\[\]]+|[\[\]]+$", "")
+    return F.regexp_replace(c, r"\A[\[\]]+|[\[\]]+\z", "")
 
 
 def cite_number(anchor: Column) -> Column:
@@ -86,10 +88,6 @@ def query_lines(answer: Column) -> Column:
     return F.filter(F.transform(F.split(strip(answer), "\n"), strip), lambda x: x != "")
 
 
-def or_default(c: Column, default: str = "") -> Column:
-    return F.coalesce(c, F.lit(default))
-
-
 def to_base64(c: Column) -> Column:
     return F.base64(c)
 
@@ -103,11 +101,6 @@ def payload_node_id(payload: Column) -> Column:
     return F.get_json_object(F.get_json_object(payload, "$._node_content"), "$.id_")
 
 
-def answer_text(response: Column) -> Column:
-    """A chat response's text; a malformed response becomes a fixed sentence."""
-    return F.coalesce(F.get_json_object(response, "$.choices[0].message.content"), F.lit(FAILED))
-
-
 #: Fixed value: what stands for a response that can't be read.
 FAILED = "Transformation failed or unclear"
 
