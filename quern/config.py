@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 class StoreConfig:
     path: str = "quern-store"
     collection: str = "wiki"
-    text_dim: int = 1536
-    image_dim: int = 1024
+    #: Vector sizes of the two collections; a vector of another size is refused.  None: any size.
+    text_dim: int | None = None
+    image_dim: int | None = None
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,9 @@ def load_env(*keys: str, env: dict[str, str] | None = None) -> dict[str, str | N
 
 
 def load_config(env: dict[str, str] | None = None) -> Config:
-    got = load_env("QUERN_STORE", "QUERN_COLLECTION", "QUERN_TOP_K", "QUERN_API_URL", env=env)
-    store = StoreConfig(path=got["QUERN_STORE"] or "quern-store", collection=got["QUERN_COLLECTION"] or "wiki")
+    got = load_env("QUERN_STORE", "QUERN_COLLECTION", "QUERN_TOP_K", "QUERN_API_URL", "QUERN_TEXT_DIM", "QUERN_IMAGE_DIM", env=env)
+    size = lambda key: int(got[key]) if got[key] else None
+    store = StoreConfig(path=got["QUERN_STORE"] or "quern-store", collection=got["QUERN_COLLECTION"] or "wiki", text_dim=size("QUERN_TEXT_DIM"), image_dim=size("QUERN_IMAGE_DIM"))
     return Config(store=store, retrieval=RetrievalConfig(top_k=int(got["QUERN_TOP_K"] or 10)), api_url=got["QUERN_API_URL"])
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern import schema
 from quern.config import StoreConfig
@@ -14,10 +18,36 @@ from quern.operators import nodes as node_ops
 from quern.operators.retrieval import modality_of, with_norm
 
 
+def _place(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    system, p = _place(spark, path)
+    return system.exists(p)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a table was written there to its end."""
+    return present(spark, f"{path}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, p = _place(spark, path)
+    system.delete(p, True)
+
+
+def connected(call: Callable, attempts: int = 10, wait: float = 5.0, sleep=time.sleep):
+    """call's result; a storage that can't be reached is tried again, at even intervals."""
+    for n in range(attempts):
+        try:
+            return call()
+        except (OSError, Py4JJavaError) as error:
+            if n == attempts - 1:
+                raise
+            logging.getLogger("quern").warning("storage not reached, try %d of %d: %s", n + 1, attempts, error)
+            sleep(wait)
 
 
 def save_stage(df: DataFrame, path: str) -> None:
@@ -49,15 +79,35 @@ def vectors_of(nodes: DataFrame, collection: str = "wiki") -> DataFrame:
     return with_norm(rows.select("node_id", place.alias("collection"), modality_of(F.col("type")).alias("modality"), F.col("embedding").cast("array<float>").alias("embedding")))
 
 
-def of_dimension(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:
-    """Vectors, where one of another length than its collection's is an error."""
-    want = F.coalesce(*[F.when(F.col("collection") == c, F.lit(n)) for c, n in dims.items()])
-    return vectors.withColumn("embedding", F.when((F.size("embedding") == want) | want.isNull(), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("wrong vector length in "), F.col("collection")))))
+def of_dimension(vectors: DataFrame, dims: dict[str, int | None]) -> DataFrame:
+    """Vectors, where one of another length than its collection's is an error; None checks nothing."""
+    known = {c: n for c, n in dims.items() if n is not None}
+    if not known:
+        return vectors
+    want = F.coalesce(*[F.when(F.col("collection") == c, F.lit(n)) for c, n in known.items()])
+    wrong = F.raise_error(F.concat(F.lit("wrong vector length in "), F.col("collection"))).cast(vectors.schema["embedding"].dataType)
+    return vectors.withColumn("embedding", F.when((F.size("embedding") == want) | want.isNull(), F.col("embedding")).otherwise(wrong))
+
+
+_ID = T.StructField("page_id", T.StringType())
+#: The store's tables; `pages` says which version of a page counts.
+TABLES = {
+    "nodes": schema.NODE_SCHEMA,
+    "edges": T.StructType([*schema.EDGE_SCHEMA.fields, _ID]),
+    "vectors": T.StructType([*schema.VECTOR_SCHEMA.fields, _ID]),
+    "pages": T.StructType([_ID]),
+}
 
 
 @dataclass
 class GraphStore:
-    """nodes, edges and vectors under one path; pages that are stored again replace what was there."""
+    """nodes, edges and vectors under one path; pages that are stored again replace all they had.
+
+    Every call of store() appends one version of its pages to each table, in a folder of its own, and
+    names them last in the table `pages`; a page's rows are those of its greatest version there.  So
+    a batch costs what it holds, however large the graph is, and one that breaks off is never
+    seen; the next call writes over it.  compact() rewrites what counts as one version.  One writer at a
+    time; readers may read while it writes, but not while it compacts."""
 
     spark: SparkSession
     config: StoreConfig
@@ -65,34 +115,60 @@ class GraphStore:
     def _path(self, table: str) -> str:
         return f"{self.config.path}/{table}"
 
-    def _write(self, df: DataFrame, table: str) -> None:
-        """Partitioned by page_id's bucket; only the buckets of the new rows are rewritten."""
-        df = df.withColumn("bucket", F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int"))
-        path = self._path(table)
-        if exists(self.spark, path):
-            old = self.spark.read.parquet(path)
-            touched = [r[0] for r in df.select("bucket").distinct().collect()]  # 64 at most
-            old = old.where(F.col("bucket").isin(touched)).join(df.select("page_id").distinct(), "page_id", "left_anti")
-            df = df.unionByName(old.select(*df.columns)).transform(_kept_apart, self.spark, f"{path}-next")
-        df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    def _all(self, table: str) -> DataFrame:
+        """Every version of a table, with `version`."""
+        full = T.StructType([*TABLES[table].fields, T.StructField("version", T.LongType())])
+        if not connected(lambda: present(self.spark, self._path(table))):
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(self._path(table))
+
+    def _current(self, table: str) -> DataFrame:
+        last = self._all("pages").groupBy("page_id").agg(F.max("version").alias("version"))
+        return self._all(table).join(last, ["page_id", "version"], "left_semi").select(*TABLES[table].names)
+
+    def _append(self, df: DataFrame, table: str, version: int) -> None:
+        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.mode("overwrite").parquet(f"{self._path(table)}/version={version}")
+
+    def _next(self) -> int:
+        return (self._all("pages").agg(F.max("version")).first()[0] or 0) + 1
+
+    def dimensions(self) -> dict[str, int | None]:
+        return {f"{self.config.collection}_text": self.config.text_dim, f"{self.config.collection}_image": self.config.image_dim}
 
     def store(self, nodes: DataFrame) -> None:
-        """Nodes, then their edges, then their vectors."""
-        plain = nodes.drop("embedding") if "embedding" in nodes.columns else nodes
-        own = nodes.select("node_id", "page_id")
-        self._write(plain, "nodes")
-        self._write(node_ops.edges(plain).join(own.withColumnRenamed("node_id", "dst_id"), "dst_id"), "edges")
-        if "embedding" in nodes.columns:
-            self._write(vectors_of(nodes, self.config.collection).join(own, "node_id"), "vectors")
+        """Nodes, then their edges, then their vectors.  The nodes are computed once, however much
+        their model stages cost: edges and vectors come from what was written."""
+        version = self._next()
+        full = nodes if "embedding" in nodes.columns else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
+        staged = f"{self.config.path}/staged"
+        save_stage(full, staged)
+        held = load_stage(self.spark, staged)
+        self._append(schema.as_nodes(held), "nodes", version)
+        own = held.select("node_id", "page_id")
+        self._append(node_ops.edges(schema.as_nodes(held)).join(own.withColumnRenamed("node_id", "dst_id"), "dst_id"), "edges", version)
+        vectors = of_dimension(vectors_of(held, self.config.collection), self.dimensions())
+        self._append(vectors.join(own, "node_id"), "vectors", version)
+        self._append(held.select("page_id").distinct(), "pages", version)
+        remove(self.spark, staged)
+
+    def compact(self) -> None:
+        """Keep what counts, as one version; what it replaces is removed afterwards."""
+        version = self._next()
+        old = [r[0] for r in self._all("pages").select("version").distinct().collect()]  # a number for each call of store()
+        for table in TABLES:  # pages last: till then the old versions count
+            self._append(self._current(table), table, version)
+        for table in TABLES:
+            for v in old:
+                remove(self.spark, f"{self._path(table)}/version={v}")
 
     def nodes(self) -> DataFrame:
-        return schema.as_nodes(load_stage(self.spark, self._path("nodes")))
+        return self._current("nodes")
 
     def edges(self) -> DataFrame:
-        return load_stage(self.spark, self._path("edges")).select("src_id", "dst_id", "rel")
+        return self._current("edges").select("src_id", "dst_id", "rel")
 
     def vectors(self) -> DataFrame:
-        return load_stage(self.spark, self._path("vectors")).select("node_id", "collection", "modality", "embedding", "norm")
+        return self._current("vectors").select("node_id", "collection", "modality", "embedding", "norm")
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes().where(F.col("node_id") == node_id)
@@ -103,9 +179,3 @@ class GraphStore:
     def sample(self, collection: str, n: int = 10) -> DataFrame:
         """The first n vectors of a collection, for a look."""
         return self.vectors().where(F.col("collection") == collection).orderBy("node_id").limit(n)
-
-
-def _kept_apart(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Written elsewhere first, as a table can't be read and overwritten at once."""
-    save_stage(df, path)
-    return load_stage(spark, path)

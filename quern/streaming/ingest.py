@@ -1,10 +1,12 @@
 """Pages that arrive over time: each micro-batch goes through the same stages and into the store.
 
-Storing replaces what a page had before, so a batch that runs twice leaves one copy."""
+Storing replaces what a page had before, so a batch that runs twice leaves one copy, and the models
+are asked once for each node of a batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern import schema
@@ -14,15 +16,23 @@ from quern.sources.store import GraphStore
 
 
 def page_stream(spark, path: str) -> DataFrame:
-    return spark.readStream.schema(schema.PAGE_SCHEMA).parquet(path)
+    """Pages of the files that arrive, with `arrived`, their time."""
+    return spark.readStream.schema(schema.PAGE_SCHEMA).parquet(path).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+
+
+def latest(batch: DataFrame) -> DataFrame:
+    """One row for each page_id: the last to arrive; of those that came together the greatest content."""
+    time = [F.col("arrived").desc_nulls_last()] if "arrived" in batch.columns else []
+    order = Window.partitionBy("page_id").orderBy(*time, F.desc("content"), F.desc("title"), F.desc("html"))
+    return batch.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "arrived")
 
 
 def ingest_stream(pages: DataFrame, graph: GraphStore, checkpoint: str, providers: Providers | None = None, once: bool = False) -> StreamingQuery:
     providers = providers or Providers()
 
     def each(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates(["page_id"])
-        graph.store(transformed(initial_nodes(latest, providers), providers).drop("last_transformed"))
+        if not batch.isEmpty():
+            graph.store(transformed(initial_nodes(latest(batch), providers), providers).drop("last_transformed"))
 
     writer = pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
