@@ -10,17 +10,36 @@ from quern.functions import markup, text
 from quern.operators import links as link_ops
 
 
-def section_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, section_no, sub_no, level, title, body): headings in order; sub_no 0 is the section
-    itself.  body is the text up to the next heading.  Subsections before any section go."""
+def _headings() -> Column:
+    """array<struct<h, b>>: a page's heading lines, each with the text up to the next."""
     split = F.split(F.coalesce("content", F.lit("")), text.HEADING_LINE)
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(text.headings(F.col("content")).alias("h"), F.slice(split, 2, 1 << 30).alias("b"))).alias("pos", "x"))
-    rows = rows.select("page_id", "pos", text.is_section(F.col("x.h")).alias("top"), text.heading_title(F.col("x.h")).alias("title"), text.strip(F.regexp_replace(F.coalesce("x.b", F.lit("")), "^=+(?=\n|$)", "")).alias("body"))
-    rows = rows.where("title != ''")
-    order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section_no", F.sum(F.col("top").cast("int")).over(order).cast("int")).where("section_no > 0")
-    within = Window.partitionBy("page_id", "section_no").orderBy("pos")
-    return rows.withColumn("sub_no", (F.row_number().over(within) - 1).cast("int")).select("page_id", "section_no", "sub_no", F.when(F.col("top"), 2).otherwise(3).alias("level"), "title", "body")
+    return F.arrays_zip(text.headings(F.col("content")).alias("h"), F.slice(split, 2, 1 << 30).alias("b"))
+
+
+def _body(c: Column) -> Column:
+    return text.strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A=+(?=\n|\z)", ""))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (page_id, part, pos, top, title, body, ...), where headings are those of part `heading`, with
+    section_no, sub_no, and of its section the title and body.  Headings without a title go, as do
+    subsections before any section.  All windows lie within a page: one shuffle serves them all."""
+    heading = F.col("part") == "heading"
+    rows = rows.where(~heading | (F.col("title") != ""))
+    order = Window.partitionBy("page_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section_no", F.when(heading, F.sum(F.col("top").cast("int")).over(order)).cast("int")).where(~heading | (F.col("section_no") > 0))
+    within = Window.partitionBy("page_id", "part", "section_no").orderBy("pos")
+    rows = rows.withColumn("sub_no", F.when(heading, F.row_number().over(within) - 1).cast("int"))
+    first = within.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("section", F.when(heading, F.first("title").over(first))).withColumn("section_body", F.when(heading, F.first("body").over(first)))
+
+
+def section_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, section_no, sub_no, level, title, body, section, section_body): headings in order; sub_no
+    0 is the section itself.  body is the text up to the next heading.  Subsections before any section go."""
+    rows = pages.select("page_id", F.posexplode(_headings()).alias("pos", "x"))
+    rows = rows.select("page_id", F.lit("heading").alias("part"), "pos", text.is_section(F.col("x.h")).alias("top"), text.heading_title(F.col("x.h")).alias("title"), _body(F.col("x.b")).alias("body"))
+    return _numbered(rows).select("page_id", "section_no", "sub_no", F.when(F.col("top"), 2).otherwise(3).alias("level"), "title", "body", "section", "section_body")
 
 
 def section_titles(pages: DataFrame) -> DataFrame:
@@ -35,69 +54,108 @@ def _id(kind: str, ordinal: Column) -> Column:
     return schema.node_id(F.col("page_id"), F.lit(kind), ordinal)
 
 
-def documents(pages: DataFrame) -> DataFrame:
-    return schema.as_nodes(pages.select(
-        _id("page", F.lit(0)).alias("node_id"), "page_id", F.lit("document").alias("kind"), F.lit("page").alias("type"), text.sanitise_title(F.col("title")).alias("title"),
-        F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.col("content").alias("text"), F.lit(0).alias("ord"),
+#: Parts of a page, in the order of their nodes; the order of a node is its part's place and its own.
+PARTS = ("page", "intro", "heading", "image", "table", "citation", "wiki-ref")
+_ELEMENT = "struct<part:string,pos:int,title:string,body:string,top:boolean,image_data:binary,image_url:string>"
+
+
+def _element(part: str, pos: Column, **fields: Column) -> Column:
+    named = {"part": F.lit(part), "pos": pos} | fields
+    names = ("part", "pos", "title", "body", "top", "image_data", "image_url")
+    return F.struct(*[named.get(n, F.lit(None)).alias(n) for n in names]).cast(_ELEMENT)
+
+
+def _elements(part: str) -> Column:
+    """What a page has of a part, as an array of _ELEMENT."""
+    zero, none = F.lit(0), F.array().cast(f"array<{_ELEMENT}>")
+    if part == "page":
+        return F.array(_element(part, zero, title=text.sanitise_title(F.col("title")), body=F.col("content")))
+    if part == "intro":
+        intro = text.intro(F.col("content"))
+        return F.when(intro != "", F.array(_element(part, zero, body=intro))).otherwise(none)
+    if part == "heading":
+        make = lambda x, i: _element(part, i, top=text.is_section(x["h"]), title=text.heading_title(x["h"]), body=_body(x["b"]))
+        return F.transform(_headings(), make)
+    if part == "image":
+        make = lambda x, i: _element(part, i, title=x["image_name"], image_data=x["image_data"], image_url=x["image_url"])
+        return F.coalesce(F.transform("images", make), none)
+    return F.coalesce(F.transform(markup.wiki_tables(F.col("html")), lambda t, i: _element(part, i, body=t["csv"])), none)
+
+
+def _place(part: str, pos: Column) -> Column:
+    return F.lit(PARTS.index(part) << 40) + pos
+
+
+def build(pages: DataFrame, parts: tuple[str, ...], classify=None) -> DataFrame:
+    """Nodes of some parts of all pages.  Each page is read once and its parts come out of one array;
+    classify(rows with image_data, image_name) adds `answer`, the classifier's word, and may drop images."""
+    rows = pages.select(
+        "page_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), text.sanitise_title(F.col("title")).alias("source_page"),
+        F.explode(F.concat(*[_elements(p) for p in parts])).alias("x"),
+    )
+    rows = rows.select("page_id", "summary", "categories", "source_page", "x.*")
+    if "image" in parts:
+        rows = classify(rows.withColumn("image_name", F.when(F.col("part") == "image", F.col("title"))))
+    else:
+        rows = rows.withColumn("answer", F.lit(None).cast("string"))
+    if "heading" in parts:
+        rows = _numbered(rows.repartition("page_id")).where("part != 'heading' or (body != '' and section_body != '')")  # a section without text hides its subsections
+    else:
+        none = F.lit(None)
+        rows = rows.withColumns({"section_no": none.cast("int"), "sub_no": none.cast("int"), "section": none.cast("string")})
+    part, top, source = F.col("part"), F.col("sub_no") == 0, _id("page", F.lit(0))
+    of = lambda **by: F.coalesce(*[F.when(part == p, v) for p, v in by.items()])
+    section_id = lambda no, sub: _id("section", F.concat_ws(".", no, sub))
+    return schema.as_nodes(rows.select(
+        of(page=source, intro=_id("intro", F.lit(0)), heading=section_id("section_no", "sub_no"), image=_id("image", F.col("pos")), table=_id("table", F.col("pos"))).alias("node_id"), "page_id",
+        of(page=F.lit("document"), image=F.lit("image"), intro=F.lit("text"), heading=F.lit("text"), table=F.lit("text")).alias("kind"),
+        of(page=F.lit("page"), intro=F.lit("section"), heading=F.when(top, "section").otherwise("subsection"), image=text.image_type(F.col("answer")), table=F.lit("table")).alias("type"),
+        of(page=F.col("title"), intro=F.concat("source_page", F.lit("_intro")), heading=text.sanitise_title(F.col("title")), image=text.sanitise_title(F.col("title")), table=F.concat("source_page", F.lit("_table_"), "pos")).alias("title"),
+        F.when(~part.isin("page", "intro"), F.col("source_page")).alias("source_page"), F.when((part == "heading") & ~top, text.sanitise_title(F.col("section"))).alias("parent_section"),
+        F.when(part != "page", F.col("summary")).alias("context"), F.when(part == "page", F.col("summary")).alias("summary"), F.when(part == "page", F.col("categories")).alias("categories"),
+        F.col("body").alias("text"), "image_data", "image_url",
+        F.when((part == "heading") & ~top, section_id("section_no", F.lit(0))).when(part != "page", source).alias("parent_id"), F.when(part != "page", source).alias("source_id"),
+        of(intro=F.lit("intro"), heading=F.when(top, F.lit("sections")).otherwise(F.concat(F.lit("sub"), F.col("section_no"))), image=F.lit("images"), table=F.lit("tables")).alias("chain"),
+        F.when(part == "heading", F.when(top, F.col("section_no")).otherwise(F.col("sub_no"))).when(part != "page", F.col("pos")).alias("pos"),
+        F.coalesce(*[F.when(part == p, _place(p, F.col("pos"))) for p in parts]).alias("ord"),
     ))
 
 
-def _about(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", text.sanitise_title(F.col("title")).alias("source_page"), F.coalesce("summary", F.lit("")).alias("context"), _id("page", F.lit(0)).alias("source_id"))
+def documents(pages: DataFrame) -> DataFrame:
+    return build(pages, ("page",))
 
 
 def intros(pages: DataFrame) -> DataFrame:
     """The text before the first heading, where there is any: a section without a source page."""
-    rows = pages.select("page_id", text.intro(F.col("content")).alias("text")).where("text != ''").join(_about(pages), "page_id")
-    return schema.as_nodes(rows.select(
-        _id("intro", F.lit(0)).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.lit("section").alias("type"), F.concat("source_page", F.lit("_intro")).alias("title"),
-        "context", "text", F.col("source_id").alias("parent_id"), "source_id", F.lit("intro").alias("chain"), F.lit(0).alias("pos"), F.lit(1).alias("ord"),
-    ))
+    return build(pages, ("intro",))
 
 
 def sections(pages: DataFrame) -> DataFrame:
     """Sections and subsections with text.  A section without text hides its subsections; a
     subsection's parent is its section."""
-    rows = section_rows(pages)
-    kept = rows.where("sub_no = 0 and body != ''").select("page_id", "section_no", F.col("title").alias("section"))
-    rows = rows.where("body != ''").join(kept, ["page_id", "section_no"]).join(_about(pages), "page_id")
-    top = F.col("sub_no") == 0
-    return schema.as_nodes(rows.select(
-        _id("section", F.concat_ws(".", "section_no", "sub_no")).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.when(top, "section").otherwise("subsection").alias("type"),
-        text.sanitise_title(F.col("title")).alias("title"), "source_page", F.when(~top, text.sanitise_title(F.col("section"))).alias("parent_section"), "context", F.col("body").alias("text"),
-        F.when(top, F.col("source_id")).otherwise(_id("section", F.concat(F.col("section_no").cast("string"), F.lit(".0")))).alias("parent_id"), "source_id",
-        F.when(top, F.lit("sections")).otherwise(F.concat(F.lit("sub"), F.col("section_no"))).alias("chain"),
-        F.when(top, F.col("section_no")).otherwise(F.col("sub_no")).alias("pos"), (F.lit(1_000_000) + F.col("section_no") * 10_000 + F.col("sub_no")).alias("ord"),
-    ))
+    return build(pages, ("heading",))
 
 
 def section_map(pages: DataFrame) -> DataFrame:
     """(page_id, section, parent_id): a heading's title to the node that links under it belong to.
     A subsection's title leads to its section; of equal titles the last counts."""
-    rows = section_rows(pages)
-    kept = rows.where("sub_no = 0 and body != ''").select("page_id", "section_no")
-    rows = rows.where("body != ''").join(kept, ["page_id", "section_no"], "left_semi")
+    rows = section_rows(pages).where("body != '' and section_body != ''")
     target = _id("section", F.concat(F.col("section_no").cast("string"), F.lit(".0")))
     return rows.groupBy("page_id", F.col("title").alias("section")).agg(F.max_by(target, F.struct("section_no", "sub_no")).alias("parent_id"))
 
 
 def images(pages: DataFrame, classify) -> DataFrame:
     """Image nodes; classify(images DataFrame) adds `answer`, the classifier's word."""
-    rows = pages.where("images is not null").select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.*")
-    rows = classify(rows).join(_about(pages), "page_id")
-    return schema.as_nodes(rows.select(
-        _id("image", F.col("pos")).alias("node_id"), "page_id", F.lit("image").alias("kind"), text.image_type(F.col("answer")).alias("type"), text.sanitise_title(F.col("image_name")).alias("title"),
-        "source_page", "context", "image_data", "image_url", F.col("source_id").alias("parent_id"), "source_id", F.lit("images").alias("chain"), "pos", (F.lit(2_000_000_000) + F.col("pos")).alias("ord"),
-    ))
+    return build(pages, ("image",), classify)
 
 
 def tables(pages: DataFrame) -> DataFrame:
     """A node for each wiki table, as CSV."""
-    rows = pages.select("page_id", F.posexplode(markup.wiki_tables(F.col("html"))).alias("pos", "t")).join(_about(pages), "page_id")
-    return schema.as_nodes(rows.select(
-        _id("table", F.col("pos")).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.lit("table").alias("type"), F.concat(F.col("source_page"), F.lit("_table_"), F.col("pos")).alias("title"),
-        "source_page", "context", F.col("t.csv").alias("text"), F.col("source_id").alias("parent_id"), "source_id", F.lit("tables").alias("chain"), "pos", (F.lit(3_000_000_000) + F.col("pos")).alias("ord"),
-    ))
+    return build(pages, ("table",))
+
+
+def _about(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", text.sanitise_title(F.col("title")).alias("source_page"), F.coalesce("summary", F.lit("")).alias("context"), _id("page", F.lit(0)).alias("source_id"))
 
 
 def citations(pages: DataFrame, cited: DataFrame) -> DataFrame:
@@ -110,21 +168,21 @@ def citations(pages: DataFrame, cited: DataFrame) -> DataFrame:
     archive = many.select("page_id", "section", F.struct("section_pos", F.lit(1).alias("archive"), "pos", "k").alias("o"), F.concat_ws("-", title, text.archive_suffix(F.col("k"), F.col("n"))).alias("title"), "url", F.lit("archive-citation").alias("type"))
     rows = actual.unionByName(archive)
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("o", "type", "url")) - 1)
-    return _link_nodes(pages, rows, "citation", 4_000_000_000)
+    return _link_nodes(pages, rows, "citation")
 
 
 def wiki_references(pages: DataFrame, wiki: DataFrame) -> DataFrame:
     rows = wiki.select("page_id", "section", F.struct("section_pos", "pos").alias("o"), text.sanitise_title(F.col("text")).alias("title"), "url", F.lit("wiki-ref").alias("type"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("o", "url")) - 1)
-    return _link_nodes(pages, rows, "wiki-ref", 5_000_000_000)
+    return _link_nodes(pages, rows, "wiki-ref")
 
 
-def _link_nodes(pages: DataFrame, rows: DataFrame, chain: str, base: int) -> DataFrame:
+def _link_nodes(pages: DataFrame, rows: DataFrame, chain: str) -> DataFrame:
     rows = rows.join(section_map(pages), ["page_id", "section"], "left").join(_about(pages), "page_id")
     return schema.as_nodes(rows.select(
         _id(chain, F.col("n")).alias("node_id"), "page_id", F.lit("image").alias("kind"), "type", "title", "source_page", text.sanitise_title(F.col("section")).alias("parent_section"),
         F.when(F.col("type") != "archive-citation", F.col("context")).alias("context"), F.col("url").alias("text"), F.col("url").alias("image_url"), "parent_id", "source_id",
-        F.lit(chain).alias("chain"), F.col("n").alias("pos"), (F.lit(base) + F.col("n")).alias("ord"),
+        F.lit(chain).alias("chain"), F.col("n").alias("pos"), _place(chain, F.col("n")).alias("ord"),
     ))
 
 
@@ -138,13 +196,10 @@ def linked(nodes: DataFrame) -> DataFrame:
 def page_nodes(pages: DataFrame, classify, with_links: bool = False) -> DataFrame:
     """All nodes of all pages: document, intro, sections, images, tables, and with `with_links`
     citations and wiki links."""
-    parts = [documents(pages), intros(pages), sections(pages), images(pages, classify), tables(pages)]
+    out = build(pages, PARTS[:5], classify)
     if with_links:
         rows = link_ops.page_links(pages)
-        parts += [citations(pages, link_ops.all_citations(rows)), wiki_references(pages, link_ops.wiki_links(rows))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(citations(pages, link_ops.all_citations(rows))).unionByName(wiki_references(pages, link_ops.wiki_links(rows)))
     return linked(out)
 
 

@@ -1,20 +1,20 @@
 """DuckDB SQL for the registered queries, written apart from them."""
 
-_HITS = """
-v AS (SELECT vec_id, CASE WHEN label < 6 THEN 'text' ELSE 'image' END AS modality, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id >= 5),
-q AS (SELECT CAST(vec_id AS INTEGER) AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5),
+_SEARCH = """
+v AS (SELECT vec_id, CASE WHEN label < 6 THEN 'text' ELSE 'image' END AS modality, embedding::DOUBLE[] AS e FROM embeddings),
+q AS (SELECT CAST(vec_id AS INTEGER) AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {which}),
 s AS (SELECT query_id, vec_id, modality, coalesce(list_cosine_similarity(v.e, q.e), 0) AS score FROM v, q),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, vec_id) AS r FROM s),
 h AS (SELECT query_id, vec_id, modality, score FROM n WHERE (modality = 'text' AND r <= 10) OR (modality = 'image' AND r <= 5))"""
+_HITS, _QUESTION = _SEARCH.format(which="vec_id % 100 = 0"), _SEARCH.format(which="vec_id < 5")
 
-_FUSED = f"""{_HITS},
+_FUSED = f"""{_QUESTION},
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, modality DESC, vec_id) - 1 AS rank FROM h),
 f AS (SELECT vec_id, modality, sum(CASE WHEN modality = 'text' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / (rank + 60.0::DOUBLE)) AS score, min({{'q': query_id, 'r': rank}}) AS seen FROM k GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, seen, vec_id) - 1 AS rank FROM f QUALIFY rank < 10)"""
 
 _PARENTS = f"""{_FUSED},
-turns AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS no FROM conversations),
-up AS (SELECT t.conv_id, min(top.rank) AS rank FROM top JOIN turns t ON t.no = top.vec_id GROUP BY 1),
+up AS (SELECT t.conv_id, min(top.rank) AS rank FROM top JOIN conversations t ON t.conv_id = top.vec_id // 3 AND t.turn = top.vec_id % 3 GROUP BY 1),
 par AS (SELECT up.rank, c.conv_id || '-0' AS node_id, CASE c.conv_id % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'image' END AS type, CASE WHEN c.conv_id % 3 = 1 THEN 'image' ELSE 'text' END AS kind, c.text
         FROM up JOIN conversations c ON c.conv_id = up.conv_id AND c.turn = 0 WHERE c.conv_id % 3 <> 2)"""
 
@@ -27,7 +27,7 @@ content AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY i) AS content FROM mar
 _TURNS = "SELECT conv_id, turn, conv_id || '-' || turn AS node_id, lag(conv_id || '-' || turn) OVER w AS prev_id, lead(conv_id || '-' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
 
 _REFS = """
-rows AS (SELECT conv_id // 5 AS page_id, conv_id, turn, CASE WHEN turn = 0 THEN '#cite_ref-' || conv_id END AS cite_ref, substr(text, 1, 40) AS text, 'http://ref/' || conv_id || '/' || turn AS url FROM conversations),
+rows AS (SELECT conv_id // 5 AS page_id, conv_id, turn, CASE WHEN turn = 0 THEN '#cite_ref-' || conv_id END AS cite_ref, text, 'http://ref/' || conv_id || '/' || turn AS url FROM conversations),
 refs AS (SELECT page_id, conv_id, max(cite_ref) AS cite_ref, list({'text': text, 'url': url} ORDER BY turn) FILTER (turn > 0) AS l FROM rows GROUP BY 1, 2),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY conv_id) AS ref_pos FROM refs),
 tuples AS (SELECT page_id, ref_pos, cite_ref, conv_id::VARCHAR AS ref_no, coalesce(list_filter(l, lambda x: x.text <> '')[1].text, '') AS title, l[1].url AS link,
@@ -42,7 +42,7 @@ SQL = {
     "parent_lookup": f"WITH {_PARENTS} SELECT CAST(rank AS INTEGER) AS rank, node_id, type, kind FROM par",
     "context_concat": f"WITH {_PARENTS} SELECT coalesce(string_agg(text, ' ' ORDER BY rank) FILTER (kind = 'text' AND text <> ''), '') AS texts, coalesce(string_agg('http://images/' || node_id || '.png', ' ' ORDER BY rank) FILTER (kind = 'image'), '') AS image_urls FROM par",
     "clean_text": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'citation' ELSE 'section' END AS type, CASE WHEN doc_id % 5 = 0 THEN text ELSE regexp_replace(text, '[^0-9A-Za-z ]', '', 'g') END AS text FROM documents",
-    "sanitise_title": r"""SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '[<>:,"/\\|?*]', '-', 'g'), '[\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}\x{3000}-]+', '-', 'g') AS title FROM documents""",
+    "sanitise_title": r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[<>:,"/\\|?*]', '-', 'g'), '[\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}\x{3000}-]+', '-', 'g') AS title FROM documents""",
     "intro_split": f"WITH {_MARKED} SELECT doc_id, regexp_replace(string_split_regex(content, '(==[^=].*?==)|(===.*?===)')[1], '^\\s+|\\s+$', '', 'g') AS intro FROM content",
     "section_titles": f"""WITH {_MARKED},
 hs AS (SELECT doc_id, unnest(regexp_extract_all(content, '(?m)(^==[^=].*?==)|(^===.*?===)')) AS h, generate_subscripts(regexp_extract_all(content, '(?m)(^==[^=].*?==)|(^===.*?===)'), 1) AS pos FROM content),
@@ -67,7 +67,7 @@ p AS (SELECT page_id, pos, regexp_replace(regexp_extract(x, '(?s)^<a\s[^>]*>(.*?
 SELECT page_id, 'Body' AS section, text, url, CAST(min(pos) AS BIGINT) AS pos FROM p
 WHERE NOT contains(url, 'cite_note') AND NOT regexp_matches(lower(url), '\.(jpg|jpeg|png|svg|gif)$') GROUP BY page_id, text, url""",
     "citation_groups": f"WITH {_REFS} SELECT page_id, CAST(ref_pos AS BIGINT) AS ref_pos, cite_ref, ref_no, title, link, archived FROM tuples",
-    "citation_resolve": f"WITH {_REFS} SELECT page_id, CASE WHEN conv_id % 2 = 1 THEN 'Part 1.0' ELSE 'Introduction' END AS section, ref_no, title, link, archived FROM tuples",
+    "citation_resolve": f"WITH {_REFS} SELECT page_id, CASE WHEN conv_id % 2 = 1 THEN 'Part 1' ELSE 'Introduction' END AS section, ref_no, title, link, archived FROM tuples",
     "vector_routing": f"""WITH t AS (SELECT vec_id, {_TYPES}[label + 1] AS type, embedding::DOUBLE[] AS e FROM embeddings WHERE label <> 9)
 SELECT vec_id, 'wiki_text' AS collection, CASE WHEN type IN ('image', 'plot', 'image_description', 'plot_insights', 'image_entities') THEN 'image' ELSE 'text' END AS modality, round(sqrt(list_inner_product(e, e)), 6) AS norm FROM t WHERE type <> 'page'""",
     "embedding_flags": f"""WITH t AS (SELECT vec_id, {_TYPES}[label + 1] AS type FROM embeddings)
@@ -81,7 +81,8 @@ SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20
 CASE WHEN turn % 2 = 1 THEN text END AS text, CASE WHEN turn % 2 = 0 THEN 'u' || turn END AS image_url, conv_id || '-0' AS parent_id FROM conversations WHERE turn > 0""",
     "generated_queries": r"""WITH l AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations),
 p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS q FROM l),
-u AS (SELECT conv_id, turn, unnest(q) AS query, generate_subscripts(q, 1) - 1 AS line FROM p)
-SELECT conv_id, query, CAST(min(turn * 10000 + line) AS BIGINT) AS pos FROM u GROUP BY 1, 2""",
+u AS (SELECT conv_id, turn, unnest(q) AS query, generate_subscripts(q, 1) - 1 AS line FROM p),
+m AS (SELECT conv_id, query, min({'turn': turn, 'line': CAST(line AS INTEGER)}) AS p FROM u GROUP BY 1, 2)
+SELECT conv_id, query, p.turn AS turn, p.line AS line FROM m""",
     "payload_ids": "SELECT vec_id, 'n' || vec_id AS node_id FROM embeddings",
 }

@@ -12,8 +12,8 @@ from quern.sources import wiki
 
 #: What embeddings.label stands for.
 LABEL_TYPES = ("chunk", "entities", "summary", "key_takeaways", "table_analysis", "page", "image_description", "plot_insights", "image_entities", "image")
-#: The first five vectors are the question and its four rewrites.
-QUERIES = 5
+#: The first five vectors are a question and its four rewrites; a plain search asks for every hundredth.
+QUESTION, EVERY = 5, 100
 K = 10
 
 
@@ -25,25 +25,25 @@ def _label_type(c):
     return F.element_at(F.array(*[F.lit(x) for x in LABEL_TYPES]), c + 1)
 
 
-def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(vectors, queries) from embeddings."""
+def _vectors(spark, sf_dir, question: bool) -> tuple[DataFrame, DataFrame]:
+    """(vectors, queries) from embeddings: all rows, and the question or every hundredth."""
     t = _read(spark, sf_dir, "embeddings")
-    v = t.where(F.col("vec_id") >= QUERIES).select(F.col("vec_id").alias("node_id"), F.when(F.col("label") < 6, "text").otherwise("image").alias("modality"), "embedding")
-    q = t.where(F.col("vec_id") < QUERIES).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+    v = t.select(F.col("vec_id").alias("node_id"), F.when(F.col("label") < 6, "text").otherwise("image").alias("modality"), "embedding")
+    q = t.where(F.col("vec_id") < QUESTION if question else F.col("vec_id") % EVERY == 0).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.with_norm(v), q
 
 
-def _hits(spark, sf_dir) -> DataFrame:
-    return retrieval.text_first(*_vectors(spark, sf_dir), K)
+def _hits(spark, sf_dir, question: bool = True) -> DataFrame:
+    return retrieval.text_first(*_vectors(spark, sf_dir, question), K)
 
 
 def knn_filtered_topk(spark, sf_dir) -> DataFrame:
-    v, q = _vectors(spark, sf_dir)
+    v, q = _vectors(spark, sf_dir, False)
     return retrieval.vector_search(v, q, K, "text").select("query_id", F.col("node_id").alias("vec_id"), F.round("score", 9).alias("score"))
 
 
 def text_first_hits(spark, sf_dir) -> DataFrame:
-    return _hits(spark, sf_dir).select("query_id", F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
+    return _hits(spark, sf_dir, False).select("query_id", F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
 
 
 def rrf_fusion(spark, sf_dir) -> DataFrame:
@@ -61,21 +61,11 @@ def _turn_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def _parents(spark, sf_dir) -> DataFrame:
-    """Parents of fused hits.  A hit's vec_id is the number of a turn in order of (conv_id, turn); only
-    the fused few are looked up, so a count up to each is all that is needed of the order."""
+    """Parents of fused hits.  Vector 3 c + t stands for turn t of conversation c."""
     fused = retrieval.fuse(_hits(spark, sf_dir), K)
     order = Window.orderBy(F.desc(F.round("score", 12)), "_seen", "node_id")  # K rows
-    fused = fused.select("node_id", (F.row_number().over(order) - 1).alias("rank"))
-    turns = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    # number of turns before each conversation: sums by range, then within a range
-    spans = turns.withColumn("g", (F.col("conv_id") / 1000).cast("long"))
-    before = spans.groupBy("g").agg(F.sum("n").alias("s"))
-    before = before.select("g", (F.sum("s").over(Window.orderBy("g")) - F.col("s")).alias("b"))
-    first = spans.join(before, "g").withColumn("first", F.col("b") + F.sum("n").over(Window.partitionBy("g").orderBy("conv_id")) - F.col("n"))
-    found = first.join(F.broadcast(fused), (F.col("node_id") >= F.col("first")) & (F.col("node_id") < F.col("first") + F.col("n")))
-    within = _read(spark, sf_dir, "conversations").join(F.broadcast(found.select("conv_id", "first", "rank", F.col("node_id").alias("vec_id"))), "conv_id")
-    numbered = within.withColumn("r", F.row_number().over(Window.partitionBy("conv_id", "vec_id").orderBy("turn")) - 1 + F.col("first")).where("r = vec_id")
-    hits = numbered.select(F.concat_ws("-", "conv_id", "turn").alias("node_id"), "rank")
+    key = F.concat_ws("-", F.floor(F.col("node_id") / 3), F.col("node_id") % 3)
+    hits = fused.select(key.alias("node_id"), (F.row_number().over(order) - 1).alias("rank"))
     n, e = _turn_graph(spark, sf_dir)
     return retrieval.parents(hits, e, n)
 
@@ -94,7 +84,7 @@ def clean_text(spark, sf_dir) -> DataFrame:
 
 
 def sanitise_title(spark, sf_dir) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", text.sanitise_title(F.substring("text", 1, 200)).alias("title"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.sanitise_title(F.col("text")).alias("title"))
 
 
 def _marked(spark, sf_dir) -> DataFrame:
@@ -139,10 +129,13 @@ def page_links(spark, sf_dir) -> DataFrame:
 def _reference_rows(spark, sf_dir) -> DataFrame:
     """Turns as the links of a reference list: turn 0 begins a reference in each conversation, five
     conversations make a page; an odd conversation's note number is cited."""
-    t = _read(spark, sf_dir, "conversations")
-    pos = F.col("conv_id") * 10_000 + F.col("turn")
+    t = _read(spark, sf_dir, "conversations").withColumn("page_id", F.col("conv_id").cast("long") - F.pmod("conv_id", F.lit(5)))
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("conv_id", "turn")).cast("long")
     start = F.col("turn") == 0
-    return t.select((F.col("conv_id") / 5).cast("long").alias("page_id"), F.lit("References").alias("section"), F.lit(0).cast("long").alias("section_pos"), pos.alias("pos"), F.when(start, "^").otherwise(F.substring("text", 1, 40)).alias("text"), F.when(start, F.concat(F.lit("#cite_ref-"), F.col("conv_id"))).otherwise(F.concat(F.lit("http://ref/"), F.col("conv_id"), F.lit("/"), F.col("turn"))).alias("url"))
+    return t.select(
+        (F.col("page_id") / 5).cast("long").alias("page_id"), F.lit("References").alias("section"), F.lit(0).cast("long").alias("section_pos"), pos.alias("pos"), F.when(start, "^").otherwise(F.col("text")).alias("text"),
+        F.when(start, F.concat(F.lit("#cite_ref-"), F.col("conv_id"))).otherwise(F.concat(F.lit("http://ref/"), F.col("conv_id"), F.lit("/"), F.col("turn"))).alias("url"),
+    )
 
 
 def citation_groups(spark, sf_dir) -> DataFrame:
@@ -152,7 +145,8 @@ def citation_groups(spark, sf_dir) -> DataFrame:
 
 def citation_resolve(spark, sf_dir) -> DataFrame:
     rows = _reference_rows(spark, sf_dir)
-    notes = rows.where("text = '^'").select("page_id", F.concat(F.lit("Part "), F.col("pos") / 10_000 % 2).alias("section"), F.lit(1).cast("long").alias("section_pos"), "pos", F.regexp_extract("url", r"(\d+)$", 1).alias("ref_no")).where(F.col("ref_no").cast("long") % 2 == 1)
+    number = text.cite_number(F.col("url"))
+    notes = rows.where("text = '^'").select("page_id", F.concat(F.lit("Part "), number.cast("long") % 2).alias("section"), F.lit(1).cast("long").alias("section_pos"), "pos", number.alias("ref_no")).where(F.col("ref_no").cast("long") % 2 == 1)
     c = links.section_citations(notes, links.reference_tuples(links.reference_links(rows)))
     return c.select("page_id", "section", "ref_no", "title", "link", F.array_join("archived", "|").alias("archived"))
 
@@ -207,7 +201,7 @@ def generated_queries(spark, sf_dir) -> DataFrame:
     """Each conversation's turns as lines of generated queries: trimmed, blank ones dropped, equal ones
     once, in order."""
     t = _read(spark, sf_dir, "conversations").select("conv_id", F.posexplode(text.query_lines(F.col("text"))).alias("line", "query"), "turn")
-    return t.groupBy("conv_id", "query").agg(F.min(F.col("turn") * 10_000 + F.col("line")).alias("pos"))
+    return t.groupBy("conv_id", "query").agg(F.min(F.struct("turn", "line")).alias("p")).select("conv_id", "query", "p.turn", "p.line")
 
 
 def payload_ids(spark, sf_dir) -> DataFrame:
