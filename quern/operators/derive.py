@@ -13,39 +13,41 @@ from quern.functions import images as image_functions
 from quern.functions import text
 from quern.operators import chunking
 from quern.operators.nodes import with_flags
-from quern.providers import Providers, Text, Vision, retrying
+from quern.providers import Oversize, Providers, Request, Text, Vision, retrying
 
 #: Title endings of derived nodes.
 ENDINGS = {"entities": "_entities", "summary": "_summary", "key_takeaways": "_takeaways", "image_description": "_image_description", "plot_insights": "_plot_insights", "image_entities": "_image_entities", "table_analysis": "_analysis"}
 
 
-def _ask_text(provider: Text, prompt: str):
+def _ask_text(provider: Text, stage: str):
     @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else retrying(lambda: provider.complete(prompt, t)))
+    def ask(texts: pd.Series, titles: pd.Series, contexts: pd.Series) -> pd.Series:
+        one = lambda x, t, c: None if x is None else retrying(lambda: provider.complete(Request(stage, x, t or "", c or "")))
+        return pd.Series([one(*row) for row in zip(texts, titles, contexts)], dtype=object)
 
-    return ask
+    return ask.asNondeterministic()(F.col("text"), F.col("title"), F.col("context"))
 
 
-def _ask_vision(provider: Vision, prompt: str):
+def _ask_vision(provider: Vision, stage: str):
     @F.pandas_udf("string")
-    def ask(images: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([retrying(lambda: provider.describe(prompt, image_functions.thumbnail(i), n)) for i, n in zip(images, names)], dtype=object)
+    def ask(images: pd.Series, titles: pd.Series, contexts: pd.Series) -> pd.Series:
+        one = lambda i, t, c: retrying(lambda: provider.describe(Request(stage, None, t or "", c or "", image_functions.thumbnail(i))))
+        return pd.Series([one(*row) for row in zip(images, titles, contexts)], dtype=object)
 
-    return ask
+    return ask.asNondeterministic()(F.col("image_data"), F.col("title"), F.col("context"))
 
 
 def _derived(parents: DataFrame, kind: str, answer: Column, image_stage: bool = False) -> DataFrame:
     rows = parents.withColumn("_answer", answer).where(text.usable_answer(F.col("_answer"), image_stage))
     return schema.as_nodes(rows.select(
         schema.node_id(F.col("page_id"), F.lit(kind), F.col("node_id")).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.lit(kind).alias("type"), F.concat("title", F.lit(ENDINGS[kind])).alias("title"),
-        F.col("_answer").alias("text"), F.col("node_id").alias("parent_id"), "source_id", F.lit(True).alias("needs_embedding"), "ord",
+        F.col("_answer").alias("text"), "context", F.col("node_id").alias("parent_id"), "source_id", F.lit(True).alias("needs_embedding"), "ord",
     ))
 
 
 def _text_stage(nodes: DataFrame, provider: Text, kind: str, types: tuple[str, ...], only_new: bool) -> DataFrame:
     source = nodes.where(F.col("type").isin(*types))
-    new = _derived(source, kind, _ask_text(provider, kind)(F.col("text")))
+    new = _derived(source, kind, _ask_text(provider, kind))
     return new if only_new else nodes.unionByName(new)
 
 
@@ -67,7 +69,7 @@ def table_analysis(nodes: DataFrame, p: Providers, only_new: bool = False) -> Da
 
 def _image_stage(nodes: DataFrame, provider: Vision, kind: str, types: tuple[str, ...], only_new: bool) -> DataFrame:
     source = nodes.where((F.col("kind") == "image") & F.col("type").isin(*types))
-    new = _derived(source, kind, _ask_vision(provider, kind)(F.col("image_data"), F.col("title")), True)
+    new = _derived(source, kind, _ask_vision(provider, kind), True)
     return new if only_new else nodes.unionByName(new)
 
 
@@ -84,26 +86,30 @@ def plot_insights(nodes: DataFrame, p: Providers, only_new: bool = False) -> Dat
 
 
 def classified(images: DataFrame, provider: Vision) -> DataFrame:
-    """images with `answer`; images under 50 pixels either way go, unreadable ones stay."""
+    """rows with `answer`; images under 50 pixels either way go, unreadable ones stay.  Rows with neither
+    data nor a name are no images: they stay and are not asked about."""
+
+    def one(data, name):
+        try:
+            return retrying(lambda: provider.classify(image_functions.for_classifier(data), name)) or "sensitive_image"
+        except Oversize:
+            smaller = image_functions.as_png(data, box=image_functions.SHOWN // 2) or data
+            return retrying(lambda: provider.classify(smaller, name)) or "sensitive_image"
 
     @F.pandas_udf("string")
     def ask(data: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([retrying(lambda: provider.classify(image_functions.for_classifier(d), n)) or "sensitive_image" for d, n in zip(data, names)], dtype=object)
+        return pd.Series([None if d is None and n is None else one(d, n) for d, n in zip(data, names)], dtype=object)
 
     kept = images.where(~F.coalesce(image_functions.too_small(F.col("image_data")), F.lit(False)))
-    return kept.withColumn("answer", ask("image_data", "image_name"))
+    return kept.withColumn("answer", ask.asNondeterministic()("image_data", "image_name"))
 
 
 def chunks(nodes: DataFrame, p: Providers, buffer: int = 1, percentile: float = 0.7, only_new: bool = False) -> DataFrame:
     """Chunk nodes of sections and subsections, and the embedding flag of all others."""
     source = nodes.where(F.col("type").isin("section", "subsection"))
 
-    @F.pandas_udf("array<double>")
-    def embed(groups: pd.Series) -> pd.Series:
-        return pd.Series([[float(x) for x in v] for v in p.embedding.embed(list(groups))] if len(groups) else [], dtype=object)
-
     keys = ["page_id", "node_id", "title", "source_id", "ord"]
-    rows = chunking.chunk_rows(source, keys, "text", embed, buffer, percentile).withColumnRenamed("chunk_no", "pos")
+    rows = chunking.chunk_rows(source, keys, "text", p.embedding.embed, buffer, percentile).withColumnRenamed("chunk_no", "pos")
     new = schema.as_nodes(rows.select(
         schema.node_id(F.col("page_id"), F.lit("chunk"), F.concat_ws("#", "node_id", "pos")).alias("node_id"), "page_id", F.lit("text").alias("kind"), F.lit("chunk").alias("type"),
         F.concat("title", F.lit("_chunk_"), "pos").alias("title"), F.col("chunk").alias("text"), F.col("node_id").alias("parent_id"), "source_id", F.lit(True).alias("needs_embedding"), "pos", "ord",
@@ -112,16 +118,26 @@ def chunks(nodes: DataFrame, p: Providers, buffer: int = 1, percentile: float =
 
 
 def embedded(nodes: DataFrame, p: Providers) -> DataFrame:
-    """(node columns..., embedding): flagged text nodes get a vector, images and others null."""
+    """(node columns..., embedding): flagged text nodes get a vector; so do flagged images and plots
+    where there is a model for images, else they have none."""
 
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        rows = [i for i, t in enumerate(texts) if t is not None]
+    def embed(texts: pd.Series, images: pd.Series) -> pd.Series:
         out: list = [None] * len(texts)
-        if rows:
-            for i, v in zip(rows, p.embedding.embed([texts.iloc[i] for i in rows])):
-                out[i] = [float(x) for x in v]
+        for own, make in ((texts, p.embedding.embed), (images, p.images.embed_images if p.images else None)):
+            rows = [i for i, t in enumerate(own) if t is not None]
+            if rows and make:
+                for i, v in zip(rows, retrying(lambda: make([own.iloc[i] for i in rows]))):
+                    out[i] = None if v is None else [float(x) for x in v]
         return pd.Series(out, dtype=object)
 
-    wanted = F.coalesce("needs_embedding", F.lit(False)) & (F.col("kind") == "text")
-    return nodes.withColumn("embedding", embed(F.when(wanted, F.coalesce("text", F.lit("")))))
+    wanted = F.coalesce("needs_embedding", F.lit(False))
+    text = F.when(wanted & (F.col("kind") == "text"), F.coalesce("text", F.lit("")))
+    image = F.when(wanted & (F.col("kind") == "image") & F.lit(p.images is not None), F.col("image_data"))
+    return nodes.withColumn("embedding", embed.asNondeterministic()(text, image))
+
+
+def counts(nodes: DataFrame) -> DataFrame:
+    """(images, plots): how many image nodes of either type there are."""
+    image = F.col("kind") == "image"
+    return nodes.agg(F.count_if(image & (F.col("type") == "image")).alias("images"), F.count_if(image & (F.col("type") == "plot")).alias("plots"))

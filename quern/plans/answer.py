@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quern.config import Config
 from quern.operators import retrieval
-from quern.providers import Providers, retrying
+from quern.providers import Providers, Request, retrying
 from quern.sources.store import GraphStore
 
 
 def expanded(question: str, providers: Providers, generated: int = 4) -> list[str]:
     """The question, then its rewrites; equal ones once, blank ones never."""
-    answer = retrying(lambda: providers.text.complete("queries", question)) or ""
+    answer = retrying(lambda: providers.text.complete(Request("queries", question))) or ""
     lines = [x.strip() for x in answer.strip().split("\n")]
     return list(dict.fromkeys([question, *[x for x in lines if x][:generated]]))
 
@@ -33,24 +33,19 @@ def fusion_retrieve(vectors: DataFrame, edges: DataFrame, nodes: DataFrame, quer
     return retrieval.parents(fused.withColumn("rank", F.row_number().over(order) - 1), edges, nodes)
 
 
-#: The prompt with context; a model answers it beside the plain question.
-PROMPT = """Answer the question from the context below, thoroughly and briefly.
+#: What a model gets besides the question: texts of the graph, and urls of images.
+PROMPT = """{question}
 
-Context:
+Facts from the knowledge graph, the most relevant first:
 {texts}
 
-Images (URLs):
-{images}
+Pictures that belong to them: {images}
 
-Rely on the text first; use images where they add something. Use headings and bullet points, do not repeat yourself,
-and say so if there is no context.
-
-Question: {question}
-Answer:"""
+Use only these facts. Name a picture by its url where it shows what you say. Without facts that bear on the question, answer that none were found."""
 
 
 def prompts(question: str, texts: str, images: str) -> tuple[str, str]:
-    return PROMPT.format(texts=texts, images=images, question=question), f"Question: {question}\n\nAnswer:"
+    return PROMPT.format(texts=texts or "none", images=images or "none", question=question), question
 
 
 @dataclass
@@ -70,4 +65,4 @@ def process_question(graph: GraphStore, question: str, providers: Providers | No
     row = retrieval.context(found).first()
     with_context, bare = prompts(question, row["texts"], row["image_urls"])
     answerer = answerer or Answerer(providers.text, providers.text)
-    return tuple(retrying(lambda m=m, p=p: m.complete("answer", p)) for m, p in ((answerer.enhanced, with_context), (answerer.standard, bare)))
+    return tuple(retrying(lambda m=m, p=p: m.complete(Request("answer", p))) for m, p in ((answerer.enhanced, with_context), (answerer.standard, bare)))

@@ -6,14 +6,23 @@ succeed; `retrying` waits with exponential jitter, 1 to 60 seconds, ten times at
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import logging
 import random
 import re
 import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 
+from quern.functions.text import FAILED
+
 
 class Filtered(Exception):
     """The provider's content filter refused: the answer is null, no retry."""
@@ -23,22 +32,134 @@ class Busy(Exception):
     """Rate limit or a passing failure."""
 
 
+class Oversize(Exception):
+    """The image is too large for the provider: a smaller one may do."""
+
+
+#: What each stage asks for.  {context} is the summary of the page that a node comes from.
+INSTRUCTIONS = {
+    "entities": "List the named people, organisations, places and dates of the text, once each, separated by commas.",
+    "summary": "Sum up the text in six sentences. It comes from a page about this: {context}",
+    "key_takeaways": "Name the points of the text that a reader should remember, one a line, each after a dash. It comes from a page about this: {context}",
+    "table_analysis": "The text is a table as CSV. Say what it shows: what its columns mean, its extremes, and how values change or depend on one another. Page: {context}",
+    "image_description": "Describe the picture: the setting, what and who is seen, what happens. Say what can't be made out. If nothing can be said at all, answer: error: unable to answer. Page: {context}",
+    "image_entities": "List the people, objects, places and written words in the picture, separated by commas. If there are none to be seen, answer: error: unable to answer. Page: {context}",
+    "plot_insights": "The picture is a plot. Read its axes and legend, then state the trends, comparisons and outliers it shows. If it can't be read, answer: error: unable to answer. Page: {context}",
+    "classify": "Is the picture a plot, chart or diagram, or another image? Answer with one word: plot or image.",
+    "queries": "Write four other search queries that would find what answers the question, one a line, without numbers.",
+    "answer": "Answer the question.",
+}
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a stage asks a model: its name, the text or image, and where these come from."""
+
+    stage: str
+    text: str | None = None
+    title: str = ""
+    context: str = ""
+    image: bytes | None = None
+
+    def prompt(self) -> str:
+        return INSTRUCTIONS[self.stage].format(context=self.context or "not known")
+
+
 class Embedding(Protocol):
     dim: int
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class ImageEmbedding(Protocol):
+    dim: int
+
+    def embed_images(self, images: list[bytes]) -> list: ...
+
+
 class Text(Protocol):
-    def complete(self, prompt: str, text: str) -> str | None: ...
+    def complete(self, request: Request) -> str | None: ...
 
 
 class Vision(Protocol):
-    def describe(self, prompt: str, image: bytes | None, name: str) -> str | None: ...
+    def describe(self, request: Request) -> str | None: ...
 
     def classify(self, image: bytes | None, name: str) -> str: ...
 
 
+def post_json(url: str, body: dict, headers: dict[str, str]) -> tuple[int, dict]:
+    """(status, response)."""
+    call = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    try:
+        with urllib.request.urlopen(call, timeout=120) as answer:
+            return answer.status, json.load(answer)
+    except urllib.error.HTTPError as error:
+        try:
+            return error.code, json.loads(error.read() or b"{}")
+        except ValueError:
+            return error.code, {}
+
+
+@dataclass(frozen=True)
+class ChatModel:
+    """A remote chat model that takes text and images, as a text and a vision provider.
+
+    send(url, body, headers) gives (status, response); errors become Filtered, Busy or Oversize.  Each
+    response's tokens and their price are logged."""
+
+    url: str
+    key: str = ""
+    send: Callable[[str, dict, dict], tuple[int, dict]] = post_json
+    max_tokens: int = 800
+    temperature: float = 0.7
+    token_price: float = 0.00002
+
+    def body(self, request: Request) -> dict:
+        parts = [{"type": "text", "text": request.prompt()}]
+        if request.text:
+            parts.append({"type": "text", "text": request.text})
+        if request.image is not None:
+            parts.append({"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(request.image).decode()}})
+        return {"messages": [{"role": "system", "content": "You prepare pages for a knowledge graph."}, {"role": "user", "content": parts}], "max_tokens": self.max_tokens, "temperature": self.temperature}
+
+    def complete(self, request: Request) -> str | None:
+        status, response = self.send(self.url, self.body(request), {"api-key": self.key})
+        code = str((response.get("error") or {}).get("code", ""))
+        if status == 400 and code == "content_filter":
+            raise Filtered
+        if status == 413 or status == 400 and "large" in code:
+            raise Oversize
+        if status != 200:
+            raise Busy(f"status {status}")
+        tokens = (response.get("usage") or {}).get("total_tokens", 0)
+        logging.getLogger("quern").info("%d tokens, %.4f", tokens, tokens * self.token_price)
+        try:
+            return response["choices"][0]["message"]["content"]
+        except (KeyError, IndexError, TypeError):
+            return FAILED
+
+    describe = complete
+
+    def classify(self, image: bytes | None, name: str) -> str:
+        return self.complete(Request("classify", title=name, image=image)) or ""
+
+
+@dataclass(frozen=True)
+class RemoteEmbedding:
+    """Vectors of texts from a remote model."""
+
+    url: str
+    dim: int
+    key: str = ""
+    send: Callable[[str, dict, dict], tuple[int, dict]] = post_json
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        status, response = self.send(self.url, {"input": texts}, {"api-key": self.key})
+        if status != 200:
+            raise Busy(f"status {status}")
+        return np.array([d["embedding"] for d in sorted(response["data"], key=lambda d: d["index"])], np.float32).reshape(len(texts), self.dim)
+
+
 def retrying(call, attempts: int = 10, low: float = 1.0, high: float = 60.0, sleep=time.sleep):
     """call's result, or None if it is refused; other errors are tried again."""
     for n in range(attempts):
@@ -78,7 +199,8 @@ class RuleText:
     def __init__(self, summary_sentences: int = 6, takeaways: int = 3):
         self.summary_sentences, self.takeaways = summary_sentences, takeaways
 
-    def complete(self, prompt: str, text: str) -> str | None:
+    def complete(self, request: Request) -> str | None:
+        prompt, text = request.stage, request.text
         found = [s.strip() for s in re.findall(r"[^.!?]+[.!?]*\s*", text or "") if s.strip()]
         if prompt == "entities":
             names = list(dict.fromkeys([*_NAME.findall(text or ""), *_DATE.findall(text or "")]))
@@ -98,17 +220,35 @@ class RuleText:
 class NameVision:
     """Answers from an image's name alone."""
 
-    def describe(self, prompt: str, image: bytes | None, name: str) -> str | None:
-        words = re.sub(r"[-_]+", " ", name or "").strip()
-        return f"{prompt.replace('_', ' ')}: {words}" if words else None
+    def describe(self, request: Request) -> str | None:
+        words = re.sub(r"[-_]+", " ", request.title or "").strip()
+        return f"{request.stage.replace('_', ' ')}: {words}" if words else None
 
     def classify(self, image: bytes | None, name: str) -> str:
         low = (name or "").lower()
         return "plot" if any(w in low for w in ("plot", "chart", "graph", "diagram")) else "image"
 
 
+class HashedPixels:
+    """Image bytes hashed to a unit vector: equal images meet."""
+
+    def __init__(self, dim: int = 32):
+        self.dim = dim
+
+    def embed_images(self, images: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for data in images:
+            raw = hashlib.shake_128(data).digest(self.dim)
+            v = np.frombuffer(raw, np.uint8).astype(np.float32) - 127.5
+            out.append(v / np.sqrt((v * v).sum()))
+        return out
+
+
 class Providers:
-    def __init__(self, embedding: Embedding | None = None, text: Text | None = None, vision: Vision | None = None):
+    """Models of all stages.  Without `images` image nodes get no vectors."""
+
+    def __init__(self, embedding: Embedding | None = None, text: Text | None = None, vision: Vision | None = None, images: ImageEmbedding | None = None):
         self.embedding = embedding or HashedEmbedding()
+        self.images = images
         self.text = text or RuleText()
         self.vision = vision or NameVision()
