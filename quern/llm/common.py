@@ -173,11 +173,28 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def lean(run: Callable) -> Callable:
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make() gives, once for the tasks of a worker that name the key (see lean)."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget(uses: tuple = ()) -> None:
+    for key in [k for k in _kept if k not in uses]:
+        del _kept[key]
+
+
+def lean(run: Callable, uses: tuple = ()) -> Callable:
     """run, a function of record batches, giving its memory back to the system when it ends: a worker
-    is used again, and would keep the most that any of its tasks had."""
+    is used again, and would keep the most that any of its tasks had.  What earlier tasks have kept()
+    goes, but for the keys it uses."""
 
     def held(batches):
+        forget(uses)
         try:
             yield from run(batches)
         finally:

@@ -13,8 +13,10 @@ pieces are what merging would make of them together; a position has one such pat
 score minus infinity, so ids equal the library's.  Characters without a piece fall back to their
 bytes (or to the unknown id).
 
-Between two boundaries that always hold (before each U+2581 whose predecessor is another
-character, when no piece has one inside) the ids depend on that stretch alone, and are memoised.
+Two characters that stand side by side in no piece always have a boundary between them, whichever way
+a text is segmented.  Texts are cut there, and the search runs over each distinct stretch of a buffer, the
+short ones once while a memo holds them; its answers are the only ids there are.  A text of one long
+stretch is searched in one go, with the window and the commitments described.
 
 Defined cases: null and empty texts have no ids; decoding gives the text back, except where the
 normaliser or the unknown id lost something (`piece_bpe_32k` keeps every character).
@@ -22,7 +24,7 @@ normaliser or the unknown id lost something (`piece_bpe_32k` keeps every charact
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import kept, lean, ranges, slices
+from quern.llm.memo import PieceMemo
+
 SPACE = "▁"
 
 
 class Pieces:
     """The vocabulary of a SentencePiece model, and the streaming search over it."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,12 +57,23 @@ class Pieces:
         # A model made by merging ranks its pieces by whole numbers; a unigram model has log-probabilities.
         self.merged = all(x == int(x) for x in scores)
         self.floor = min(scores) - 10
-        self.inside = any(SPACE in p.strip(SPACE) for p in self.id)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k[0] else b"" if k[1] or k[2] else p.encode() for p, k in zip(self.piece, kind)]
         self.tails = {p[i:] for p in self.id for i in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.memo = _Stretches(self, keep)
-        self.packs: dict[str, bytes] = {}
+        self.kind = np.uint16 if n <= 65536 else np.uint32
+        self.memo = PieceMemo(self._stretches, self.kind, keep)
+        chars = sorted({c for p in self.id for c in p if ord(c) < 0x10000})
+        self.char = np.zeros(0x10000, np.int32)  # the pieces' characters, numbered from 1
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        pairs = {(a, b) for p in self.id for a, b in zip(p, p[1:])}
+        self.wide = any(ord(c) >= 0x10000 for p in pairs for c in p)
+        known = [(ord(a), ord(b)) for a, b in pairs if max(a, b) < "\U00010000"]
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        if known:
+            self.joins[self.char[[a for a, _ in known]], self.char[[b for _, b in known]]] = True
+        pool = [p.replace(SPACE.encode(), b" ") for p in self.bytes_of]
+        self.pool, self.pool_size = np.frombuffer(b"".join(pool), np.uint8), np.array([len(p) for p in pool])
+        self.pool_at = np.cumsum(self.pool_size) - self.pool_size
 
     def merge(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text: best-ranked pair first, then leftmost."""
@@ -131,46 +147,6 @@ class Pieces:
                     choice, top = p, s
         return choice, top
 
-    def short(self, text: str) -> bytes:
-        """What stream() gives, packed, for a text that needs no commitment on the way."""
-        last: list[str | None] = [""]
-        if self.merged:  # best_merged, written out for speed
-            known, fits, tails, longest = self.id, self.fits, self.tails, self.longest
-            for end in range(1, len(text) + 1):
-                found = None
-                for at in range(end - 1, max(-1, end - longest - 1), -1):
-                    p = text[at:end]
-                    if p in known or at == end - 1:
-                        prior = last[at]
-                        if prior is not None:
-                            ok = fits.get((prior, p))
-                            if ok or ok is None and self.adjacent(prior, p):
-                                found = p
-                                break
-                    if p not in tails:
-                        break
-                last.append(found)
-        else:
-            best = [0.0]
-            for end in range(1, len(text) + 1):
-                piece, score = self.best_scored(text[:end], last, best, "")
-                last.append(piece)
-                best.append(score)
-        packed, end = b"", len(text)
-        while end:
-            p = last[end]
-            packed = self.packed(p) + packed
-            end -= len(p)
-        return packed
-
-    def packed(self, p: str) -> bytes:
-        held = self.packs.get(p)
-        if held is None:
-            held = np.array(self.ids_of(p), "<u4").tobytes()
-            if len(self.packs) < 100_000:
-                self.packs[p] = held
-        return held
-
     def converged(self, last: list[str], best: list[float]) -> int:
         """The furthest boundary that the paths of all open positions share, or 0."""
         n = len(last) - 1
@@ -193,17 +169,41 @@ class Pieces:
             return [self.id[p]]
         return [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        text = self.lib.normalize(text)
-        if self.inside:
-            return b"".join(np.array(part, "<u4").tobytes() for part in self.stream(text))
-        return b"".join(map(self.memo.__getitem__, _STRETCH.findall(text)))
+    def _stretches(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each stretch), by the streaming search."""
+        ids = [[i for part in self.stream(s.decode("utf-8")) for i in part] for s in stretches]
+        return np.array([i for own in ids for i in own], self.kind), np.array([len(own) for own in ids], np.int64)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has)."""
+        texts = [self.lib.normalize(t) if t else "" for t in texts]
+        joined = "".join(texts)
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        if not len(code):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        char = np.where(code < 0x10000, self.char[np.minimum(code, 0xFFFF)], 0)
+        cut = np.ones(len(code), bool)
+        cut[1:] = ~self.joins[char[:-1], char[1:]]
+        if self.wide:  # pieces with characters beyond U+FFFF: no cut beside one
+            far = code >= 0x10000
+            cut[1:] &= ~(far[1:] | far[:-1])
+        first = np.concatenate([[0], ends[:-1]])
+        cut[first[first < len(code)]] = True
+        start = np.flatnonzero(cut)
+        size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)  # bytes of a character
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        ids, count = self.memo.ids(data, at[start], at[np.append(start[1:], len(code))])
+        before = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(before[np.searchsorted(start, np.concatenate([[0], ends]))])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return self.encode_all([text])[0].tolist()
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, U+2581 as a space; the first space is still there."""
+        return self.pool[ranges(self.pool_at[ids], self.pool_size[ids])]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes put together, U+2581 to spaces, the first space taken off."""
@@ -212,30 +212,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-class _Stretches(dict):
-    """Packed ids of stretches; emptied when full."""
-
-    def __init__(self, model: Pieces, keep: int):
-        super().__init__()
-        self.model, self.keep = model, keep
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(stretch) >= 64:
-            return b"".join(np.array(part, "<u4").tobytes() for part in self.model.stream(stretch))
-        if len(self) >= self.keep:
-            self.clear()
-        held = self[stretch] = self.model.short(stretch)
-        return held
-
-
-_STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_models: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    """The model that the tasks of a worker share, if they are lean(..., (("pieces", path),))."""
+    return kept(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -243,13 +222,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = pieces(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = pa.array([model.encode(t or "") for t in texts[at : at + 256]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), ids], names=["doc_id", "ids"])
+        for b in slices(batches, "text"):
+            ids, count = model.encode_all(b.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lean(run, (("pieces", path),)), "doc_id long, ids array<int>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -258,25 +240,29 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         model = pieces(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([model.decode(i or []) for i in some.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run, (("pieces", path),)), "doc_id long, text string")
 
 
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, same): what each whole text encodes to, and whether decoding the
     ids gives the text back."""
-    import zlib
-
     def run(batches):
         model = pieces(path)
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                some = [t or "" for t in texts[at : at + 256]]
-                ids = [model.encode_packed(t) for t in some]
-                crc = [zlib.crc32(i) for i in ids]
-                same = [model.decode(np.frombuffer(i, "<u4").tolist()) == t for i, t in zip(ids, some)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "same"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, same boolean")
+            ids, count = model.encode_all(texts)
+            ends = np.cumsum(count)
+            raw, full = model.spelled(ids), np.concatenate([[0], np.cumsum(model.pool_size[ids])])
+            crc, same = [], []
+            for t, a, z in zip(texts, ends - count, ends):
+                crc.append(zlib.crc32(ids[a:z].astype("<u4")))
+                back = raw[full[a] : full[z]].tobytes()
+                back = back[1:] if back.startswith(b" ") else back
+                same.append(back == t.encode("utf-8") or model.decode(ids[a:z].tolist()) == t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "same"])
+
+    return _texts(docs).mapInArrow(lean(run, (("pieces", path),)), "doc_id long, n_ids long, ids_crc32 long, same boolean")

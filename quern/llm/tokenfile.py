@@ -19,7 +19,6 @@ equal doc_ids stay apart, ordered by the crc32 of their ids; an empty table give
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import lean, materialise, new_path, ranges, slices, text_buffer
+from quern.llm.common import kept, lean, materialise, new_path, ranges, slices, text_buffer
 from quern.llm.memo import PieceMemo
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -150,10 +149,9 @@ class Encoder:
         return self.buffer(data, np.array([0, len(data)]))[0].astype("<u4").tobytes()
 
 
-@functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """The encoder that the tasks of a worker share."""
-    return Encoder(path)
+    """The encoder that the tasks of a worker share, if they are lean(..., (("encoder", path),))."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def kind_of(tokenizer) -> type:
@@ -288,7 +286,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
                 last[i] = first[i] + (zlib.crc32(rows[i].as_buffer()) * int(last[i] - first[i] + 1) >> 32)
             yield pa.RecordBatch.from_arrays([pa.array(last, pa.int32()), b.column(0), rows], names=["file", "doc_id", "ids"])
 
-    ids = ids.mapInArrow(lean(encode), "file int, doc_id long, ids binary")
+    ids = ids.mapInArrow(lean(encode, (("encoder", path),)), "file int, doc_id long, ids binary")
     ids = ids.repartition(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
 
     def run(batches):
