@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.vectors import shard_search, usable
+from quern.llm.common import Scratch, row_count
+from quern.llm.vectors import best_of, everywhere, shard_search, usable
 
 BITS = 64
 SHARD_ROWS = 16384
@@ -137,7 +138,11 @@ def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, distance) for each row whose id is divisible by `every`."""
-    data = usable(vectors, id_col, vec_col)
-    found = shard_search(data, F.col("id") % every == 0, build, lambda t, i, q: search(t, i, q, k), k, True, shard_rows)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("int").alias("distance"))
+    """(query_id, rank, vec_id, distance) for each row whose id is divisible by `every`.  Shards are by
+    the hash of the id, each answers all queries."""
+    keep = Scratch()
+    data = keep(usable(vectors, id_col, vec_col), "mih-vectors")
+    shards = max(1, -(-row_count(data) // shard_rows))
+    rows = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    answers = shard_search(rows, everywhere(data, F.col("id") % every == 0, shards), shards, build, lambda t, i, q, _: search(t, i, q, k), k, True)
+    return keep.result(best_of(answers, k, True).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("int").alias("distance")), "mih-result")

@@ -1,4 +1,4 @@
-"""Vectors dealt into shards, query blocks brought to each shard, and the best of all shards."""
+"""Vectors dealt into shards, queries brought to shards, and the best of all shards."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import lean
+
 QUERY_BLOCK = 1024
 
 
@@ -24,84 +26,91 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.where(F.size("vec") == F.lit(size or 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def shard_search(data: DataFrame, is_query: Column, build: Callable, search: Callable, k: int, ascending: bool, shard_rows: int) -> DataFrame:
-    """(query_id, rank, id, score): the k best of all shards for each query.
+def everywhere(data: DataFrame, is_query: Column, shards: int) -> DataFrame:
+    """(shard, id, vec, least): each query, for each shard."""
+    return data.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "vec", F.lit(float("-inf")).alias("least"))
 
-    build(ids, matrix) makes a shard's index; search(index, query_ids, queries) gives arrays
-    (query row, id, score) of the k best there.  Every vector is in one shard, by its id's hash.
-    Queries are packed in blocks and each block goes to each shard as one row; so do the answers."""
-    n = data.count()
-    shards = max(1, -(-n // shard_rows))
-    rows = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    width = max(2, -(-n // QUERY_BLOCK // 16))
 
-    def pack(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for block, i, v in zip(*[c.to_pylist() for c in b.columns]):
-                own = held.setdefault(block, [[], []])
-                own[0].append(i), own[1].append(v)
-                if len(own[0]) >= QUERY_BLOCK:
-                    yield one(block, *held.pop(block))
-        for block, own in held.items():
-            yield one(block, *own)
-
-    def one(block, ids, vecs):
-        order = np.argsort(ids, kind="stable")
-        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": [np.array(ids, np.int64)[order].tobytes()], "vecs": [np.array(vecs, np.float64)[order].tobytes()]})
-
-    blocks = data.where(is_query).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(width)).alias("block"), "id", "vec").repartition(width, "block").mapInArrow(pack, "block long, ids binary, vecs binary")
-    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vec"), "ids", "vecs")
-    held_rows = rows.select("shard", F.lit(0).alias("kind"), "id", "vec", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("vecs"))
-    both = held_rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+def shard_search(rows: DataFrame, asked: DataFrame, shards: int, build: Callable, search: Callable, k: int, ascending: bool) -> DataFrame:
+    """(query_id, ids, scores): the k best that each shard asked has for a query, packed.
+
+    rows: (shard, id, vec), every vector in one shard; asked: (shard, id, vec, least), the queries each
+    shard is to answer, with the score that is still wanted.  build(ids, matrix) makes a shard's index;
+    search(index, query_ids, queries, least) gives arrays (query row, id, score) of the k best there.  A task holds one shard, and
+    QUERY_BLOCK queries at a time."""
+    held_rows = rows.select("shard", F.lit(0).alias("kind"), "id", "vec", F.lit(None).cast("double").alias("least"))
+    both = held_rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "vec", "least")).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches):
-        now, ids, vecs, index = None, [], [], None
+        now, kind_now, parts, index = None, None, [], None
+
+        def gathered():
+            ids = np.concatenate([p.column(2).to_numpy() for p in parts])
+            vecs = np.concatenate([p.column(3).flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
+            return ids, vecs
+
+        def answers():
+            ids, q = gathered()
+            row, found, score = search(index, ids, q, np.concatenate([p.column(4).to_numpy(zero_copy_only=False) for p in parts]))
+            ends = np.searchsorted(row, np.arange(len(ids) + 1))
+            out = [(int(i), found[a:z].astype(np.int64).tobytes(), score[a:z].astype(np.float64).tobytes()) for i, a, z in zip(ids, ends[:-1], ends[1:]) if z > a]
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["query_id", "ids", "scores"])
+
         for b in batches:
-            shard, kind = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(b.num_rows):
-                if shard[i] != now:
-                    now, ids, vecs, index = shard[i], [], [], None
-                if kind[i] == 0:
-                    ids.append(b.column(2)[i].as_py())
-                    vecs.append(b.column(3)[i].values.to_numpy())
-                    continue
-                if index is None:
-                    index = build(np.array(ids, np.int64), np.array(vecs, np.float64)) if ids else False
-                    ids, vecs = [], []
-                if index is False:
-                    continue
-                q_ids = np.frombuffer(b.column(4)[i].as_py(), np.int64)
-                q = np.frombuffer(b.column(5)[i].as_py(), np.float64).reshape(len(q_ids), -1)
-                row, found, score = search(index, q_ids, q)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(q_ids[0])], pa.int64()), "query": [q_ids[row].tobytes()], "id": [found.astype(np.int64).tobytes()], "score": [score.astype(np.float64).tobytes()]})
-
-    answers = both.mapInArrow(run, "block long, query binary, id binary, score binary")
-    answers = answers.repartition("block").sortWithinPartitions("block")
+            key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else []
+            for a, z in zip(cut[:-1], cut[1:]):
+                shard, kind = divmod(int(key[a]), 2)
+                if (shard, kind) != (now, kind_now):
+                    if kind_now == 1 and parts and index is not None:
+                        yield answers()
+                    if kind == 1:
+                        index = build(*gathered()) if parts and now == shard else None
+                    now, kind_now, parts = shard, kind, []
+                while a < z:
+                    room = QUERY_BLOCK - sum(p.num_rows for p in parts) if kind == 1 else z - a
+                    parts.append(b.slice(a, min(room, z - a)))
+                    a += min(room, z - a)
+                    if kind == 1 and sum(p.num_rows for p in parts) >= QUERY_BLOCK:
+                        if index is not None:
+                            yield answers()
+                        parts = []
+        if kind_now == 1 and parts and index is not None:
+            yield answers()
+
+    return both.mapInArrow(lean(run), "query_id long, ids binary, scores binary")
+
+
+def best_of(answers: DataFrame, k: int, ascending: bool) -> DataFrame:
+    """(query_id, rank, id, score): the k best of all shards' answers; each is folded in as it comes."""
 
     def merge(batches):
-        held, now = [], None
+        left = None  # what the last query of a batch has so far
 
-        def best():
-            q, i, s = (np.concatenate([np.frombuffer(h[c], t) for h in held]) for c, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        def chosen(q, i, s, whole):
             order = np.lexsort((i, s if ascending else -s, q))
             q, i, s = q[order], i[order], s[order]
-            first = np.searchsorted(q, q, "left")
-            rank = np.arange(len(q)) - first + 1
+            rank = np.arange(len(q)) - np.searchsorted(q, q, "left") + 1
             on = rank <= k
-            return pa.RecordBatch.from_arrays([pa.array(q[on]), pa.array(rank[on].astype(np.int32)), pa.array(i[on]), pa.array(s[on])], names=["query_id", "rank", "id", "score"])
-
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if row[0] != now:
-                    if held:
-                        yield best()
-                    held, now = [], row[0]
-                held.append(row[1:])
-        if held:
-            yield best()
-
-    return answers.mapInArrow(merge, "query_id long, rank int, id long, score double")
+            q, i, s, rank = q[on], i[on], s[on], rank[on]
+            rest = q == q[-1] if not whole and len(q) else np.zeros(len(q), bool)
+            done = pa.RecordBatch.from_arrays([pa.array(q[~rest]), pa.array(rank[~rest].astype(np.int32)), pa.array(i[~rest]), pa.array(s[~rest])], names=["query_id", "rank", "id", "score"])
+            return done, (q[rest], i[rest], s[rest])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                ids = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+                q = np.repeat(b.column(0).to_numpy(), [len(x) for x in ids])
+                i, s = np.concatenate(ids), np.concatenate([np.frombuffer(x, np.float64) for x in b.column(2).to_pylist()])
+                if left is not None:
+                    q, i, s = (np.concatenate(x) for x in zip(left, (q, i, s)))
+                done, left = chosen(q, i, s, False)
+                yield done
+        if left is not None:
+            yield chosen(*left, True)[0]
+
+    return answers.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lean(merge), "query_id long, rank int, id long, score double")
 
 
 def distinct_rows(ids: np.ndarray, matrix: np.ndarray):

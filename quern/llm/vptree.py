@@ -18,16 +18,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.vectors import distinct_rows, shard_search, usable
+from quern.llm.common import Scratch, lean, row_count
+from quern.llm.vectors import best_of, distinct_rows, shard_search, usable
 
 #: Chosen on vectors that prune (clustered, of low rank, of uneven norm); the test embeddings, nearly as far
 #: from each other as random ones, hardly prune and say little about it.
 FACTOR = 1.5
 LEAF = 256
 SHARD_ROWS = 16384
+#: Vectors that the upper levels are made of, and regions at most.
+SAMPLE, REGIONS = 4096, 256
 
 
 @dataclass
@@ -71,8 +75,9 @@ def build(ids: np.ndarray, matrix: np.ndarray, leaf: int = LEAF) -> Tree:
     return Tree(np.ascontiguousarray(x[order]), lifted[order], new_ids, new_ends, np.concatenate([[0], np.cumsum([len(r) for r in leaves])]), np.array(vantage).reshape(-1, dim), np.array(median), paths)
 
 
-def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20, factor: float = FACTOR):
-    """(query row, id, score) of the k best for each query, by the largest inner product."""
+def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20, factor: float = FACTOR, least: np.ndarray | None = None):
+    """(query row, id, score) of the k best for each query, by the largest inner product.  least: the
+    score below which nothing is wanted any more, for each query."""
     n, leaves = len(queries), len(tree.paths)
     q = np.concatenate([queries, np.zeros((n, 1))], 1)
     bound = np.zeros((n, leaves))
@@ -88,6 +93,8 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20,
     kth = np.full(n, np.inf)
     square, head = (tree.lifted**2).sum(1), tree.ids[tree.ends[:-1]]
     q2 = (q * q).sum(1)
+    if least is not None and len(square):
+        kth = np.maximum(q2 + square.max() - 2 * least, 0)
     live = np.arange(n)
     for step in range(leaves):
         b = bound[live, visit[live, step]]
@@ -110,7 +117,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20,
                 order = np.lexsort((head[all_at[tied]], np.round(all_d[tied], 11)), 1)
                 pick[tied] = order[:, :want]
             near[who], at[who] = np.take_along_axis(all_d, pick, 1), np.take_along_axis(all_at, pick, 1)
-            kth[who] = last
+            kth[who] = np.minimum(kth[who], last)
     rows, points = np.nonzero(at >= 0)
     points = at[rows, points]
     score = (queries[rows] * tree.points[points]).sum(1)
@@ -126,9 +133,119 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int = 20,
     return rows[on], found[on], score[on]
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+@dataclass
+class Top:
+    """The upper levels of one tree over all vectors; its leaves are regions."""
+
+    vantage: np.ndarray
+    median: np.ndarray
+    children: list[tuple[int, int]]  # for each node, inside and outside: a node, or -1 - region
+    paths: list[list[tuple[int, int]]]  # for each region: (node, side)
+
+    def region(self, points: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), np.int32)
+        todo = [(0 if self.children else -1, np.arange(len(points)))]
+        while todo:
+            node, rows = todo.pop()
+            if node < 0:
+                out[rows] = -1 - node
+                continue
+            inside = np.sqrt(((points[rows] - self.vantage[node]) ** 2).sum(1)) <= self.median[node]
+            todo += [(self.children[node][0], rows[inside]), (self.children[node][1], rows[~inside])]
+        return out
+
+    def bounds(self, points: np.ndarray) -> np.ndarray:
+        """How near a region's vectors can be to each point at the least."""
+        out = np.zeros((len(points), len(self.paths)))
+        for j, path in enumerate(self.paths):
+            for node, side in path:
+                d = np.sqrt(((points - self.vantage[node]) ** 2).sum(1))
+                np.maximum(out[:, j], side * (d - self.median[node]), out=out[:, j])
+        return out
+
+
+def top_levels(points: np.ndarray, regions: int) -> Top:
+    """Splits a sample at medians, the largest part first, until there are `regions` parts."""
+    vantage, median, children, parts = [], [], [], [(np.arange(len(points)), [], None)]
+    done: list[tuple[np.ndarray, list, tuple | None]] = []
+    while parts and len(parts) + len(done) < regions:
+        parts.sort(key=lambda p: len(p[0]))
+        rows, path, parent = parts.pop()
+        d = np.sqrt(((points[rows] - points[rows[0]]) ** 2).sum(1)) if len(rows) else np.zeros(0)
+        m = float(np.median(d)) if len(d) else 0.0
+        inside = d <= m
+        if len(rows) < 4 or inside.all():
+            done.append((rows, path, parent))
+            continue
+        node = len(vantage)
+        vantage.append(points[rows[0]]), median.append(m), children.append([0, 0])
+        if parent:
+            children[parent[0]][parent[1]] = node
+        parts += [(rows[inside], [*path, (node, 1)], (node, 0)), (rows[~inside], [*path, (node, -1)], (node, 1))]
+    for region, (_, _, parent) in enumerate(parts + done):
+        if parent:
+            children[parent[0]][parent[1]] = -1 - region
+    return Top(np.array(vantage).reshape(-1, points.shape[1]), np.array(median), [tuple(c) for c in children], [p for _, p, _ in parts + done])
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, visited: list | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k
-    nearest among all other rows."""
-    data = usable(vectors, id_col, vec_col)
-    found = shard_search(data, F.col("id") % every == 0, build, lambda t, i, q: search(t, i, q, k, factor), k, False, shard_rows)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    nearest among all other rows.
+
+    Vectors are dealt to regions by the upper levels of one tree, made of SAMPLE vectors or so, and large
+    regions cut by the hash of the id, so a shard has about `shard_rows`.  A query first asks its nearest
+    region; its k-th distance there then says which other regions can hold anything nearer, by the
+    same bound, relaxed by the same factor, and only these are asked.  `visited`, if given, gets how many
+    shards were asked and how many there were for all queries."""
+    keep = Scratch()
+    data = keep(usable(vectors, id_col, vec_col), "vp-vectors")
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    n, most = data.agg(F.count(F.lit(1)), F.max(square)).first()
+    if not n:
+        return keep.result(data.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")), "vp-result")
+    chance = min(1.0, SAMPLE / n)  # some SAMPLE rows of all tasks together
+    sample = data.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))).select("vec").limit(4 * SAMPLE).collect()
+    lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], 1)
+    flat = lambda x: np.concatenate([x, np.zeros((len(x), 1))], 1)
+    dim = len((sample[0] if sample else data.first())["vec"])
+    top = top_levels(lift(np.array([r["vec"] for r in sample], np.float64).reshape(-1, dim)), min(REGIONS, -(-n // shard_rows)))
+    matrix = lambda b, c: b.column(c).flatten().to_numpy().reshape(b.num_rows, -1)
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b, 1)
+                home = top.bounds(flat(x)).argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top.region(lift(x))), pa.array(home.astype(np.int32))], names=["id", "vec", "region", "home"])
+
+    data = keep(data.mapInArrow(lean(assign), "id long, vec array<double>, region int, home int"), "vp-regions")
+    sizes = {r["region"]: r["count"] for r in data.groupBy("region").count().collect()}  # REGIONS rows at most
+    cuts = np.array([max(1, -(-sizes.get(j, 0) // shard_rows)) for j in range(len(top.paths))])
+    base, shards = np.cumsum(cuts) - cuts, int(cuts.sum())
+    at = lambda values, c: F.element_at(F.array(*[F.lit(int(v)) for v in values]), c + 1)
+    region = F.col("region")
+    rows = data.select((at(base, region) + F.pmod(F.xxhash64("id"), at(cuts, region).cast("long"))).cast("int").alias("shard"), "id", "vec")
+    queries = data.where(F.col("id") % every == 0)
+    spread = lambda df: df.select(F.explode(F.sequence(at(base, region), at(base, region) + at(cuts, region) - 1)).alias("shard"), "id", "vec", "least")
+    ask = lambda asked: shard_search(rows, asked, shards, build, lambda t, i, q, least: search(t, i, q, k, factor, least), k, False)
+    first = spread(queries.select(F.col("home").alias("region"), "id", "vec", F.lit(float("-inf")).alias("least")))
+    near = keep(ask(first), "vp-near")
+    last = best_of(near, k, False).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("last"))
+
+    def reached(batches):
+        for b in batches:
+            if b.num_rows:
+                x, home, last = matrix(b, 1), b.column(2).to_numpy(), b.column(3).fill_null(-np.inf).to_numpy()
+                reach = np.sqrt(np.maximum((x * x).sum(1) + most - 2 * last, 0))
+                on = factor * top.bounds(flat(x)) <= reach[:, None] + 1e-9
+                on[np.arange(len(x)), home] = False
+                row, to = np.nonzero(on)
+                some = b.select([0, 1]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *some.columns, pa.array(last[row])], names=["region", "id", "vec", "least"])
+
+    others = queries.select("id", "vec", "home").join(last, "id", "left").mapInArrow(lean(reached), "region int, id long, vec array<double>, least double")
+    others = keep(spread(others), "vp-asked")
+    if visited is not None:
+        visited += [row_count(first) + row_count(others), row_count(queries) * shards]
+    found = best_of(near.unionByName(ask(others)), k, False)
+    return keep.result(found.select("query_id", "rank", F.col("id").alias("vec_id"), "score"), "vp-result")

@@ -80,6 +80,45 @@ def test_production_factor_keeps_recall_where_leaves_are_pruned(kind):
     assert np.mean([len(np.intersect1d(found[row == i], best[i])) / 20 for i in range(200)]) >= 0.98
 
 
+def test_queries_skip_shards_that_hold_nothing_near(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(16, 1, 24)) * 4 + 0.2 * rng.normal(size=(16, 150, 24))
+    x = x.reshape(-1, 24)[rng.permutation(2400)]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    truth = x @ x.T
+    np.fill_diagonal(truth, -np.inf)
+    asked = []
+    for factor in (1.0, vptree.FACTOR):
+        visited = []
+        got = vptree.nearest(df, every=20, k=20, factor=factor, shard_rows=150, visited=visited).collect()
+        right = sum(r.score >= np.sort(truth[r.query_id])[-20] - 1e-9 for r in got)
+        assert len(got) == 120 * 20 and right >= (1.0 if factor == 1 else 0.98) * len(got)
+        asked.append(visited[0] / visited[1])
+    assert asked[1] <= asked[0] < 0.5
+
+
+def test_regions_cover_their_points():
+    rng = np.random.default_rng(9)
+    for points in (rng.normal(size=(500, 6)), np.zeros((50, 6)), rng.normal(size=(1, 6))):
+        top = vptree.top_levels(points, 9)
+        region, bound = top.region(points), top.bounds(points)
+        assert region.max() < len(top.paths) <= 9 and np.allclose(bound[np.arange(len(points)), region], 0)
+        for j in range(len(top.paths)):
+            for i in range(0, len(points), 50):
+                if (region == j).any():
+                    assert np.sqrt(((points[region == j] - points[i]) ** 2).sum(1)).min() >= bound[i, j] - 1e-9
+
+
+def test_large_regions_are_cut(spark):
+    """Equal vectors can't be told apart by a tree: their shards are cut by id."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(500)] + [(1000 + i, [3.0, 2.0, float(i)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r[0], r[1], r[2]) for r in vptree.nearest(df, every=100, k=5, factor=1.0, shard_rows=60).collect())
+    assert got == exact([(i, v, 1) for i, v in rows], 100, 5, lambda a, b: -float(np.dot(a, b)))
+
+
 def test_hamming_top_k_is_exact(spark):
     rows, df = table(spark, n=500)
     got = sorted((r[0], r[1], r[2]) for r in mih.top_k(df, every=50, k=10, shard_rows=150).collect())
