@@ -10,7 +10,8 @@ a url the stack holds exactly the rules whose interval covers its host; among th
 Scale: keys are cut at quantiles of a bounded sample of (key, path); a rule goes to each range
 that its interval meets, a url to the one range it lies in.  Cuts that fall on one and the same
 key mark a hot key, whose urls are dealt over all ranges between the equal cuts, with the rules.
-Nothing is broadcast but the cuts.  The sample moves the cuts only, never the result.
+Nothing is broadcast but the cuts.  The sample is a share of the rows, so that some SAMPLE of them reach
+the driver from all tasks together; it moves the cuts only, never the result.
 
 Defined cases: a null url or one without "://" has empty host and path and fits only a rule with
 an empty host; repeated rows stay; extra columns are carried by the general operator only if
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import lean, row_count
+
 TOP = "\U0010ffff"
 SAMPLE = 8192
 
@@ -86,7 +89,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     n = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     urls = pages.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("_host"), url_path(F.col(url_col)).alias("_path"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     urls = urls.withColumn("_key", host_key(F.col("_host")))
-    rows = sorted((r[0], r[1]) for r in urls.select("_key", "_path", F.xxhash64("_id", F.lit(7)).alias("_h")).orderBy("_h").limit(SAMPLE).collect())
+    chance = min(1.0, SAMPLE / max(1, row_count(urls)))  # some SAMPLE rows of all tasks together
+    drawn = urls.select("_key", "_path").sample(chance, 7) if chance < 1 else urls.select("_key", "_path")
+    rows = sorted((r[0], r[1]) for r in drawn.limit(4 * SAMPLE).collect())
     cuts = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
 
     @F.pandas_udf("int")
@@ -98,7 +103,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
         return pd.Series((lo + salt.to_numpy() % (hi - lo + 1)).astype(np.int32))
 
-    urls = urls.withColumn("_range", place("_key", "_path", F.pmod(F.xxhash64("_id"), F.lit(1 << 30))))
+    urls = urls.withColumn("_range", place("_key", "_path", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))))
     heads = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("_host"), F.coalesce("path", F.lit("")).alias("_path"), F.col("verdict").alias("_verdict")).where("_verdict is not null").distinct()
     heads = heads.withColumn("_key", host_key(F.col("_host")))
 
@@ -137,7 +142,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     types = {f.name: f.dataType.simpleString() for f in urls.schema}
     schema = f"`{id_col}` {types['_id']}, host string, path string, rule string, verdict string" + "".join(f", `{c}` {types[e]}" for c, e in zip(keep, extra))
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 #: The rules of the registered query.
