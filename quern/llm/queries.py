@@ -32,8 +32,8 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of bytes for a byte-level model; the pipeline packs tokens."""
-    return packing.pack(packing.byte_lengths(read_table(spark, sf_dir, "documents")))
+    """Token sequences of the permitted lengths, with the crc32 of their ids."""
+    return packing.digests(packing.sequences(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

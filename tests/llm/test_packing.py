@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+
 from quern.llm import packing
+from quern.llm.queries import tokenizer_path
+from quern.llm.tokenfile import Encoder
 
 
 def plain(lengths, capacities, cost):
@@ -75,3 +79,34 @@ def test_table(spark):
             assert o == at and o + n <= c
             at += n
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_sequences_hold_every_token_once(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta,", "gamma\n", "Straße", "10", "δέλτα"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 40, 200, 700])))) for i in range(60)]
+    rows += [(1007, "again and again")] * 30 + [(None, "no id")] * 30 + [(61, None), (62, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, bin string")
+    path = tokenizer_path("byte_bpe_50k.json")
+    enc = Encoder(path)
+    out = packing.sequences(docs, path, capacities=(64, 128, 256), group_rows=25).collect()
+    want = sorted(((-1 if d is None else d), tuple(np.frombuffer(enc.encode(t or ""), "<u4").tolist() + [0])) for d, t in rows)
+    parts = {}
+    for r in out:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert r.n_tokens == len(ids) == sum(r.lengths) <= r.capacity and all(c < len(ids) for c in (64, 128, 256) if c < r.capacity)
+        at = 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths):
+            parts.setdefault(-1 if d is None else d, []).append((s, tuple(ids[at : at + n])))
+            at += n
+    assert len({r.bin for r in out}) == len(out)
+    for d in {d for d, _ in want}:
+        own = [t for e, t in want if e == d]
+        if len(own) == 1:
+            assert sum((p for _, p in sorted(parts[d])), ()) == own[0]
+        else:
+            assert sorted(p for _, p in parts[d]) == own
+    groups = [r.bin >> 32 for r in out if 1007 in r.doc_ids]
+    assert len(set(groups)) > 1  # a repeated row is spread over groups
+    assert packing.sequences(docs.where("false"), path).count() == 0
+    assert packing.digests(packing.sequences(docs, path)).columns == ["bin", "capacity", "n_tokens", "doc_ids", "starts", "lengths", "ids_crc32"]

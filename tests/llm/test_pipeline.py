@@ -66,6 +66,6 @@ def test_every_stage(spark, tmp_path):
             assert any(len((before[d] or "").encode()) > want[d] for d in want)
         else:
             rows = out.collect()
-            assert {r.doc_id for r in rows} == before.keys() and all(r.offset + r.n_tokens <= r.capacity for r in rows)
+            assert {d for r in rows for d in r.doc_ids} == before.keys() and all(sum(r.lengths) == r.n_tokens <= r.capacity for r in rows)
         docs, before = out, after
     assert corpus_pipeline.ORACLE_SQL is None
