@@ -89,7 +89,8 @@ def query_lines(answer: Column) -> Column:
 
 
 def to_base64(c: Column) -> Column:
-    return F.base64(c)
+    """On one line, as data urls need it."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
 
 
 def from_base64(c: Column) -> Column:

@@ -86,3 +86,82 @@ m AS (SELECT conv_id, query, min({'turn': turn, 'line': CAST(line AS INTEGER)})
 SELECT conv_id, query, p.turn AS turn, p.line AS line FROM m""",
     "payload_ids": "SELECT vec_id, 'n' || vec_id AS node_id FROM embeddings",
 }
+
+
+def _title(c: str) -> str:
+    return rf"""regexp_replace(regexp_replace({c}, '[<>:,"/\\|?*]', '-', 'g'), '[\s\x{{0b}}\x{{85}}\x{{a0}}\x{{2028}}\x{{2029}}\x{{3000}}-]+', '-', 'g')"""
+
+
+def _trim(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+_SENTENCES = rf"""
+a AS (SELECT doc_id, source, regexp_extract_all(text, '[^.!?]+[.!?]*\s*') AS l FROM documents),
+s AS (SELECT doc_id, source, list_filter(list_transform(l, lambda x: {_trim("x")}), lambda x: x <> '') AS l FROM a)"""
+
+#: Sections and subsections of the marked documents: Part i, Detail i, Deep i, numbered by Part.
+_SECTIONS = rf"""{_MARKED},
+x AS (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM lines),
+heads AS (SELECT doc_id, i, i // 4 + 1 AS no, i % 4 - 1 AS sub, CASE i % 4 WHEN 1 THEN 'Part ' WHEN 2 THEN 'Detail ' ELSE 'Deep ' END || i AS title,
+                 {_trim("CASE WHEN i % 4 = 3 AND y IS NOT NULL THEN x || chr(10) || y ELSE x END")} AS body FROM x WHERE i % 4 > 0),
+secs AS (SELECT h.*, sha256(h.doc_id || '|section|' || h.no || '.' || h.sub) AS node_id, sha256(h.doc_id || '|section|' || h.no || '.0') AS top_id, sha256(h.doc_id || '|page|0') AS page_node
+         FROM heads h JOIN heads p ON p.doc_id = h.doc_id AND p.no = h.no AND p.sub = 0 WHERE h.body <> '' AND p.body <> '')"""
+
+_CITED = f"""{_REFS},
+cited AS (SELECT page_id, CASE WHEN conv_id % 2 = 1 THEN 'Part ' || conv_id % 3 ELSE 'Introduction' END AS section, CASE WHEN conv_id % 2 = 1 THEN conv_id % 3 ELSE -1 END AS section_pos, ref_no, title, link, archived, conv_id FROM tuples)"""
+
+SQL |= {
+    "wiki_tables": f"""SELECT page_id::VARCHAR AS page_id, 0::BIGINT AS pos, {_title("url")} || '_table_0' AS title, '0,1' || chr(10) || 'k,"v, w"' || chr(10) || page_id || ',' || chr(10) AS csv FROM pages""",
+    "page_nodes": f"""WITH p AS (SELECT page_id::VARCHAR AS page_id, {_title("url")} AS t, {_trim("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")} AS intro FROM pages)
+SELECT sha256(page_id || '|page|0') AS node_id, page_id, 'page' AS type, t AS title, NULL AS parent_id, NULL AS prev_id, NULL AS next_id FROM p
+UNION ALL SELECT sha256(page_id || '|intro|0'), page_id, 'section', t || '_intro', sha256(page_id || '|page|0'), NULL, NULL FROM p WHERE intro <> ''
+UNION ALL SELECT sha256(page_id || '|table|0'), page_id, 'table', t || '_table_0', sha256(page_id || '|page|0'), NULL, NULL FROM p""",
+    "extractive_summary": f"WITH {_SENTENCES} SELECT doc_id::VARCHAR AS parent_id, source || '_summary' AS title, array_to_string(l[:6], ' ') AS text FROM s WHERE len(l) > 0",
+    "key_takeaways": f"""WITH {_SENTENCES},
+u AS (SELECT doc_id, source, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(x) DESC, i) AS n FROM u)
+SELECT doc_id::VARCHAR AS parent_id, source || '_takeaways' AS title, string_agg('- ' || x, chr(10) ORDER BY i) AS text FROM r WHERE n <= 3 GROUP BY doc_id, source""",
+    "entities_rule": r"""WITH w AS (SELECT doc_id, source, regexp_replace(text, '[\pL\pN_]*(?:[^\PL\x00-\x7f]|[^\PN\x00-\x7f])[\pL\pN_]*', 'x', 'g') AS t FROM documents),
+f AS (SELECT doc_id, source, list_concat(regexp_extract_all(t, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b'), regexp_extract_all(t, '\b(?:1[0-9]{3}|20[0-9]{2})\b')) AS l FROM w)
+SELECT doc_id::VARCHAR AS parent_id, source || '_entities' AS title, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ', ') AS text FROM f WHERE len(l) > 0""",
+    "string_parts": rf"""SELECT page_id, regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', '') AS name, url || '"' || chr(10) AS unquoted, page_id::VARCHAR AS number, page_id::VARCHAR AS ref_no,
+CASE WHEN page_id % 3 > 1 THEN 'archive-' || (page_id + 1) ELSE 'archive' END AS suffix, {_title("url")} AS title FROM pages""",
+    "base64_texts": "SELECT doc_id, base64(encode(text)) AS coded, true AS same FROM documents",
+    "page_fetch": f"""WITH {_MARKED},
+names AS (SELECT doc_id, string_agg('Part ' || i, '|' ORDER BY i) AS sections FROM lines WHERE i % 4 = 1 GROUP BY 1)
+SELECT d.doc_id::VARCHAR AS page_id, 'Page: ' || d.doc_id AS title, {_trim("string_split_regex(c.content, '(==[^=].*?==)|(===.*?===)')[1]")} AS intro, CASE WHEN d.doc_id % 3 = 0 THEN d.lang || '|' || d.source ELSE '' END AS categories,
+coalesce(n.sections, '') AS sections, '' AS html, 0 AS images, CAST(length(c.content) AS INTEGER) AS size FROM documents d JOIN content c USING (doc_id) LEFT JOIN names n USING (doc_id)""",
+    "page_lookup": f"WITH {_MARKED} SELECT doc_id::VARCHAR AS page_id, content FROM content WHERE doc_id = 7",
+    "section_content": f"WITH {_SECTIONS} SELECT d.doc_id::VARCHAR AS page_id, coalesce(h.body, '') AS body FROM documents d LEFT JOIN heads h ON h.doc_id = d.doc_id AND h.title = 'Part 5'",
+    "section_nodes": f"""WITH {_SECTIONS}
+SELECT s.doc_id::VARCHAR AS page_id, node_id, CASE WHEN sub = 0 THEN 'section' ELSE 'subsection' END AS type, replace(title, ' ', '-') AS title, CASE WHEN sub > 0 THEN 'Part-' || ((no - 1) * 4 + 1) END AS parent_section,
+CASE WHEN s.doc_id % 2 = 0 THEN d.source ELSE '' END AS context, body AS text, CASE WHEN sub = 0 THEN page_node ELSE top_id END AS parent_id, page_node AS source_id,
+lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM secs s JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id, CASE WHEN sub = 0 THEN 0 ELSE no END ORDER BY no, sub)""",
+    "section_map": f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS page_id, title AS section, top_id AS parent_id FROM secs",
+    "page_documents": """SELECT doc_id::VARCHAR AS page_id, sha256(doc_id || '|page|0') AS node_id, 'document' AS kind, 'page' AS type, 'Page- ' AS t, 'Page-' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS summary,
+CASE WHEN doc_id % 3 = 0 THEN lang || '|' || source ELSE '' END AS categories FROM documents""".replace("'Page- ' AS t, ", ""),
+    "in_text_references": "SELECT conv_id // 5 AS page_id, 'Part ' || conv_id % 3 AS section, '[' || conv_id || ']' AS text, '/page#cite_note-' || conv_id AS url FROM conversations WHERE turn = 0 AND conv_id % 2 = 1",
+    "cite_notes": "SELECT conv_id // 5 AS page_id, 'Part ' || conv_id % 3 AS section, conv_id::VARCHAR AS ref_no FROM conversations WHERE turn = 0 AND conv_id % 2 = 1",
+    "all_citations": f"WITH {_CITED} SELECT page_id, section, ref_no, title, link, archived FROM cited",
+    "citations_by_section": f"WITH {_CITED} SELECT page_id, section, string_agg(link, '|' ORDER BY conv_id) AS urls, string_agg(replace(archived, '|', ','), '|' ORDER BY conv_id) AS archives FROM cited GROUP BY 1, 2",
+    "citation_nodes": f"""WITH {_CITED},
+parts AS (SELECT page_id, section, section_pos, 0 AS a, conv_id, 0 AS k, title, link AS url, 'citation' AS type FROM cited
+          UNION ALL SELECT page_id, section, section_pos, 1, conv_id, k - 1, title || '-' || CASE WHEN n > 1 THEN 'archive-' || k ELSE 'archive' END, u, 'archive-citation'
+          FROM (SELECT *, len(string_split(archived, '|')) AS n, unnest(string_split(archived, '|')) AS u, generate_subscripts(string_split(archived, '|'), 1) AS k FROM cited WHERE archived <> ''))
+SELECT page_id::VARCHAR AS page_id, type, CASE WHEN type = 'citation' THEN {_title("regexp_replace(title, '^\x22+|\x22+$', '', 'g')")} ELSE {_title("regexp_replace(regexp_replace(title, '-archive(-[0-9]+)?$', ''), '^\x22+|\x22+$', '', 'g')")} || regexp_extract(title, '-archive(-[0-9]+)?$') END AS title,
+url AS text, replace(section, ' ', '-') AS parent_section, CASE WHEN type = 'citation' THEN 'about' END AS context, row_number() OVER (PARTITION BY page_id ORDER BY section_pos, a, conv_id, k) - 1 AS pos FROM parts""",
+    "image_counts": "SELECT count(*) FILTER (label = 9) AS images, count(*) FILTER (label = 8) AS plots FROM embeddings",
+    "usable_answers": """SELECT conv_id, turn, turn NOT IN (1, 2, 3) AND text <> '' AS of_text, turn NOT IN (1, 2, 3, 4) AND text <> '' AND NOT contains(lower(text), 'error: unable') AS of_image FROM conversations""",
+    "embedded_nodes": f"""WITH t AS (SELECT vec_id, {_TYPES}[label + 1] AS type FROM embeddings)
+SELECT vec_id::VARCHAR AS node_id, type, type NOT IN ('image', 'table_analysis', 'page') AND vec_id % 3 <> 0 AS embedded FROM t""",
+    "node_lookup": """WITH k AS (SELECT DISTINCT (vec_id // 4) || '-' || (vec_id % 2) AS node_id FROM embeddings)
+SELECT node_id, CASE WHEN turn = 0 THEN ['section', 'image', 'page'][conv_id % 3 + 1] ELSE 'chunk' END AS type, CASE WHEN turn = 0 AND conv_id % 3 = 1 THEN 'image' ELSE 'text' END AS kind
+FROM k JOIN conversations c ON c.conv_id || '-' || c.turn = k.node_id""",
+    "run_queries": f"WITH {_SEARCH.format(which='vec_id < 3')} SELECT query_id, vec_id, modality, round(score, 9) AS score FROM h",
+    "fusion_retrieve": f"WITH {_PARENTS} SELECT node_id, type, kind FROM par",
+}
+
+_WIKI_LINKS = SQL["page_links"]
+SQL["wiki_ref_nodes"] = f"""WITH w AS ({_WIKI_LINKS}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) - 1 AS n FROM w)
+SELECT page_id::VARCHAR AS page_id, sha256(page_id || '|wiki-ref|' || n) AS node_id, 'wiki-ref' AS type, {_title("text")} AS title, url AS text, 'Body' AS parent_section, n AS pos FROM n"""

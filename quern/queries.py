@@ -216,7 +216,7 @@ def _pages(spark, sf_dir) -> DataFrame:
     from quern import schema
 
     table = F.concat(F.lit('<table class="wikitable sortable"><tr><th>k</th><th>v, w</th></tr><tr><td>'), "page_id", F.lit("</td></tr></table>"))
-    p = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("title"), F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style).*?</\\1>", " "), "<[^>]*>", " ").alias("content"), F.lit("").alias("summary"), F.concat("html", table).alias("html"))
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("title"), F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "(?s)<script.*?</script>", " "), "(?s)<style.*?</style>", " "), "<[^>]*>", " ").alias("content"), F.lit("").alias("summary"), F.concat("html", table).alias("html"))
     full = p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PAGE_SCHEMA])
     return full
 
@@ -251,10 +251,165 @@ def entities_rule(spark, sf_dir) -> DataFrame:
     return out.where("type = 'entities'").select("parent_id", "title", "text")
 
 
+def key_takeaways(spark, sf_dir) -> DataFrame:
+    out = derive.key_takeaways(_section_nodes(spark, sf_dir), _Rules())
+    return out.where("type = 'key_takeaways'").select("parent_id", "title", "text")
+
+
+def string_parts(spark, sf_dir) -> DataFrame:
+    """The small expressions on urls."""
+    c, n = F.col("url"), F.col("page_id")
+    return _read(spark, sf_dir, "pages").select(
+        "page_id", text.url_name(c).alias("name"), text.unquoted(F.concat(F.lit('""'), c, F.lit('"\n'))).alias("unquoted"), text.unbracketed(F.concat(F.lit("["), n, F.lit("]]"))).alias("number"),
+        text.cite_number(F.concat(F.lit("cite_ref-"), n)).alias("ref_no"), text.archive_suffix(n, n % 3).alias("suffix"), text.sanitise_title(c).alias("title"),
+    )
+
+
+def base64_texts(spark, sf_dir) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text", text.to_base64(F.col("text").cast("binary")).alias("coded"))
+    return d.select("doc_id", "coded", (text.from_base64(F.col("coded")).cast("string") == F.col("text")).alias("same"))
+
+
+def _marked_pages(spark, sf_dir) -> DataFrame:
+    """documents with headings, as pages: titles, some without a summary or categories."""
+    from quern import schema
+
+    m = _marked(spark, sf_dir).join(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "source", "lang"), "page_id")
+    m = m.select(F.col("page_id").cast("string").alias("page_id"), F.concat(F.lit("Page: "), "page_id").alias("title"), "content", F.when(F.col("page_id") % 2 == 0, F.col("source")).alias("summary"), F.when(F.col("page_id") % 3 == 0, F.array("lang", "source")).alias("categories"))
+    return m.select(*[(F.col(f.name) if f.name in m.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PAGE_SCHEMA])
+
+
+def page_fetch(spark, sf_dir) -> DataFrame:
+    f = wiki.fetch(_marked_pages(spark, sf_dir))
+    return f.select("page_id", "title", "intro", F.array_join("categories", "|").alias("categories"), F.array_join("section_names", "|").alias("sections"), "html", F.size("images").alias("images"), F.length("content").alias("size"))
+
+
+def page_lookup(spark, sf_dir) -> DataFrame:
+    """A page by title, and no row for a title that is missing."""
+    pages = _marked_pages(spark, sf_dir)
+    return wiki.page(pages, "Page: 7").unionByName(wiki.page(pages, "Page: none")).select("page_id", "content")
+
+
+def section_content(spark, sf_dir) -> DataFrame:
+    return wiki.section_content(_marked_pages(spark, sf_dir), "Part 5")
+
+
+def section_nodes(spark, sf_dir) -> DataFrame:
+    n = nodes.linked(nodes.sections(_marked_pages(spark, sf_dir)))
+    return n.select("page_id", "node_id", "type", "title", "parent_section", "context", "text", "parent_id", "source_id", "prev_id", "next_id")
+
+
+def section_map(spark, sf_dir) -> DataFrame:
+    return nodes.section_map(_marked_pages(spark, sf_dir))
+
+
+def page_documents(spark, sf_dir) -> DataFrame:
+    n = nodes.documents(_marked_pages(spark, sf_dir))
+    return n.select("page_id", "node_id", "kind", "type", "title", "summary", F.array_join("categories", "|").alias("categories"))
+
+
+def _link_rows(spark, sf_dir) -> DataFrame:
+    """Reference lists as in _reference_rows, and notes that cite the odd ones, by section of the page."""
+    refs = _reference_rows(spark, sf_dir)
+    number = text.cite_number(F.col("url")).cast("long")
+    notes = refs.where((F.col("text") == "^") & (number % 2 == 1))
+    notes = notes.select("page_id", F.concat(F.lit("Part "), number % 3).alias("section"), (number % 3).alias("section_pos"), (F.col("pos") - 1_000_000).alias("pos"), F.concat(F.lit("["), number, F.lit("]")).alias("text"), F.concat(F.lit("/page#cite_note-"), number).alias("url"))
+    return refs.withColumn("section_pos", F.lit(9).cast("long")).unionByName(notes)
+
+
+def in_text_references(spark, sf_dir) -> DataFrame:
+    return links.in_text_references(_link_rows(spark, sf_dir)).select("page_id", "section", "text", "url")
+
+
+def cite_notes(spark, sf_dir) -> DataFrame:
+    return links.cite_notes(_link_rows(spark, sf_dir)).select("page_id", "section", "ref_no")
+
+
+def all_citations(spark, sf_dir) -> DataFrame:
+    c = links.all_citations(_link_rows(spark, sf_dir))
+    return c.select("page_id", "section", "ref_no", "title", "link", F.array_join("archived", "|").alias("archived"))
+
+
+def citations_by_section(spark, sf_dir) -> DataFrame:
+    c = links.citations_by_section(links.all_citations(_link_rows(spark, sf_dir)))
+    joined = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return c.select("page_id", "section", joined("actual", lambda x: x["url"]).alias("urls"), joined("archived", lambda x: F.array_join(x["urls"], ",")).alias("archives"))
+
+
+def citation_nodes(spark, sf_dir) -> DataFrame:
+    rows = _link_rows(spark, sf_dir)
+    pages = _blank_pages(rows)
+    n = nodes.citations(pages, links.all_citations(rows.withColumn("page_id", F.col("page_id").cast("string"))))
+    return n.select("page_id", "type", "title", "text", "parent_section", "context", "pos")
+
+
+def wiki_ref_nodes(spark, sf_dir) -> DataFrame:
+    """Links of the pages, as nodes."""
+    p = page_links(spark, sf_dir).withColumn("page_id", F.col("page_id").cast("string")).withColumn("section_pos", F.lit(0).cast("long"))
+    n = nodes.wiki_references(_blank_pages(p), p)
+    return n.select("page_id", "node_id", "type", "title", "text", "parent_section", "pos")
+
+
+def _blank_pages(rows: DataFrame) -> DataFrame:
+    from quern import schema
+
+    own = rows.select(F.col("page_id").cast("string").alias("page_id")).distinct().withColumn("title", F.concat(F.lit("P"), "page_id")).withColumn("summary", F.lit("about")).withColumn("content", F.lit(""))
+    return own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PAGE_SCHEMA])
+
+
+def image_counts(spark, sf_dir) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").withColumn("type", F.when(F.col("label") == 9, "image").when(F.col("label") == 8, "plot").otherwise("chunk"))
+    return derive.counts(e.withColumn("kind", F.when(F.col("label") >= 8, "image").otherwise("text")))
+
+
+def usable_answers(spark, sf_dir) -> DataFrame:
+    """Answers that make nodes: not missing, empty or failed, and for images no refusal."""
+    t = _read(spark, sf_dir, "conversations")
+    answer = F.when(F.col("turn") == 1, None).when(F.col("turn") == 2, "").when(F.col("turn") == 3, text.FAILED).when(F.col("turn") == 4, F.concat(F.lit("Error: Unable to see "), "text")).otherwise(F.col("text"))
+    usable = lambda image: F.coalesce(text.usable_answer(F.col("answer"), image), F.lit(False))
+    return t.withColumn("answer", answer).select("conv_id", "turn", usable(False).alias("of_text"), usable(True).alias("of_image"))
+
+
+def embedded_nodes(spark, sf_dir) -> DataFrame:
+    """Which nodes get a vector."""
+    from quern import schema
+    from quern.providers import HashedEmbedding, Providers
+
+    t = _read(spark, sf_dir, "embeddings").withColumn("type", _label_type(F.col("label")))
+    n = schema.as_nodes(t.select(F.col("vec_id").cast("string").alias("node_id"), F.when(F.col("type") == "image", "image").otherwise("text").alias("kind"), "type", F.concat(F.lit("text "), "vec_id").alias("text"), F.when(F.col("vec_id") % 3 != 0, True).alias("needs_embedding")))
+    done = derive.embedded(nodes.with_flags(n), Providers(HashedEmbedding(8)))
+    return done.select("node_id", "type", F.col("embedding").isNotNull().alias("embedded"))
+
+
+def node_lookup(spark, sf_dir) -> DataFrame:
+    """Nodes of a list of ids, some of which are missing or repeated."""
+    n, _ = _turn_graph(spark, sf_dir)
+    ids = _read(spark, sf_dir, "embeddings").select(F.concat_ws("-", F.floor(F.col("vec_id") / 4), F.col("vec_id") % 2).alias("node_id"))
+    return retrieval.lookup(ids, n).select("node_id", "type", "kind")
+
+
+def run_queries(spark, sf_dir) -> DataFrame:
+    """Queries of equal text run once."""
+    v, q = _vectors(spark, sf_dir, True)
+    q = q.withColumn("text", F.concat(F.lit("q"), F.col("query_id") % 3))
+    return retrieval.run_queries(v, q, K).select("query_id", F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
+
+
+def fusion_retrieve(spark, sf_dir) -> DataFrame:
+    """From queries to parents, by the plan that answers questions."""
+    from quern.plans import answer
+
+    v, q = _vectors(spark, sf_dir, True)
+    v = v.withColumn("node_id", F.concat_ws("-", F.floor(F.col("node_id") / 3), F.col("node_id") % 3))
+    n, e = _turn_graph(spark, sf_dir)
+    return answer.fusion_retrieve(v, e, n, q.withColumn("text", F.col("query_id").cast("string")), K).select("node_id", "type", "kind")
+
+
 _QUERIES = (
     knn_filtered_topk, text_first_hits, rrf_fusion, parent_lookup, context_concat, clean_text, sanitise_title, intro_split, section_titles, semantic_chunks, prev_next_links, edges_from_nodes,
     page_links, citation_groups, citation_resolve, vector_routing, embedding_flags, type_normalise, token_cost, union_nodes, search_topn, node_to_graph, generated_queries, payload_ids,
-    wiki_tables, page_nodes, extractive_summary, entities_rule,
+    wiki_tables, page_nodes, extractive_summary, entities_rule, key_takeaways, string_parts, base64_texts, page_fetch, page_lookup, section_content, section_nodes, section_map, page_documents,
+    in_text_references, cite_notes, all_citations, citations_by_section, citation_nodes, wiki_ref_nodes, image_counts, usable_answers, embedded_nodes, node_lookup, run_queries, fusion_retrieve,
 )
 
 
