@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,3 +113,85 @@ def test_tables(spark):
     hits = {r.doc_id: r.predicted for r in toxicity.judged(docs, labels).where("held_out").collect()}
     assert np.mean([hits[i] == y for i, _, y in rows if i in hits]) > 0.9
     assert toxicity.judged(docs.where("false"), labels).count() == 0 and quality.judged(docs, labels.where("false")).first()["score"] == 0.5
+
+
+ODD = ["", "One two. Three!", "a\nb\na\n", "ÉÉ x 12 é", "#" * 50, " ", "\n", "LOUD!! WORDS!! loud", "x" * 40_000 + " y", "a b a b a b\n\na b", "\t tab\x0b\x0cend\r\n", "AB Ab aB A1 {x} $5 a@b", "日本語 テキスト", "same\nsame\nsame", "x\0y \0"]
+
+
+def plain_statistics(text):
+    """The statistics of quality.NAMES, one document at a time."""
+    b = text.encode()
+    words, size = re.findall(rb"[^\x20\x09-\x0D]+", b), max(len(b), 1)
+    of = lambda members: sum(c in members for c in b) / size
+    n, lines = max(len(words), 1), b.count(b"\n") + 1
+    symbols = b"#$%&*|<>{}[]=+~^_@/\\!"
+    upper = [sum(65 <= c <= 90 for c in w) for w in words]
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log1p(len(b)), math.log1p(len(words)), sum(map(len, words)) / n, of(range(65, 91)), of(range(48, 58)), of(b" \t\n\x0b\x0c\r"), of(range(128, 256)), of(symbols), of(b".,;:?-'\"()"), of(b"\n"),
+        math.log1p(len(b) / lines), len(set(words)) / n**0.8, len(set(pairs)) / len(pairs) if pairs else 0, max(Counter(words).values(), default=0) / n, len(set(b.split(b"\n"))) / lines if b else 0,
+        sum(any(c in symbols for c in w) for w in words) / n, sum(u >= 2 and u >= len(w) // 2 for u, w in zip(upper, words)) / n,
+        math.log1p(sum(len(w) ** 2 for w in words) / n), math.log1p(len(words) / (sum(c in b".?!;" for c in b) + 1)),
+    ]
+
+
+def test_statistics_equal_a_plain_count():
+    rng = random.Random(2)
+    texts = ODD + ["".join(rng.choice("abA1 \n.#!é") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    assert len(quality.NAMES) == 19
+    assert np.allclose(quality.of_texts(texts), [plain_statistics(t) for t in texts])
+
+
+def plain_features(text):
+    """How often a text has each word and word beginning, as (0, word) and (length, beginning)."""
+    out = Counter()
+    for w in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+        out[0, w] += 1
+        for n in toxicity.BEGINNINGS:
+            if len(w) > n:
+                out[n, w[:n]] += 1
+    return out
+
+
+def hashed(feature):
+    n, raw = feature
+    return int(toxicity.span_hash(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]) ^ n
+
+
+def test_toxicity_equals_a_plain_count():
+    """Which features are chosen, and the score, from dictionaries of counts."""
+    rows = sentences(4, 0.3)
+    model = toxicity.fit(rows)
+    docs = [plain_features(t) for _, t, _ in rows]
+    n1 = sum(y for _, _, y in rows)
+    n0 = len(rows) - n1
+    gain = {}
+    for f in {f for d in docs for f in d}:
+        pos, df = sum(f in d for d, r in zip(docs, rows) if r[2]), sum(f in d for d in docs)
+        p1, p0 = (pos + 0.5) / (n1 + 1), (df - pos + 0.5) / (n0 + 1)
+        gain[f] = abs(p1 - p0) / math.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) if df >= 4 else 0
+    chosen = {f for f, g in gain.items() if g > 2.5} | {f for v in toxicity.IDENTITY_TERMS.values() for t in v for f in plain_features(t)}
+    assert {int(h) for h in model.vocabulary} == {hashed(f) for f in chosen}
+    weight = dict(zip(map(int, model.vocabulary), model.weight))
+    for text in ["", *ODD, *(t for _, t, _ in rows[:40]), "muslim women idiotic scummy " * 9]:
+        z = model.bias + sum(weight.get(hashed(f), 0) * math.log1p(n) for f, n in plain_features(text).items())
+        assert abs(model.score([text])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_crowded_cells_lose_no_feature(monkeypatch):
+    """Features that share a cell with many others are still judged by their own counts."""
+    monkeypatch.setattr(toxicity, "CELLS", 1 << 20)
+    rows = [(i, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)) + (" vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    with np.errstate(invalid="raise"):
+        model = toxicity.fit(rows)
+    assert hashed((0, b"vile")) in {int(h) for h in model.vocabulary}
+
+
+def test_columns_named_like_results(spark):
+    rows = sentences(3, 0.1)
+    docs = spark.createDataFrame([(i, t, 7, "k") for i, t, _ in rows], "doc_id long, text string, score int, `_k0` string")
+    labels = spark.createDataFrame([(i, 1 - y, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, labels), name="own").collect()
+    assert all(r.score == 7 and r._k0 == "k" and 0 <= r.own <= 1 for r in out)
+    out = quality.score(docs, quality.train(docs, labels), name="own").collect()
+    assert all(r.score == 7 and 0 <= r.own <= 1 for r in out)

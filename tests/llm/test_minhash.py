@@ -125,3 +125,26 @@ def test_components_of_paths_and_stars(spark):
 def test_sets_respect_document_borders():
     data, off = text_buffer(pa.array([b"a b", b"c d", b""], pa.binary()))
     assert [len(s) for s in minhash.shingle_sets(data, off, 3)] == [1, 1, 0]
+
+
+def test_words_of_a_regular_make_are_told_apart(spark):
+    """Words that a polynomial hash modulo a power of two takes for one another."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    sets = minhash.shingle_sets(*text_buffer(pa.array([f"{w} x y z".encode() for w in (a, b)], pa.binary())), 3)
+    assert not np.intersect1d(sets[0][:1], sets[1]).size or len(np.intersect1d(*sets)) == 1
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {a}"), (4, f"{a} {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_hash_of_spans_tells_bytes_and_sizes_apart():
+    from quern.llm.common import span_hash
+
+    rng = np.random.default_rng(0)
+    parts = [b"", b"\0", b"\0\0", b"a", b"a\0", bytes(8), bytes(9), bytes(300), bytes(301), *(rng.integers(0, 3, n, dtype=np.uint8).tobytes() for n in range(1, 400))]
+    data, end = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    h = span_hash(data, end - [len(p) for p in parts], end)
+    assert len(set(h.tolist())) == len(set(parts))
+    again = span_hash(np.frombuffer(b"xy" + b"".join(parts), np.uint8), end - [len(p) for p in parts] + 2, end + 2)
+    assert (h == again).all()

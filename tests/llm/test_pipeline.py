@@ -69,3 +69,44 @@ def test_every_stage(spark, tmp_path):
             assert {d for r in rows for d in r.doc_ids} == before.keys() and all(sum(r.lengths) == r.n_tokens <= r.capacity for r in rows)
         docs, before = out, after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+CLASH = ("score", "kept", "n_removed", "n_bytes", "n_spans", "k0", "kind", "block", "place", "group", "_text", "Label")
+
+
+def test_columns_of_any_name_nulls_and_repeated_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.where("doc_id = 4").withColumn("text", F.lit("another text under the same id")))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.lit(" of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASH})
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert out.count() > 0
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/clash{n}")
+        docs = spark.read.parquet(f"{tmp_path}/clash{n}")
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASH)
+        ids = [r.doc_id for r in rows if r.doc_id is not None]
+        assert None in [r.doc_id for r in rows]
+        assert (len(ids) == len(set(ids))) == (n >= 2)
+
+
+def test_empty_table(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_run_goes_through_all_stages(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {d for r in rows for d in r.doc_ids}
+    assert 0 in kept and 1 not in kept and 3 not in kept and 2004 not in kept
