@@ -63,10 +63,35 @@ def _pillow():
         from PIL import Image
     except ImportError:
         return None
-    Image.MAX_IMAGE_PIXELS = None
+    Image.MAX_IMAGE_PIXELS = 4 * LARGEST_AREA  # larger ones are taken for an attack
     return Image
 
 
+def _rasteriser():
+    """A function from SVG bytes to PNG bytes, where a library for it is installed."""
+    try:
+        import cairosvg
+    except (ImportError, OSError):
+        return None
+    return lambda data: cairosvg.svg2png(bytestring=data)
+
+
+def is_svg(data: bytes | None) -> bool:
+    head = (data or b"")[:4096].lstrip(b"\xef\xbb\xbf \t\r\n")
+    return head.startswith(b"<svg") or head.startswith((b"<?xml", b"<!--", b"<!DOCTYPE")) and b"<svg" in head
+
+
+def svg_as_png(data: bytes) -> bytes | None:
+    """An SVG, sized if it has no size, as PNG; None without a rasteriser or if it can't be drawn."""
+    draw = _rasteriser()
+    if draw is None:
+        return None
+    try:
+        return draw(sized_svg(data.decode("utf-8")).encode("utf-8"))
+    except Exception:  # whatever a broken drawing raises, it has no pixels
+        return None
+
+
 def as_png(data: bytes | None, most_area: int = LARGEST_AREA, box: int | None = None) -> bytes | None:
     """PNG bytes: RGB, at most an area, at most a box; None if it can't be read.  Without an imaging
     library a PNG that needs no change passes, all else is None."""
@@ -103,6 +128,8 @@ def for_classifier(data: bytes | None) -> bytes | None:
 
 def page_image(data: bytes | None) -> bytes | None:
     """What a fetched image becomes: None if too small or unreadable, else PNG."""
+    if is_svg(data):
+        return svg_as_png(data)
     size = size_of(data)
     if size and (size[0] < SMALLEST or size[1] < SMALLEST):
         return None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import Config, timed
+from quern.functions import markup
 from quern.operators import derive, nodes
 from quern.providers import Providers
 from quern.sources import store, wiki
@@ -16,7 +17,14 @@ from quern.sources import store, wiki
 DERIVATIONS: tuple[Callable[..., DataFrame], ...] = (derive.entities, derive.summaries, derive.key_takeaways, derive.image_descriptions, derive.image_entities, derive.plot_insights, derive.table_analysis)
 
 
-def initial_nodes(pages: DataFrame, providers: Providers, with_links: bool = False) -> DataFrame:
+def with_section_links(pages: DataFrame) -> DataFrame:
+    """pages whose links are known by section: as given, or else read from the html."""
+    return pages.withColumn("section_links", F.coalesce("section_links", markup.section_links(F.when(F.col("section_links").isNull(), F.coalesce("html", F.lit(""))))))
+
+
+def initial_nodes(pages: DataFrame, providers: Providers, with_links: bool = True) -> DataFrame:
+    """All nodes of the pages, with their citations and wiki links unless these are not wanted."""
+    pages = with_section_links(pages) if with_links else pages
     return nodes.page_nodes(pages, lambda rows: derive.classified(rows, providers.vision), with_links)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,16 @@ from quern.operators import nodes
 
 
 def read_pages(spark: SparkSession, path: str | None = None, default: str = "pages.parquet") -> DataFrame:
-    """A page table; the default place where none is given."""
-    return spark.read.schema(schema.PAGE_SCHEMA).parquet(path or default)
+    """A page table; the default place where none is given or the given one can't be read."""
+    place = (path or "").strip() or default
+    read = lambda p: spark.read.schema(schema.PAGE_SCHEMA).parquet(p)
+    try:
+        return read(place)
+    except AnalysisException as error:
+        if place == default:
+            raise
+        logging.getLogger("quern").error("%s can't be read, %s is taken: %s", place, default, error)
+        return read(default)
 
 
 def search(pages: DataFrame, query: str, results: int = 2, id_col: str = "title", text_col: str = "content") -> DataFrame:

@@ -158,6 +158,33 @@ def test_images():
     assert 'width="1000" height="1000"' in images.sized_svg('<svg viewBox="0 0 1 1" width="3"></svg>') and images.sized_svg('<svg width="1" height="2"/>') == '<svg width="1" height="2"/>'
 
 
+def test_drawings(monkeypatch):
+    svg = b'<?xml version="1.0"?>\n<svg viewBox="0 0 9 9"><rect/></svg>'
+    assert images.is_svg(svg) and images.is_svg(b"  <svg/>") and not images.is_svg(png(9, 9)) and not images.is_svg(None) and not images.is_svg(b"<?xml?><html/>")
+    monkeypatch.setattr(images, "_rasteriser", lambda: None)
+    assert images.page_image(svg) is None
+    drawn = []
+    monkeypatch.setattr(images, "_rasteriser", lambda: lambda data: drawn.append(data) or png(1000, 1000))
+    assert images.page_image(svg) == png(1000, 1000) and b'width="1000" height="1000"' in drawn[0]
+    monkeypatch.setattr(images, "_rasteriser", lambda: lambda data: 1 / 0)
+    assert images.page_image(svg) is None
+
+
+def test_links_come_from_html_where_none_are_given(spark):
+    html = '<h2>Art</h2><p><a href="/wiki/x">x</a><a href="#cite_note-1">[1]</a></p><h2>References</h2><a href="#cite_ref-1">^</a><a href="http://1">T1</a>'
+    rows = pages(spark, 1).withColumn("html", F.lit(html)).withColumn("section_links", F.lit(None).cast(schema.PAGE_SCHEMA["section_links"].dataType))
+    got = {(r.type, r.title, r.parent_section) for r in ingest.initial_nodes(rows, Providers(HashedEmbedding(8))).where("type in ('citation', 'wiki-ref')").collect()}
+    assert got == {("citation", "T1", "Art"), ("wiki-ref", "x", "Art")}
+
+
+def test_pages_fall_back_to_the_default_place(spark, tmp_path):
+    pages(spark, 2).write.parquet(str(tmp_path / "pages"))
+    for given in (None, " ", str(tmp_path / "missing"), str(tmp_path / "pages")):
+        assert wiki.read_pages(spark, given, str(tmp_path / "pages")).count() == 2
+    with pytest.raises(Exception, match="missing"):
+        wiki.read_pages(spark, None, str(tmp_path / "missing"))
+
+
 def test_image_files(spark, tmp_path):
     for name, data in (("good.png", png(90, 90)), ("small.png", png(9, 90)), ("broken.png", b"x")):
         (tmp_path / name).write_bytes(data)
