@@ -165,3 +165,27 @@ FROM k JOIN conversations c ON c.conv_id || '-' || c.turn = k.node_id""",
 _WIKI_LINKS = SQL["page_links"]
 SQL["wiki_ref_nodes"] = f"""WITH w AS ({_WIKI_LINKS}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) - 1 AS n FROM w)
 SELECT page_id::VARCHAR AS page_id, sha256(page_id || '|wiki-ref|' || n) AS node_id, 'wiki-ref' AS type, {_title("text")} AS title, url AS text, 'Body' AS parent_section, n AS pos FROM n"""
+
+_IMAGES = """
+i AS (SELECT page_id, 0 AS pos, CASE WHEN page_id % 3 = 0 THEN 'sales_chart-' || page_id ELSE 'photo-' || page_id END AS title, CASE WHEN page_id % 3 = 0 THEN 'plot' ELSE 'image' END AS type FROM pages
+      UNION ALL SELECT page_id, 1, 'map-' || page_id, 'image' FROM pages WHERE page_id % 2 = 1),
+n AS (SELECT *, sha256(page_id || '|image|' || pos) AS node_id, sha256(page_id || '|page|0') AS page_node FROM i)"""
+
+_STORED = """
+t AS (SELECT conv_id, turn, conv_id || '-' || turn AS node_id, CASE WHEN turn % 3 = 2 THEN 'image' ELSE 'text' END AS kind, conv_id % 4 = 0 AS again FROM conversations),
+kept AS (SELECT * FROM t WHERE NOT again OR turn < 3),
+vecs AS (SELECT node_id, 'wiki_' || kind AS collection, kind AS modality, round(sqrt(turn * turn + conv_id * conv_id::DOUBLE), 6) AS norm FROM kept WHERE NOT again)"""
+
+SQL |= {
+    "table_analysis": f"""SELECT page_id::VARCHAR AS page_id, {_title("url")} || '_table_0_analysis' AS title, 'A table of 2 rows' AS text, 'table_analysis' AS type FROM pages""",
+    "image_gates": "SELECT page_id, CASE WHEN page_id % 7 > 0 THEN page_id % 97 + 1 < 50 OR page_id % 89 + 1 < 50 END AS too_small FROM pages",
+    "image_nodes": f"""WITH {_IMAGES} SELECT page_id::VARCHAR AS page_id, node_id, 'image' AS kind, type, title, 'P-' || page_id AS source_page, 'about' AS context, 'http://i/' || page_id AS image_url, page_node AS parent_id,
+lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id FROM n WINDOW w AS (PARTITION BY page_id ORDER BY pos)""",
+    "image_stages": f"""WITH {_IMAGES}, s AS (SELECT n.*, k.stage FROM n JOIN (VALUES ('image_description', 'image'), ('image_description', 'plot'), ('image_entities', 'image'), ('plot_insights', 'plot')) k(stage, of) ON k.of = n.type)
+SELECT page_id::VARCHAR AS page_id, stage AS type, title || '_' || stage AS title, replace(stage, '_', ' ') || ': ' || regexp_replace(title, '[-_]+', ' ', 'g') AS text, 'about' AS context, node_id AS parent_id, page_node AS source_id, true AS needs_embedding FROM s""",
+    "latest_pages": "SELECT conv_id AS page_id, text AS content, role AS title FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "stored_nodes": f"WITH {_STORED} SELECT node_id, conv_id::VARCHAR AS page_id, kind, CASE WHEN turn > 0 THEN conv_id || '-0' END AS parent_id FROM kept",
+    "stored_edges": f"WITH {_STORED} SELECT conv_id || '-0' AS src_id, node_id AS dst_id, 'PARENT' AS rel FROM kept k WHERE turn > 0 AND EXISTS (SELECT 1 FROM kept z WHERE z.conv_id = k.conv_id AND z.turn = 0)",
+    "stored_vectors": f"WITH {_STORED} SELECT * FROM vecs",
+    "stored_node": f"""WITH {_STORED} SELECT node_id FROM kept WHERE node_id = '5-1' UNION ALL (SELECT node_id FROM vecs WHERE collection = 'wiki_image' ORDER BY node_id LIMIT 10) UNION ALL SELECT DISTINCT collection FROM vecs""",
+}

@@ -405,11 +405,107 @@ def fusion_retrieve(spark, sf_dir) -> DataFrame:
     return answer.fusion_retrieve(v, e, n, q.withColumn("text", F.col("query_id").cast("string")), K).select("node_id", "type", "kind")
 
 
+def table_analysis(spark, sf_dir) -> DataFrame:
+    out = derive.table_analysis(nodes.tables(_pages(spark, sf_dir)), _Rules(), only_new=True)
+    return out.select("page_id", "title", "text", "type")
+
+
+def image_gates(spark, sf_dir) -> DataFrame:
+    """Which images are too small, from the headers of PNGs; null where there is none."""
+    from quern.functions import images
+
+    side = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    head = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), side(F.col("page_id") % 97 + 1), side(F.col("page_id") % 89 + 1), F.unhex(F.lit("0802000000")))
+    p = _read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 7 > 0, head).otherwise(F.lit(b"no image")).alias("data"))
+    return p.select("page_id", images.too_small("data").alias("too_small"))
+
+
+def _image_pages(spark, sf_dir) -> DataFrame:
+    """Pages with an image or two, some of them charts by their name."""
+    from quern import schema
+
+    kind = schema.PAGE_SCHEMA["images"].dataType
+    one = lambda name: F.struct(F.lit(None).cast("binary").alias("image_data"), name.alias("image_name"), F.concat(F.lit("http://i/"), "page_id").alias("image_url"))
+    first, second = F.concat(F.when(F.col("page_id") % 3 == 0, "sales_chart:").otherwise("photo "), "page_id"), F.concat(F.lit("map "), "page_id")
+    p = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.concat(F.lit("P "), "page_id").alias("title"), F.lit("about").alias("summary"), F.when(F.col("page_id") % 2 == 0, F.array(one(first))).otherwise(F.array(one(first), one(second))).cast(kind).alias("images"))
+    return p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PAGE_SCHEMA])
+
+
+def _image_nodes(spark, sf_dir) -> DataFrame:
+    from quern.providers import NameVision
+
+    return nodes.images(_image_pages(spark, sf_dir), lambda rows: derive.classified(rows, NameVision()))
+
+
+def image_nodes(spark, sf_dir) -> DataFrame:
+    n = nodes.linked(_image_nodes(spark, sf_dir))
+    return n.select("page_id", "node_id", "kind", "type", "title", "source_page", "context", "image_url", "parent_id", "prev_id", "next_id")
+
+
+def image_stages(spark, sf_dir) -> DataFrame:
+    """What is derived from images and plots: descriptions, entities, insights."""
+    from quern.providers import Providers
+
+    n, p = _image_nodes(spark, sf_dir), Providers()
+    out = derive.image_descriptions(n, p, True).unionByName(derive.image_entities(n, p, True)).unionByName(derive.plot_insights(n, p, True))
+    return out.select("page_id", "type", "title", "text", "context", "parent_id", "source_id", "needs_embedding")
+
+
+def latest_pages(spark, sf_dir) -> DataFrame:
+    """Of the versions of a page that arrive together the last."""
+    from quern.streaming.ingest import latest
+
+    t = _read(spark, sf_dir, "conversations")
+    rows = t.select(F.col("conv_id").alias("page_id"), F.col("text").alias("content"), F.col("role").alias("title"), F.lit("").alias("html"), F.timestamp_seconds(F.col("turn") * 60).alias("arrived"))
+    return latest(rows).select("page_id", "content", "title")
+
+
+def _stored(spark, sf_dir):
+    """Turns stored as nodes with vectors, conversations as pages; then the conversations divisible by 4
+    again, with their first three turns only and no vectors."""
+    import atexit
+    import uuid
+
+    from quern import schema
+    from quern.config import StoreConfig
+    from quern.sources import store
+
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern-{uuid.uuid4().hex[:12]}"
+    atexit.register(lambda: spark.sparkContext._jsc and store.remove(spark, root))
+    graph = store.GraphStore(spark, StoreConfig(path=root, text_dim=2, image_dim=2))
+    t = _read(spark, sf_dir, "conversations")
+    key, top = F.concat_ws("-", "conv_id", "turn"), F.concat(F.col("conv_id").cast("string"), F.lit("-0"))
+    n = t.select(key.alias("node_id"), F.col("conv_id").cast("string").alias("page_id"), "turn", F.when(F.col("turn") % 3 == 2, "image").otherwise("text").alias("kind"), F.when(F.col("turn") % 3 == 2, "image").otherwise("chunk").alias("type"), F.when(F.col("turn") > 0, top).alias("parent_id"), F.array(F.col("turn"), F.col("conv_id")).cast("array<float>").alias("embedding"))
+    tail = [(F.col(f.name) if f.name in n.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.NODE_SCHEMA]
+    graph.store(n.select(*tail, "embedding"))
+    graph.store(n.where("page_id % 4 = 0 and turn < 3").select(*tail))
+    return graph
+
+
+def stored_nodes(spark, sf_dir) -> DataFrame:
+    return _stored(spark, sf_dir).nodes().select("node_id", "page_id", "kind", "parent_id")
+
+
+def stored_edges(spark, sf_dir) -> DataFrame:
+    return _stored(spark, sf_dir).edges()
+
+
+def stored_vectors(spark, sf_dir) -> DataFrame:
+    return _stored(spark, sf_dir).vectors().select("node_id", "collection", "modality", F.round("norm", 6).alias("norm"))
+
+
+def stored_node(spark, sf_dir) -> DataFrame:
+    """A node by its id, and a look at a collection."""
+    graph = _stored(spark, sf_dir)
+    return graph.node("5-1").select("node_id").unionByName(graph.sample("wiki_image", 10).select("node_id")).unionByName(graph.collections().select(F.col("collection").alias("node_id")))
+
+
 _QUERIES = (
     knn_filtered_topk, text_first_hits, rrf_fusion, parent_lookup, context_concat, clean_text, sanitise_title, intro_split, section_titles, semantic_chunks, prev_next_links, edges_from_nodes,
     page_links, citation_groups, citation_resolve, vector_routing, embedding_flags, type_normalise, token_cost, union_nodes, search_topn, node_to_graph, generated_queries, payload_ids,
     wiki_tables, page_nodes, extractive_summary, entities_rule, key_takeaways, string_parts, base64_texts, page_fetch, page_lookup, section_content, section_nodes, section_map, page_documents,
     in_text_references, cite_notes, all_citations, citations_by_section, citation_nodes, wiki_ref_nodes, image_counts, usable_answers, embedded_nodes, node_lookup, run_queries, fusion_retrieve,
+    table_analysis, image_gates, image_nodes, image_stages, latest_pages, stored_nodes, stored_edges, stored_vectors, stored_node,
 )
 
 

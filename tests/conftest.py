@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quern-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
