@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bwt, minhash, packing, quality, toxicity
-from quern.llm.common import fresh, materialise, read_table
+from quern.llm.common import discard, fresh, materialise, read_table
 from quern.llm.queries import tokenizer_path
 
 
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of documents whose sets of five-word shingles are 0.8 alike, the one with
     the smallest doc_id stays; of rows that repeat its doc_id, one of the smallest text.  Rows without a
     doc_id stay as they are."""
-    judged = materialise(minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80), "pipeline-near")
+    judged = minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80)  # a written table
     kept = judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     once = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("n > 1").isEmpty():
@@ -79,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
