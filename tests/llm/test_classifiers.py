@@ -195,3 +195,15 @@ def test_columns_named_like_results(spark):
     assert all(r.score == 7 and r._k0 == "k" and 0 <= r.own <= 1 for r in out)
     out = quality.score(docs, quality.train(docs, labels), name="own").collect()
     assert all(r.score == 7 and 0 <= r.own <= 1 for r in out)
+
+
+def test_learning_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    free = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5]
+    every = learn.training_rows(docs, labels, "toxic")
+    assert [r[0] for r in every] == free and every[0][1:] == ("x" * 100, free[0] % 2)
+    some = learn.training_rows(docs, labels, "toxic", most=50)
+    assert len(some) == 50 and some == learn.training_rows(docs.repartition(5), labels.repartition(3), "toxic", most=50)
+    assert len(learn.training_rows(docs, labels, "toxic", most_bytes=1000)) == 10
+    assert learn.training_rows(docs.where("false"), labels, "toxic") == []
