@@ -76,6 +76,11 @@ class Scratch:
         self.tables.append(materialise(df, name))
         return self.tables[-1]
 
+    def own(self, table: DataFrame) -> DataFrame:
+        """An intermediate table that was written elsewhere, to be deleted with the others."""
+        self.tables.append(table)
+        return table
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         done = materialise(df, name)
         for t in self.tables:

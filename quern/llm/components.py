@@ -9,7 +9,8 @@ from quern.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node it can reach.
+    """(node, root) for every node of edges (a, b), as a written table: root is the smallest node it can
+    reach.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set stays
     the same; each step is a grouped minimum and a join back, so a node with very many links is
@@ -30,4 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         if found == state:
             break
         state = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    labels = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "cc-labels")
+    discard(now)
+    return labels

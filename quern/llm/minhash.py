@@ -43,7 +43,8 @@ from quern.llm.components import components
 PERMUTATIONS, ROWS = 64, 4
 #: Permutations of the finer signatures, which settle what the others leave open.
 FINE = 512
-BLOCK = 512
+#: Classes of a bucket that are held against one another at once, and neighbours that share a copy of a set.
+BLOCK, SPREAD = 4096, 512
 _draw = np.random.Generator(np.random.PCG64(20))
 _A = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * U64(2) + U64(1)
 _B = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -150,53 +151,61 @@ def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
 
 
-def fine_signatures(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, fine: bool = False) -> DataFrame:
+    """(set_id, shingles, fine) of the classes of wanted (set_id): the full set, and if asked for the finer
+    signature."""
+
     def run(batches):
         for b in slices(batches, "text"):
             found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
-            fine = [(mix(signature(s, _FINE_A, _FINE_B)) & U64(255)).astype(np.uint8).tobytes() for s in found]
-            yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "fine": pa.array(fine, pa.binary())})
+            finer = [(mix(signature(s, _FINE_A, _FINE_B)) & U64(255)).astype(np.uint8).tobytes() if fine else None for s in found]
+            yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary()), "fine": pa.array(finer, pa.binary())})
 
-    return texts_of(wanted, classes, docs).mapInArrow(lean(run), "set_id binary, fine binary").dropDuplicates(["set_id"])
+    return texts_of(wanted, classes, docs).mapInArrow(lean(run), "set_id binary, shingles binary, fine binary").dropDuplicates(["set_id"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets."""
-    nodes = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    texts = texts_of(nodes, classes, docs)
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
-    def sets(batches):
-        for b in slices(batches, "text"):
-            found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
-            yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    full = keep(texts.mapInArrow(lean(sets), "set_id binary, shingles binary").dropDuplicates(["set_id"]), "minhash-sets")
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union, on the full sets (set_id, shingles).
+    Neighbours of one a are dealt in parts of about SPREAD, and its set goes to each part once."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts"))
+    left = parts.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("y")), "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("b"), "y")
+    right = pairs.join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b").join(parts, "a")
+    right = right.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "b", "y")
+    met = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
     def check(batches):
-        for b in slices(batches, "x", 4 << 20):
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+        x = None  # the set of the hub whose neighbours come
+        for batch in slices(batches, "y", 4 << 20):
+            found = []
+            for a, kind, b, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)]):
+                y = np.frombuffer(y, U64)
+                if kind == 0:
+                    x = y
+                    continue
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    wide = pairs.join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b").join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return wide.select("a", "b", "x", "y").mapInArrow(lean(check), "a binary, b binary")
+    return met.mapInArrow(lean(check), "a binary, b binary")
 
 
-def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
-    """Pairs that share a bucket, are in different components, were not tried with the bucket's hub,
+def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs, full sets of their classes): pairs that share a bucket, are in different components, were not tried with the bucket's hub,
     and pass both signature tests; gone through in blocks of about BLOCK classes."""
     least, least_fine = least_agreement(percent), least_agreement(percent, FINE)
     at = members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 != r1").select("key", "n")
     at = keep(at.join(mixed, "key").join(heads, "key").where("set_id != a").select("key", "band", "n", "set_id", "root"), "minhash-mixed")
-    wanted = at.select("set_id").distinct()
-    fine = fine_signatures(wanted, classes, docs, width)
-    at = at.join(keep(classes.select("set_id", "sig", "bands").join(fine, "set_id"), "minhash-fine"), "set_id")
+    full = keep(sets_of(at.select("set_id").distinct(), classes, docs, width, fine=True), "minhash-fine")
+    at = at.join(classes.select("set_id", "sig", "bands").join(full.select("set_id", "fine"), "set_id"), "set_id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     at = at.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "root", "sig", "fine", "bands", "band")
@@ -241,7 +250,7 @@ def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classe
         if len(held) > 1 and (found := pairs_of(held)):
             yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return at.mapInArrow(lean(run), "a binary, b binary").distinct()
+    return at.mapInArrow(lean(run), "a binary, b binary").distinct(), full
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,14 +265,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reach = members.groupBy("set_id").agg(F.sum("n").alias("reach"))
     heads = keep(members.join(reach, "set_id").groupBy("key").agg(F.max_by("set_id", F.struct("reach", "set_id")).alias("a")), "minhash-hubs")
     members = members.drop("n")
-    star = members.join(heads, "key").where("set_id != a").select(F.least("set_id", "a").alias("a"), F.greatest("set_id", "a").alias("b")).distinct()
+    star = members.join(heads, "key").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     star = keep(agreeing(star, classes, least), "minhash-star")
-    links = keep(confirmed(star, classes, docs, width, percent, keep), "minhash-links")
-    labels = keep(components(links), "minhash-labels")
-    hidden = keep(hidden_pairs(members, heads, labels, classes, docs, width, percent, keep), "minhash-hidden")
+    full = keep(sets_of(nodes_of(star), classes, docs, width), "minhash-sets")
+    links = keep(confirmed(star, full, percent), "minhash-links")
+    labels = keep.own(components(links))
+    hidden, full = hidden_pairs(members, heads, labels, classes, docs, width, percent, keep)
+    hidden = keep(hidden, "minhash-hidden")
     if not hidden.isEmpty():
-        more = confirmed(hidden, classes, docs, width, percent, keep)
-        labels = keep(components(links.unionByName(keep(more, "minhash-more"))), "minhash-labels")
+        labels = keep.own(components(links.unionByName(keep(confirmed(hidden, full, percent), "minhash-more"))))
     named = classes.select("set_id", "first_id").join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.select("set_id", "root").join(least_id, "root").select("set_id", "component_id")
