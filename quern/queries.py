@@ -463,16 +463,11 @@ def latest_pages(spark, sf_dir) -> DataFrame:
 def _stored(spark, sf_dir):
     """Turns stored as nodes with vectors, conversations as pages; then the conversations divisible by 4
     again, with their first three turns only and no vectors."""
-    import atexit
-    import uuid
-
     from quern import schema
     from quern.config import StoreConfig
     from quern.sources import store
 
-    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quern-{uuid.uuid4().hex[:12]}"
-    atexit.register(lambda: spark.sparkContext._jsc and store.remove(spark, root))
-    graph = store.GraphStore(spark, StoreConfig(path=root, text_dim=2, image_dim=2))
+    graph = store.GraphStore(spark, StoreConfig(path=store.scratch(spark), text_dim=2, image_dim=2))
     t = _read(spark, sf_dir, "conversations")
     key, top = F.concat_ws("-", "conv_id", "turn"), F.concat(F.col("conv_id").cast("string"), F.lit("-0"))
     n = t.select(key.alias("node_id"), F.col("conv_id").cast("string").alias("page_id"), "turn", F.when(F.col("turn") % 3 == 2, "image").otherwise("text").alias("kind"), F.when(F.col("turn") % 3 == 2, "image").otherwise("chunk").alias("type"), F.when(F.col("turn") > 0, top).alias("parent_id"), F.array(F.col("turn"), F.col("conv_id")).cast("array<float>").alias("embedding"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
+import shutil
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,6 +42,25 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(p, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh place that driver and executors share, removed at exit: under spark.checkpoint.dir where that
+    is set, on one machine a temporary folder, else under the warehouse."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] == "local":
+        shared = "file://" + tempfile.mkdtemp(prefix="quern-scratch-")
+        atexit.register(shutil.rmtree, shared.removeprefix("file://"), True)
+    place = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/quern-{uuid.uuid4().hex[:12]}"
+
+    def gone():
+        try:
+            remove(spark, place)
+        except Exception:  # the session has ended: nothing is left to ask
+            return
+
+    atexit.register(gone)
+    return place
+
+
 def connected(call: Callable, attempts: int = 10, wait: float = 5.0, sleep=time.sleep):
     """call's result; a storage that can't be reached is tried again, at even intervals."""
     for n in range(attempts):
