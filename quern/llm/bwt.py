@@ -332,7 +332,7 @@ def _shared(keys: DataFrame, n: int, hot: int) -> DataFrame:
         if held:
             yield flush(now)
 
-    return keys.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "block int, bucket int, keys binary, hot binary")
+    return keys.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "block int, bucket int, keys binary, hot binary")
 
 
 def _met(replies: DataFrame, packs: DataFrame, n: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _met(replies: DataFrame, packs: DataFrame, n: int) -> DataFrame:
     types = {f.name: f.dataType for f in replies.schema if f.name != "block"}
     left = replies.select("block", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("pack"), *types)
     right = packs.select("block", F.lit(1).alias("kind"), "pack", *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
-    return left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "kind")
+    return left.unionByName(right).repartitionById(n, "block").sortWithinPartitions("block", "kind")
 
 
 PLACES = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("keys", "sizes", "text", "snip", "doc", "doc_ids", "rids", "at")]])
@@ -534,7 +534,7 @@ def _spans(snippets: DataFrame, n: int, size: int) -> DataFrame:
         if held:
             yield _batch(SPANS, flush())
 
-    return snippets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SPANS_TYPE)
+    return snippets.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), SPANS_TYPE)
 
 
 def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

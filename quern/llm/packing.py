@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import lean, ranges, row_count, slices, text_buffer
+from quern.llm.common import lean, row_count, slices, text_buffer
 
 CAPACITIES = (1024, 2048, 4096, 8192)
 #: Documents, and tokens, of a group on average.
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, length: str = "n_tokens", capacities=CAPACITIES, group
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.lit(0), F.coalesce(F.col(length), F.lit(0))).cast("long").alias("n"))
     groups = max(1, -(-row_count(rows) // group_rows))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)).cast("int"))
-    rows = rows.repartition(groups, "group").sortWithinPartitions("group", F.desc(F.col("n") % most), "doc_id", F.desc("n"))
+    rows = rows.repartitionById(groups, "group").sortWithinPartitions("group", F.desc(F.col("n") % most), "doc_id", F.desc("n"))
     names = ["doc_id", "piece", "start", "n_tokens", "bin", "capacity", "offset"]
 
     def run(batches):
@@ -186,7 +186,7 @@ def sequences(docs: DataFrame, path: str, end_id: int = 0, capacities=CAPACITIES
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()  # a byte-level token has a byte or more
     groups = max(1, -(-size[0] // group_rows), -(-(size[1] or 0) // (4 * group_tokens)))
     rows = encoded(docs, path, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(groups)).cast("int"))
-    rows = rows.repartition(groups, "group").sortWithinPartitions("group", F.desc(F.col("n_tokens") % most), "doc_id", F.desc("n_tokens"), "spread")
+    rows = rows.repartitionById(groups, "group").sortWithinPartitions("group", F.desc(F.col("n_tokens") % most), "doc_id", F.desc("n_tokens"), "spread")
     names = ["bin", "capacity", "n_tokens", "doc_ids", "starts", "lengths", "ids"]
 
     def run(batches):
@@ -199,7 +199,8 @@ def sequences(docs: DataFrame, path: str, end_id: int = 0, capacities=CAPACITIES
             lead = np.flatnonzero(np.diff(x.bin[order], prepend=-1))
             parts = pa.array(np.append(lead, len(order)).astype(np.int32))
             used = np.add.reduceat(x.length[order], lead) if len(lead) else lead
-            tokens = flat[ranges((off[:-1][x.who] + x.start)[order], x.length[order])]
+            begin = (off[:-1][x.who] + x.start)[order]
+            tokens = np.concatenate([flat[a:z] for a, z in zip(begin.tolist(), (begin + x.length[order]).tolist())] or [flat])
             lists = [pa.ListArray.from_arrays(parts, v) for v in (ids.take(pa.array(x.who[order])), pa.array(x.start[order]), pa.array(x.length[order].astype(np.int32)))]
             cols = [pa.array((group << 32) + x.bin[order][lead]), pa.array(x.capacity[order][lead].astype(np.int32)), pa.array(used.astype(np.int32)), *lists, packed_rows(tokens, used)]
             whole = pa.RecordBatch.from_arrays(cols, names=names)

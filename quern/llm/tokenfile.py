@@ -287,7 +287,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
             yield pa.RecordBatch.from_arrays([pa.array(last, pa.int32()), b.column(0), rows], names=["file", "doc_id", "ids"])
 
     ids = ids.mapInArrow(lean(encode, (("encoder", path),)), "file int, doc_id long, ids binary")
-    ids = ids.repartition(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
+    ids = ids.repartitionById(n, "file").sortWithinPartitions("file", "doc_id", F.crc32("ids"))
 
     def run(batches):
         from itertools import groupby

@@ -120,7 +120,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     both = heads.select("_range", "_key", F.lit(0).alias("_kind"), "_host", "_path", "_verdict", F.lit(None).cast(urls.schema["_id"].dataType).alias("_id"), *[F.lit(None).cast(urls.schema[c].dataType).alias(c) for c in extra]).unionByName(
         urls.select("_range", "_key", F.lit(1).alias("_kind"), "_host", "_path", F.lit(None).cast("string").alias("_verdict"), "_id", *extra)
     )
-    both = both.repartition(n, "_range").sortWithinPartitions("_range", "_key", "_kind", "_path")
+    both = both.repartitionById(n, "_range").sortWithinPartitions("_range", "_key", "_kind", "_path")
 
     def run(batches):
         at, sweep = None, Sweep()

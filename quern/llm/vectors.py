@@ -39,7 +39,7 @@ def shard_search(rows: DataFrame, asked: DataFrame, shards: int, build: Callable
     search(index, query_ids, queries, least) gives arrays (query row, id, score) of the k best there.  A task holds one shard, and
     QUERY_BLOCK queries at a time."""
     held_rows = rows.select("shard", F.lit(0).alias("kind"), "id", "vec", F.lit(None).cast("double").alias("least"))
-    both = held_rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "vec", "least")).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    both = held_rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "vec", "least")).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches):
         now, kind_now, parts, index = None, None, [], None

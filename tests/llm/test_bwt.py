@@ -155,3 +155,14 @@ def test_hot_rows(spark):
     for hot in (50_000, 20):
         got = [(r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in bwt.cut_repeats(docs, hot=hot, block_bytes=2000).collect()]
         assert sorted(got, key=str) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts longer than what is worked off at once, alike in long stretches and in short ones."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(110_000))
+    rows = [(3, long), (8, "x" + long[200_000:500_000] + "y" + long[10:90]), (1, long[650_000:650_070]), (2, "q" * 600_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in bwt.cut_repeats(docs, block_bytes=200_000).collect()]
+    assert sorted(got, key=str) == brute(rows)

@@ -18,7 +18,7 @@ def test_equals_brute_force(spark):
     rng = random.Random(1)
     labels, paths = ["a", "b", "com", "Example", "www", "com-x", "net", "é"], ["", "/", "/en", "/en/", "/en/x", "/es/1", "/fr/"]
     urls = ["http://" + ".".join(rng.choice(labels) for _ in range(rng.randint(1, 4))) + rng.choice(paths) + rng.choice(["", "?q=/en/", "#x", "/"]) for _ in range(500)]
-    urls += [None, "", "nourl", "://", "http://com", "HTTP://WWW.EXAMPLE.COM/en/?a", "x://com./", "x://a..com/en/", "http://u:p@com:80/en/", "http://com/en/\n/x", *["http://www.example.com/en/hot"] * 300]
+    urls += [None, "", "nourl", "://", "http://com", "HTTP://WWW.EXAMPLE.COM/en/?a", "x://com./", "x://a..com/en/", "http://u:p@com:80/en/", "http://com/en/\n/x", *["http://www.example.com/en/hot"] * 300, "http://www.example.com/en/" + "x" * 300_000, "http://" + "a." * 20_000 + "net/es/?" + "y" * 100_000]
     rules = urlfilter.RULES + [("b.com", "", "block"), ("example", "/en", "allow"), ("a", "/", "block"), ("a", "/", "allow"), ("www.b.com", "/e", "block")]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     got = urlfilter.filter_urls(df, urlfilter.rules_table(spark, rules), ranges=7).collect()
