@@ -30,10 +30,11 @@ shingle; repeated rows are copies; a row without doc_id is linked like others bu
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import U64, Scratch, lean, mix, slices, span_hash, text_buffer, word_spans
@@ -43,8 +44,9 @@ from quern.llm.components import components
 PERMUTATIONS, ROWS = 64, 4
 #: Permutations of the finer signatures, which settle what the others leave open.
 FINE = 512
-#: Classes of a bucket that are held against one another at once, and neighbours that share a copy of a set.
-BLOCK, SPREAD = 4096, 512
+#: Classes of a bucket in one block, at most; into how many blocks even a smaller bucket is cut; neighbours
+#: that share a copy of a set.
+BLOCK, SPLIT, SPREAD = 4096, 8, 512
 _draw = np.random.Generator(np.random.PCG64(20))
 _A = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * U64(2) + U64(1)
 _B = _draw.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -145,23 +147,45 @@ def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a binary, b binary")
 
 
-def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text): a document for each class of wanted (set_id)."""
-    ids = classes.select("set_id", "first_id").join(wanted, "set_id", "left_semi").select(F.col("first_id").alias("doc_id"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+def class_key(first_id: Column, content: Column) -> Column:
+    """A class's name: its smallest doc_id, in bytes that sort like it (none: after all others), then the
+    digest of its set.  So the least of several classes has the least doc_id."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(first_id, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(first_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, content)
 
 
-def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int, fine: bool = False) -> DataFrame:
+def first_of(key: Column) -> Column:
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(Decimal(1 << 63))
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number.cast("long"))
+
+
+def content_of(key: Column) -> Column:
+    return F.substring(key, 10, 16)
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, width: int, fine: bool = False) -> DataFrame:
     """(set_id, shingles, fine) of the classes of wanted (set_id): the full set, and if asked for the finer
-    signature."""
+    signature.  A class's text is that of its smallest doc_id; of classes without one it is found among the
+    rows without one, by its set.  How many classes are wanted has no bound, so none are broadcast."""
 
     def run(batches):
         for b in slices(batches, "text"):
-            found = [s for s in shingle_sets(*text_buffer(b.column(1)), width) if len(s)]
+            sets = shingle_sets(*text_buffer(b.column(1)), width)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            found = [sets[i] for i in some]
             finer = [(mix(signature(s, _FINE_A, _FINE_B)) & U64(255)).astype(np.uint8).tobytes() if fine else None for s in found]
-            yield pa.RecordBatch.from_pydict({"set_id": pa.array(map(set_id, found), pa.binary()), "shingles": pa.array([s.tobytes() for s in found], pa.binary()), "fine": pa.array(finer, pa.binary())})
+            cols = [b.column(0).take(pa.array(some, pa.int64())), pa.array(map(set_id, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(finer, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["set_id", "content", "shingles", "fine"])
 
-    return texts_of(wanted, classes, docs).mapInArrow(lean(run), "set_id binary, shingles binary, fine binary").dropDuplicates(["set_id"])
+    schema = "set_id binary, content binary, shingles binary, fine binary"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = wanted.withColumn("doc_id", first_of(F.col("set_id")))
+    named = texts.join(known.where("doc_id is not null").hint("merge"), "doc_id").select("set_id", "text").mapInArrow(lean(run), schema)
+    named = named.where(F.col("content") == content_of(F.col("set_id")))  # another text may have the same doc_id
+    loose = texts.where("doc_id is null").select(F.lit(None).cast("binary").alias("set_id"), "text").mapInArrow(lean(run), schema).drop("set_id").dropDuplicates(["content"])
+    loose = loose.join(known.where("doc_id is null").select("set_id", content_of(F.col("set_id")).alias("content")), "content")
+    columns = ["set_id", "shingles", "fine"]
+    return named.select(*columns).unionByName(loose.select(*columns)).dropDuplicates(["set_id"])
 
 
 def nodes_of(pairs: DataFrame) -> DataFrame:
@@ -204,9 +228,9 @@ def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classe
     at = members.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 != r1").select("key", "n")
     at = keep(at.join(mixed, "key").join(heads, "key").where("set_id != a").select("key", "band", "n", "set_id", "root"), "minhash-mixed")
-    full = keep(sets_of(at.select("set_id").distinct(), classes, docs, width, fine=True), "minhash-fine")
+    full = keep(sets_of(at.select("set_id").distinct(), docs, width, fine=True), "minhash-fine")
     at = at.join(classes.select("set_id", "sig", "bands").join(full.select("set_id", "fine"), "set_id"), "set_id")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(SPLIT), F.ceil(F.col("n") * SPLIT / BLOCK))).cast("int")
     at = at.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "root", "sig", "fine", "bands", "band")
     at = at.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -258,7 +282,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keep = Scratch()
     least = least_agreement(percent)
     sig = keep(signatures(docs, width), "minhash-signatures")
-    classes = keep(sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = keep(classes.select(class_key(F.col("first_id"), F.col("set_id")).alias("set_id"), "sig", "bands"), "minhash-classes")
     spread = classes.select("set_id", F.posexplode("bands").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keep(spread.join(shared, "key").select("key", "band", "n", "set_id"), "minhash-members")
@@ -267,16 +292,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = members.drop("n")
     star = members.join(heads, "key").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     star = keep(agreeing(star, classes, least), "minhash-star")
-    full = keep(sets_of(nodes_of(star), classes, docs, width), "minhash-sets")
+    full = keep(sets_of(nodes_of(star), docs, width), "minhash-sets")
     links = keep(confirmed(star, full, percent), "minhash-links")
     labels = keep.own(components(links))
     hidden, full = hidden_pairs(members, heads, labels, classes, docs, width, percent, keep)
     hidden = keep(hidden, "minhash-hidden")
     if not hidden.isEmpty():
         labels = keep.own(components(links.unionByName(keep(confirmed(hidden, full, percent), "minhash-more"))))
-    named = classes.select("set_id", "first_id").join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.select("set_id", "root").join(least_id, "root").select("set_id", "component_id")
+    named = classes.select("set_id").join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
+    named = named.select(content_of(F.col("set_id")).alias("set_id"), first_of(F.coalesce("root", "set_id")).alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

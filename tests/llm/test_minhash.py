@@ -148,3 +148,23 @@ def test_hash_of_spans_tells_bytes_and_sizes_apart():
     assert len(set(h.tolist())) == len(set(parts))
     again = span_hash(np.frombuffer(b"xy" + b"".join(parts), np.uint8), end - [len(p) for p in parts] + 2, end + 2)
     assert (h == again).all()
+
+
+def test_links_lead_through_rows_without_a_doc_id(spark):
+    """The middle of a chain has no doc_id; negative ids and one doc_id with two texts besides."""
+    words = [f"t{i}" for i in range(100)]
+    middle, end = [*words[:97], "m1", "m2", "m3"], ["e1", "e2", "e3", *words[3:97], "m1", "m2", "m3"]
+    rows = [(9, " ".join(words)), (None, " ".join(middle)), (-4, " ".join(end)), (5, "quite another text"), (5, " ".join(reversed(words))), (6, " ".join([*reversed(words)][:99])), (None, "quite another text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, 3, 85).collect()
+    assert sorted(((r[0], r[1], r[2]) for r in got), key=str) == brute(rows, 3, 85)
+    assert {r.component_id for r in got if r.doc_id in (9, -4)} == {-4}
+
+
+def test_class_keys_sort_like_doc_ids(spark):
+    from pyspark.sql import functions as F
+
+    ids = [-(1 << 63), -5, -1, 0, 1, 255, 256, 1 << 40, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, b"x" * 16) for i in ids], "i long, c binary").select("i", minhash.class_key(F.col("i"), F.col("c")).alias("k"))
+    rows = df.select("i", "k", minhash.first_of(F.col("k")).alias("back"), minhash.content_of(F.col("k")).alias("c")).orderBy("k").collect()
+    assert [r.i for r in rows] == ids and all(r.back == r.i and bytes(r.c) == b"x" * 16 for r in rows)
