@@ -8,6 +8,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-M64 = (1 << 64) - 1
+ARROW_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,12 +52,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return uri
 
 
+@contextmanager
+def few_files(spark: SparkSession):
+    """Small tables in few files: shuffles inside are brought together to the advisory partition size, and
+    not cut again to occupy every core."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts the lineage, survives executors."""
     spark = df.sparkSession
     uri = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(uri)
+    with few_files(spark):
+        df.write.parquet(uri)
     return spark.read.schema(schema).parquet(uri)
 
 
@@ -196,7 +211,12 @@ def forget(uses: tuple = ()) -> None:
 def lean(run: Callable, uses: tuple = ()) -> Callable:
     """run, a function of record batches, giving its memory back to the system when it ends: a worker
     is used again, and would keep the most that any of its tasks had.  What earlier tasks have kept()
-    goes, but for the keys it uses."""
+    goes, but for the keys it uses.  Where the session has Spark's default of 10,000 rows to an Arrow batch
+    it gets ARROW_ROWS, as rows hold whole texts."""
+    spark = SparkSession.getActiveSession()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
 
     def held(batches):
         forget(uses)
