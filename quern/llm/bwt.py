@@ -25,8 +25,8 @@ smaller doc_id.  The work is cut by content, so that equal strings always meet:
 Snippets are equal if all their bytes are; hashes only bring them together.  Blocks and buckets hold
 some BLOCK bytes of text each, counted first, whatever the size of the input; a bucket is worked off in
 parts of PART bytes, cut between keys, so memory stays bounded.  Texts travel to their block as
-compressed record batches.  All tables between the stages are written in the shared folder; nothing
-but counts reaches the driver.
+compressed record batches.  Spans are written in the shared folder before they go back to the
+documents; nothing but counts reaches the driver.
 
 Defined cases: null and empty texts have no bytes and lose none; matches never cross documents;
 rows with equal doc_id take nothing from one another; a null doc_id counts as larger than any;
@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, discard, lean, materialise, mix, ranges, slices, span_hash, text_buffer, words_at
+from quern.llm.common import U64, lean, materialise, mix, ranges, slices, span_hash, text_buffer, words_at
 
 SIZE, GRAM = 50, 24
 HOT = 50_000
@@ -557,10 +557,9 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
     own = [F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")]
     slim, base = docs.select(*own), docs.select(*own, *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    shared = materialise(_shared(_keys(slim, n, size, gram), n, hot), "bwt-shared")
+    shared = _shared(_keys(slim, n, size, gram), n, hot)  # read once: its shuffle is all that keeps it
     packs, schema = _packed(slim, n)
     spans = materialise(_spans(_snippets(_met(shared, packs, n), schema, n, size, gram), n, size), "bwt-spans")
-    discard(shared)
     packs, schema = _packed(base, n)
 
     def run(batches):
