@@ -261,3 +261,17 @@ def word_spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
         stop[:-1] &= ~inside[1:] | begin[1:]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     return start, end, np.searchsorted(start, off)
+
+
+#: Rows that one array makes in expanded(), at most.
+COPIES = 4096
+
+
+def expanded(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as `count` says, with a number from 0 on as `name`; in two steps, so that no array is
+    long."""
+    part, n = fresh(df, "part"), F.col(count)
+    wide = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES).cast("long"))))
+    last = F.least(n - F.col(part) * COPIES, F.lit(COPIES)) - 1
+    wide = wide.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return wide.withColumn(name, F.col(name) + F.col(part) * COPIES).drop(part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bwt, mih, minhash, packing, piece, quality, sql, tokenfile, toxicity, urlfilter, vptree
+from quern.llm import bwt, cuckoo, kmeans, mih, minhash, packing, piece, quality, resample, sql, tokenfile, toxicity, urlfilter, vptree
 from quern.llm.common import read_table
 
 
@@ -56,10 +56,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.deduplicated(read_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, seed=7, least_words=20)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
 def queries() -> dict:
-    named = (op1_vp_tree, op2_url_filter, op3_token_files, op4_multi_index, op5_best_fit, op6_toxicity, op7_minhash, op8_quality, op9_piece_stream, op10_suffix_dedup)
+    named = (op1_vp_tree, op2_url_filter, op3_token_files, op4_multi_index, op5_best_fit, op6_toxicity, op7_minhash, op8_quality, op9_piece_stream, op10_suffix_dedup, op11_cuckoo_dedup, op12_importance_resampling, op13_centroids)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": sql.URL_FILTER, "op4_multi_index": sql.MULTI_INDEX}
+    return {"op2_url_filter": sql.URL_FILTER, "op4_multi_index": sql.MULTI_INDEX, "op11_cuckoo_dedup": sql.EXACT_DEDUP, "op12_importance_resampling": sql.RESAMPLE, "op13_centroids": sql.centroids()}
