@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern import schema
 from quern.operators.chunking import dot
 
-#: Queries are broadcast only up to this many (a question has five); more are dealt in blocks.
-BROADCAST_QUERIES = 1000
+#: Queries are sent to the tasks in blocks of so many bytes; scores that a task computes at a time.
+QUERY_BYTES, SCORES = 16 << 20, 1 << 22
 
 
 def with_norm(vectors: DataFrame) -> DataFrame:
@@ -20,25 +27,112 @@ def modality_of(kind: Column) -> Column:
     return F.when(kind.isin(*schema.IMAGE_MODALITY), "image").otherwise("text")
 
 
-def scores(vectors: DataFrame, queries: DataFrame, modality: str | None = None) -> DataFrame:
-    """(query_id, node_id, modality, score): cosine of each query with each vector of a modality.
-
-    queries: (query_id, vector).  Up to BROADCAST_QUERIES of them go to every task; beyond that
-    they are dealt to blocks of vectors, each block meeting each block of queries once."""
-    if modality is not None:
-        vectors = vectors.where(F.col("modality") == modality)
-    v = vectors.select("node_id", "modality", "embedding", "norm")
-    q = queries.select("query_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("qnorm"))
-    few = q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if few:
-        both = v.crossJoin(F.broadcast(q))
-    else:
-        blocks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        v = v.withColumn("_b", F.pmod(F.xxhash64("node_id"), F.lit(blocks)))
-        q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = v.join(q, "_b")
-    n = F.col("norm") * F.col("qnorm")
-    return both.select("query_id", "node_id", "modality", F.when(n == 0, F.lit(0.0)).otherwise(dot(F.col("embedding"), F.col("vector")) / n).alias("score"))
+class _Best:
+    """The k best of each query so far: (query, score, id, modality), ties to the smaller node_id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least, self.held = k, np.full(queries, -np.inf), None
+
+    def add(self, ids: pa.Array, modality: pa.Array, which: np.ndarray, scores: np.ndarray) -> None:
+        """scores: one row for each id, one column for each query of `which`."""
+        if self.k < 1 or not len(ids) or not len(which):
+            return
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        kth = np.partition(scores, len(ids) - self.k, 0)[len(ids) - self.k] if len(ids) > self.k else np.full(len(which), -np.inf)
+        row, column = np.nonzero((scores >= np.maximum(kth, self.least[which])) & (scores > -np.inf))
+        new = pa.table({"query": pa.array(which[column], pa.int32()), "score": scores[row, column], "id": ids.take(pa.array(row)), "modality": modality.take(pa.array(row))})
+        both = new if self.held is None else pa.concat_tables([self.held, new])
+        both = both.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+        query = both.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        self.held = both.filter(pa.array(place < self.k))
+        full = place == self.k - 1
+        self.least[query[full]] = both.column("score").to_numpy()[full]
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """(query_ids, matrix) of all queries with a vector, QUERY_BYTES at a time; one length in a block."""
+    ids, rows = [], []
+    for r in queries.where("vector is not null").select("query_id", "vector").toLocalIterator():
+        if rows and (len(r[1]) != len(rows[0]) or len(rows) * len(rows[0]) * 8 >= QUERY_BYTES):
+            yield ids, np.array(rows, np.float64)
+            ids, rows = [], []
+        ids.append(r[0]), rows.append([np.nan if x is None else x for x in r[1]])
+    if rows:
+        yield ids, np.array(rows, np.float64)
+
+
+def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, limits: dict[str | None, int], asked: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(query, part, node_id, modality, score): the best that each task has of one block of queries; part is the
+    place of the limit that they are within.
+
+    limits: how many for each modality; None: of all together.  asked: the queries that look into a
+    cell (column `cell`); without it each query looks at all vectors."""
+    norms = np.sqrt((matrix * matrix).sum(1))
+
+    def run(batches):
+        best = {m: _Best(len(matrix), k) for m, k in limits.items()}
+        own = {m: pa.array([m]) for m in limits}
+        step = max(1, SCORES // max(1, len(matrix)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column("embedding")), matrix.shape[1]), False))
+                e = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, matrix.shape[1])
+                size = np.sqrt((e * e).sum(1))
+                cell = b.column("cell").to_numpy() if asked is not None else np.zeros(b.num_rows, np.int32)
+                for c in np.unique(cell).tolist():
+                    which = np.arange(len(matrix)) if asked is None else asked.get(c, np.zeros(0, np.int64))
+                    for m in limits:
+                        rows = np.flatnonzero((cell == c) & (np.ones(b.num_rows, bool) if m is None else pc.fill_null(pc.equal(b.column("modality"), own[m][0]), False).to_numpy(zero_copy_only=False)))
+                        both = size[rows][:, None] * norms[which]
+                        cosine = np.divide(e[rows] @ matrix[which].T, both, out=np.zeros(both.shape), where=both != 0)
+                        best[m].add(b.column("node_id").take(pa.array(rows)), b.column("modality").take(pa.array(rows)), which, np.where(np.isnan(both), np.nan, cosine))
+        for part, found in enumerate(best.values()):
+            for b in found.held.to_batches() if found.held is not None else ():
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), b.column(2), b.column(3), b.column(1)], names=["query", "part", "node_id", "modality", "score"])
+
+    rows = vectors.select("node_id", "modality", "embedding", *(["cell"] if asked is not None else []))
+    kind = vectors.schema["node_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"query int, part int, node_id {kind}, modality string, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, limits: dict[str | None, int], probes: Callable[[np.ndarray], dict[int, np.ndarray]] | None = None) -> DataFrame:
+    """(query_id, node_id, modality, score): the nearest of each query by cosine, ties to the smaller
+    node_id; `limits` says how many of each modality, {None: k} the k best of all.
+
+    queries: (query_id, vector), which come to the driver in blocks of QUERY_BYTES; a block goes to all
+    tasks, which multiply it with blocks of vectors and send on no more than what may be among the best.
+    So a pass over the vectors serves a block, and no pair of query and vector is ever a row.  probes: for
+    an index, which queries of a block look into which cell; only these cells are read.
+
+    Vectors without an embedding, of another length than a query, or with null or NaN components score
+    nothing; vectors and queries of length zero score 0."""
+    spark, parts = vectors.sparkSession, []
+    kind, own = queries.schema["query_id"].dataType, vectors.schema["node_id"].dataType.simpleString()
+    for ids, matrix in _query_blocks(queries):
+        rows, asked = vectors, None
+        if probes is not None:
+            asked = probes(matrix)
+            rows = vectors.where(F.col("cell").isin(sorted(asked)))
+        names = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", kind)]))
+        known = [m for m in limits if m is not None]
+        found = _search(rows.where(F.col("modality").isin(known)) if len(known) == len(limits) else rows, ids, matrix, limits, asked)
+        first = Window.partitionBy("query", "part").orderBy(F.desc("score"), "node_id")
+        found = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.element_at(F.array(*map(F.lit, limits.values())), F.col("part") + 1))
+        parts.append(found.join(F.broadcast(names), "query").select("query_id", "node_id", "modality", "score"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kind.simpleString()}, node_id {own}, modality string, score double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best(hits: DataFrame, limits: dict[str | None, int]) -> DataFrame:
+    """Of hits from several places those within the limits of nearest()."""
+    if None in limits:
+        return top_k(hits, limits[None])
+    first = Window.partitionBy("query_id", "modality").orderBy(F.desc("score"), "node_id")
+    limit = F.coalesce(*[F.when(F.col("modality") == m, F.lit(k)) for m, k in limits.items()])
+    return hits.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).drop("_r")
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
@@ -48,22 +142,20 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, modality: str | None = None) -> DataFrame:
-    return top_k(scores(vectors, queries, modality), k)
+    return nearest(vectors, queries, {modality: k})
 
 
 def text_first(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """k text hits and half as many image hits of each query, out of one pass over the vectors."""
-    w = Window.partitionBy("query_id", "modality").orderBy(F.desc("score"), "node_id")
-    hits = scores(vectors, queries).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return hits.where((F.col("modality") == "text") | (F.col("_r") <= k // 2)).drop("_r")
+    return nearest(vectors, queries, {"text": k, "image": k // 2})
 
 
-def run_queries(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """text_first for all distinct queries; of equal texts the first counts."""
+def run_queries(vectors: DataFrame, queries: DataFrame, k: int = 10, search: Callable[..., DataFrame] = text_first) -> DataFrame:
+    """text_first, or an index's, for all distinct queries; of equal texts the first counts."""
     if "text" in queries.columns:
         first = Window.partitionBy("text").orderBy("query_id")
         queries = queries.withColumn("_f", F.row_number().over(first)).where("_f = 1").drop("_f")
-    return text_first(vectors, queries, k)
+    return search(vectors, queries, k)
 
 
 def ranked(hits: DataFrame) -> DataFrame:

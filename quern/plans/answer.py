@@ -25,10 +25,11 @@ def query_table(spark: SparkSession, queries: list[str], providers: Providers) -
     return spark.createDataFrame([(i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(queries, vectors))], "query_id int, text string, vector array<double>")
 
 
-def fusion_retrieve(vectors: DataFrame, edges: DataFrame, nodes: DataFrame, queries: DataFrame, top_k: int = 10, config: Config | None = None) -> DataFrame:
-    """Parents of the fused hits, by rank."""
+def fusion_retrieve(vectors: DataFrame | GraphStore, edges: DataFrame, nodes: DataFrame, queries: DataFrame, top_k: int = 10, config: Config | None = None) -> DataFrame:
+    """Parents of the fused hits, by rank; from vectors, or by the search of a store, which may have an index."""
     r = (config or Config()).retrieval
-    fused = retrieval.fuse(retrieval.run_queries(vectors, queries, top_k), top_k, r.fusion_k, r.text_boost)
+    search = GraphStore.text_first if isinstance(vectors, GraphStore) else retrieval.text_first
+    fused = retrieval.fuse(retrieval.run_queries(vectors, queries, top_k, search), top_k, r.fusion_k, r.text_boost)
     order = Window.orderBy(F.desc(F.round("score", 12)), "_seen", "node_id")  # top_k rows
     return retrieval.parents(fused.withColumn("rank", F.row_number().over(order) - 1), edges, nodes)
 
@@ -61,7 +62,7 @@ def process_question(graph: GraphStore, question: str, providers: Providers | No
     """(answer with context, answer without)."""
     providers, config = providers or Providers(), config or Config()
     queries = query_table(graph.spark, expanded(question, providers, config.retrieval.generated_queries), providers)
-    found = fusion_retrieve(graph.vectors(), graph.edges(), graph.nodes(), queries, config.retrieval.top_k, config)
+    found = fusion_retrieve(graph, graph.edges(), graph.nodes(), queries, config.retrieval.top_k, config)
     row = retrieval.context(found).first()
     with_context, bare = prompts(question, row["texts"], row["image_urls"])
     answerer = answerer or Answerer(providers.text, providers.text)

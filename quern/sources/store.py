@@ -19,16 +19,15 @@ from pyspark.sql import types as T
 from quern import schema
 from quern.config import StoreConfig
 from quern.operators import nodes as node_ops
+from quern.operators import retrieval
 from quern.operators.retrieval import modality_of, with_norm
-
-
-def _place(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from quern.sources import commits
+from quern.sources.commits import place
+from quern.sources.vector_index import VectorIndex
 
 
 def present(spark: SparkSession, path: str) -> bool:
-    system, p = _place(spark, path)
+    system, p = place(spark, path)
     return system.exists(p)
 
 
@@ -38,27 +37,29 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    system, p = _place(spark, path)
+    system, p = place(spark, path)
     system.delete(p, True)
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh place that driver and executors share, removed at exit: under spark.checkpoint.dir where that
-    is set, on one machine a temporary folder, else under the warehouse."""
+    is set, on one machine a temporary folder, else an error."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared and spark.sparkContext.master.split("[")[0] == "local":
         shared = "file://" + tempfile.mkdtemp(prefix="quern-scratch-")
         atexit.register(shutil.rmtree, shared.removeprefix("file://"), True)
-    place = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/quern-{uuid.uuid4().hex[:12]}"
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = f"{shared.rstrip('/')}/quern-{uuid.uuid4().hex[:12]}"
 
     def gone():
         try:
-            remove(spark, place)
+            remove(spark, own)
         except Exception:  # the session has ended: nothing is left to ask
             return
 
     atexit.register(gone)
-    return place
+    return own
 
 
 def connected(call: Callable, attempts: int = 10, wait: float = 5.0, sleep=time.sleep):
@@ -122,67 +123,126 @@ TABLES = {
 }
 
 
+#: Batches of about one size that the store merges, and rows to a file of a batch, about.
+FAN, FILE_ROWS = 8, 1 << 20
+
+
 @dataclass
 class GraphStore:
     """nodes, edges and vectors under one path; pages that are stored again replace all they had.
 
-    Every call of store() appends one version of its pages to each table, in a folder of its own, and
-    names them last in the table `pages`; a page's rows are those of its greatest version there.  So
-    a batch costs what it holds, however large the graph is, and one that breaks off is never
-    seen; the next call writes over it.  compact() rewrites what counts as one version.  One writer at a
-    time; readers may read while it writes, but not while it compacts."""
+    Every call of store() writes its rows in folders of their own, then commits them as one entry of the
+    log (quern.sources.commits); a page's rows are those of its last batch in the order of the log.  So a batch
+    costs what it holds, one that breaks off is never seen, and writers that store at the same time lose
+    nothing: the later entry counts.  Batches of like size are merged as they come (merge_small), so that many small
+    ones leave few files.  `at` holds a reader to the state after an entry; nothing that it reads goes
+    before vacuum().
+
+    A vector index (build_index) covers the state it was built at; search() asks it for all pages that have
+    not been stored since, and looks through the vectors of those that have."""
 
     spark: SparkSession
     config: StoreConfig
+    at: int | None = None
 
-    def _path(self, table: str) -> str:
-        return f"{self.config.path}/{table}"
+    def __post_init__(self):
+        self.log = commits.CommitLog(self.spark, f"{self.config.path}/log")
 
-    def _all(self, table: str) -> DataFrame:
-        """Every version of a table, with `version`."""
-        full = T.StructType([*TABLES[table].fields, T.StructField("version", T.LongType())])
-        if not connected(lambda: present(self.spark, self._path(table))):
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self._path(table))
+    def pinned(self) -> GraphStore:
+        """The store as it is now, whatever is written later."""
+        return GraphStore(self.spark, self.config, self.log.last())
 
-    def _current(self, table: str) -> DataFrame:
-        last = self._all("pages").groupBy("page_id").agg(F.max("version").alias("version"))
-        return self._all(table).join(last, ["page_id", "version"], "left_semi").select(*TABLES[table].names)
+    def _state(self) -> list[commits.Live]:
+        return connected(lambda: self.log.state(self.at))
 
-    def _append(self, df: DataFrame, table: str, version: int) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.mode("overwrite").parquet(f"{self._path(table)}/version={version}")
+    def _path(self, table: str) -> str:
+        return f"{self.config.path}/{table}"
 
-    def _next(self) -> int:
-        return (self._all("pages").agg(F.max("version")).first()[0] or 0) + 1
+    def _all(self, table: str, batches: list[commits.Live]) -> DataFrame:
+        """The rows of some batches, with `version`: their place in the order."""
+        full = T.StructType([*TABLES[table].fields, T.StructField("batch", T.StringType())])
+        if not batches:
+            return self.spark.createDataFrame([], full).withColumn("version", F.lit(0)).drop("batch")
+        paths = [f"{self._path(table)}/batch={x.batch}" for x in batches]
+        rows = self.spark.read.schema(full).option("basePath", self._path(table)).parquet(*paths)
+        if len(batches) == 1:
+            return rows.withColumn("version", F.lit(batches[0].order)).drop("batch")
+        order = self.spark.createDataFrame([(x.batch, x.order) for x in batches], "batch string, version int")
+        return rows.join(F.broadcast(order), "batch").drop("batch")
+
+    def _current(self, table: str, batches: list[commits.Live] | None = None, among: list[commits.Live] | None = None) -> DataFrame:
+        """The rows of a table that count: those of each page's last batch.  among: look at these only."""
+        state = self._state() if batches is None else batches
+        rows = self._all(table, state if among is None else among)
+        if len(state) > 1:
+            last = self._all("pages", state).groupBy("page_id").agg(F.max("version").alias("version"))
+            rows = rows.join(last, ["page_id", "version"], "left_semi")
+        return rows.select(*TABLES[table].names)
+
+    def _write(self, df: DataFrame, table: str, batch: str) -> None:
+        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self._path(table)}/batch={batch}")
 
     def dimensions(self) -> dict[str, int | None]:
         return {f"{self.config.collection}_text": self.config.text_dim, f"{self.config.collection}_image": self.config.image_dim}
 
-    def store(self, nodes: DataFrame) -> None:
-        """Nodes, then their edges, then their vectors.  The nodes are computed once, however much
-        their model stages cost: edges and vectors come from what was written."""
-        version = self._next()
+    def store(self, nodes: DataFrame) -> int:
+        """Nodes, then their edges, then their vectors; returns the entry.  The nodes are computed once, however
+        much their model stages cost: edges and vectors come from what was written."""
+        batch = uuid.uuid4().hex
         full = nodes if "embedding" in nodes.columns else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
-        staged = f"{self.config.path}/staged"
+        staged = f"{self.config.path}/staged/{batch}"
         save_stage(full, staged)
         held = load_stage(self.spark, staged)
-        self._append(schema.as_nodes(held), "nodes", version)
+        self._write(schema.as_nodes(held), "nodes", batch)
         own = held.select("node_id", "page_id")
-        self._append(node_ops.edges(schema.as_nodes(held)).join(own.withColumnRenamed("node_id", "dst_id"), "dst_id"), "edges", version)
+        self._write(node_ops.edges(schema.as_nodes(held)).join(own.withColumnRenamed("node_id", "dst_id"), "dst_id"), "edges", batch)
         vectors = of_dimension(vectors_of(held, self.config.collection), self.dimensions())
-        self._append(vectors.join(own, "node_id"), "vectors", version)
-        self._append(held.select("page_id").distinct(), "pages", version)
+        self._write(vectors.join(own, "node_id"), "vectors", batch)
+        self._write(held.select("page_id").distinct(), "pages", batch)
+        entry = self.log.commit(batch, held.count())
         remove(self.spark, staged)
+        self.merge_small()
+        return entry
 
-    def compact(self) -> None:
-        """Keep what counts, as one version; what it replaces is removed afterwards."""
-        version = self._next()
-        old = [r[0] for r in self._all("pages").select("version").distinct().collect()]  # a number for each call of store()
-        for table in TABLES:  # pages last: till then the old versions count
-            self._append(self._current(table), table, version)
+    def _merge(self, run: list[commits.Live]) -> bool:
+        """One batch that stands for neighbours in the order.  Of what they hold, only each page's last of
+        them is kept; if another writer has merged some of them meanwhile, this one's work is dropped: False."""
+        batch, files = uuid.uuid4().hex, lambda n: max(1, -(-n // FILE_ROWS))
         for table in TABLES:
-            for v in old:
-                remove(self.spark, f"{self._path(table)}/version={v}")
+            rows = self._current(table, run)
+            rows = rows.distinct() if table == "pages" else rows
+            self._write(rows.coalesce(files(sum(x.rows for x in run))), table, batch)
+        rows = self.spark.read.parquet(f"{self._path('nodes')}/batch={batch}").count()
+        try:
+            self.log.commit(batch, rows, tuple(x.batch for x in run))
+            return True
+        except commits.Outdated:
+            for table in TABLES:
+                remove(self.spark, f"{self._path(table)}/batch={batch}")
+            return False
+
+    def merge_small(self) -> None:
+        """Merge runs of FAN batches of like size; an index keeps what it covers."""
+        while runs := commits.runs_to_merge(self.log.state(), FAN, self.indexed()):
+            if not all([self._merge(run) for run in runs]):
+                return  # another writer is merging
+
+    def compact(self) -> None:
+        """All batches as one; an index is built anew.  Readers that are pinned go on reading the old ones."""
+        state = self.log.state()
+        if len(state) > 1:
+            self._merge(state)
+            if self.indexed() is not None:
+                self.build_index()
+
+    def vacuum(self, keep_from: int | None = None) -> int:
+        """Remove batches that no state from an entry (the last) on holds; returns how many.  Folders of
+        writers that have not committed stay."""
+        gone = self.log.unused([n.removeprefix("batch=") for n in commits.names(self.spark, self._path("pages"))], self.log.last() if keep_from is None else keep_from)
+        for batch in gone:
+            for table in TABLES:
+                remove(self.spark, f"{self._path(table)}/batch={batch}")
+        return len(gone)
 
     def nodes(self) -> DataFrame:
         return self._current("nodes")
@@ -202,3 +262,37 @@ class GraphStore:
     def sample(self, collection: str, n: int = 10) -> DataFrame:
         """The first n vectors of a collection, for a look."""
         return self.vectors().where(F.col("collection") == collection).orderBy("node_id").limit(n)
+
+    def indexed(self) -> int | None:
+        """The entry that the newest index covers, of those up to `at`."""
+        done = [int(n) for n in commits.names(self.spark, self._path("index")) if exists(self.spark, f"{self._path('index')}/{n}/about")]
+        return max((n for n in done if self.at is None or n <= self.at), default=None)
+
+    def index(self) -> VectorIndex | None:
+        n = self.indexed()
+        return None if n is None else VectorIndex(self.spark, f"{self._path('index')}/{n}")
+
+    def build_index(self, cells: int | None = None, recall: float | None = None) -> VectorIndex:
+        """An index of the vectors that count now.  recall: how much of the true nearest a search is to
+        find (VectorIndex.calibrate); without it all cells are asked."""
+        entry = self.log.last()
+        index = VectorIndex(self.spark, f"{self._path('index')}/{entry}").build(self._current("vectors", self.log.state(entry)), cells)
+        if recall is not None:
+            index.calibrate(recall)
+        return index
+
+    def search(self, queries: DataFrame, limits: dict[str | None, int], probes: int | None = None) -> DataFrame:
+        """retrieval.nearest over the vectors that count; by the index where there is one."""
+        entry, index, state = self.indexed(), self.index(), self._state()
+        if index is None:
+            return retrieval.nearest(self._current("vectors", state), queries, limits)
+        newer = [x for x in state if x.order > entry]
+        if not newer:
+            return index.search(queries, limits, probes)
+        changed = self._all("pages", newer).select("page_id").distinct()
+        old = index.search(queries, limits, probes, index.vectors().join(changed, "page_id", "left_anti"))
+        return retrieval.best(old.unionByName(retrieval.nearest(self._current("vectors", state, newer), queries, limits)), limits)
+
+    def text_first(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """retrieval.text_first by search()."""
+        return self.search(queries, {"text": k, "image": k // 2})

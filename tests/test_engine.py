@@ -119,8 +119,40 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     v = retrieval.with_norm(spark.createDataFrame([(i, "text", [float(i), 1.0, -2.0]) for i in range(30)], "node_id long, modality string, embedding array<float>"))
     q = spark.createDataFrame([(i, [1.0, float(i), 0.5]) for i in range(5)], "query_id int, vector array<double>")
     few = sorted(map(tuple, retrieval.vector_search(v, q, 4, "text").collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
-    assert sorted(map(tuple, retrieval.vector_search(v, q, 4, "text").collect())) == few
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 48)
+    monkeypatch.setattr(retrieval, "SCORES", 7)
+    assert sorted(map(tuple, retrieval.vector_search(v, q, 4, "text").collect())) == few and len(few) == 20
+
+
+def test_nearest_equals_plain_loops(spark):
+    """Ties at the last place, odd lengths, nulls, vectors of length zero, both modalities."""
+    rng = np.random.default_rng(8)
+    e = rng.integers(-2, 3, (200, 4)).astype(float).tolist()
+    rows = [(f"n{i}", "image" if i % 3 == 0 else "text", v) for i, v in enumerate(e)]
+    bad = [("x1", "text", None), ("x2", "text", [1.0] * 3), ("x3", "text", [None, 1.0, 1.0, 1.0]), ("x4", "text", [float("nan")] * 4), ("x5", None, e[0]), ("x6", "text", [])]
+    v = spark.createDataFrame(rows + bad, "node_id string, modality string, embedding array<float>").repartition(3)
+    q = [(7, e[5]), (8, [0.0] * 4), (9, e[77]), (10, [1.0, 2.0, 3.0]), (11, None)]
+
+    def score(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n) if n else 0.0, 9)
+
+    def plain(which, k):
+        out = []
+        for i, w in q:
+            own = [(-score(x, w), n, m) for n, m, x in rows + [bad[4]] if w and len(w) == 4 and which(m)]
+            if w and len(w) == 3 and which("text"):
+                own = [(-score([1.0] * 3, w), "x2", "text")]
+            out += [(i, n, m, -s) for s, n, m in sorted(own, key=lambda r: r[:2])[:k]]
+        return sorted(out, key=str)
+
+    frame = spark.createDataFrame(q, "query_id int, vector array<double>")
+    got = lambda df: sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in df.collect()), key=str)
+    rounded = lambda rows: [(a, b, c, round(d, 9)) for a, b, c, d in rows]
+    same = lambda a, b: sorted(x[0::3] for x in rounded(a)) == sorted(x[0::3] for x in rounded(b))  # noqa: E731  scores that differ in the last place may swap ids
+    assert same(got(retrieval.nearest(v, frame, {None: 9})), plain(lambda m: True, 9))
+    assert same(got(retrieval.text_first(v, frame, 6)), plain(lambda m: m == "text", 6) + plain(lambda m: m == "image", 3))
+    assert retrieval.vector_search(v, frame.limit(0), 3).collect() == []
 
 
 def test_parents_once_by_first_hit(spark):
@@ -267,7 +299,7 @@ def test_store_replaces_pages_and_asks_models_once(spark, tmp_path):
     counts = (graph.nodes().count(), graph.edges().count(), graph.vectors().count())
     graph.compact()
     assert (graph.nodes().count(), graph.edges().count(), graph.vectors().count()) == counts
-    spark.read.schema(schema.NODE_SCHEMA).parquet(str(tmp_path / "g" / "nodes")).limit(0).write.parquet(str(tmp_path / "g" / "nodes" / "version=99"))  # a write that broke off
+    spark.createDataFrame([("x",)], "page_id string").write.parquet(str(tmp_path / "g" / "pages" / "batch=99"))  # a write that broke off
     assert graph.nodes().count() == counts[0]
     graph.store(rows.where("page_id = '0'").drop("embedding"))
     assert graph.vectors().count() == 0 and graph.nodes().where("page_id = '0'").count() == rows.where("page_id = '0'").count()
