@@ -113,7 +113,9 @@ def least_agreement(percent: int, permutations: int = PERMUTATIONS) -> int:
     return int(n * p - 6.5 * (n * p * (1 - p)) ** 0.5)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, text_key: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set_id, sig, bands) of every row, and if asked for the xxhash64 of its text."""
+
     def run(batches):
         for b in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(b.column(1)), width)
@@ -128,9 +130,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     keys.append(np.zeros(0, np.int64)), sigs.append(None), ids.append(None)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), bands], names=["doc_id", "n_shingles", "set_id", "sig", "bands"])
+            made = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), bands]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[2:]], names=["doc_id", "n_shingles", "set_id", "sig", "bands", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>")
+    more = [F.xxhash64("text").alias("text_key")] if text_key else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(lean(run), "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>" + ", text_key long" * text_key)
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -277,11 +281,15 @@ def hidden_pairs(members: DataFrame, heads: DataFrame, labels: DataFrame, classe
     return at.mapInArrow(lean(run), "a binary, b binary").distinct(), full
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
+
+    rows: for tables where a doc_id has several texts, which components may share as their smallest; then
+    kept is true of the rows of one class in each component only, that which has its smallest doc_id, and two
+    columns tell rows apart: set_id, the digest of the row's set (null: empty), and text_key, the xxhash64 of its text."""
     keep = Scratch()
     least = least_agreement(percent)
-    sig = keep(signatures(docs, width), "minhash-signatures")
+    sig = keep(signatures(docs, width, rows), "minhash-signatures")
     classes = sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = keep(classes.select(class_key(F.col("first_id"), F.col("set_id")).alias("set_id"), "sig", "bands"), "minhash-classes")
     spread = classes.select("set_id", F.posexplode("bands").alias("band", "key"))
@@ -300,8 +308,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not hidden.isEmpty():
         labels = keep.own(components(links.unionByName(keep(confirmed(hidden, full, percent), "minhash-more"))))
     named = classes.select("set_id").join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-    named = named.select(content_of(F.col("set_id")).alias("set_id"), first_of(F.coalesce("root", "set_id")).alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    whole = F.coalesce("root", "set_id")
+    named = named.select(content_of(F.col("set_id")).alias("set_id"), first_of(whole).alias("component_id"), *([(F.col("set_id") == whole).alias("first")] if rows else []))
+    out = sig.select("doc_id", "n_shingles", "set_id", *(["text_key"] if rows else [])).join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    stays = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    if rows:
+        stays = stays & F.coalesce("first", F.lit(True))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), stays.alias("kept"), *(["set_id", "text_key"] if rows else []))
     return keep.result(out, "minhash-result")

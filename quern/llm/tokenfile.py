@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import kept, lean, materialise, new_path, ranges, slices, text_buffer
+from quern.llm.common import kept, lean, materialise, new_path, ranges, row_count, slices, text_buffer
 from quern.llm.memo import PieceMemo
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 1 << 20
+#: Bytes of input to a file; rows, about, that are drawn for the cuts (or 64 a file); what a plan's estimate says that knows nothing.
+FILE_BYTES, CUT_SAMPLE, UNKNOWN_BYTES = 256 << 20, 20_000, 1 << 60
 #: What stands for no doc_id in the files.
 NO_ID = int(np.iinfo(np.int64).min)
 #: What bytes are to the byte-level pattern: letters, digits, other marks, apostrophe, space, line ends and
@@ -254,13 +256,33 @@ def _open(uri: str, mode: str):
     return system, path, system.open_output_stream(path, compression=None)
 
 
+def file_cuts(keys: DataFrame, files: int) -> np.ndarray:
+    """files - 1 doc_ids (column `doc_id`, whole numbers) that cut the rows about evenly, from a sample of
+    CUT_SAMPLE rows or so.  They balance the files, no more: any cuts give the same order."""
+    n = row_count(keys) if files > 1 else 0
+    if not n:
+        return np.zeros(0, np.int64)
+    share = min(1.0, max(64 * files, CUT_SAMPLE) / n)
+    drawn = keys if share == 1 else keys.sample(share, seed=3)
+    found = np.sort(np.array([r[0] for r in drawn.collect()], np.int64))
+    return found[np.arange(1, files) * len(found) // files] if len(found) else np.zeros(0, np.int64)
+
+
+def file_count(docs: DataFrame) -> int:
+    """A file for each FILE_BYTES of what docs is read from, by the plan's own estimate where it has
+    one, and no fewer than a shuffle has partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // FILE_BYTES)) if size < UNKNOWN_BYTES else least
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | None = None, files: int | None = None) -> DataFrame:
     """Write all documents, ascending by doc_id, as token files; returns the manifest.
 
     Texts are encoded once, where they are read; only packed ids are shuffled, to ranges of doc_id
-    cut at quantiles that a pass over doc_id alone gives (they balance the files, no more).  Where
-    several cuts fall on one doc_id, or on none, its rows are dealt over the files between by the
-    crc32 of their ids, which is their order.
+    (file_cuts).  doc_ids are whole numbers all along, so that those above 2^53 keep their order.  Where
+    several cuts fall on one doc_id, its rows are dealt over the files between by the crc32 of their
+    ids, which is their order.
     A task writes each file under a name of its own attempt and renames it when complete, so a
     task that runs twice leaves one whole file.  The manifest has a row for each file:
     (file, uri, n_docs, n_ids, start), start being the ids in all earlier files."""
@@ -268,10 +290,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
 
     spark = docs.sparkSession
     uri = uri or new_path(spark, "tokens")
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or file_count(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low_id = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    cuts = np.array(low_id.approxQuantile("doc_id", [i / n for i in range(1, n)], max(0.1 / n, 1e-4)) if n > 1 else [])
+    cuts = file_cuts(ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), n)
     kind = np.dtype(np.uint32 if end_id > 65535 else kind_of(Tokenizer.from_file(path)))
 
     def encode(batches):
@@ -280,7 +301,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, uri: str | No
             made, count = enc.ended(*text_buffer(b.column(1)), end_id)
             made = made.astype(kind, copy=False)
             rows = packed_rows(made, count)
-            key = b.column(0).fill_null(NO_ID).to_numpy().astype(np.float64)
+            key = b.column(0).fill_null(NO_ID).to_numpy()
             first, last = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
             for i in np.flatnonzero(last > first + 1).tolist():  # an id that fills files by itself: by the crc32 of its ids
                 last[i] = first[i] + (zlib.crc32(rows[i].as_buffer()) * int(last[i] - first[i] + 1) >> 32)

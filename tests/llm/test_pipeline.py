@@ -2,6 +2,8 @@ import random
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 
 import test_bwt
@@ -92,9 +94,25 @@ def test_columns_of_any_name_nulls_and_repeated_rows(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/clash{n}")
         rows = docs.collect()
         assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASH)
-        ids = [r.doc_id for r in rows if r.doc_id is not None]
+        ids = [(r.doc_id, r.text) for r in rows if r.doc_id is not None]
         assert None in [r.doc_id for r in rows]
         assert (len(ids) == len(set(ids))) == (n >= 2)
+        assert any(r.doc_id == 4 and r.text == "another text under the same id" for r in rows)
+
+
+@pytest.mark.parametrize("others", [[], [(9, "w" * 30)] * 3 + [(30, None), (30, ""), (30, None)]])
+def test_near_copies_under_a_repeated_doc_id(spark, others):
+    """Whatever else repeats in the table: a near copy goes, a text of its own stays, equal rows are one."""
+    words = lambda a, n=60: " ".join(f"{a}{i}" for i in range(n))
+    t, u, v = words("t"), words("u"), words("v")
+    rows = [(1, t), (5, t + " end"), (5, u), (6, u + " more"), (7, v), (7, v + " tail"), (8, v), (None, t), *others]
+    docs = spark.createDataFrame([(d, x, f"of {d}") for d, x in rows], "doc_id long, text string, text_key string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == len(set(got))
+    own = [r for r in got if r[0] in (1, 5, 6, 8, None)]
+    assert sorted(own, key=str) == sorted([(1, t), (5, u), (None, t)], key=str)
+    assert len([r for r in got if r[0] == 7]) == 1 and len([r for r in got if r[0] in (9, 30)]) == (2 if others else 0)
 
 
 def test_empty_table(spark, tmp_path):

@@ -144,3 +144,30 @@ def test_pieces_table(spark):
     back = {r.doc_id: r.text for r in piece.decode(piece.encode(df, path), path).collect()}
     assert all(back[i] == t for i, t in enumerate(ODD)) and back[99] == ""
     assert all(r.same for r in piece.round_trips(df, path).collect()) and piece.round_trips(df.where("false"), path).count() == 0
+
+
+@pytest.mark.parametrize("base", [2**60, 2**53 + 1, -(2**62)])
+def test_large_doc_ids_keep_their_order(spark, base):
+    """Ids that are one apart beyond what doubles tell apart, one of them repeated, in several files."""
+    rng = np.random.default_rng(2)
+    rows = [(base + int(i), f"text {i} " * int(i % 5 + 1)) for i in rng.permutation(300)] + [(base + 50, f"again {i}") for i in range(200)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = tokenizer_path("byte_bpe_50k.json")
+    manifest = tokenfile.write_token_files(docs, path, files=7)
+    got = tokenfile.read_token_files(manifest).collect()
+    got.sort(key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert len(got) == len(rows) and ids[0] is None and ids[1:] == sorted(d for d, _ in rows if d is not None)
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()]
+    assert manifest.count() > 4
+
+
+def test_files_follow_the_bytes_of_the_input(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, str(np.random.default_rng(i).bytes(500))) for i in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tokenfile.file_count(docs) == least
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 20_000)
+    assert tokenfile.file_count(docs) > 3 * least
+    assert tokenfile.file_count(spark.createDataFrame(docs.rdd, docs.schema)) == least  # nothing known of its size
