@@ -6,14 +6,14 @@ classifiers learn from sf_dir's documents and labels (rows that are not held out
 verdict on a document does not depend on what an earlier stage dropped.
 
 Defined cases, by stage: a null text scores as an empty one, has no near-duplicates, loses no passages
-and packs as its end token alone; of rows that repeat a doc_id the near-duplicates stage keeps one, all
-other stages treat each row by itself; rows without a doc_id are scored, kept by the near-duplicates
+and packs as its end token alone; rows that repeat a doc_id are judged one by one (of equal rows the
+near-duplicates stage keeps one); rows without a doc_id are scored, kept by the near-duplicates
 stage, give nothing to and take from all others in the passages stage and are packed; an empty table gives
 an empty one; columns besides doc_id and text are carried along whatever their names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bwt, minhash, packing, quality, toxicity
@@ -36,17 +36,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose sets of five-word shingles are 0.8 alike, the one with
-    the smallest doc_id stays; of rows that repeat its doc_id, one of the smallest text.  Rows without a
-    doc_id stay as they are."""
-    judged = minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80)  # a written table
-    kept = judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("n > 1").isEmpty():
-        place = fresh(docs, "place")
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        once = once.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
-    return once.unionByName(docs.where("doc_id is null"))
+    """Of each component of documents whose sets of five-word shingles are 0.8 alike, the row with
+    the smallest doc_id stays.  A row is judged by its own text, whatever other rows have its doc_id: of two
+    texts under one doc_id both stay if they are not alike, and neither if both are like an earlier
+    document's.  Where several rows could stay (the smallest doc_id repeated, with texts of one set, or
+    without words), one does.  Rows without a doc_id stay as they are."""
+    judged = minhash.near_duplicates(docs.where("doc_id is not null"), width=5, percent=80, rows=True)  # a written table
+    key, row = fresh(docs, "text_key"), fresh(docs, "row")
+    stays = judged.where("kept").groupBy("doc_id", "set_id").agg(F.min("text_key").alias(key), F.count(F.lit(1)).alias("n"))
+    here = docs.withColumn(key, F.xxhash64("text"))
+    once = here.join(stays.select("doc_id", key), ["doc_id", key], "left_semi").select(*here.columns)
+    if not stays.where("n > 1").isEmpty():  # of equal rows one: the others stay as they are
+        again = stays.where("n > 1").select("doc_id", key)
+        equal = here.join(again, ["doc_id", key], "left_semi").groupBy("doc_id", key).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+        once = here.join(stays.where("n = 1").select("doc_id", key), ["doc_id", key], "left_semi").select(*docs.columns).unionByName(equal)
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
