@@ -25,7 +25,7 @@ def with_section_links(pages: DataFrame) -> DataFrame:
 def initial_nodes(pages: DataFrame, providers: Providers, with_links: bool = True) -> DataFrame:
     """All nodes of the pages, with their citations and wiki links unless these are not wanted."""
     pages = with_section_links(pages) if with_links else pages
-    return nodes.page_nodes(pages, lambda rows: derive.classified(rows, providers.vision), with_links)
+    return nodes.page_nodes(pages, lambda rows: derive.classified(rows, providers.vision, providers.pace), with_links)
 
 
 def transformed(rows: DataFrame, providers: Providers, derivations: Sequence[Callable[..., DataFrame]] = DERIVATIONS) -> DataFrame:
@@ -52,5 +52,8 @@ def ingest(spark: SparkSession, corpus: DataFrame, topic: str, results: int = 2,
     first = store.cached_stage(spark, at("initial"), lambda: initial_nodes(pages, providers))
     done = store.cached_stage(spark, at("transformed"), lambda: transformed(first, providers))
     graph = store.GraphStore(spark, config.store)
-    graph.store(done.drop("last_transformed"))
+    rows = done.drop("last_transformed")
+    graph.store(providers.counters.nodes(rows) if providers.counters else rows)
+    if providers.counters:
+        providers.counters.log()
     return graph

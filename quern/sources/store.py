@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from quern import schema
 from quern.config import StoreConfig
 from quern.operators import nodes as node_ops
 from quern.operators import retrieval
+from quern.operators.counting import observed
 from quern.operators.retrieval import modality_of, with_norm
 from quern.sources import commits
 from quern.sources.commits import place
@@ -191,7 +192,8 @@ class GraphStore:
         batch = uuid.uuid4().hex
         full = nodes if "embedding" in nodes.columns else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
         staged = f"{self.config.path}/staged/{batch}"
-        save_stage(full, staged)
+        seen = Observation()
+        save_stage(full.observe(seen, F.count(F.lit(1)).alias("rows")), staged)
         held = load_stage(self.spark, staged)
         self._write(schema.as_nodes(held), "nodes", batch)
         own = held.select("node_id", "page_id")
@@ -199,7 +201,7 @@ class GraphStore:
         vectors = of_dimension(vectors_of(held, self.config.collection), self.dimensions())
         self._write(vectors.join(own, "node_id"), "vectors", batch)
         self._write(held.select("page_id").distinct(), "pages", batch)
-        entry = self.log.commit(batch, held.count())
+        entry = self.log.commit(batch, observed(seen).get("rows", 0))
         remove(self.spark, staged)
         self.merge_small()
         return entry
