@@ -127,6 +127,13 @@ secs AS (SELECT h.*, sha256(h.doc_id || '|section|' || h.no || '.' || h.sub) AS
 _CITED = f"""{_REFS},
 cited AS (SELECT page_id, CASE WHEN conv_id % 2 = 1 THEN 'Part ' || conv_id % 3 ELSE 'Introduction' END AS section, CASE WHEN conv_id % 2 = 1 THEN conv_id % 3 ELSE -1 END AS section_pos, ref_no, title, link, archived, conv_id FROM tuples)"""
 
+_ENTITIES = r"""
+a AS (SELECT doc_id, regexp_extract_all(text, '(?:\b(?:in|from|near) )?\b[A-Z][a-z]+(?: [A-Z][a-z]+)*') AS p, regexp_extract_all(text, '\b(?:1[0-9]{3}|20[0-9]{2})\b') AS y FROM documents),
+p AS (SELECT doc_id, unnest(p) AS context, generate_subscripts(p, 1) AS pos, NULL AS kind FROM a UNION ALL SELECT doc_id, unnest(y), generate_subscripts(y, 1), 'date' FROM a),
+n AS (SELECT doc_id, context, pos, regexp_replace(context, '^(in|from|near) ', '') AS name, kind FROM p),
+k AS (SELECT doc_id, context, pos, name, CASE WHEN kind = 'date' THEN kind WHEN context <> name THEN 'location' WHEN list_contains(['Inc', 'Ltd', 'Company', 'University', 'Institute', 'Bank', 'Party', 'Press', 'Foundation', 'Office'], string_split(name, ' ')[-1]) THEN 'organization' ELSE 'person' END AS kind FROM n),
+found AS (SELECT sha256(kind || '|' || lower(name)) AS entity_id, kind, name, arg_min(context, pos) AS context, doc_id::VARCHAR AS doc_id FROM k GROUP BY kind, name, doc_id)"""
+
 SQL |= {
     "wiki_tables": f"""SELECT page_id::VARCHAR AS page_id, 0::BIGINT AS pos, {_title("url")} || '_table_0' AS title, '0,1' || chr(10) || 'k,"v, w"' || chr(10) || page_id || ',' || chr(10) AS csv FROM pages""",
     "page_nodes": f"""WITH p AS (SELECT page_id::VARCHAR AS page_id, {_title("url")} AS t, {_trim("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")} AS intro FROM pages)
@@ -212,4 +219,6 @@ SELECT page_id::VARCHAR AS page_id, stage AS type, title || '_' || stage AS titl
 m AS (SELECT page_id, lower(substr(c, 1, 12) || substr(c, 12)) AS text FROM q),
 e AS (SELECT page_id, t.url, CAST(levenshtein(m.text, lower(t.url)) AS INTEGER) AS edits FROM m, (SELECT DISTINCT url FROM pages) t WHERE abs(length(m.text) - length(t.url)) <= 2)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY edits, url) AS INTEGER) AS rank, url, edits FROM e WHERE edits <= 2 QUALIFY rank <= 3""",
+    "entity_mentions": f"WITH {_ENTITIES} SELECT entity_id, kind, name, context, doc_id FROM found",
+    "entity_table": f"WITH {_ENTITIES} SELECT entity_id, kind, name, count(*) AS sections FROM found GROUP BY 1, 2, 3",
 }

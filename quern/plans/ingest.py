@@ -11,7 +11,7 @@ from quern.config import Config, timed
 from quern.functions import markup
 from quern.operators import derive, nodes
 from quern.providers import Providers
-from quern.sources import store, wiki
+from quern.sources import cache, store, wiki
 
 #: Stages that derive nodes by a model, in order; each looks at types that none of them makes.
 DERIVATIONS: tuple[Callable[..., DataFrame], ...] = (derive.entities, derive.summaries, derive.key_takeaways, derive.image_descriptions, derive.image_entities, derive.plot_insights, derive.table_analysis)
@@ -44,13 +44,17 @@ def transformed(rows: DataFrame, providers: Providers, derivations: Sequence[Cal
 @timed
 def ingest(spark: SparkSession, corpus: DataFrame, topic: str, results: int = 2, providers: Providers | None = None, config: Config | None = None) -> store.GraphStore:
     """Search a topic, build and transform the nodes of its pages, store them.  Both stages are kept
-    under the topic and the number of pages; a second run reads them."""
+    page by page (quern.sources.cache): a second run reads them, a changed page or model derives what depends on it."""
     providers, config = providers or Providers(), config or Config()
     titles = wiki.search(corpus, topic, results).select("title")
-    pages = corpus.join(F.broadcast(titles), "title", "left_semi")  # `results` titles at most
-    at = lambda name: store.stage_path(config.store.path, name, topic, results)
-    first = store.cached_stage(spark, at("initial"), lambda: initial_nodes(pages, providers))
-    done = store.cached_stage(spark, at("transformed"), lambda: transformed(first, providers))
+    pages = corpus.join(F.broadcast(titles), "title", "left_semi").select(*corpus.columns)  # `results` titles at most
+    kept = lambda name: cache.PageCache(spark, f"{config.store.path}/{name}")
+
+    def all_stages(new: DataFrame) -> DataFrame:
+        first = kept("initial").nodes(new, lambda own: initial_nodes(own, providers), cache.models_print(providers, "initial"))
+        return transformed(first, providers)
+
+    done = kept("transformed").nodes(pages, all_stages, cache.models_print(providers, "transformed", config.chunk))
     graph = store.GraphStore(spark, config.store)
     rows = done.drop("last_transformed")
     graph.store(providers.counters.nodes(rows) if providers.counters else rows)

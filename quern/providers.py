@@ -278,9 +278,9 @@ class HashedEmbedding:
 
 #: Words that tell the rule what a name stands for: before a place, and at the end of an organisation's.
 _PLACE, _BODY = ("in", "from", "near"), ("Inc", "Ltd", "Company", "University", "Institute", "Bank", "Party", "Press", "Foundation", "Office")
-_PHRASE = re.compile(r"(?:\b(?:%s) )?\b[A-Z][a-z]+(?: [A-Z][a-z]+)*" % "|".join(_PLACE))
+_PHRASE = re.compile(r"(?:\b(?:%s) )?\b[A-Z][a-z]+(?: [A-Z][a-z]+)*" % "|".join(_PLACE), re.ASCII)
 _NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b")
-_DATE = re.compile(r"\b(?:1[0-9]{3}|20[0-9]{2})\b")
+_DATE = re.compile(r"\b(?:1[0-9]{3}|20[0-9]{2})\b", re.ASCII)
 
 
 def _ruled_entities(text: str) -> dict[str, list[dict[str, str]]]:

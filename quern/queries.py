@@ -565,13 +565,28 @@ def title_suggestions(spark, sf_dir) -> DataFrame:
     return index.near(p.select(F.col("page_id").alias("query_id"), asked.alias("text")), 3).select(F.col("query_id").alias("page_id"), "rank", F.col("title").alias("url"), "edits")
 
 
+def entity_mentions(spark, sf_dir) -> DataFrame:
+    """Which entities each document names, as rows out of structured answers."""
+    from quern.providers import Providers
+
+    answers = derive.entity_answers(_section_nodes(spark, sf_dir), Providers())
+    return derive.mentions(answers).select("entity_id", "kind", "name", "context", F.col("node_id").alias("doc_id"))
+
+
+def entity_table(spark, sf_dir) -> DataFrame:
+    """Each entity once, with how many documents name it."""
+    from quern.providers import Providers
+
+    return derive.entity_table(derive.mentions(derive.entity_answers(_section_nodes(spark, sf_dir), Providers()))).select("entity_id", "kind", "name", "sections")
+
+
 _QUERIES = (
     knn_filtered_topk, text_first_hits, rrf_fusion, parent_lookup, context_concat, clean_text, sanitise_title, intro_split, section_titles, semantic_chunks, prev_next_links, edges_from_nodes,
     page_links, citation_groups, citation_resolve, vector_routing, embedding_flags, type_normalise, token_cost, union_nodes, search_topn, node_to_graph, generated_queries, payload_ids,
     wiki_tables, page_nodes, extractive_summary, entities_rule, key_takeaways, string_parts, base64_texts, page_fetch, page_lookup, section_content, section_nodes, section_map, page_documents,
     in_text_references, cite_notes, all_citations, citations_by_section, citation_nodes, wiki_ref_nodes, image_counts, usable_answers, embedded_nodes, node_lookup, run_queries, fusion_retrieve,
     table_analysis, image_gates, image_nodes, image_stages, latest_pages, stored_nodes, stored_edges, stored_vectors, stored_node,
-    indexed_knn, probed_recall, ranked_search, ranked_search_all, title_suggestions,
+    entity_mentions, entity_table, indexed_knn, probed_recall, ranked_search, ranked_search_all, title_suggestions,
 )
 
 

@@ -82,7 +82,7 @@ def test_store_is_idempotent_and_answers(spark, tmp_path):
     config = Config(store=StoreConfig(path=str(tmp_path / "g")))
     graph = ingest.ingest(spark, pages(spark), "Berlin", 2, p, config)
     before = (graph.nodes().count(), graph.edges().count(), graph.vectors().count())
-    graph.store(spark.read.parquet(store.stage_path(config.store.path, "transformed", "Berlin", 2)).drop("last_transformed"))
+    graph.store(spark.read.parquet(f"{config.store.path}/transformed/rows").drop("last_transformed", "batch"))
     assert (graph.nodes().count(), graph.edges().count(), graph.vectors().count()) == before and min(before) > 0
     assert graph.nodes().select("page_id").distinct().count() == 2
     assert {r[0] for r in graph.collections().collect()} == {"wiki_text"} and graph.sample("wiki_text", 3).count() == 3
