@@ -135,7 +135,9 @@ k AS (SELECT doc_id, context, pos, name, CASE WHEN kind = 'date' THEN kind WHEN
 found AS (SELECT sha256(kind || '|' || lower(name)) AS entity_id, kind, name, arg_min(context, pos) AS context, doc_id::VARCHAR AS doc_id FROM k GROUP BY kind, name, doc_id)"""
 
 SQL |= {
-    "wiki_tables": f"""SELECT page_id::VARCHAR AS page_id, 0::BIGINT AS pos, {_title("url")} || '_table_0' AS title, '0,1' || chr(10) || 'k,"v, w"' || chr(10) || page_id || ',' || chr(10) AS csv FROM pages""",
+    "wiki_tables": f"""SELECT page_id::VARCHAR AS page_id, t.pos::BIGINT AS pos, {_title("url")} || '_table_' || t.pos AS title,
+CASE t.pos WHEN 0 THEN '0,1' || chr(10) || 'k,"v, w"' || chr(10) || page_id || ',' || chr(10) WHEN 1 THEN '0,1,2' || chr(10) || 'a,b,c' || chr(10) || page_id || ',,' || chr(10) || ',\"\"\"q\"\"\",' || chr(10) ELSE '0' || chr(10) || 'x' || page_id || chr(10) || page_id || chr(10) END AS csv
+FROM pages, (VALUES (0), (1), (2)) t(pos)""",
     "page_nodes": f"""WITH p AS (SELECT page_id::VARCHAR AS page_id, {_title("url")} AS t, {_trim("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')")} AS intro FROM pages)
 SELECT sha256(page_id || '|page|0') AS node_id, page_id, 'page' AS type, t AS title, NULL AS parent_id, NULL AS prev_id, NULL AS next_id FROM p
 UNION ALL SELECT sha256(page_id || '|intro|0'), page_id, 'section', t || '_intro', sha256(page_id || '|page|0'), NULL, NULL FROM p WHERE intro <> ''
@@ -173,11 +175,13 @@ parts AS (SELECT page_id, section, section_pos, 0 AS a, conv_id, 0 AS k, title,
           UNION ALL SELECT page_id, section, section_pos, 1, conv_id, k - 1, title || '-' || CASE WHEN n > 1 THEN 'archive-' || k ELSE 'archive' END, u, 'archive-citation'
           FROM (SELECT *, len(string_split(archived, '|')) AS n, unnest(string_split(archived, '|')) AS u, generate_subscripts(string_split(archived, '|'), 1) AS k FROM cited WHERE archived <> ''))
 SELECT page_id::VARCHAR AS page_id, type, CASE WHEN type = 'citation' THEN {_title("regexp_replace(title, '^\x22+|\x22+$', '', 'g')")} ELSE {_title("regexp_replace(regexp_replace(title, '-archive(-[0-9]+)?$', ''), '^\x22+|\x22+$', '', 'g')")} || regexp_extract(title, '-archive(-[0-9]+)?$') END AS title,
-url AS text, replace(section, ' ', '-') AS parent_section, CASE WHEN type = 'citation' THEN 'about' END AS context, row_number() OVER (PARTITION BY page_id ORDER BY section_pos, a, conv_id, k) - 1 AS pos FROM parts""",
+url AS text, replace(section, ' ', '-') AS parent_section, CASE WHEN type = 'citation' THEN 'about' END AS context, row_number() OVER (PARTITION BY page_id ORDER BY section_pos, a, conv_id, k) - 1 AS pos,
+CASE section WHEN 'Part 0' THEN sha256(page_id || '|section|1.0') WHEN 'Part 1' THEN sha256(page_id || '|section|1.0') WHEN 'Part 2' THEN sha256(page_id || '|section|2.0') END AS parent_id, sha256(page_id || '|page|0') AS source_id FROM parts""",
     "image_counts": "SELECT count(*) FILTER (label = 9) AS images, count(*) FILTER (label = 8) AS plots FROM embeddings",
     "usable_answers": """SELECT conv_id, turn, turn NOT IN (1, 2, 3) AND text <> '' AS of_text, turn NOT IN (1, 2, 3, 4) AND text <> '' AND NOT contains(lower(text), 'error: unable') AS of_image FROM conversations""",
     "embedded_nodes": f"""WITH t AS (SELECT vec_id, {_TYPES}[label + 1] AS type FROM embeddings)
-SELECT vec_id::VARCHAR AS node_id, type, type NOT IN ('image', 'table_analysis', 'page') AND vec_id % 3 <> 0 AS embedded FROM t""",
+SELECT vec_id::VARCHAR AS node_id, type, type NOT IN ('image', 'table_analysis', 'page') AND vec_id % 3 <> 0 AS embedded,
+CASE WHEN type NOT IN ('image', 'table_analysis', 'page') AND vec_id % 3 <> 0 THEN array_to_string(list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: length('text ' || type) - length(replace('text ' || type, c, ''))), ',') END AS vector FROM t""",
     "node_lookup": """WITH k AS (SELECT DISTINCT (vec_id // 4) || '-' || (vec_id % 2) AS node_id FROM embeddings)
 SELECT node_id, CASE WHEN turn = 0 THEN ['section', 'image', 'page'][conv_id % 3 + 1] ELSE 'chunk' END AS type, CASE WHEN turn = 0 AND conv_id % 3 = 1 THEN 'image' ELSE 'text' END AS kind
 FROM k JOIN conversations c ON c.conv_id || '-' || c.turn = k.node_id""",
@@ -221,4 +225,5 @@ e AS (SELECT page_id, t.url, CAST(levenshtein(m.text, lower(t.url)) AS INTEGER)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY edits, url) AS INTEGER) AS rank, url, edits FROM e WHERE edits <= 2 QUALIFY rank <= 3""",
     "entity_mentions": f"WITH {_ENTITIES} SELECT entity_id, kind, name, context, doc_id FROM found",
     "entity_table": f"WITH {_ENTITIES} SELECT entity_id, kind, name, count(*) AS sections FROM found GROUP BY 1, 2, 3",
+    "scrolled_vectors": f"WITH {_STORED} SELECT node_id, modality FROM vecs WHERE collection = 'wiki_text' ORDER BY node_id LIMIT 20 OFFSET 10",
 }

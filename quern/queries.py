@@ -150,7 +150,10 @@ def _reference_rows(spark, sf_dir) -> DataFrame:
 
 
 def citation_groups(spark, sf_dir) -> DataFrame:
-    r = links.reference_tuples(links.reference_links(_reference_rows(spark, sf_dir)))
+    """References, each with a link to a type hint in it, which is none of theirs."""
+    rows = _reference_rows(spark, sf_dir).withColumn("pos", F.col("pos") * 2)
+    hints = rows.where("text = '^'").withColumn("pos", F.col("pos") + 1).withColumn("text", F.lit("hint")).withColumn("url", F.concat(F.lit("#cite_ref-type_hint-"), "pos"))
+    r = links.reference_tuples(links.reference_links(rows.unionByName(hints)))
     return r.select("page_id", "ref_pos", "cite_ref", "ref_no", "title", "link", F.array_join("archived", "|").alias("archived"))
 
 
@@ -233,7 +236,10 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 
 def wiki_tables(spark, sf_dir) -> DataFrame:
-    t = nodes.tables(_pages(spark, sf_dir))
+    """A plain table, a ragged one with an empty row and empty cells, one with a table within, and one without cells."""
+    ragged = F.concat(F.lit('<table class="wikitable"><tr><th>a</th><th>b</th><th>c</th></tr><tr><td>'), "page_id", F.lit('</td></tr><tr></tr><tr><td></td><td>"q"</td></tr></table>'))
+    nested = F.concat(F.lit('<table class="wikitable"><tr><td>x<table><tr><td>'), "page_id", F.lit('</td></tr></table></td></tr></table><table class="wikitable"><tr></tr></table>'))
+    t = nodes.tables(_pages(spark, sf_dir).withColumn("html", F.concat("html", ragged, nested)))
     return t.select("page_id", "pos", "title", F.col("text").alias("csv"))
 
 
@@ -348,10 +354,11 @@ def citations_by_section(spark, sf_dir) -> DataFrame:
 
 
 def citation_nodes(spark, sf_dir) -> DataFrame:
+    """Citations under the sections that cite them; Part 1 is a subsection, and so leads to Part 0."""
     rows = _link_rows(spark, sf_dir)
-    pages = _blank_pages(rows)
+    pages = _blank_pages(rows).withColumn("content", F.lit("before\n== Part 0 ==\nbody\n=== Part 1 ===\nmore\n== Part 2 ==\nlast"))
     n = nodes.citations(pages, links.all_citations(rows.withColumn("page_id", F.col("page_id").cast("string"))))
-    return n.select("page_id", "type", "title", "text", "parent_section", "context", "pos")
+    return n.select("page_id", "type", "title", "text", "parent_section", "context", "pos", "parent_id", "source_id")
 
 
 def wiki_ref_nodes(spark, sf_dir) -> DataFrame:
@@ -382,14 +389,23 @@ def usable_answers(spark, sf_dir) -> DataFrame:
 
 
 def embedded_nodes(spark, sf_dir) -> DataFrame:
-    """Which nodes get a vector."""
+    """Which nodes get a vector, and which: how often each letter is in the text."""
     from quern import schema
-    from quern.providers import HashedEmbedding, Providers
+    from quern.providers import Providers
 
     t = _read(spark, sf_dir, "embeddings").withColumn("type", _label_type(F.col("label")))
-    n = schema.as_nodes(t.select(F.col("vec_id").cast("string").alias("node_id"), F.when(F.col("type") == "image", "image").otherwise("text").alias("kind"), "type", F.concat(F.lit("text "), "vec_id").alias("text"), F.when(F.col("vec_id") % 3 != 0, True).alias("needs_embedding")))
-    done = derive.embedded(nodes.with_flags(n), Providers(HashedEmbedding(8)))
-    return done.select("node_id", "type", F.col("embedding").isNotNull().alias("embedded"))
+    n = schema.as_nodes(t.select(F.col("vec_id").cast("string").alias("node_id"), F.when(F.col("type") == "image", "image").otherwise("text").alias("kind"), "type", F.concat(F.lit("text "), "vec_id", "type").alias("text"), F.when(F.col("vec_id") % 3 != 0, True).alias("needs_embedding")))
+    done = derive.embedded(nodes.with_flags(n), Providers(_Letters()))
+    return done.select("node_id", "type", F.col("embedding").isNotNull().alias("embedded"), F.array_join(F.col("embedding").cast("array<int>"), ",").alias("vector"))
+
+
+class _Letters:
+    """A stand-in that SQL can follow."""
+
+    dim = 26
+
+    def embed(self, texts):
+        return chunking.letter_counts(texts)
 
 
 def node_lookup(spark, sf_dir) -> DataFrame:
@@ -510,6 +526,15 @@ def stored_node(spark, sf_dir) -> DataFrame:
     return graph.node("5-1").select("node_id").unionByName(graph.sample("wiki_image", 10).select("node_id")).unionByName(graph.collections().select(F.col("collection").alias("node_id")))
 
 
+def scrolled_vectors(spark, sf_dir) -> DataFrame:
+    """The second and the third ten of a collection, by cursors."""
+    graph = _stored(spark, sf_dir)
+    _, at = graph.scroll("wiki_text", 10)
+    second, at = graph.scroll("wiki_text", 10, at)
+    third, _ = graph.scroll("wiki_text", 10, at)
+    return second.unionByName(third).select("node_id", "modality")
+
+
 def _vector_index(spark, sf_dir):
     """All embeddings, and every hundredth as a query."""
     from quern.sources.store import scratch
@@ -586,7 +611,7 @@ _QUERIES = (
     wiki_tables, page_nodes, extractive_summary, entities_rule, key_takeaways, string_parts, base64_texts, page_fetch, page_lookup, section_content, section_nodes, section_map, page_documents,
     in_text_references, cite_notes, all_citations, citations_by_section, citation_nodes, wiki_ref_nodes, image_counts, usable_answers, embedded_nodes, node_lookup, run_queries, fusion_retrieve,
     table_analysis, image_gates, image_nodes, image_stages, latest_pages, stored_nodes, stored_edges, stored_vectors, stored_node,
-    entity_mentions, entity_table, indexed_knn, probed_recall, ranked_search, ranked_search_all, title_suggestions,
+    entity_mentions, entity_table, scrolled_vectors, indexed_knn, probed_recall, ranked_search, ranked_search_all, title_suggestions,
 )
 
 

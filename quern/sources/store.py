@@ -10,6 +10,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -180,8 +181,17 @@ class GraphStore:
             rows = rows.join(last, ["page_id", "version"], "left_semi")
         return rows.select(*TABLES[table].names)
 
-    def _write(self, df: DataFrame, table: str, batch: str) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self._path(table)}/batch={batch}")
+    def _write(self, df: DataFrame, table: str, batch: str, rows: int = 0) -> None:
+        """rows: how many they are, about.  Vectors are written in their order, and which file holds which
+        of them is written beside (scroll)."""
+        out = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
+        place = f"{self._path(table)}/batch={batch}"
+        if table != "vectors":
+            out.write.option("maxRecordsPerFile", FILE_ROWS).parquet(place)
+            return
+        out.repartitionByRange(max(1, -(-rows // FILE_ROWS)), "collection", "node_id").sortWithinPartitions("collection", "node_id").write.parquet(place)
+        held = self.spark.read.schema(TABLES[table]).parquet(place).select("collection", "node_id", F.col("_metadata.file_path").alias("file"))
+        held.groupBy("collection", "file").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.count(F.lit(1)).alias("rows")).coalesce(1).write.parquet(f"{self._path('order')}/batch={batch}")
 
     def dimensions(self) -> dict[str, int | None]:
         return {f"{self.config.collection}_text": self.config.text_dim, f"{self.config.collection}_image": self.config.image_dim}
@@ -199,9 +209,10 @@ class GraphStore:
         own = held.select("node_id", "page_id")
         self._write(node_ops.edges(schema.as_nodes(held)).join(own.withColumnRenamed("node_id", "dst_id"), "dst_id"), "edges", batch)
         vectors = of_dimension(vectors_of(held, self.config.collection), self.dimensions())
-        self._write(vectors.join(own, "node_id"), "vectors", batch)
+        rows = observed(seen).get("rows", 0)
+        self._write(vectors.join(own, "node_id"), "vectors", batch, rows)
         self._write(held.select("page_id").distinct(), "pages", batch)
-        entry = self.log.commit(batch, observed(seen).get("rows", 0))
+        entry = self.log.commit(batch, rows)
         remove(self.spark, staged)
         self.merge_small()
         return entry
@@ -213,14 +224,14 @@ class GraphStore:
         for table in TABLES:
             rows = self._current(table, run)
             rows = rows.distinct() if table == "pages" else rows
-            self._write(rows.coalesce(files(sum(x.rows for x in run))), table, batch)
+            total = sum(x.rows for x in run)
+            self._write(rows.coalesce(files(total)) if table != "vectors" else rows, table, batch, total)
         rows = self.spark.read.parquet(f"{self._path('nodes')}/batch={batch}").count()
         try:
             self.log.commit(batch, rows, tuple(x.batch for x in run))
             return True
         except commits.Outdated:
-            for table in TABLES:
-                remove(self.spark, f"{self._path(table)}/batch={batch}")
+            self._drop(batch)
             return False
 
     def merge_small(self) -> None:
@@ -242,10 +253,13 @@ class GraphStore:
         writers that have not committed stay."""
         gone = self.log.unused([n.removeprefix("batch=") for n in commits.names(self.spark, self._path("pages"))], self.log.last() if keep_from is None else keep_from)
         for batch in gone:
-            for table in TABLES:
-                remove(self.spark, f"{self._path(table)}/batch={batch}")
+            self._drop(batch)
         return len(gone)
 
+    def _drop(self, batch: str) -> None:
+        for table in (*TABLES, "order"):
+            remove(self.spark, f"{self._path(table)}/batch={batch}")
+
     def nodes(self) -> DataFrame:
         return self._current("nodes")
 
@@ -265,6 +279,49 @@ class GraphStore:
         """The first n vectors of a collection, for a look."""
         return self.vectors().where(F.col("collection") == collection).orderBy("node_id").limit(n)
 
+    def scroll(self, collection: str, n: int = 10, after: str | None = None) -> tuple[DataFrame, str | None]:
+        """(the next n vectors of a collection in order of node_id, the cursor to go on from): `after` is the
+        cursor that the page before gave; None begins, and ends.
+
+        The files that hold what comes next are known by their least and greatest node_id, so a page reads a
+        few files of each batch that counts, however large the collection is."""
+        state = self._state()
+        none = self.spark.createDataFrame([], TABLES["vectors"]).drop("page_id")
+        if not state or n < 1:
+            return none, None
+        schema_ = "collection string, file string, low string, high string, rows long"
+        order = self.spark.read.schema(schema_).parquet(*[f"{self._path('order')}/batch={x.batch}" for x in state]).where(F.col("collection") == collection)
+        order = order if after is None else order.where(F.col("high") > after)
+        most = len(state) + 1
+        while True:
+            files = order.orderBy("low", "file").limit(most + 1).collect()  # a row for each file that is read
+            bound = files[most]["low"] if len(files) > most else None
+            if not files:
+                return none, None
+            rows = self._of_files([f["file"] for f in files[:most]], state).where(F.col("collection") == collection)
+            rows = rows if after is None else rows.where(F.col("node_id") > after)
+            rows = rows if bound is None else rows.where(F.col("node_id") < bound)
+            page = rows.orderBy("node_id").limit(n).select(*TABLES["vectors"].names[:-1])
+            last = page.agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("at")).first()
+            if last["n"] == n:
+                return page, last["at"]
+            if bound is None:
+                return page, None
+            most *= 2
+
+    def _of_files(self, files: list[str], state: list[commits.Live]) -> DataFrame:
+        """The vectors of some files that count."""
+        order = {x.batch: x.order for x in state}
+        parts: dict[int, list[str]] = {}
+        for f in files:
+            parts.setdefault(order[f.split("/batch=")[1].split("/")[0]], []).append(f)
+        out = reduce(DataFrame.unionByName, [self.spark.read.schema(TABLES["vectors"]).parquet(*own).withColumn("version", F.lit(n)) for n, own in sorted(parts.items())])
+        if len(state) == 1:
+            return out
+        own = out.select("page_id").distinct()
+        last = self._all("pages", state).join(own, "page_id", "left_semi").groupBy("page_id").agg(F.max("version").alias("version"))
+        return out.join(last, ["page_id", "version"], "left_semi")
+
     def indexed(self) -> int | None:
         """The entry that the newest index covers, of those up to `at`."""
         done = [int(n) for n in commits.names(self.spark, self._path("index")) if exists(self.spark, f"{self._path('index')}/{n}/about")]

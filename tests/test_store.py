@@ -78,6 +78,37 @@ def test_small_batches_are_merged_and_pinned_readers_stay(spark, graph, monkeypa
     assert len(files) <= 8
 
 
+def test_scrolling_gives_the_sorted_whole(spark, graph, monkeypatch):
+    """Pages of n, over several batches with pages that were stored again; each page reads few files."""
+    monkeypatch.setattr(store, "FAN", 100)
+    assert graph.scroll("wiki_text", 3)[0].collect() == []
+    graph.store(batch(spark, [f"p{i:02d}" for i in range(20)], "one"))
+    monkeypatch.setattr(store, "FILE_ROWS", 10)
+    graph.store(batch(spark, [f"p{i:02d}" for i in range(5, 25)], "two"))
+    graph.store(batch(spark, ["p03"], "three").where("node_id != 'p03-1'"))
+
+    def whole(n):
+        out, at, reads = [], None, []
+        while True:
+            page, at = graph.scroll("wiki_text", n, at)
+            rows = page.collect()
+            out += [(r.node_id, tuple(r.embedding)) for r in rows]
+            reads.append(len(page.inputFiles()))
+            assert len(rows) == n or at is None
+            if at is None:
+                return out, reads
+
+    want = sorted((r.node_id, tuple(r.embedding)) for r in graph.vectors().collect())
+    assert len(want) == 74
+    for n in (7, 30, 74, 200):
+        got, reads = whole(n)
+        assert got == want
+    graph.compact()
+    got, reads = whole(5)
+    assert got == want and max(reads) <= 2 and len(graph.vectors().inputFiles()) >= 7
+    assert graph.scroll("wiki_image", 3)[0].collect() == [] and graph.scroll("wiki_text", 0)[1] is None
+
+
 def test_a_thousand_commits_leave_few_batches():
     """The rule alone: sizes as they come, each run it names as one."""
     state, rewritten, n = [], 0, 0
