@@ -2,8 +2,8 @@
 
 The text is normalised as the model says (spaces become U+2581, one is put in front), then read
 character by character.  A position keeps the best way to segment everything before it: its last
-piece, that is a backpointer, and its score.  Only a window of positions, as long as the longest
-piece, can still be extended, so only their paths survive; as soon as the paths of all of them pass
+piece, that is a backpointer, and its score.  Only positions at which a piece may begin that goes on beyond what
+is read, in a window as long as the longest piece, can still be extended, so only their paths survive; as soon as the paths of all of them pass
 through one boundary, the ids up to it are final and are handed on.  Memory is bounded by the
 window and what lies between two such boundaries, whatever the text's length.
 
@@ -13,10 +13,13 @@ pieces are what merging would make of them together; a position has one such pat
 score minus infinity, so ids equal the library's.  Characters without a piece fall back to their
 bytes (or to the unknown id).
 
-Two characters that stand side by side in no piece always have a boundary between them, whichever way
-a text is segmented.  Texts are cut there, and the search runs over each distinct stretch of a buffer, the
-short ones once while a memo holds them; its answers are the only ids there are.  A text of one long
-stretch is searched in one go, with the window and the commitments described.
+Long texts come in portions of PORTION characters.  Where two characters meet that stand side by side in
+no piece, every path has a boundary between them: all paths converge there without following them, so what lies
+before the last such place of a portion is committed, and the rest opens the next.  Between these places lie
+stretches, and the search reads each distinct one character by character, tries for a commitment from TRY
+open characters on, and hands on what is settled; a memo holds the ids of the short ones.  A stretch longer
+than a portion is searched as its characters come, in the window alone.  Short texts of a buffer go through the
+same search together.
 
 Defined cases: null and empty texts have no ids; decoding gives the text back, except where the
 normaliser or the unknown id lost something (`piece_bpe_32k` keeps every character).
@@ -36,6 +39,10 @@ from quern.llm.common import kept, lean, ranges, slices
 from quern.llm.memo import PieceMemo
 
 SPACE = "▁"
+#: Characters of a portion; open characters from which on a commitment is tried, and after how many more again.
+PORTION, TRY, AGAIN = 1 << 16, 6, 3
+#: Texts that tell whether a model's normaliser does more than to put spaces as U+2581.
+_PROBES = ("a", " a  b ", "\ta\n\nb", "\ufb01\uff21\u00bd", "e\u0301\u00e9", "\u00a0a\u3000b\u200b", "\x00\x01\x7f", "")
 
 
 class Pieces:
@@ -59,7 +66,11 @@ class Pieces:
         self.floor = min(scores) - 10
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k[0] else b"" if k[1] or k[2] else p.encode() for p, k in zip(self.piece, kind)]
         self.tails = {p[i:] for p in self.id for i in range(len(p))}
+        self.heads = {p[:i] for p in self.id for i in range(1, len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.committed = 0  # portions that were handed on because all paths met
+        self.widest = 0  # the most characters that were open at a time
+        self.plain = all(self.lib.normalize(t) == (SPACE + t.replace(" ", SPACE) if t else "") for t in _PROBES)
         self.kind = np.uint16 if n <= 65536 else np.uint32
         self.memo = PieceMemo(self._stretches, self.kind, keep)
         chars = sorted({c for p in self.id for c in p if ord(c) < 0x10000})
@@ -101,20 +112,22 @@ class Pieces:
         best = [0.0]
         before = ""  # the piece that the last commitment ended with
         step = self.best_merged if self.merged else self.best_scored
-        due = 2 * self.longest
+        due = TRY
         for c in chars:
             window += c
             piece, score = step(window, last, best, before)
             last.append(piece)
             best.append(score)
             if len(last) > due:
-                common = self.converged(last, best)
+                self.widest = max(self.widest, len(window))
+                common = self.converged(window, last, best)
                 if common:
+                    self.committed += 1
                     parts = self.back(last, common)
                     yield tuple(i for p in parts for i in self.ids_of(p))
                     before = parts[-1]
                     window, last, best = window[common:], ["", *last[common + 1 :]], [0.0, *(x - best[common] for x in best[common + 1 :])]
-                due = len(last) + self.longest
+                due = max(TRY, len(last) + AGAIN)
         if len(last) > 1:
             yield tuple(i for p in self.back(last, len(last) - 1) for i in self.ids_of(p))
 
@@ -147,10 +160,13 @@ class Pieces:
                     choice, top = p, s
         return choice, top
 
-    def converged(self, last: list[str], best: list[float]) -> int:
-        """The furthest boundary that the paths of all open positions share, or 0."""
+    def converged(self, window: str, last: list[str], best: list[float]) -> int:
+        """The furthest boundary that the paths of all open positions share, or 0.  Open are the end and
+        what a piece that goes on beyond the end may begin at."""
         n = len(last) - 1
-        at = {i for i in range(max(0, n - self.longest + 1), n + 1) if best[i] > -np.inf}
+        at = {i for i in range(max(0, n - self.longest + 1), n) if best[i] > -np.inf and window[i:] in self.heads} | ({n} if best[n] > -np.inf else set())
+        if not at:
+            return 0
         while len(at) > 1:
             far = max(at)
             at.remove(far)
@@ -174,20 +190,56 @@ class Pieces:
         ids = [[i for part in self.stream(s.decode("utf-8")) for i in part] for s in stretches]
         return np.array([i for own in ids for i in own], self.kind), np.array([len(own) for own in ids], np.int64)
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, how many each has)."""
-        texts = [self.lib.normalize(t) if t else "" for t in texts]
-        joined = "".join(texts)
-        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        if not len(code):
-            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
-        ends = np.cumsum([len(t) for t in texts])
+    def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(code points, whether all paths have a boundary before each)."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         char = np.where(code < 0x10000, self.char[np.minimum(code, 0xFFFF)], 0)
         cut = np.ones(len(code), bool)
         cut[1:] = ~self.joins[char[:-1], char[1:]]
         if self.wide:  # pieces with characters beyond U+FFFF: no cut beside one
             far = code >= 0x10000
             cut[1:] &= ~(far[1:] | far[:-1])
+        return code, cut
+
+    def _normalised(self, text: str) -> Iterator[str]:
+        """The normalised text in parts of about PORTION characters.  Where the normaliser does more than to
+        replace spaces, the text is normalised as a whole first."""
+        whole = text if self.plain or not text else self.lib.normalize(text)
+        for at in range(0, len(whole), PORTION):
+            part = whole[at : at + PORTION]
+            yield (SPACE if at == 0 else "") + part.replace(" ", SPACE) if self.plain else part
+
+    def portions(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text, as they are committed: nothing but the open characters of a portion is held."""
+        parts, window = self._normalised(text), ""
+        while (part := next(parts, None)) is not None:
+            window += part
+            met = np.flatnonzero(self._edges(window)[1])
+            if met[-1]:
+                yield self._together([window[: met[-1]]])[0]
+                window = window[met[-1] :]
+            elif len(window) >= PORTION:
+                rest = _Stretch(window, parts, lambda t: np.flatnonzero(self._edges(t)[1]))
+                for own in self.stream(rest):
+                    yield np.array(own, self.kind)
+                window = rest.after
+        if window:
+            yield self._together([window])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has)."""
+        if sum(map(len, texts)) > 16 * PORTION:
+            each = [np.concatenate([np.zeros(0, self.kind), *self.portions(t)]) for t in texts]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return self._together([self.lib.normalize(t) if t else "" for t in texts])
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all normalised texts one after another, how many each has)."""
+        joined = "".join(texts)
+        code, cut = self._edges(joined)
+        if not len(code):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        ends = np.cumsum([len(t) for t in texts])
         first = np.concatenate([[0], ends[:-1]])
         cut[first[first < len(code)]] = True
         start = np.flatnonzero(cut)
@@ -212,6 +264,26 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+class _Stretch:
+    """The characters of a window and of the parts after it, up to the next place where all paths have a
+    boundary; what was read beyond it is in `after`."""
+
+    def __init__(self, window: str, parts: Iterator[str], edges):
+        self.window, self.parts, self.edges, self.after = window, parts, edges, ""
+
+    def __iter__(self) -> Iterator[str]:
+        yield from self.window
+        before = self.window[-1]
+        for part in self.parts:
+            met = self.edges(before + part)
+            end = int(met[1]) - 1 if len(met) > 1 else len(part)  # the first is the beginning
+            yield from part[:end]
+            if end < len(part):
+                self.after = part[end:]
+                return
+            before = part[-1]
+
+
 def pieces(path: str) -> Pieces:
     """The model that the tasks of a worker share, if they are lean(..., (("pieces", path),))."""
     return kept(("pieces", path), lambda: Pieces(path))
@@ -250,19 +322,33 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, same): what each whole text encodes to, and whether decoding the
     ids gives the text back."""
+    def long_one(model, text):
+        """(ids, their crc32, whether they spell the text) of a text in portions."""
+        n, crc, at, same, first = 0, 0, 0, True, True
+        for ids in model.portions(text):
+            n, crc = n + len(ids), zlib.crc32(ids.astype("<u4"), crc)
+            said = model.spelled(ids).tobytes().decode("utf-8", "replace")
+            said = said[1:] if first and said.startswith(" ") else said
+            same, at, first = same and text.startswith(said, at), at + len(said), False
+        return n, crc, same and at == len(text)
+
     def run(batches):
         model = pieces(path)
         for b in slices(batches, "text"):
             texts = b.column(1).to_pylist()
-            ids, count = model.encode_all(texts)
-            ends = np.cumsum(count)
-            raw, full = model.spelled(ids), np.concatenate([[0], np.cumsum(model.pool_size[ids])])
-            crc, same = [], []
-            for t, a, z in zip(texts, ends - count, ends):
-                crc.append(zlib.crc32(ids[a:z].astype("<u4")))
-                back = raw[full[a] : full[z]].tobytes()
-                back = back[1:] if back.startswith(b" ") else back
-                same.append(back == t.encode("utf-8") or model.decode(ids[a:z].tolist()) == t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(crc, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "same"])
+            if len(texts) == 1 and len(texts[0]) > PORTION:
+                columns = [[x] for x in long_one(model, texts[0])]
+            else:
+                ids, count = model.encode_all(texts)
+                ends = np.cumsum(count)
+                raw, full = model.spelled(ids), np.concatenate([[0], np.cumsum(model.pool_size[ids])])
+                crc, same = [], []
+                for t, a, z in zip(texts, ends - count, ends):
+                    crc.append(zlib.crc32(ids[a:z].astype("<u4")))
+                    back = raw[full[a] : full[z]].tobytes()
+                    back = back[1:] if back.startswith(b" ") else back
+                    same.append(back == t.encode("utf-8") or model.decode(ids[a:z].tolist()) == t)
+                columns = [count, crc, same]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))]], names=["doc_id", "n_ids", "ids_crc32", "same"])
 
     return _texts(docs).mapInArrow(lean(run, (("pieces", path),)), "doc_id long, n_ids long, ids_crc32 long, same boolean")

@@ -122,6 +122,52 @@ def test_commitments_come_early_and_change_nothing():
     assert len(parts) > 20 and max(map(len, parts)) < 40
 
 
+@pytest.mark.parametrize("portion", [1, 7, 100, 1 << 16])
+def test_portions_equal_the_library(monkeypatch, portion):
+    """Cut anywhere: between characters that belong to one piece, in stretches longer than a portion, at the ends."""
+    monkeypatch.setattr(piece, "PORTION", portion)
+    m = piece.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(5)
+    texts = [*ODD, "interchangeable" * 300, "x" * 1000 + " y", " ".join(rng.choice(["the", "国", "naïve", "un", "😀", "a\x00b", "  "]) for _ in range(300))]
+    for t in texts:
+        assert [int(i) for own in m.portions(t) for i in own] == m.lib.encode(t)
+    ids, count = m.encode_all(texts)
+    assert ids.tolist() == [i for t in texts for i in m.lib.encode(t)] and count.tolist() == [len(m.lib.encode(t)) for t in texts]
+    m.plain = False
+    assert [int(i) for own in m.portions(texts[-1]) for i in own] == m.lib.encode(texts[-1])
+
+
+def test_whole_documents_are_committed_as_they_come():
+    """On the test table the search hands on what is settled, and few characters are ever open."""
+    import pyarrow.parquet as pq
+
+    m = piece.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    for t in texts:
+        assert [int(i) for own in m.portions(t) for i in own] == m.lib.encode(t)
+    assert m.committed > 1000 and m.widest <= 2 * m.longest
+
+
+def test_a_long_text_holds_a_portion_at_most(spark):
+    """50 MB: what the search holds besides the text follows the portion, not the text; the query's path gives the library's ids."""
+    import tracemalloc
+
+    m = piece.Pieces(tokenizer_path("piece_bpe_32k.model"))
+    unit = "Some words of a long text, naïve and all. " * 40
+    text = unit * (50_000_000 // len(unit))
+    one = m.lib.encode(unit + unit)
+    tracemalloc.start()
+    n = sum(len(own) for own in m.portions(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and n == len(m.lib.encode(unit)) + (len(one) - len(m.lib.encode(unit))) * (50_000_000 // len(unit) - 1)
+    long = unit * 300
+    r = piece.round_trips(spark.createDataFrame([(1, long), (2, "x" * 200_000)], "doc_id long, text string"), tokenizer_path("piece_bpe_32k.model")).collect()
+    for row, t in zip(sorted(r), (long, "x" * 200_000)):
+        ids = np.array(m.lib.encode(t), "<u4")
+        assert (row.n_ids, row.ids_crc32, row.same) == (len(ids), zlib.crc32(ids.tobytes()), True)
+
+
 def test_unigram_scores_give_the_best_sum():
     m = piece.Pieces(tokenizer_path("piece_bpe_32k.model"))
     m.merged = False
