@@ -559,7 +559,7 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[
     slim, base = docs.select(*own), docs.select(*own, *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     shared = _shared(_keys(slim, n, size, gram), n, hot)  # read once: its shuffle is all that keeps it
     packs, schema = _packed(slim, n)
-    spans = materialise(_spans(_snippets(_met(shared, packs, n), schema, n, size, gram), n, size), "bwt-spans")
+    spans = materialise(_spans(_snippets(_met(shared, packs, n), schema, n, size, gram), n, size).hint("rebalance"), "bwt-spans")  # small: few files instead of one for each bucket
     packs, schema = _packed(base, n)
 
     def run(batches):
@@ -604,4 +604,4 @@ def cut_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, keep: list[
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    return cut_repeats(docs, size).select(F.col("k0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs, size).select(F.col("k0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).hint("rebalance")
