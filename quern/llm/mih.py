@@ -7,7 +7,7 @@ everything within r*m + a is known, and a query is done when its k-th verified d
 than that.  The result is exact, ties included (smaller id first).
 
 Codes are the signs of all of a vector's components (positive: 1), held as words of 64 bits; a segment
-lies in one word.  Equal codes of a shard are indexed once, with their ids in order.  Defined cases as
+lies in one word.  Only ids and words are dealt to shards, and queries go to them as words.  Equal codes of a shard are indexed once, with their ids in order.  Defined cases as
 in vptree.
 """
 
@@ -17,14 +17,16 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, row_count
+from quern.llm.common import Scratch, lean, row_count
 from quern.llm.vectors import best_of, everywhere, shard_search, usable
 
 BITS = 64
-SHARD_ROWS = 16384
+#: Vectors to a shard: about the first while there are fewer shards than a shuffle has partitions, else the second.
+SHARD_ROWS, MOST_ROWS = 16384, 1 << 19
 
 
 def codes(matrix: np.ndarray) -> np.ndarray:
@@ -42,6 +44,24 @@ def words(matrix: np.ndarray) -> np.ndarray:
     return np.stack([codes(matrix[:, a : a + BITS]) for a in range(0, matrix.shape[1], BITS)], 1)
 
 
+def as_words(matrix: np.ndarray) -> np.ndarray:
+    """words() of vectors, or what it made of them as it was shipped."""
+    return matrix.view(np.uint64) if matrix.dtype == np.int64 else words(matrix)
+
+
+def coded(data: DataFrame) -> DataFrame:
+    """(id, vec) with the words of each vector in its place, as signed numbers."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                own = words(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * own.shape[1], pa.int32()), pa.array(own.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "vec"])
+
+    return data.select("id", "vec").mapInArrow(lean(run), "id long, vec array<long>")
+
+
 @dataclass
 class Index:
     code: np.ndarray  # distinct codes, by word
@@ -55,7 +75,7 @@ class Index:
 
 
 def build(ids: np.ndarray, matrix: np.ndarray, segments: int | None = None) -> Index:
-    code, inverse = np.unique(words(matrix), axis=0, return_inverse=True)
+    code, inverse = np.unique(as_words(matrix), axis=0, return_inverse=True)
     inverse = inverse.ravel()
     by = np.lexsort((ids, inverse))
     ends = np.searchsorted(inverse[by], np.arange(len(code) + 1))
@@ -76,7 +96,7 @@ def masks(width: int, radius: int) -> np.ndarray:
 
 def search(index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int = 10):
     """(query row, id, distance) of the k nearest ids for each query."""
-    own = words(queries)
+    own = as_words(queries)
     n, m, want, far = len(own), len(index.shifts), k + 1, 1 << 30
     total_ids = int(index.ends[-1])
     # (distance, first id, row) of the nearest distinct codes so far, best first
@@ -141,8 +161,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     """(query_id, rank, vec_id, distance) for each row whose id is divisible by `every`.  Shards are by
     the hash of the id, each answers all queries."""
     keep = Scratch()
-    data = keep(usable(vectors, id_col, vec_col), "mih-vectors")
-    shards = max(1, -(-row_count(data) // shard_rows))
+    data = keep(coded(usable(vectors, id_col, vec_col)), "mih-codes")
+    n = row_count(data)
+    shards = max(1, -(-n // MOST_ROWS), min(-(-n // shard_rows), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = data.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     answers = shard_search(rows, everywhere(data, F.col("id") % every == 0, shards), shards, build, lambda t, i, q, _: search(t, i, q, k), k, True)
     return keep.result(best_of(answers, k, True).select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("int").alias("distance")), "mih-result")

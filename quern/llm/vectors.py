@@ -22,8 +22,12 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     df = df.where(F.col(id_col).isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
     df = df.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec"))
-    size = df.select("id", F.size("vec").alias("n")).distinct().agg(F.mode("n", True).alias("n")).first()["n"]
-    return df.where(F.size("vec") == F.lit(size or 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+    each = df.groupBy("id", F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    found = each.groupBy("n").agg(F.count(F.lit(1)).alias("ids"), F.max("rows").alias("rows")).orderBy(F.desc("ids"), "n").first()
+    df = df.where(F.size("vec") == F.lit(found["n"] if found else 0))
+    if not found or found["rows"] == 1:  # no id is repeated: no vector need be moved
+        return df
+    return df.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def everywhere(data: DataFrame, is_query: Column, shards: int) -> DataFrame:

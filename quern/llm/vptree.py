@@ -29,9 +29,10 @@ from quern.llm.vectors import best_of, distinct_rows, shard_search, usable
 #: from each other as random ones, hardly prune and say little about it.
 FACTOR = 1.5
 LEAF = 256
-SHARD_ROWS = 16384
-#: Vectors that the upper levels are made of, and regions at most.
-SAMPLE, REGIONS = 4096, 256
+#: Vectors to a shard, about: the first while that gives REGIONS regions at most, then more, up to the second.
+SHARD_ROWS, MOST_ROWS = 16384, 1 << 17
+#: Vectors that the upper levels are made of (or EACH for a region), and regions at most.
+SAMPLE, EACH, REGIONS = 4096, 16, 4096
 
 
 @dataclass
@@ -157,10 +158,10 @@ class Top:
     def bounds(self, points: np.ndarray) -> np.ndarray:
         """How near a region's vectors can be to each point at the least."""
         out = np.zeros((len(points), len(self.paths)))
+        away = [np.sqrt(((points - v) ** 2).sum(1)) - m for v, m in zip(self.vantage, self.median)]  # once for each vantage point
         for j, path in enumerate(self.paths):
             for node, side in path:
-                d = np.sqrt(((points - self.vantage[node]) ** 2).sum(1))
-                np.maximum(out[:, j], side * (d - self.median[node]), out=out[:, j])
+                np.maximum(out[:, j], side * away[node], out=out[:, j])
         return out
 
 
@@ -192,8 +193,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k
     nearest among all other rows.
 
-    Vectors are dealt to regions by the upper levels of one tree, made of SAMPLE vectors or so, and large
-    regions cut by the hash of the id, so a shard has about `shard_rows`.  A query first asks its nearest
+    Vectors are dealt to regions by the upper levels of one tree, made of a sample, as many regions as
+    there are shards of `shard_rows` to fill.  Regions grow before they are cut: up to REGIONS * MOST_ROWS, half
+    a thousand million vectors, more vectors make more and larger regions; what is larger still, as many equal
+    vectors, is cut by the hash of the id.  A query first asks its nearest
     region; its k-th distance there then says which other regions can hold anything nearer, by the
     same bound, relaxed by the same factor, and only these are asked.  `visited`, if given, gets how many
     shards were asked and how many there were for all queries."""
@@ -203,19 +206,24 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     n, most = data.agg(F.count(F.lit(1)), F.max(square)).first()
     if not n:
         return keep.result(data.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")), "vp-result")
-    chance = min(1.0, SAMPLE / n)  # some SAMPLE rows of all tasks together
-    sample = data.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))).select("vec").limit(4 * SAMPLE).collect()
+    shard_rows = max(shard_rows, min(-(-n // REGIONS), MOST_ROWS))
+    regions = min(REGIONS, -(-n // shard_rows))
+    most_rows = max(SAMPLE, EACH * regions)
+    chance = min(1.0, most_rows / n)  # some so many rows of all tasks together
+    sample = data.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))).select("vec").limit(4 * most_rows).collect()
     lift = lambda x: np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], 1)
     flat = lambda x: np.concatenate([x, np.zeros((len(x), 1))], 1)
     dim = len((sample[0] if sample else data.first())["vec"])
-    top = top_levels(lift(np.array([r["vec"] for r in sample], np.float64).reshape(-1, dim)), min(REGIONS, -(-n // shard_rows)))
+    top = top_levels(lift(np.array([r["vec"] for r in sample], np.float64).reshape(-1, dim)), regions)
     matrix = lambda b, c: b.column(c).flatten().to_numpy().reshape(b.num_rows, -1)
 
     def assign(batches):
         for b in batches:
             if b.num_rows:
                 x = matrix(b, 1)
-                home = top.bounds(flat(x)).argmin(1)
+                home = np.zeros(b.num_rows, np.int64)
+                asks = np.flatnonzero(b.column(0).to_numpy() % every == 0)
+                home[asks] = top.bounds(flat(x[asks])).argmin(1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top.region(lift(x))), pa.array(home.astype(np.int32))], names=["id", "vec", "region", "home"])
 
     data = keep(data.mapInArrow(lean(assign), "id long, vec array<double>, region int, home int"), "vp-regions")

@@ -99,6 +99,26 @@ def test_queries_skip_shards_that_hold_nothing_near(spark):
     assert asked[1] <= asked[0] < 0.5
 
 
+def test_the_share_of_shards_asked_falls_as_the_table_grows(spark):
+    """Clusters of one size, more and more of them: regions grow in number, and a query asks about as many."""
+    shares = []
+    for n in (1000, 10_000):
+        rng = np.random.default_rng(3)
+        x = (rng.normal(size=(n // 100, 1, 16)) * 3 + 0.2 * rng.normal(size=(n // 100, 100, 16))).reshape(-1, 16)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+        visited = []
+        got = vptree.nearest(df, every=20, k=20, shard_rows=200, visited=visited).collect()
+        right = 0
+        for q in range(0, n, 20):
+            score = x @ x[q]
+            score[q] = -np.inf
+            right += sum(r.score >= np.sort(score)[-20] - 1e-9 for r in got if r.query_id == q)
+        assert right >= 0.9 * len(got) and len(got) == n // 20 * 20
+        shares.append(visited[0] / visited[1])
+    assert shares[1] < 0.5 * shares[0]
+
+
 def test_regions_cover_their_points():
     rng = np.random.default_rng(9)
     for points in (rng.normal(size=(500, 6)), np.zeros((50, 6)), rng.normal(size=(1, 6))):
@@ -125,6 +145,13 @@ def test_hamming_top_k_is_exact(spark):
     assert got == exact(rows, 50, 10, lambda a, b: sum((x > 0) != (y > 0) for x, y in zip(a, b)))
 
 
+def test_codes_are_dealt_not_vectors(spark):
+    _, df = table(spark, n=300)
+    sent = mih.coded(vectors.usable(df, "vec_id", "embedding"))
+    assert dict(sent.dtypes) == {"id": "bigint", "vec": "array<bigint>"} and all(len(r.vec) == 1 for r in sent.collect())
+    assert "Exchange" not in sent._jdf.queryExecution().toString()  # no id is repeated: nothing moves
+
+
 @pytest.mark.parametrize("segments", [4, 8, 13])
 def test_multi_index_against_a_scan(segments):
     rng = np.random.default_rng(segments)
