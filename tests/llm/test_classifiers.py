@@ -207,3 +207,16 @@ def test_learning_rows_are_bounded(spark):
     assert len(some) == 50 and some == learn.training_rows(docs.repartition(5), labels.repartition(3), "toxic", most=50)
     assert len(learn.training_rows(docs, labels, "toxic", most_bytes=1000)) == 10
     assert learn.training_rows(docs.where("false"), labels, "toxic") == []
+
+
+def test_quality_of_no_documents_and_of_long_texts(spark):
+    """An empty table, no labels, a text of 200,000 characters, columns that clash: whole texts are scored."""
+    rows = [(1, "good words of a long text. " * 8000, 0.5), (2, None, 0.5), (3, "", 0.5), (None, "!!! " * 30, 0.5)] + [(10 + i, f"some words number {i} " * (i % 7 + 1), 0.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(60)] + [(None, 1), (1, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    want = {d: s for (d, _, _), s in zip(rows, model.score(quality.of_texts([t or "" for _, t, _ in rows])))}
+    got = {r.doc_id: r.score for r in quality.judged(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-12 for d in want)
+    assert quality.judged(docs.limit(0), labels).collect() == [] and quality.judged(docs, labels.limit(0)).count() == len(rows)
+    assert quality.judged(docs.limit(0), labels.limit(0)).columns == ["doc_id", "held_out", "score", "predicted"]
