@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 from quern import schema
 from quern.operators.chunking import dot
 
-#: Queries are sent to the tasks in blocks of so many bytes; scores that a task computes at a time.
-QUERY_BYTES, SCORES = 16 << 20, 1 << 22
+#: Queries are sent to the tasks in blocks of so many bytes; scores that a task computes at a time, and pairs that
+#: it looks at again.
+QUERY_BYTES, SCORES, PAIRS = 16 << 20, 1 << 22, 1 << 16
+#: What a block product may be off by.
+SLACK = 1e-9
 
 
 def with_norm(vectors: DataFrame) -> DataFrame:
@@ -33,14 +36,20 @@ class _Best:
     def __init__(self, queries: int, k: int):
         self.k, self.least, self.held = k, np.full(queries, -np.inf), None
 
-    def add(self, ids: pa.Array, modality: pa.Array, which: np.ndarray, scores: np.ndarray) -> None:
-        """scores: one row for each id, one column for each query of `which`."""
+    def add(self, ids: pa.Array, modality: pa.Array, which: np.ndarray, scores: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """scores: one row for each id, one column for each query of `which`, as a block product gives them.
+        That may differ in the last place for equal vectors, so what comes near the k best is scored
+        once more by exact(rows, columns), which does not."""
         if self.k < 1 or not len(ids) or not len(which):
             return
         scores = np.where(np.isfinite(scores), scores, -np.inf)
         kth = np.partition(scores, len(ids) - self.k, 0)[len(ids) - self.k] if len(ids) > self.k else np.full(len(which), -np.inf)
-        row, column = np.nonzero((scores >= np.maximum(kth, self.least[which])) & (scores > -np.inf))
-        new = pa.table({"query": pa.array(which[column], pa.int32()), "score": scores[row, column], "id": ids.take(pa.array(row)), "modality": modality.take(pa.array(row))})
+        row, column = np.nonzero((scores >= np.maximum(kth, self.least[which]) - SLACK) & (scores > -np.inf))
+        for at in range(0, len(row), PAIRS):
+            r, c = row[at : at + PAIRS], column[at : at + PAIRS]
+            self._merge(pa.table({"query": pa.array(which[c], pa.int32()), "score": exact(r, c), "id": ids.take(pa.array(r)), "modality": modality.take(pa.array(r))}))
+
+    def _merge(self, new: pa.Table) -> None:
         both = new if self.held is None else pa.concat_tables([self.held, new])
         both = both.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
         query = both.column("query").to_numpy()
@@ -72,7 +81,7 @@ def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, limits: dict[str
 
     def run(batches):
         best = {m: _Best(len(matrix), k) for m, k in limits.items()}
-        own = {m: pa.array([m]) for m in limits}
+        name = {m: pa.array([m]) for m in limits}
         step = max(1, SCORES // max(1, len(matrix)))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
@@ -84,10 +93,16 @@ def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, limits: dict[str
                 for c in np.unique(cell).tolist():
                     which = np.arange(len(matrix)) if asked is None else asked.get(c, np.zeros(0, np.int64))
                     for m in limits:
-                        rows = np.flatnonzero((cell == c) & (np.ones(b.num_rows, bool) if m is None else pc.fill_null(pc.equal(b.column("modality"), own[m][0]), False).to_numpy(zero_copy_only=False)))
+                        rows = np.flatnonzero((cell == c) & (np.ones(b.num_rows, bool) if m is None else pc.fill_null(pc.equal(b.column("modality"), name[m][0]), False).to_numpy(zero_copy_only=False)))
+                        own, asks = e[rows], matrix[which]
                         both = size[rows][:, None] * norms[which]
-                        cosine = np.divide(e[rows] @ matrix[which].T, both, out=np.zeros(both.shape), where=both != 0)
-                        best[m].add(b.column("node_id").take(pa.array(rows)), b.column("modality").take(pa.array(rows)), which, np.where(np.isnan(both), np.nan, cosine))
+                        cosine = np.divide(own @ asks.T, both, out=np.zeros(both.shape), where=both != 0)
+
+                        def exact(r, q, own=own, asks=asks, both=both):
+                            n = both[r, q]
+                            return np.divide(np.einsum("ij,ij->i", own[r], asks[q]), n, out=np.zeros(len(n)), where=n != 0)
+
+                        best[m].add(b.column("node_id").take(pa.array(rows)), b.column("modality").take(pa.array(rows)), which, np.where(np.isnan(both), np.nan, cosine), exact)
         for part, found in enumerate(best.values()):
             for b in found.held.to_batches() if found.held is not None else ():
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), b.column(2), b.column(3), b.column(1)], names=["query", "part", "node_id", "modality", "score"])

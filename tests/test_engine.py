@@ -149,7 +149,10 @@ def test_nearest_equals_plain_loops(spark):
     frame = spark.createDataFrame(q, "query_id int, vector array<double>")
     got = lambda df: sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in df.collect()), key=str)
     rounded = lambda rows: [(a, b, c, round(d, 9)) for a, b, c, d in rows]
-    same = lambda a, b: sorted(x[0::3] for x in rounded(a)) == sorted(x[0::3] for x in rounded(b))  # noqa: E731  scores that differ in the last place may swap ids
+    same = lambda a, b: sorted(x[0::3] for x in rounded(a)) == sorted(x[0::3] for x in rounded(b))  # noqa: E731  scores that plain sums put in another last place may swap ids
+    alike = spark.createDataFrame([(f"c{i:03d}", "text", [0.1, 0.7, 0.3] * 11) for i in range(999, -1, -1)], "node_id string, modality string, embedding array<float>").repartition(3)
+    asks = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=33)]) for i in range(20)], "query_id int, vector array<double>")
+    assert sorted((r.query_id, r.node_id) for r in retrieval.nearest(alike, asks, {None: 5}).collect()) == [(q, f"c{i:03d}") for q in range(20) for i in range(5)]  # equal vectors tie
     assert same(got(retrieval.nearest(v, frame, {None: 9})), plain(lambda m: True, 9))
     assert same(got(retrieval.text_first(v, frame, 6)), plain(lambda m: m == "text", 6) + plain(lambda m: m == "image", 3))
     assert retrieval.vector_search(v, frame.limit(0), 3).collect() == []
