@@ -103,7 +103,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
         return pd.Series((lo + salt.to_numpy() % (hi - lo + 1)).astype(np.int32))
 
-    urls = urls.withColumn("_range", place("_key", "_path", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))))
+    urls = urls.withColumn("_range", place("_key", "_path", F.pmod(F.xxhash64("_id", "_host", "_path"), F.lit(1 << 30))))  # by content: a task that runs again deals its rows alike
     heads = rules.select(F.coalesce(F.lower("host"), F.lit("")).alias("_host"), F.coalesce("path", F.lit("")).alias("_path"), F.col("verdict").alias("_verdict")).where("_verdict is not null").distinct()
     heads = heads.withColumn("_key", host_key(F.col("_host")))
 
